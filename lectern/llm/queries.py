@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lectern.llm import bpe
-from lectern.llm.common import table
+from lectern.llm import bpe, quality, toxicity
+from lectern.llm.common import crc_mod, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -16,6 +17,33 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN))
 
 
-QUERIES = {"op6_byte_bpe": op6_byte_bpe}
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), crc_mod("doc_id", 3) != 1)
+    return quality.score(docs.select("doc_id", "text"), model).select(
+        "doc_id",
+        (crc_mod("doc_id", 3) == 1).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), crc_mod("doc_id", 5) != 0)
+    return toxicity.score(docs.select("doc_id", "text"), model).select(
+        "doc_id",
+        (crc_mod("doc_id", 5) == 0).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        "offending",
+    )
+
+
+QUERIES = {
+    "op6_byte_bpe": op6_byte_bpe,
+    "op9_quality": op9_quality,
+    "op10_toxicity": op10_toxicity,
+}
 
 ORACLES: dict[str, str] = {}
