@@ -6,12 +6,22 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import bpe, quality, toxicity
+from lectern.llm import bpe, html, quality, secrets, toxicity
 from lectern.llm.common import crc_mod, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
+def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html.extract(table(spark, sf_dir, "pages"))
+    return found.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return secrets.report(secrets.scan(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return bpe.digests(bpe.encode(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN))
@@ -41,6 +51,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_main_text": op1_main_text,
+    "op4_secrets": op4_secrets,
     "op6_byte_bpe": op6_byte_bpe,
     "op9_quality": op9_quality,
     "op10_toxicity": op10_toxicity,
