@@ -62,16 +62,18 @@ class BagModel:
     def sentences(self, text: str | None) -> list[tuple[int, int, float]]:
         """(start, end, probability) of each sentence with a feature of the vocabulary."""
         found, text = [], text or ""
+        if self.weights.keys().isdisjoint(features({*WORDS.findall(text.lower())})):
+            return found
         for m in SENTENCES.finditer(text):
             known = [self.weights[f] for f in features({*WORDS.findall(m[0].lower())}) if f in self.weights]
             if known:
                 found.append((m.start(), m.end(), float(_sigmoid(self.bias + math.fsum(known)))))
         return found
 
-    def score(self, text: str | None) -> float:
-        """Noisy-or of the sentences; the bias is one draw for the whole document."""
+    def noisy_or(self, sentences: list[tuple[int, int, float]]) -> float:
+        """Score of a document with these sentences; the bias is one draw for the whole document."""
         keep = 1 - _sigmoid(self.bias)
-        for _, _, p in self.sentences(text):
+        for _, _, p in sentences:
             keep *= 1 - p
         return float(1 - keep)
 
@@ -85,12 +87,9 @@ def vocabulary(sample: DataFrame, sizes: dict[int, int]) -> list[str]:
 
     def run(batches):
         for batch in batches:
-            words, marks = [], []
-            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = {*features({*WORDS.findall((text or "").lower())})}
-                words += own
-                marks += [label] * len(own)
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(marks, pa.int32())], names=["word", "label"])
+            for text, label in zip(*batch.columns, strict=True):  # a batch for each text, as a batch of texts has no bound
+                own = pa.array({*features({*WORDS.findall((text.as_py() or "").lower())})}, pa.string())
+                yield pa.RecordBatch.from_arrays([own, pa.array([label.as_py()] * len(own), pa.int32())], names=["word", "label"])
 
     a, b = F.sum("label"), F.sum(1 - F.col("label"))
     n1, n0 = F.lit(float(sizes.get(1, 0))), F.lit(float(sizes.get(0, 0)))
@@ -174,9 +173,10 @@ def score(docs: DataFrame, model: BagModel, text: str = "text", out: str = "scor
     def run(batches):
         for batch in batches:
             scores, found = [], []
-            for t in batch.column(at).to_pylist():
-                scores.append(model.score(t))
-                found.append([{"start": a, "end": b, "p": float(p)} for a, b, p in model.sentences(t) if p >= 0.5])
+            for t in batch.column(at):
+                sentences = model.sentences(t.as_py())
+                scores.append(model.noisy_or(sentences))
+                found.append([{"start": a, "end": b, "p": p} for a, b, p in sentences if p >= 0.5])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64()), pa.array(found, kind)], names=[*batch.schema.names, out, "offending"])
 
     return docs.mapInArrow(run, schema)
