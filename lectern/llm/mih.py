@@ -79,34 +79,31 @@ def fit(x: np.ndarray, k: int) -> Codes:
 
 
 class Index:
-    """One table for each substring: the substrings that occur, and the rows of each."""
+    """One table for each substring: the substrings that occur, and the place among them of each row's."""
 
     def __init__(self, codes: np.ndarray):
         self.codes = codes
-        self.tables = []
-        for column in codes.T:
-            order = np.argsort(column, kind="stable")
-            keys, first = np.unique(column[order], return_index=True)
-            self.tables.append((keys, np.append(first, len(order)), order))
+        self.tables = [np.unique(column, return_inverse=True) for column in codes.T]
 
     def within(self, code: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
         """All rows within the radius, and their distances."""
         radius_each, hit = radius // len(self.tables), np.zeros(len(self.codes), bool)
-        for (keys, first, order), own in zip(self.tables, code, strict=True):
-            for at in self._probe(keys, own, radius_each):
-                hit[order[first[at] : first[at + 1]]] = True
+        for (keys, place), own in zip(self.tables, code, strict=True):
+            hit |= self._probe(keys, own, radius_each)[place]
         rows = np.flatnonzero(hit)
         far = _POP[self.codes[rows] ^ code].sum(1, dtype=np.int64)
         return rows[far <= radius], far[far <= radius]
 
     @staticmethod
     def _probe(keys: np.ndarray, own: int, radius: int) -> np.ndarray:
-        """Places in keys of the substrings in the ball, by whichever is shorter: the ball or the keys."""
+        """Which keys lie in the ball around own, by whichever is shorter: the ball or the keys."""
         if sum(comb(WIDTH, i) for i in range(radius + 1)) > len(keys):
-            return np.flatnonzero(_POP[keys ^ own] <= radius)
+            return _POP[keys ^ own] <= radius
         ball = np.array([int(own) ^ sum(1 << b for b in flips) for i in range(radius + 1) for flips in combinations(range(WIDTH), i)], np.uint16)
         at = np.minimum(np.searchsorted(keys, ball), len(keys) - 1)
-        return at[keys[at] == ball]
+        found = np.zeros(len(keys), bool)
+        found[at[keys[at] == ball]] = True
+        return found
 
 
 def best_near(models: dict[int, Codes], k: int):
