@@ -31,3 +31,23 @@ def cut(df: DataFrame) -> DataFrame:
 def crc_mod(column: str, modulus: int):
     """crc32 of the value written as text, modulo `modulus`."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(modulus)
+
+
+def rejoin(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on keys and their hash.
+
+    An aggregate is already dealt by its keys, so a plain join with it leaves
+    it where it is, and a frequent key of the left side fills one task. With
+    the hash among the join's keys both sides are dealt anew, which lets
+    adaptive execution split the frequent key and repeat its one right row.
+    """
+    own = F.xxhash64(*keys)
+    return left.withColumn("__k", own).join(right.withColumn("__k", own), ["__k", *keys], how).drop("__k")
+
+
+def ordered(df: DataFrame, *keys) -> DataFrame:
+    """df sorted over all partitions, with `n`, a number that rises in the order of keys (with gaps).
+
+    The result is materialised, since the numbers depend on the partitions.
+    """
+    return cut(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("n", F.monotonically_increasing_id()))

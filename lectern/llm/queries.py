@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import bpe, html, mih, quality, secrets, simhash, topk, toxicity
+from lectern.llm import bpe, html, lines, mih, quality, secrets, simhash, topk, toxicity
 from lectern.llm.common import crc_mod, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -36,6 +36,11 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lines.dedup(docs, removed="n_removed")
+
+
 def op8_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mih.search(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, 10)
 
@@ -69,12 +74,40 @@ QUERIES = {
     "op4_secrets": op4_secrets,
     "op6_byte_bpe": op6_byte_bpe,
     "op5_topk": op5_topk,
+    "op7_line_dedup": op7_line_dedup,
     "op8_multi_index": op8_multi_index,
     "op9_quality": op9_quality,
     "op10_toxicity": op10_toxicity,
 }
 
 ORACLES: dict[str, str] = {
+    # A run of 50 words that repeats is made of shortest windows of 50 words, forward and backward, that repeat.
+    "op7_line_dedup": r"""
+        WITH d AS (
+            SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents
+        ), l AS (
+            SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM d
+        ), w AS (
+            SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n FROM l
+        ), c AS (
+            SELECT *, CAST(sum(n) OVER (PARTITION BY doc_id ORDER BY pos) AS BIGINT) AS upto FROM w
+        ), forward AS (
+            SELECT a.doc_id, a.pos AS a, min(b.pos) AS b FROM c a JOIN c b ON a.doc_id = b.doc_id AND b.pos >= a.pos AND b.upto - a.upto + a.n >= 50 GROUP BY ALL
+        ), backward AS (
+            SELECT b.doc_id, max(a.pos) AS a, b.pos AS b FROM c b JOIN c a ON a.doc_id = b.doc_id AND b.pos >= a.pos AND b.upto - a.upto + a.n >= 50 GROUP BY b.doc_id, b.pos
+        ), windows AS (
+            SELECT DISTINCT v.doc_id, a, b, md5(array_to_string(list_slice(ls, a, b), chr(10))) AS h
+            FROM (SELECT * FROM forward UNION ALL SELECT * FROM backward) v JOIN d ON d.doc_id = v.doc_id
+        ), ranked AS (
+            SELECT *, row_number() OVER (PARTITION BY h, b - a ORDER BY doc_id, a) AS k FROM windows
+        ), gone AS (
+            SELECT DISTINCT doc_id, unnest(generate_series(a, b)) AS pos FROM ranked WHERE k > 1
+        ), rest AS (
+            SELECT w.doc_id, coalesce(string_agg(w.line, chr(10) ORDER BY w.pos) FILTER (WHERE g.pos IS NULL), '') AS text, count(g.pos) AS n_removed
+            FROM w LEFT JOIN gone g ON g.doc_id = w.doc_id AND g.pos = w.pos GROUP BY w.doc_id
+        )
+        SELECT doc_id, text, n_removed FROM rest
+    """,
     "op5_topk": """
         WITH e AS (
             SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
