@@ -51,3 +51,18 @@ def ordered(df: DataFrame, *keys) -> DataFrame:
     The result is materialised, since the numbers depend on the partitions.
     """
     return cut(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("n", F.monotonically_increasing_id()))
+
+
+def numbered(df: DataFrame, *keys) -> DataFrame:
+    """df with `n`, its place in the order of keys: 0, 1, 2 and so on.
+
+    What comes to the driver is a count for each partition.
+    """
+    rows, shift = ordered(df, *keys), 33  # monotonically_increasing_id: partition, then row in it
+    part = F.shiftright("n", shift).cast("int")
+    counts = {r["p"]: r["c"] for r in rows.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("c")).collect()}
+    before = [0]
+    for p in range(max(counts, default=-1)):
+        before.append(before[-1] + counts.get(p, 0))
+    start = F.element_at(F.array(*map(F.lit, before)), part + 1)
+    return rows.withColumn("n", (start + F.col("n").bitwiseAND(F.lit((1 << shift) - 1))).cast("long"))

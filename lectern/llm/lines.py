@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lectern.llm.common import WORD, cut, ordered, rejoin
+from lectern.llm.common import WORD, cut, numbered, ordered, rejoin
 
 #: Words that a repeated run has at least.
 LEAST_WORDS = 50
@@ -43,16 +43,9 @@ def _places(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, int]:
     rows = docs.where(F.col(text).isNotNull()).select(
         F.col(key).alias("key"), *_identity(key, text), F.transform(F.split(text, "\n", -1), line).alias("lines")
     )
-    rows = ordered(cut(rows).dropDuplicates(["u1", "u2"]), F.col("key").asc_nulls_last(), F.col("u1"), F.col("u2"))
-    shift = 33  # partition and row in it, as in monotonically_increasing_id
-    counts = {r["p"]: r["c"] for r in rows.groupBy(F.shiftright("n", shift).cast("int").alias("p")).agg(F.count(F.lit(1)).alias("c")).collect()}
-    before, total = [], 0
-    for p in range(max(counts, default=-1) + 1):
-        before.append(total)
-        total += counts.get(p, 0)
-    start = F.element_at(F.array(*map(F.lit, before or [0])), F.shiftright("n", shift).cast("int") + 1)
+    rows = numbered(cut(rows).dropDuplicates(["u1", "u2"]), F.col("key").asc_nulls_last(), F.col("u1"), F.col("u2"))
     stride = (rows.agg(F.max(F.size("lines"))).first()[0] or 0) + 1
-    return rows.select("u1", "u2", (start + F.col("n").bitwiseAND(F.lit((1 << shift) - 1))).cast("long").alias("doc"), "lines"), stride
+    return rows.select("u1", "u2", F.col("n").alias("doc"), "lines"), stride
 
 
 def _identity(key: str, text: str):
