@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,16 +34,27 @@ def crc_mod(column: str, modulus: int):
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(modulus)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let Spark's cleaner find what a finished round has left.
+
+    Superseded checkpoints and shuffle files go only after the driver has
+    collected its garbage, which an idle driver with a fair heap puts off.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def rejoin(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Join on keys and their hash.
 
     An aggregate is already dealt by its keys, so a plain join with it leaves
     it where it is, and a frequent key of the left side fills one task. With
     the hash among the join's keys both sides are dealt anew, which lets
-    adaptive execution split the frequent key and repeat its one right row.
+    adaptive execution split the frequent key and repeat its one right row. The
+    right side has no proven bound, so it isn't broadcast.
     """
     own = F.xxhash64(*keys)
-    return left.withColumn("__k", own).join(right.withColumn("__k", own), ["__k", *keys], how).drop("__k")
+    return left.withColumn("__k", own).join(right.withColumn("__k", own).hint("merge"), ["__k", *keys], how).drop("__k")
 
 
 def ordered(df: DataFrame, *keys) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lectern.llm.common import WORD, cut, numbered, ordered, rejoin
+from lectern.llm.common import WORD, cut, numbered, ordered, rejoin, tidy
 
 #: Words that a repeated run has at least.
 LEAST_WORDS = 50
@@ -63,11 +63,12 @@ def _ranks(lines: DataFrame) -> list[DataFrame]:
     while not now.isEmpty():
         out.append(now)
         ahead = now.select((F.col("g") - step).alias("g"), F.col("r").alias("r2"), F.col("w").alias("w2"))
-        pairs = cut(now.join(ahead, "g").select("g", "r", "r2", (F.col("w") + F.col("w2")).alias("w")))
+        pairs = cut(now.join(ahead.hint("merge"), "g").select("g", "r", "r2", (F.col("w") + F.col("w2")).alias("w")))
         keys = ["r", "r2"]
         several = pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
         now = cut(rejoin(pairs, ordered(several, *keys), keys).select("g", F.col("n").alias("r"), "w"))
         step *= 2
+        tidy(lines.sparkSession)
     return out
 
 
@@ -77,14 +78,14 @@ def _longest(ranks: list[DataFrame]) -> DataFrame | None:
     for k in range(len(ranks) - 1, -1, -1):
         level = ranks[k]
         # places that hold no run yet start from the interval of all places, which has no name
-        fresh = level if found is None else level.join(found.select("g"), "g", "left_anti")
+        fresh = level if found is None else level.join(found.select("g").hint("merge"), "g", "left_anti")
         fresh = fresh.select("g", F.lit(0).cast("long").alias("size"), F.lit(-1).cast("long").alias("first"), F.lit(0).cast("long").alias("words"), F.col("r"), F.col("w"))
         at = level.select(F.col("g").alias("at"), "r", "w")
         if found is None:
             tested, heads = fresh, None
         else:
-            tested = found.withColumn("at", F.col("g") + F.col("size")).join(at, "at", "left").drop("at").unionByName(fresh)
-            heads = found.select("size", "first").distinct().withColumn("at", F.col("first") + F.col("size")).join(at, "at").select("size", "first", "r", F.col("first").alias("g"))
+            tested = found.withColumn("at", F.col("g") + F.col("size")).join(at.hint("merge"), "at", "left").drop("at").unionByName(fresh)
+            heads = found.select("size", "first").distinct().withColumn("at", F.col("first") + F.col("size")).join(at.hint("merge"), "at").select("size", "first", "r", F.col("first").alias("g"))
         tested = cut(tested)
         keys = ["size", "first", "r"]
         members = tested.where("r is not null").select(*keys, "g")
@@ -102,6 +103,7 @@ def _longest(ranks: list[DataFrame]) -> DataFrame | None:
             )
             .where("size > 0")
         )
+        tidy(level.sparkSession)
     return found
 
 
