@@ -1,6 +1,692 @@
-"""All queries over the driver's tables, with their SQL."""
+"""All queries over the driver's tables, each beside its SQL."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from lectern.config import Knobs
+from lectern.functions import text as X
+from lectern.functions import vectors as V
+from lectern.operators import floor, pubsub, revlog, scoring, speakers, timeline, words
+from lectern.sources import tables as T
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+KNOBS = Knobs()
+#: The embeddings' labels tell nothing and no two are alike by the default, so their queries link at this cosine.
+LOOSE = 0.3
+DIM = 64
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+# -- the log --------------------------------------------------------------------------------------
+
+
+def _current(spark, sf):
+    return revlog.current_segments(T.messages(spark, sf))
+
+
+@query(f"WITH {T.CURRENT} SELECT talk, sid, rev, final, stable, lang, text, spk FROM cur")
+def current_segments(spark, sf):
+    return _current(spark, sf)
+
+
+@query(f"WITH {T.JUDGED} SELECT talk, sid, seq, t, rev FROM judged WHERE NOT accepted")
+def stale_messages(spark, sf):
+    return revlog.stale(T.messages(spark, sf)).select("talk", "sid", "seq", "t", "rev")
+
+
+@query(f"""WITH {T.MSG}, u AS (
+    SELECT talk, seq, CASE WHEN seq % 5 = 0 THEN text END AS title, CASE WHEN seq % 7 = 0 THEN lang END AS src_lang, CASE WHEN seq % 11 = 0 THEN 'ended' WHEN seq % 4 = 0 THEN 'live' END AS state FROM msg
+) SELECT talk, min(seq) AS started, arg_max(title, seq) FILTER (WHERE title IS NOT NULL) AS title, arg_max(src_lang, seq) FILTER (WHERE src_lang IS NOT NULL) AS src_lang,
+         arg_max(state, seq) FILTER (WHERE state IS NOT NULL) AS state FROM u GROUP BY talk""")
+def talk_upsert(spark, sf):
+    return revlog.upsert_talks(_updates(spark, sf), ["title", "src_lang", "state"])
+
+
+def _updates(spark, sf):
+    return T.messages(spark, sf).selectExpr(
+        "talk", "seq", "case when seq % 5 = 0 then text end as title", "case when seq % 7 = 0 then lang end as src_lang", "case when seq % 11 = 0 then 'ended' when seq % 4 = 0 then 'live' end as state"
+    )
+
+
+@query(f"""WITH {T.MSG}, u AS (SELECT talk, seq, CASE WHEN seq % 5 = 0 THEN text END AS title FROM msg)
+SELECT talk, min(seq) AS started, arg_max(title, seq) FILTER (WHERE title IS NOT NULL) AS title FROM u GROUP BY talk ORDER BY started DESC""")
+def talk_list(spark, sf):
+    return revlog.upsert_talks(_updates(spark, sf), ["title"]).orderBy(F.desc("started"))
+
+
+@query(f"WITH {T.MSG}, u AS (SELECT talk, seq, CASE WHEN seq % 5 = 0 THEN text END AS title FROM msg WHERE talk = 7) SELECT talk, min(seq) AS started, arg_max(title, seq) FILTER (WHERE title IS NOT NULL) AS title FROM u GROUP BY talk")
+def one_talk(spark, sf):
+    return revlog.upsert_talks(_updates(spark, sf).where("talk = 7"), ["title"])
+
+
+@query(f"""WITH {T.CURRENT}, {T.TR} SELECT cur.talk, cur.sid, cur.rev, cur.spk, coalesce(tr.text, cur.text) AS text, tr.text IS NULL AS untranslated
+FROM cur LEFT JOIN tr ON tr.talk = cur.talk AND tr.sid = cur.sid AND tr.lang = 'de' WHERE final""")
+def translated_transcript(spark, sf):
+    return revlog.translated(_current(spark, sf), T.translations(spark, sf), "de")
+
+
+@query(f"WITH {T.CURRENT} SELECT talk, sid, rev, text FROM cur WHERE final AND sid > 10 ORDER BY talk, sid")
+def transcript_since(spark, sf):
+    return revlog.transcript(_current(spark, sf), since=10).select("talk", "sid", "rev", "text").orderBy("talk", "sid")
+
+
+@query(f"""WITH {T.CURRENT}, {T.TR}, want AS (SELECT talk, sid, rev, lang FROM (SELECT talk, sid, rev, lang AS own, unnest(['en', 'de', 'fr']) AS lang FROM cur WHERE final) WHERE lang <> own)
+SELECT want.talk, want.sid, want.lang, want.rev FROM want WHERE NOT EXISTS (SELECT 1 FROM tr WHERE tr.talk = want.talk AND tr.sid = want.sid AND tr.lang = want.lang AND tr.rev >= want.rev)""")
+def translation_cache_misses(spark, sf):
+    langs = F.explode(F.array(F.lit("en"), F.lit("de"), F.lit("fr")))
+    wanted = _current(spark, sf).where("final").select("talk", "sid", "rev", F.col("lang").alias("own"), langs.alias("lang")).where("lang != own").drop("own")
+    return revlog.cache_misses(wanted, T.translations(spark, sf)).select("talk", "sid", "lang", "rev")
+
+
+@query(f"""WITH {T.CURRENT}, {T.TR} SELECT cur.talk, cur.sid, tr.lang, tr.text FROM cur JOIN tr ON tr.talk = cur.talk AND tr.sid = cur.sid AND tr.rev >= cur.rev""")
+def translation_cache_hits(spark, sf):
+    tr = T.translations(spark, sf).withColumnRenamed("rev", "have")
+    return _current(spark, sf).select("talk", "sid", "rev").join(tr, ["talk", "sid"]).where("have >= rev").select("talk", "sid", "lang", "text")
+
+
+@query(f"WITH {T.JUDGED} SELECT talk, sid, seq, rev, lang FROM judged WHERE accepted AND t = 'seg' AND final AND stable")
+def translate_gate(spark, sf):
+    return revlog.to_translate(T.messages(spark, sf)).select("talk", "sid", "seq", "rev", "lang")
+
+
+@query(f"""WITH {T.JUDGED}, {T.COUNTED}, act AS (SELECT talk, lang FROM counted GROUP BY talk, lang HAVING arg_max(n, seq) > 0)
+SELECT j.talk, j.sid, j.seq, a.lang AS target FROM judged j JOIN act a ON a.talk = j.talk AND a.lang <> j.lang WHERE accepted AND t = 'seg' AND final AND stable""")
+def lang_targets(spark, sf):
+    gate = revlog.to_translate(T.messages(spark, sf))
+    return pubsub.targets(gate, pubsub.listeners(T.subscriptions(spark, sf))).select("talk", "sid", "seq", "target")
+
+
+@query(f"WITH {T.CURRENT}, {T.TR}, x AS (SELECT cur.talk, cur.sid, coalesce(tr.text, cur.text) AS text, row_number() OVER (PARTITION BY cur.talk ORDER BY cur.sid DESC) AS k FROM cur LEFT JOIN tr ON tr.talk = cur.talk AND tr.sid = cur.sid AND tr.lang = 'en' WHERE final) SELECT talk, sid, text FROM x WHERE k <= 40")
+def snapshot_last40(spark, sf):
+    rows = revlog.translated(_current(spark, sf), T.translations(spark, sf), "en")
+    return revlog.last_rows(rows, ["talk"], "sid", 40).select("talk", "sid", "text")
+
+
+@query(f"""WITH {T.CURRENT}, {T.COUNTED}, act AS (SELECT DISTINCT talk, lang FROM counted WHERE op = 'attach' AND n = 1),
+x AS (SELECT talk, sid, rev, lang, row_number() OVER (PARTITION BY talk ORDER BY sid DESC) AS k FROM cur WHERE final)
+SELECT x.talk, x.sid, x.rev, act.lang AS target FROM x JOIN act ON act.talk = x.talk AND act.lang <> x.lang WHERE k <= 30""")
+def backlog_last30(spark, sf):
+    active = pubsub.activations(T.subscriptions(spark, sf)).select("talk", "lang").distinct()
+    last = revlog.last_rows(_current(spark, sf).where("final"), ["talk"], "sid", 30)
+    return pubsub.targets(last, active).select("talk", "sid", "rev", "target")
+
+
+@query(f"WITH {T.MSG}, f AS (SELECT *, row_number() OVER (PARTITION BY talk ORDER BY seq DESC) AS k FROM msg WHERE t = 'seg' AND final), kept AS (SELECT *, row_number() OVER (PARTITION BY talk ORDER BY seq DESC) AS r FROM f WHERE k <= 200) SELECT talk, seq, sid, text FROM kept WHERE r <= 40")
+def stage_replay(spark, sf):
+    finals = T.messages(spark, sf).where("t = 'seg' and final")
+    return revlog.last_rows(revlog.last_rows(finals, ["talk"], "seq", 200), ["talk"], "seq", 40).select("talk", "seq", "sid", "text")
+
+
+@query(f"""WITH {T.MSG}, ack AS (SELECT talk, max(seq - 400) AS a FROM msg WHERE seq % 9 = 0 GROUP BY talk),
+p AS (SELECT m.talk, m.seq, row_number() OVER (PARTITION BY m.talk ORDER BY m.seq DESC) AS k, count(*) OVER (PARTITION BY m.talk) AS c FROM msg m LEFT JOIN ack ON ack.talk = m.talk WHERE m.seq > coalesce(ack.a, -1))
+SELECT talk, seq, greatest(c - 15, 0) AS dropped FROM p WHERE k <= 15""")
+def pending_unacked(spark, sf):
+    rows = T.messages(spark, sf)
+    return revlog.pending(rows.select("talk", "seq"), rows.where("seq % 9 = 0").selectExpr("talk", "seq - 400 as ack"), 15)
+
+
+@query(f"WITH {T.MSG}, {T.COUNTED} SELECT talk, lang, arg_max(n, seq) AS n FROM counted GROUP BY talk, lang HAVING arg_max(n, seq) > 0")
+def listeners(spark, sf):
+    return pubsub.listeners(T.subscriptions(spark, sf))
+
+
+@query(f"WITH {T.MSG}, {T.COUNTED} SELECT talk, lang, seq FROM counted WHERE op = 'attach' AND n = 1")
+def lang_activations(spark, sf):
+    return pubsub.activations(T.subscriptions(spark, sf))
+
+
+@query(f"""WITH {T.MSG}, s AS (SELECT *, CASE WHEN t = 'health' AND value % 2 = 0 THEN true WHEN t = 'health' THEN false END AS m FROM msg),
+x AS (SELECT *, coalesce(last_value(m IGNORE NULLS) OVER (PARTITION BY talk ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), false) AS muted FROM s)
+SELECT talk, seq, sid FROM x WHERE NOT muted AND t <> 'health'""")
+def mute_gate(spark, sf):
+    switch, even = F.col("t") == "health", F.col("value") % 2 == 0
+    return revlog.unmuted(T.messages(spark, sf), switch & even, switch & ~even).select("talk", "seq", "sid")
+
+
+@query(f"WITH {T.MSG} SELECT talk, seq, unnest(list_distinct(['talk:' || talk || ':lang:' || lang, 'talk:' || talk || ':lang:en', 'talk:' || talk || ':ctl'])) AS topic FROM msg WHERE t = 'seg'")
+def topic_fanout(spark, sf):
+    return pubsub.fan_out(T.messages(spark, sf).where("t = 'seg'"), "en").select("talk", "seq", "topic")
+
+
+@query(f"WITH {T.MSG} SELECT talk, lang AS key, arg_max(value, seq) AS value, max(seq) AS seq FROM msg WHERE t = 'health' GROUP BY talk, lang")
+def health_latest(spark, sf):
+    return pubsub.merged_health(T.messages(spark, sf).where("t = 'health'").withColumnRenamed("lang", "key"))
+
+
+@query(f"""WITH {T.CURRENT}, {T.TR}, e AS (SELECT DISTINCT talk, sid, 'edited ' || sid AS text FROM msg WHERE t = 'health' AND value % 3 = 0)
+SELECT cur.talk, cur.sid, cur.rev + CASE WHEN e.text IS NULL THEN 0 ELSE 1 END AS rev, coalesce(e.text, cur.text) AS text, cur.final FROM cur LEFT JOIN e ON e.talk = cur.talk AND e.sid = cur.sid""")
+def edited_segments(spark, sf):
+    return revlog.edit(_current(spark, sf), T.translations(spark, sf), _edits(spark, sf))[0].select("talk", "sid", "rev", "text", "final")
+
+
+def _edits(spark, sf):
+    return T.messages(spark, sf).where("t = 'health' and value % 3 = 0").selectExpr("talk", "sid", "'edited ' || cast(sid as string) as text").distinct()
+
+
+@query(f"""WITH {T.MSG}, {T.TR}, e AS (SELECT DISTINCT talk, sid FROM msg WHERE t = 'health' AND value % 3 = 0)
+SELECT tr.talk, tr.sid, tr.lang, tr.rev FROM tr ANTI JOIN e ON e.talk = tr.talk AND e.sid = tr.sid""")
+def translations_after_edits(spark, sf):
+    return revlog.edit(_current(spark, sf), T.translations(spark, sf), _edits(spark, sf))[1].select("talk", "sid", "lang", "rev")
+
+
+@query(f"""WITH {T.MSG}, l AS (SELECT *, lag(spk) OVER (PARTITION BY talk, sid ORDER BY seq) AS was, row_number() OVER (PARTITION BY talk, sid ORDER BY seq) AS k FROM msg WHERE t = 'spk')
+SELECT talk, sid, seq, was, spk FROM l WHERE k > 1 AND was IS DISTINCT FROM spk""")
+def speaker_revisions(spark, sf):
+    return revlog.relabelled(T.messages(spark, sf).where("t = 'spk'")).select("talk", "sid", "seq", "was", "spk")
+
+
+@query(f"""WITH {T.CURRENT}, {T.TR} SELECT cur.talk, count(tr.text) FILTER (WHERE tr.rev >= cur.rev) AS hits, count(*) FILTER (WHERE tr.text IS NULL OR tr.rev < cur.rev) AS calls,
+CAST(coalesce(sum(length(cur.text)) FILTER (WHERE tr.text IS NULL OR tr.rev < cur.rev), 0) AS BIGINT) AS chars
+FROM cur LEFT JOIN tr ON tr.talk = cur.talk AND tr.sid = cur.sid AND tr.lang = 'fr' WHERE final GROUP BY cur.talk""")
+def translation_counters(spark, sf):
+    tr = T.translations(spark, sf).where("lang = 'fr'").select("talk", "sid", F.col("rev").alias("have"))
+    rows = _current(spark, sf).where("final").join(tr, ["talk", "sid"], "left").withColumn("hit", F.coalesce(F.col("have") >= F.col("rev"), F.lit(False)))
+    return rows.groupBy("talk").agg(F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("calls"), F.sum(F.when(~F.col("hit"), F.char_length("text")).otherwise(0)).alias("chars"))
+
+
+@query(f"""WITH {T.MSG}, d AS (SELECT talk, sid, rev, t, min(seq) AS seq, count(*) AS times FROM msg GROUP BY talk, sid, rev, t) SELECT talk, sid, rev, t, seq, times FROM d""")
+def redelivered(spark, sf):
+    return T.messages(spark, sf).groupBy("talk", "sid", "rev", "t").agg(F.min("seq").alias("seq"), F.count(F.lit(1)).alias("times"))
+
+
+# -- frames and clocks ----------------------------------------------------------------------------
+
+
+@query(f"WITH {T.FRAME} SELECT talk, ch, frame, max(level_db > -75) OVER (PARTITION BY talk, ch ORDER BY frame ROWS BETWEEN 18 PRECEDING AND CURRENT ROW) AS speech FROM frame")
+def vad_hangover(spark, sf):
+    kept = int(KNOBS.vad_hangover * KNOBS.sample_rate / KNOBS.frame_samples)
+    return timeline.hangover(T.frames(spark, sf), ["talk", "ch"], F.col("level_db") > T.GATE_DB, kept).select("talk", "ch", "frame", "speech")
+
+
+NOISE = """n AS (
+    SELECT talk, ch, frame, level_db, level_db AS noise_db FROM frame WHERE frame = 0
+    UNION ALL
+    SELECT f.talk, f.ch, f.frame, f.level_db, n.noise_db + (f.level_db - n.noise_db) * CASE WHEN f.level_db - n.noise_db < 0 THEN CAST(0.2 AS DOUBLE) ELSE CAST(0.0003 AS DOUBLE) END
+    FROM n JOIN frame f ON f.talk = n.talk AND f.ch = n.ch AND f.frame = n.frame + 1
+)"""
+_FRAME = T.FRAME.replace("frame AS", "frame AS MATERIALIZED", 1)
+
+
+@query(f"WITH RECURSIVE {_FRAME}, {NOISE} SELECT talk, ch, frame, noise_db, level_db - noise_db AS snr FROM n")
+def noise_floor(spark, sf):
+    return floor.noise_floor(T.frames(spark, sf), ["talk", "ch"]).select("talk", "ch", "frame", "noise_db", "snr")
+
+
+@query(f"""WITH {T.FRAME}, q AS (SELECT *, level_db < -60 AS quiet, row_number() OVER (PARTITION BY talk, ch ORDER BY frame) AS k FROM frame)
+SELECT talk, ch, frame, k - coalesce(max(CASE WHEN NOT quiet THEN k END) OVER (PARTITION BY talk, ch ORDER BY frame), 0) AS run FROM q""")
+def quiet_runs(spark, sf):
+    return timeline.run_lengths(T.frames(spark, sf), ["talk", "ch"], F.col("level_db") < -60).select("talk", "ch", "frame", "run")
+
+
+@query(f"""WITH {T.FRAME}, q AS (SELECT *, level_db < -60 AS quiet, row_number() OVER (PARTITION BY talk, ch ORDER BY frame) AS k FROM frame),
+r AS (SELECT talk, ch, frame, k - coalesce(max(CASE WHEN NOT quiet THEN k END) OVER (PARTITION BY talk, ch ORDER BY frame), 0) AS run FROM q)
+SELECT talk, ch, min(frame) AS frame FROM r WHERE run >= 12 GROUP BY talk, ch""")
+def dead_channels(spark, sf):
+    return timeline.dead_since(T.frames(spark, sf), ["talk", "ch"], F.col("level_db") < -60, 12)
+
+
+@query(f"""WITH {T.FRAME}, p AS (SELECT x.talk, x.frame, x.level_db AS a, y.level_db AS b FROM frame x JOIN frame y ON y.talk = x.talk AND y.frame = x.frame AND y.ch = 1 WHERE x.ch = 0),
+w AS (SELECT talk, frame, count(*) OVER r AS n, avg(a) OVER r AS ma, avg(b) OVER r AS mb, avg(a * a) OVER r AS maa, avg(b * b) OVER r AS mbb, avg(a * b) OVER r AS mab FROM p
+      WINDOW r AS (PARTITION BY talk ORDER BY frame ROWS BETWEEN 23 PRECEDING AND CURRENT ROW)),
+c AS (SELECT talk, frame, n, greatest(maa - ma * ma, 0) AS va, greatest(mbb - mb * mb, 0) AS vb, mab - ma * mb AS cov FROM w)
+SELECT talk, frame, CASE WHEN n < 8 OR sqrt(va) < 1e-6 OR sqrt(vb) < 1e-6 THEN true ELSE cov / sqrt(va * vb) >= 0.6 END AS bleed FROM c""")
+def bleed_corr(spark, sf):
+    rows = T.frames(spark, sf)
+    pick = lambda ch, name: rows.where(F.col("ch") == ch).select("talk", "frame", F.col("level_db").alias(name))
+    return floor.bleed(pick(0, "a").join(pick(1, "b"), ["talk", "frame"])).select("talk", "frame", "bleed")
+
+
+def _snr(spark, sf):
+    """A steady noise of -85 dB, so that leaders don't hang on the fold."""
+    return T.frames(spark, sf).withColumn("snr", F.col("level_db") + 85).withColumn("noise_db", F.lit(-85.0))
+
+
+@query(f"""WITH {T.FRAME}, s AS (SELECT talk, ch, frame, level_db + 85 AS snr FROM frame WHERE level_db + 85 >= 8),
+r AS (SELECT *, row_number() OVER (PARTITION BY talk, frame ORDER BY snr DESC, ch) AS k, max(snr) OVER (PARTITION BY talk, frame) AS best FROM s)
+SELECT talk, frame, max(ch) FILTER (WHERE k = 1) AS leader, coalesce(array_to_string(list_sort(list(ch) FILTER (WHERE k > 1 AND best - snr < 6)), ','), '') AS near FROM r GROUP BY talk, frame""")
+def floor_rank_overlap(spark, sf):
+    return floor.leaders(_snr(spark, sf)).select("talk", "frame", "leader", F.array_join(F.col("near").cast("array<string>"), ",").alias("near"))
+
+
+@query()
+def floor_events(spark, sf):
+    lead = floor.leaders(_snr(spark, sf)).select("talk", "frame", "leader")
+    every = T.frames(spark, sf).select("talk", "frame").distinct()
+    return floor.turns(every.join(lead, ["talk", "frame"], "left"))
+
+
+@query(f"""WITH {T.FRAME}, s AS (SELECT talk, ch, level_db + 85 AS snr, frame FROM frame), q AS (SELECT *, row_number() OVER (PARTITION BY talk, ch ORDER BY frame) AS k, snr < 8 AS quiet FROM s),
+r AS (SELECT talk, ch, k - coalesce(max(CASE WHEN NOT quiet THEN k END) OVER (PARTITION BY talk, ch ORDER BY frame), 0) AS run FROM q)
+SELECT s.talk, s.ch, round(arg_max(s.snr, s.frame), 1) AS snr, CAST(-85 AS DOUBLE) AS noise_db, coalesce(any_value(d.dead), false) AS dead
+FROM s LEFT JOIN (SELECT DISTINCT talk, ch, true AS dead FROM r WHERE run >= 9) d ON d.talk = s.talk AND d.ch = s.ch GROUP BY s.talk, s.ch""")
+def channel_status(spark, sf):
+    snr = _snr(spark, sf)
+    return floor.status(snr, timeline.dead_since(snr, ["talk", "ch"], F.col("snr") < KNOBS.open_snr, 9))
+
+
+@query(f"""WITH {T.FRAME}, o AS (SELECT talk, frame, arg_max(ch, level_db) AS owner FROM frame WHERE level_db > -75 GROUP BY talk, frame), f AS (SELECT DISTINCT talk, frame FROM frame)
+SELECT f.talk, f.frame, CASE WHEN f.frame + 1 < 31 THEN 'mix' ELSE 'ch' || o.owner END AS input FROM f LEFT JOIN o ON o.talk = f.talk AND o.frame = f.frame""")
+def recogniser_input(spark, sf):
+    rows = T.frames(spark, sf)
+    owner = rows.where(F.col("level_db") > T.GATE_DB).groupBy("talk", "frame").agg(F.max_by("ch", "level_db").alias("owner"))
+    every = rows.select("talk", "frame").distinct().join(owner, ["talk", "frame"], "left")
+    return floor.routed(every).select("talk", "frame", "input")
+
+
+@query(f"WITH {T.RUNS} SELECT talk, run, s0, a0, dur FROM runs")
+def speech_runs(spark, sf):
+    return timeline.speech_runs(T.gated(spark, sf), 5)
+
+
+def _points(spark, sf):
+    return T.messages(spark, sf).selectExpr("talk % 10 as talk", "seq", "seq % 9000 - 40 as t")
+
+
+@query(f"""WITH {T.RUNS}, p AS (SELECT user_id % 20 % 10 AS talk, event_id AS seq, event_id % 9000 - 40 AS t FROM events), first AS (SELECT talk, min(a0) AS a0 FROM runs GROUP BY talk)
+SELECT p.talk, p.seq, p.t, coalesce(r.a0 + p.t - r.s0, f.a0, p.t) AS t_abs FROM p ASOF LEFT JOIN runs r ON r.talk = p.talk AND p.t >= r.s0 LEFT JOIN first f ON f.talk = p.talk""")
+def speech_to_abs(spark, sf):
+    return timeline.to_absolute(_points(spark, sf), timeline.speech_runs(T.gated(spark, sf), 5), "t", "t_abs").select("talk", "seq", "t", "t_abs")
+
+
+@query(f"WITH {T.RUNS} SELECT talk, arg_max(a0 + dur, run) - CAST(sum(dur) AS BIGINT) AS dropped FROM runs GROUP BY talk")
+def silence_dropped(spark, sf):
+    return timeline.silence_dropped(timeline.speech_runs(T.gated(spark, sf), 5))
+
+
+@query(f"""WITH {T.FRAME}, f AS (SELECT talk, frame, level_db >= max(level_db) OVER (PARTITION BY talk) - 85 AS speech, max(frame) OVER (PARTITION BY talk) + 1 AS frames FROM frame WHERE ch = 0),
+s AS (SELECT *, CASE WHEN coalesce(frame - lag(frame) OVER (PARTITION BY talk ORDER BY frame) - 1 >= 18, true) THEN 1 ELSE 0 END AS n FROM f WHERE speech),
+g AS (SELECT *, sum(n) OVER (PARTITION BY talk ORDER BY frame) AS run FROM s),
+r AS (SELECT talk, run, min(frame) AS i, max(frame) AS j, any_value(frames) AS frames FROM g GROUP BY talk, run),
+e AS (SELECT talk, i * 32 AS a, 32 * CASE WHEN lead(run) OVER (PARTITION BY talk ORDER BY run) IS NULL AND frames - j - 1 < 18 THEN least(j + 2, frames) ELSE j + 1 END AS b FROM r),
+c AS (SELECT talk, a, b, unnest(range(CAST(greatest(ceil((b - a) / 3500), 1) AS BIGINT))) AS k FROM e),
+p AS (SELECT talk, a + k * 3500 AS t0, least(a + k * 3500 + 3500, b) AS t1 FROM c)
+SELECT talk, t0, t1 FROM p WHERE t1 - t0 = 3500 OR t1 - t0 > 150""")
+def pause_cut_segments(spark, sf):
+    rows = T.frames(spark, sf).where("ch = 0")
+    rows = rows.withColumn("speech", F.col("level_db") >= F.max("level_db").over(Window.partitionBy("talk")) - 85)
+    return timeline.pause_cut(rows.select("talk", "frame", "speech"), 32, KNOBS.frames(KNOBS.pause_split), 3500, 150)
+
+
+@query(f"""WITH {T.FRAME}, f AS (SELECT talk, ch, frame * 32 AS t, level_db FROM frame) SELECT talk, ch, t FROM f WHERE t < 4000 AND t + 32 > 1000""")
+def tape_slice(spark, sf):
+    rows = T.frames(spark, sf).selectExpr("talk", "ch", "frame * 32 as t", "cast(32 as bigint) as dur")
+    return timeline.within(rows, F.lit(1000), F.lit(4000)).select("talk", "ch", "t")
+
+
+@query(f"WITH {T.FRAME}, f AS (SELECT talk, ch, frame * 32 AS t FROM frame), m AS (SELECT *, max(t) OVER (PARTITION BY talk) AS n FROM f) SELECT talk, ch, t FROM m WHERE t > n - 3000")
+def tape_retained(spark, sf):
+    return timeline.retained(T.frames(spark, sf).selectExpr("talk", "ch", "frame * 32 as t"), 3000)
+
+
+# -- words, segments, texts -----------------------------------------------------------------------
+
+
+@query(f"WITH {T.WORD} SELECT talk, idx, coalesce(t0 - lag(t1) OVER (PARTITION BY talk ORDER BY idx), 0) AS pause FROM word")
+def word_pauses(spark, sf):
+    return words.pauses(T.words(spark, sf)).select("talk", "idx", "pause")
+
+
+@query(f"WITH {T.SEG} SELECT talk, arg_max(t1, sid) - arg_min(t0, sid) AS duration, CAST(sum(nw) AS BIGINT) AS words, count(*) AS segments FROM seg GROUP BY talk")
+def segment_stats(spark, sf):
+    return words.stats(T.segments(spark, sf))
+
+
+@query(f"""WITH {T.SEG}, s AS (SELECT talk, spk, count(*) AS n, min(sid) AS f FROM seg WHERE spk IS NOT NULL GROUP BY talk, spk)
+SELECT talk, spk, n, CAST(sum(n) OVER (PARTITION BY talk) AS BIGINT) AS total, row_number() OVER (PARTITION BY talk ORDER BY n DESC, f) AS place FROM s""")
+def speaker_share(spark, sf):
+    return words.speaker_share(T.segments(spark, sf))
+
+
+@query(f"WITH {T.WORD} SELECT talk, sid, CAST(sum(p) AS BIGINT) AS tenths, count(*) AS n FROM word GROUP BY talk, sid")
+def segment_confidence(spark, sf):
+    return T.words(spark, sf).groupBy("talk", "sid").agg(F.sum("p").alias("tenths"), F.count(F.lit(1)).alias("n"))
+
+
+_WORD = T.WORD.replace("word AS", "word AS MATERIALIZED", 1)
+
+
+@query(rf"""WITH RECURSIVE {_WORD}, w AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY talk ORDER BY idx) AS k,
+    regexp_matches(text, '[.!?…]+[»"'')\]]*$') AS stops, ends_with(text, ',') AS comma FROM word),
+s AS (
+    SELECT talk, k, 1 AS sid, idx AS first, 1 AS n, t0, t1, CASE WHEN t1 - t0 >= 3500 THEN 'span' END AS why FROM w WHERE k = 1
+    UNION ALL
+    SELECT talk, k, sid, first, n, t0, t1,
+           CASE WHEN stops AND n >= 3 THEN 'sentence' WHEN n >= 18 THEN 'words' WHEN t1 - t0 >= 3500 THEN 'span' WHEN comma AND n >= 12 THEN 'clause' END
+    FROM (
+        SELECT w.talk, w.k, CASE WHEN fresh THEN s.sid + 1 ELSE s.sid END AS sid, CASE WHEN fresh THEN w.idx ELSE s.first END AS first, CASE WHEN fresh THEN 1 ELSE s.n + 1 END AS n,
+               CASE WHEN fresh THEN w.t0 ELSE s.t0 END AS t0, w.t1, w.stops, w.comma
+        FROM (SELECT s.*, w.idx AS widx, s.why IS NOT NULL OR w.t0 - s.t1 >= 600 AS fresh FROM s JOIN w ON w.talk = s.talk AND w.k = s.k + 1) s JOIN w ON w.talk = s.talk AND w.k = s.k + 1
+    )
+), e AS (
+    SELECT *, row_number() OVER (PARTITION BY talk, sid ORDER BY k DESC) AS r, max(sid) OVER (PARTITION BY talk) AS top FROM s
+)
+SELECT talk, CAST(sid AS BIGINT) AS sid, first, CAST(n AS BIGINT) AS n, t0, t1, coalesce(why, CASE WHEN sid = top THEN 'open' ELSE 'pause' END) AS reason FROM e WHERE r = 1""")
+def segmenter_close(spark, sf):
+    return words.segments(T.words(spark, sf), unit=1000.0)
+
+
+def _hypotheses(spark, sf):
+    """Each poll hears three words more; every fourth poll spells its last word otherwise."""
+    own = T.words(spark, sf).groupBy("talk").agg(F.array_sort(F.collect_list(F.struct("idx", "text", "t0", "t1"))).alias("all"))
+    polls = own.withColumn("poll", F.explode(F.sequence(F.lit(1), F.least(F.lit(8), F.ceil(F.size("all") / 3)).cast("int"))))
+    heard = F.slice("all", 1, F.col("poll") * 3)
+    word = lambda w, i: F.struct(
+        F.when((F.col("poll") % 4 == 0) & (i == F.size(heard) - 1), F.concat(w["text"], F.lit("x"))).otherwise(F.upper(w["text"])).alias("text"), w["t0"].cast("double").alias("t0"), w["t1"].cast("double").alias("t1")
+    )
+    return polls.select("talk", F.col("poll").cast("long").alias("poll"), F.transform(heard, word).alias("words"))
+
+
+@query()
+def local_agreement(spark, sf):
+    return words.committed(_hypotheses(spark, sf), KNOBS.agreement_n)
+
+
+@query(r"""WITH x AS (SELECT turn, conv_id, list_filter(list_transform(regexp_split_to_array(text, '\s+'), lambda w: regexp_replace(lower(w), '[^\p{L}\p{N}_]', '', 'g')), lambda w: w <> '') AS ws FROM conversations)
+SELECT conv_id, turn, len(ws) AS n, array_to_string(ws, ' ') AS normed FROM x""")
+def norm_tokens(spark, sf):
+    ws = X.norm_tokens(F.col("text"))
+    return T.read(spark, sf, "conversations").select("conv_id", "turn", F.size(ws).cast("long").alias("n"), F.array_join(ws, " ").alias("normed"))
+
+
+@query(r"""SELECT conv_id, turn, regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '\s+([,.!?;:…])', '\1', 'g') AS tidy, regexp_matches(trim(text), '[.!?…]+[»"'')\]]*$') AS closed FROM conversations""")
+def join_words(spark, sf):
+    return T.read(spark, sf, "conversations").select("conv_id", "turn", X.tidy(F.col("text")).alias("tidy"), X.ends_sentence(F.trim("text")).alias("closed"))
+
+
+DEGENERATE = r"""toks AS (
+    SELECT *, list_filter(list_transform(regexp_split_to_array(text, '\s+'), lambda w: regexp_replace(lower(w), '[^\p{L}\p{N}_]', '', 'g')), lambda w: w <> '') AS ws FROM dec
+), deg AS (
+    SELECT * EXCLUDE (ws), len(ws) >= 6 AND (len(list_distinct(ws)) <= 2 OR len(list_filter(range(1, len(ws) - 6),
+        lambda i: ws[i:i+1] = ws[i+2:i+3] AND ws[i:i+1] = ws[i+4:i+5] AND ws[i:i+1] = ws[i+6:i+7])) > 0) AS degenerate FROM toks
+)"""
+
+
+@query(f"WITH {T.HYP}, {DEGENERATE} SELECT doc_id, degenerate FROM deg")
+def degenerate_docs(spark, sf):
+    return T.decoded(spark, sf).select("doc_id", X.is_degenerate(F.col("text")).alias("degenerate"))
+
+
+@query(f"""WITH {T.HYP}, {DEGENERATE} SELECT doc_id, CASE WHEN trim(text) = '' THEN 'empty' WHEN no_speech >= 0.65 THEN 'no_speech' WHEN compression >= 2.4 THEN 'compression' WHEN degenerate THEN 'degenerate'
+WHEN (no_speech >= 0.35 OR logprob <= -1) AND regexp_matches(text, '(?i)licensed\\s+under') THEN 'boilerplate' END AS reason FROM deg""".replace("\\\\", "\\"))
+def halluc_verdict(spark, sf):
+    reason = X.verdict(F.col("text"), F.col("no_speech"), F.col("logprob"), F.col("compression"), phrases=(r"licensed\s+under",))
+    return T.decoded(spark, sf).select("doc_id", reason.alias("reason"))
+
+
+@query(f"""WITH {T.HYP}, {DEGENERATE}, v AS (SELECT CASE WHEN trim(text) = '' THEN 'empty' WHEN no_speech >= 0.65 THEN 'no_speech' WHEN compression >= 2.4 THEN 'compression' WHEN degenerate THEN 'degenerate' END AS reason FROM deg)
+SELECT coalesce(reason, 'kept') AS reason, count(*) AS n FROM v GROUP BY ALL""")
+def halluc_counts(spark, sf):
+    reason = X.verdict(F.col("text"), F.col("no_speech"), F.lit(0.0), F.col("compression"), phrases=())
+    return T.decoded(spark, sf).select(F.coalesce(reason, F.lit("kept")).alias("reason")).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+TERMS = r"""occ AS (
+    SELECT talk, sid, unnest(ts) AS term, generate_subscripts(ts, 1) AS pos FROM (SELECT talk, sid, regexp_extract_all(lower(text), '[\p{L}\p{N}_][\p{L}\p{N}_-]{3,}[\p{L}\p{N}_]') AS ts FROM seg)
+), cnt AS (
+    SELECT talk, term, count(*) AS n, min(sid * 1000000 + pos) AS f FROM occ GROUP BY talk, term
+), r40 AS (
+    SELECT *, row_number() OVER (PARTITION BY talk ORDER BY n DESC, f) AS r FROM cnt
+), top AS (
+    SELECT talk, term, n, row_number() OVER (PARTITION BY talk ORDER BY r) AS place FROM r40 WHERE r <= 40 AND term NOT IN ('should', 'because', 'example')
+)"""
+
+
+@query(f"WITH {T.SEG}, {TERMS} SELECT talk, place, term, n FROM top WHERE place <= 10")
+def top_terms(spark, sf):
+    return words.top_terms(T.segments(spark, sf), ["talk"])
+
+
+_MAT = TERMS.replace("top AS (", "top AS MATERIALIZED (", 1)
+
+
+@query(rf"""WITH RECURSIVE {T.SEG}, {_MAT}, hit AS MATERIALIZED (
+    SELECT s.talk, t.place, t.term, s.sid FROM seg s JOIN top t ON t.talk = s.talk AND t.place <= 6 AND contains(lower(s.text), t.term) WHERE s.nw > 5
+), p AS (
+    SELECT DISTINCT talk, CAST(0 AS BIGINT) AS place, '' AS term, CAST(NULL AS BIGINT) AS sid, CAST([] AS BIGINT[]) AS seen FROM seg
+    UNION ALL
+    SELECT talk, place, term, sid, CASE WHEN sid IS NULL THEN seen ELSE list_append(seen, sid) END
+    FROM (SELECT p.talk, p.place + 1 AS place, any_value(h.term) AS term, min(h.sid) FILTER (WHERE NOT list_contains(p.seen, h.sid)) AS sid, p.seen FROM p LEFT JOIN hit h ON h.talk = p.talk AND h.place = p.place + 1 WHERE p.place < 6 GROUP BY p.talk, p.place, p.seen)
+)
+SELECT talk, place, term, sid FROM p WHERE sid IS NOT NULL""")
+def extractive_pick(spark, sf):
+    rows = T.segments(spark, sf)
+    return words.excerpts(rows, words.top_terms(rows, ["talk"]))
+
+
+@query(rf"""WITH RECURSIVE {T.SEG}, l AS MATERIALIZED (SELECT talk, sid, CAST(length('[' || spk || '] ' || text) AS BIGINT) AS n FROM seg), p AS (
+    SELECT talk, sid, CAST(0 AS BIGINT) AS chunk, n AS used FROM l WHERE sid = 1
+    UNION ALL
+    SELECT l.talk, l.sid, CASE WHEN p.used + l.n > 900 THEN p.chunk + 1 ELSE p.chunk END, CASE WHEN p.used + l.n > 900 THEN l.n ELSE p.used + l.n END FROM p JOIN l ON l.talk = p.talk AND l.sid = p.sid + 1
+) SELECT talk, sid, chunk FROM p""")
+def chunk_pack(spark, sf):
+    return words.packed(T.segments(spark, sf), 900)
+
+
+#: Terms with targets by language; an empty map keeps the term as it is.
+GLOSSARY = {"the": {"de": "DER"}, "this": {}, "there is": {"de": "es gibt"}, "is": {"de": "ist"}}
+
+
+@query(r"""WITH RECURSIVE g AS (
+    SELECT conv_id, turn, text AS rest, '' AS masked, '' AS restored, 0 AS i FROM conversations
+    UNION ALL
+    SELECT conv_id, turn, substr(rest, length(pre) + length(hit) + 1), masked || pre || '§' || i || '§',
+           restored || pre || CASE lower(hit) WHEN 'the' THEN 'DER' WHEN 'there is' THEN 'es gibt' WHEN 'is' THEN 'ist' ELSE hit END, i + 1
+    FROM (
+        SELECT *, regexp_extract(rest, '^(?is)((?:.*?[^\p{L}\p{N}_])??)(there\ is|this|the|is)(?:[^\p{L}\p{N}_]|$)', 1) AS pre,
+               regexp_extract(rest, '^(?is)((?:.*?[^\p{L}\p{N}_])??)(there\ is|this|the|is)(?:[^\p{L}\p{N}_]|$)', 2) AS hit FROM g
+    ) WHERE hit <> ''
+)
+SELECT conv_id, turn, arg_max(masked || rest, i) AS masked, arg_max(restored || rest, i) AS restored, CAST(max(i) AS BIGINT) AS n FROM g GROUP BY conv_id, turn""")
+def glossary_mask(spark, sf):
+    targets = F.create_map(*(F.lit(x) for term, to in GLOSSARY.items() if to.get("de") for x in (term, to["de"])))
+    rows = T.read(spark, sf, "conversations").withColumn("p", X.protect(F.col("text"), X.glossary_pattern([*GLOSSARY])))
+    return rows.select("conv_id", "turn", "p.masked", X.restore(F.col("p.masked"), F.col("p.found"), targets).alias("restored"), F.size("p.found").cast("long").alias("n"))
+
+
+@query(rf"""WITH {T.WORD}, s AS (SELECT talk, sid, regexp_replace(trim(regexp_replace(string_agg(text, ' ' ORDER BY idx), '\s+', ' ', 'g')), '\s+([,.!?;:…])', '\1', 'g') AS text, max(text) FILTER (WHERE p = 1) AS tail FROM word WHERE sid % 4 <> 0 GROUP BY talk, sid)
+SELECT talk, sid, text || coalesce(' ' || tail, '') AS text, length(text) AS stable_len, CASE WHEN talk % 2 = 0 THEN 'en' ELSE 'auto' END AS lang FROM s WHERE text <> ''""")
+def emit_segments(spark, sf):
+    own = T.words(spark, sf).where("sid % 4 != 0").groupBy("talk", "sid").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "text"))), lambda w: w["text"]), " ").alias("text"), F.max(F.when(F.col("p") == 1, F.col("text"))).alias("tail")
+    )
+    own = own.withColumn("lang", F.when(F.col("talk") % 2 == 0, "en")).withColumn("conf", F.lit(0.5))
+    return words.emitted(own).drop("conf")
+
+
+# -- voices ---------------------------------------------------------------------------------------
+
+
+@query(f"WITH {T.VEC} SELECT a.talk, a.id AS a, b.id AS b FROM vec a JOIN vec b ON b.talk = a.talk AND a.id < b.id WHERE list_inner_product(a.v, b.v) >= 0.3")
+def cosine_pairs(spark, sf):
+    return speakers.pair_cosines(T.vectors(spark, sf), ["talk"], LOOSE).select("talk", "a", "b")
+
+
+@query(f"""WITH {T.VEC}, c AS (SELECT id AS a, v FROM vec WHERE id < 40) SELECT x.a, y.a AS b FROM c x JOIN c y ON x.a < y.a WHERE list_inner_product(x.v, y.v) >= 0.25""")
+def separability(spark, sf):
+    enrolled = T.vectors(spark, sf).where("id < 40").withColumn("all", F.lit(0))
+    return speakers.pair_cosines(enrolled, ["all"], 0.25).select("a", "b")
+
+
+@query(f"""WITH {T.VEC}, p AS (SELECT a.label = b.label AS same, list_inner_product(a.v, b.v) AS c FROM vec a JOIN vec b ON b.talk = a.talk AND a.id < b.id)
+SELECT same, round(min(c), 6) AS least, round(max(c), 6) AS most, count(*) AS pairs FROM p GROUP BY same""")
+def similarity_range(spark, sf):
+    rows = T.vectors(spark, sf)
+    pairs = speakers.pair_cosines(rows, ["talk"])
+    label = rows.select("id", "label")
+    both = pairs.join(label.withColumnsRenamed({"id": "a", "label": "la"}), "a").join(label.withColumnsRenamed({"id": "b", "label": "lb"}), "b")
+    found = speakers.similarity_range(both, F.col("la") == F.col("lb"))
+    return found.select("same", F.round("least", 6).alias("least"), F.round("most", 6).alias("most"), "pairs")
+
+
+def _centres(spark, sf):
+    """The vectors below 80 are the centroids of their talk, in order of id."""
+    rows = T.vectors(spark, sf).where("id < 80")
+    return rows.select("talk", F.concat(F.lit("c"), F.col("id").cast("string")).alias("spk"), F.col("id").alias("place"), F.col("v").alias("c"))
+
+
+TOP2 = """top2 AS (
+    SELECT talk, id, max(spk) FILTER (WHERE k = 1) AS best, max(sim) AS best_sim, coalesce(max(sim) FILTER (WHERE k = 2), -1) AS second_sim FROM (
+        SELECT x.talk, x.id, 'c' || c.id AS spk, list_inner_product(x.v, c.v) AS sim, row_number() OVER (PARTITION BY x.talk, x.id ORDER BY list_inner_product(x.v, c.v) DESC, c.id) AS k
+        FROM vec x JOIN vec c ON c.talk = x.talk AND c.id < 80 WHERE x.id >= 80
+    ) WHERE k <= 2 GROUP BY talk, id
+)"""
+
+
+@query(f"WITH {T.VEC}, {TOP2} SELECT talk, id, best, round(best_sim, 6) AS best_sim, round(second_sim, 6) AS second_sim FROM top2")
+def top2_centroid(spark, sf):
+    found = speakers.two_best(T.vectors(spark, sf).where("id >= 80"), _centres(spark, sf))
+    return found.select("talk", "id", "best", F.round("best_sim", 6).alias("best_sim"), F.round("second_sim", 6).alias("second_sim"))
+
+
+@query(f"""WITH {T.VEC}, {TOP2} SELECT id, round(1 / (1 + exp(-((best_sim - 0.68) + (best_sim - second_sim - 0.08)) / 0.06)), 9) AS conf, round(least(0.6, 1 / (1 + exp(-(0.68 - best_sim - 0.08) / 0.06))), 6) AS fresh,
+1 / (1 + exp(-((best_sim - 0.68) + (best_sim - second_sim - 0.08)) / 0.06)) < 0.45 AS vetoed FROM top2""")
+def confidence(spark, sf):
+    found = speakers.two_best(T.vectors(spark, sf).where("id >= 80"), _centres(spark, sf))
+    conf = V.confidence(F.col("best_sim"), F.col("second_sim"))
+    return found.select("id", F.round(conf, 9).alias("conf"), F.round(V.new_confidence(F.col("best_sim")), 6).alias("fresh"), (conf < KNOBS.min_conf).alias("vetoed"))
+
+
+@query(f"""WITH {T.VEC}, c AS (SELECT talk, label, i, sum(v[i] * (id % 7 + 1)) AS x FROM (SELECT *, unnest(range(1, 65)) AS i FROM vec) GROUP BY talk, label, i),
+n AS (SELECT talk, label, sqrt(sum(x * x)) AS n FROM c GROUP BY talk, label)
+SELECT talk, label, i, round(x / n, 6) AS x FROM c JOIN n USING (talk, label)""")
+def weighted_centroid(spark, sf):
+    found = speakers.centroids(T.vectors(spark, sf), ["talk", "label"], DIM, (F.col("id") % 7 + 1).cast("double"))
+    return found.select("talk", "label", F.posexplode("c").alias("i", "x")).select("talk", "label", (F.col("i") + 1).cast("long").alias("i"), F.round("x", 6).alias("x"))
+
+
+@query(f"""WITH {T.VEC}, w AS (SELECT talk, id // 60 AS sid, id // 10 % 6 AS pos, CASE WHEN id // 10 % 6 < talk % 5 + 1 THEN 0 ELSE 1 END AS label, CAST((id // 10 % 6) * 750 + 1500 AS DOUBLE) AS t1, v FROM vec),
+m AS (SELECT talk, sid, label, i, avg(v[i]) AS x FROM (SELECT *, unnest(range(1, 65)) AS i FROM w) GROUP BY ALL),
+d AS (SELECT a.talk, a.sid, sum(a.x * b.x) / sqrt(sum(a.x * a.x) * sum(b.x * b.x)) AS c FROM m a JOIN m b ON b.talk = a.talk AND b.sid = a.sid AND b.i = a.i AND b.label = 1 WHERE a.label = 0 GROUP BY a.talk, a.sid)
+SELECT w.talk, w.sid, (max(t1) FILTER (WHERE label = 0) + min(t1) FILTER (WHERE label = 1)) / 2 AS at FROM w JOIN d ON d.talk = w.talk AND d.sid = w.sid WHERE d.c < 0.68 GROUP BY w.talk, w.sid""")
+def change_points(spark, sf):
+    rows = T.vectors(spark, sf).selectExpr(
+        "talk", "id div 60 as sid", "id div 10 % 6 as pos", "case when id div 10 % 6 < talk % 5 + 1 then 0 else 1 end as label", "cast(id div 10 % 6 * 750 + 1500 as double) as t1", "v"
+    )
+    return speakers.change_points(rows, DIM)
+
+
+@query(f"WITH {T.SEG}, s AS (SELECT talk, sid, (t1 - t0) * 16 AS n FROM seg) SELECT talk, sid, unnest(CASE WHEN n >= 24000 THEN range(0, n - 24000 + 1, 12000) ELSE [0] END) AS start, n FROM s")
+def sliding_windows(spark, sf):
+    rows = T.segments(spark, sf).selectExpr("talk", "sid", "(t1 - t0) * 16 as n")
+    size, hop = int(KNOBS.window * KNOBS.sample_rate), int(KNOBS.hop * KNOBS.sample_rate)
+    return speakers.windows(rows, size, hop).select("talk", "sid", "start", "n")
+
+
+@query(f"""WITH {T.FRAME}, c AS (SELECT *, frame // 46 AS chunk FROM frame), m AS (SELECT *, max(level_db) OVER (PARTITION BY talk, ch, chunk) AS top FROM c)
+SELECT talk, ch, chunk, count(*) AS n FROM m WHERE level_db >= top - 60 AND level_db >= -70 GROUP BY talk, ch, chunk HAVING count(*) >= 5""")
+def voiced_chunks(spark, sf):
+    keys = ["talk", "ch", "chunk"]
+    rows = T.frames(spark, sf).withColumn("chunk", F.expr("frame div 46"))
+    return speakers.enough_voiced(speakers.voiced(rows, keys, 60.0, -70.0), keys, 5)
+
+
+_LOOSE = Knobs(assign=LOOSE, merge=0.35, refine=1 - LOOSE)
+
+
+@query()
+def online_clusters(spark, sf):
+    rows = T.vectors(spark, sf).select("talk", F.col("id").alias("sid"), "v")
+    return speakers.online_labels(rows, _LOOSE)
+
+
+@query()
+def refined_labels(spark, sf):
+    rows = T.vectors(spark, sf).select("talk", F.col("id").alias("sid"), "v", (F.col("id") % 5 + 1).cast("double").alias("weight"))
+    return speakers.refined_labels(rows, _LOOSE)
+
+
+@query()
+def label_fixes(spark, sf):
+    rows = T.vectors(spark, sf).select("talk", F.col("id").alias("sid"), "v", F.lit(1.0).alias("weight"))
+    return speakers.differing(speakers.online_labels(rows.drop("weight"), _LOOSE), speakers.refined_labels(rows, _LOOSE))
+
+
+@query(f"""WITH {T.MSG}, s AS (SELECT talk, sid, seq, spk FROM msg WHERE t = 'spk') SELECT talk, sid, seq, CASE spk WHEN 's3' THEN 's1' WHEN 's4' THEN 's1' ELSE spk END AS spk FROM s""")
+def merged_history(spark, sf):
+    rows = T.messages(spark, sf).where("t = 'spk'").select("talk", "sid", "seq", "spk")
+    aliases = rows.select("talk").distinct().withColumn("old", F.explode(F.array(F.lit("s3"), F.lit("s4")))).withColumn("new", F.lit("s1"))
+    return speakers.realias(rows, aliases).select("talk", "sid", "seq", "spk")
+
+
+# -- scoring --------------------------------------------------------------------------------------
+
+
+def _grid(spark, sf):
+    return scoring.grid(*T.spans(spark, sf), 10, int(KNOBS.collar * 100))
+
+
+@query(f"WITH {T.GRID} SELECT scenario, count(*) AS cells, count(ref) AS ref_cells, count(hyp) AS hyp_cells, CAST(sum(cell) AS BIGINT) AS checksum FROM grid GROUP BY scenario")
+def der_grid(spark, sf):
+    return _grid(spark, sf).groupBy("scenario").agg(
+        F.count(F.lit(1)).alias("cells"), F.count("ref").alias("ref_cells"), F.count("hyp").alias("hyp_cells"), F.sum("cell").alias("checksum")
+    )
+
+
+@query(f"WITH {T.GRID} SELECT scenario, hyp, ref, count(*) AS n FROM grid WHERE ref IS NOT NULL AND hyp IS NOT NULL GROUP BY scenario, hyp, ref")
+def der_overlaps(spark, sf):
+    return scoring.overlaps(_grid(spark, sf))
+
+
+#: Every one-to-one mapping of up to three hypothesis labels, by its overlap.
+BEST = """ov AS (
+    SELECT scenario, hyp, ref, count(*) AS n FROM grid WHERE ref IS NOT NULL AND hyp IS NOT NULL GROUP BY scenario, hyp, ref
+), o AS (
+    SELECT scenario, hyp, ref, n FROM ov UNION ALL SELECT DISTINCT scenario, hyp, CAST(NULL AS VARCHAR), 0 FROM (SELECT scenario, unnest(['h0', 'h1', 'h2']) AS hyp FROM (SELECT DISTINCT scenario FROM grid))
+), best AS (
+    SELECT a.scenario, max(a.n + b.n + c.n) AS mapped FROM o a JOIN o b ON b.scenario = a.scenario AND b.hyp = 'h1' AND (a.ref IS NULL OR b.ref IS NULL OR a.ref <> b.ref)
+    JOIN o c ON c.scenario = a.scenario AND c.hyp = 'h2' AND (a.ref IS NULL OR c.ref IS NULL OR a.ref <> c.ref) AND (b.ref IS NULL OR c.ref IS NULL OR b.ref <> c.ref) WHERE a.hyp = 'h0' GROUP BY a.scenario
+)"""
+
+
+@query(f"WITH {T.GRID}, {BEST} SELECT scenario, CAST(mapped AS BIGINT) AS mapped FROM best WHERE mapped > 0")
+def der_optimal_map(spark, sf):
+    overlap = scoring.overlaps(_grid(spark, sf))
+    chosen = overlap.join(scoring.mapping(overlap), ["scenario", "hyp"]).where("ref = mapped")
+    return chosen.groupBy("scenario").agg(F.sum("n").alias("mapped"))
+
+
+DER = """der AS (
+    SELECT scenario, count(ref) AS total, count(*) FILTER (WHERE ref IS NOT NULL AND hyp IS NULL) AS miss, count(*) FILTER (WHERE ref IS NULL AND hyp IS NOT NULL) AS false_alarm,
+           count(*) FILTER (WHERE ref IS NOT NULL AND hyp IS NOT NULL) - CAST(any_value(mapped) AS BIGINT) AS confusion FROM grid JOIN best USING (scenario) GROUP BY scenario
+), scored AS (
+    SELECT scenario, total, CASE WHEN total > 0 THEN miss ELSE 0 END AS miss, CASE WHEN total > 0 THEN false_alarm ELSE 0 END AS false_alarm, CASE WHEN total > 0 THEN confusion ELSE 0 END AS confusion,
+           CASE WHEN total > 0 THEN (miss + false_alarm + confusion) / total ELSE 0 END AS der FROM der
+)"""
+
+
+def _scores(spark, sf):
+    counted = _grid(spark, sf)
+    return scoring.components(counted, scoring.mapping(scoring.overlaps(counted)))
+
+
+@query(f"WITH {T.GRID}, {BEST}, {DER} SELECT scenario, total, miss, false_alarm, confusion, confusion AS wrong_name, round(der, 9) AS der FROM scored")
+def der_components(spark, sf):
+    return _scores(spark, sf).withColumn("der", F.round("der", 9))
+
+
+@query(f"WITH {T.GRID} SELECT scenario, count(DISTINCT ref) AS ref_speakers, count(DISTINCT hyp) AS hyp_speakers FROM grid GROUP BY scenario")
+def der_speakers(spark, sf):
+    return scoring.label_counts(_grid(spark, sf))
+
+
+@query(f"""WITH {T.GRID}, {BEST}, {DER} SELECT scenario, 'online' AS kind, CASE WHEN scenario % 3 = 0 THEN 'new' WHEN der > (scenario % 5) * 0.05 + 0.02 THEN 'worse' ELSE 'ok' END AS state FROM scored""")
+def baseline_regressions(spark, sf):
+    now = _scores(spark, sf).select("scenario", F.lit("online").alias("kind"), "der")
+    base = now.where("scenario % 3 != 0").select("scenario", "kind", ((F.col("scenario") % 5) * 0.05).alias("der"))
+    return scoring.regressions(now, base, KNOBS.tolerance).select("scenario", "kind", "state")
