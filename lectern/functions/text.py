@@ -41,13 +41,14 @@ def ends_sentence(text: Column) -> Column:
 
 def is_degenerate(text: Column) -> Column:
     """Six tokens or more, of two kinds at most or with a pair four times in a row."""
-    t = norm_tokens(text)
-    pair = lambda i: F.slice(t, i, 2)
-    four = F.exists(
-        F.sequence(F.lit(1), F.greatest(F.size(t) - 7, F.lit(1))),
-        lambda i: (F.size(t) >= i + 7) & (pair(i) == pair(i + 2)) & (pair(i) == pair(i + 4)) & (pair(i) == pair(i + 6)),
-    )
-    return (F.size(t) >= 6) & ((F.size(F.array_distinct(t)) <= 2) | four)
+
+    def repeats(t):
+        pair = lambda i: F.slice(t, i, 2)
+        starts = F.sequence(F.lit(1), F.greatest(F.size(t) - 7, F.lit(1)))
+        four = F.exists(starts, lambda i: (F.size(t) >= i + 7) & (pair(i) == pair(i + 2)) & (pair(i) == pair(i + 4)) & (pair(i) == pair(i + 6)))
+        return (F.size(t) >= 6) & ((F.size(F.array_distinct(t)) <= 2) | four)
+
+    return F.exists(F.array(norm_tokens(text)), repeats)  # bound in a lambda, the tokens are made once
 
 
 def verdict(text: Column, no_speech: Column, logprob: Column, compression: Column, knobs: Knobs = Knobs(), phrases=BOILERPLATE) -> Column:

@@ -24,8 +24,8 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         "event_type || props as text",
         "event_id % 3 <> 0 as final",
         "event_id % 2 = 0 as stable",
-        "element_at(array('en', 'ru', 'de', 'fr'), cast(user_id % 4 as int) + 1) as lang",
-        "'s' || cast(user_id % 5 as string) as spk",
+        "element_at(array('en', 'ru', 'de', 'fr'), cast(event_id % 4 as int) + 1) as lang",
+        "'s' || cast(event_id div 4 % 5 as string) as spk",
         "cast(floor(value) as bigint) as value",
     )
 
@@ -34,7 +34,7 @@ MSG = """msg AS (
     SELECT user_id % 20 AS talk, event_id AS seq, event_id % 37 AS sid, CAST(floor(value) AS BIGINT) % 6 + 1 AS rev,
            CASE event_type WHEN 'view' THEN 'seg' WHEN 'click' THEN 'seg' WHEN 'purchase' THEN 'spk' WHEN 'signup' THEN 'tr' ELSE 'health' END AS t,
            event_type || props AS text, event_id % 3 <> 0 AS final, event_id % 2 = 0 AS stable,
-           list_extract(['en', 'ru', 'de', 'fr'], user_id % 4 + 1) AS lang, 's' || (user_id % 5) AS spk, CAST(floor(value) AS BIGINT) AS value
+           list_extract(['en', 'ru', 'de', 'fr'], event_id % 4 + 1) AS lang, 's' || (event_id // 4 % 5) AS spk, CAST(floor(value) AS BIGINT) AS value
     FROM events
 )"""
 
