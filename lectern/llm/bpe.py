@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 _M64 = (1 << 64) - 1
 
 #: Pre-tokens kept in the memo of a worker before it is emptied.
-MEMO_LIMIT = 1 << 18
+MEMO_LIMIT = 1 << 19
 #: Rows of one output batch; bounds the memory of a worker.
 OUT_ROWS = 256
 
@@ -85,6 +85,7 @@ class Codec:
         self.may_be_disputed = re.compile(f"[{chr(min(self.shadow, default=0x10FFFF))}-\U0010ffff]").search
         self.disputed = {*map(chr, self.shadow)}
         self.ranks = ranks
+        self.pairs = {(b[0], b[1]): i for b, i in ranks.items() if len(b) == 2}
         self.token = {i: b for b, i in ranks.items()}
         keys = list(ranks)
         self.hash = PerfectHash(keys)
@@ -110,14 +111,20 @@ class Codec:
         return self._merge(piece)
 
     def _merge(self, piece: bytes) -> list[int]:
-        """The lowest rank first, the leftmost of equals; spans are linked by their ends."""
+        """The lowest rank first, the leftmost of equals; spans are linked by their ends.
+
+        A heap entry is one integer: rank, start and end of the joined span.
+        """
         n, rank = len(piece), self.ranks.get
+        shift = n.bit_length()
+        low = (1 << shift) - 1
         end = list(range(1, n + 1))  # of the span that begins here; 0 where none does
         before = list(range(-1, n))  # start of the span that ends here
-        heap = [(r, i, i + 2) for i in range(n - 1) if (r := rank(piece[i : i + 2])) is not None]
+        heap = [(((r << shift) | i) << shift) | (i + 2) for i, r in enumerate(map(self.pairs.get, zip(piece, piece[1:]))) if r is not None]  # noqa: B905
         heapq.heapify(heap)
         while heap:
-            _, i, e = heapq.heappop(heap)
+            entry = heapq.heappop(heap)
+            e, i = entry & low, entry >> shift & low
             mid = end[i]
             if not mid or mid >= n or end[mid] != e:
                 continue  # one of the two has been merged meanwhile
@@ -125,9 +132,9 @@ class Codec:
             if e < n:
                 before[e] = i
                 if (r := rank(piece[i : end[e]])) is not None:
-                    heapq.heappush(heap, (r, i, end[e]))
-            if i and (r := rank(piece[before[i] : e])) is not None:
-                heapq.heappush(heap, (r, before[i], e))
+                    heapq.heappush(heap, (((r << shift) | i) << shift) | end[e])
+            if i and (r := rank(piece[(at := before[i]) : e])) is not None:
+                heapq.heappush(heap, (((r << shift) | at) << shift) | e)
         out, i = [], 0
         while i < n:
             out.append(self.ranks[piece[i : end[i]]])
