@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import cut
+from lectern.llm.common import cut, rejoin
 from lectern.llm.graph import components
 
 SEED = 42
@@ -240,3 +240,100 @@ def near_duplicates(docs: DataFrame, words: int, budget: int, key: str = "doc_id
     least = nodes.groupBy("root").agg(F.min("low").alias("component_id"))
     of_fp = nodes.join(least, "root").select("fp", "component_id")
     return fps.join(of_fp, "fp").select(key, "fp", "component_id")
+
+
+# -- by similarity --------------------------------------------------------------------------------
+
+#: Sampled fingerprints of a document, and shingles in each sample.
+SAMPLES, SAMPLE_SIZE = 14, 3
+_SALTS = np.array([xxhash.xxh64_intdigest(b"sample", i) | 1 for i in range(SAMPLES)], np.uint64)
+
+
+def shingle_set(text: str | None, words: int) -> np.ndarray:
+    """Distinct shingle hashes in order; a text of fewer words has one shingle, one without words none."""
+    own = (text or "").encode().lower().split()
+    if not own:
+        return np.zeros(0, np.uint64)
+    shingles = [b" ".join(own)] if len(own) < words else map(b" ".join, zip(*(own[i:] for i in range(words)), strict=False))
+    return np.unique(np.array([xxhash.xxh64_intdigest(s, SEED) for s in {*shingles}], np.uint64))
+
+
+def sampled(h: np.ndarray) -> list[int]:
+    """A fingerprint of the few shingles that come first under each salt: bits set in more than half of them.
+
+    Two sets agree in a sample with the chance of their similarity to the power of its size.
+    """
+    if not len(h):
+        return [0] * SAMPLES
+    out = []
+    for salt in _SALTS:
+        mixed = h * salt
+        mixed ^= mixed >> np.uint64(29)
+        first = np.partition(mixed, SAMPLE_SIZE - 1)[:SAMPLE_SIZE] if len(h) > SAMPLE_SIZE else mixed
+        ones = np.unpackbits(first.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        out.append(int(np.packbits(2 * ones > len(first), bitorder="little").view("<i8")[0]))
+    return out
+
+
+def similarity(a: str | None, b: str | None, words: int) -> float:
+    """Jaccard similarity of the shingle sets; 1 for two empty ones."""
+    x, y = shingle_set(a, words), shingle_set(b, words)
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both) if len(x) or len(y) else 1.0
+
+
+def _signed(docs: DataFrame, words: int) -> DataFrame:
+    """(key, whole, fp, bands): a hash of the shingle set, the fingerprint, the sampled fingerprints."""
+
+    def run(batches):
+        for batch in batches:
+            whole, full, bands = [], [], []
+            for t in batch.column(1):
+                h = shingle_set(t.as_py(), words)
+                whole.append(int.from_bytes(xxhash.xxh64_digest(h.tobytes()), "big", signed=True))
+                full.append(fingerprint(t.as_py(), words))
+                bands.append(sampled(h))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(whole, pa.int64()), pa.array(full, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["key", "whole", "fp", "bands"])
+
+    return docs.mapInArrow(run, f"key {docs.schema['key'].dataType.simpleString()}, whole long, fp long, bands array<long>")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
+    """Those pairs (a, b) of keys whose texts are similar enough, exactly."""
+    needed = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
+    own = cut(texts.join(needed, "key", "left_semi").dropDuplicates(["key"]))
+    rows = pairs.join(own.select(F.col("key").alias("a"), F.col("text").alias("ta")), "a").join(own.select(F.col("key").alias("b"), F.col("text").alias("tb")), "b")
+
+    def run(batches):
+        for batch in batches:
+            keep = [similarity(x.as_py(), y.as_py(), words) >= least for x, y in zip(batch.column(2), batch.column(3), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], names=["a", "b"])
+
+    kind = pairs.schema["a"].dataType.simpleString()
+    return rows.select("a", "b", "ta", "tb").mapInArrow(run, f"a {kind}, b {kind}")
+
+
+def similar_documents(docs: DataFrame, words: int = 5, least: float = 0.8, budget: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per row with a key: key and the smallest key (component_id) it is linked to by similarities of `least` and more.
+
+    Fingerprints that differ in few bits are found by the trie, but texts of
+    this similarity mostly differ in more. So documents also have sampled
+    fingerprints, of which similar texts share some; each is compared with the
+    first document of its groups, and all links are checked on the whole texts.
+    Equal shingle sets count as one document throughout.
+    """
+    named = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"))
+    signed = cut(_signed(named, words))
+    sets = cut(signed.groupBy("whole").agg(F.min("key").alias("low"), F.first("fp").alias("fp"), F.first("bands").alias("bands")))
+    prints = sets.groupBy("fp").agg(F.min("low").alias("low"))
+    near = links(prints.select("fp"), budget)
+    by_fp = prints.withColumnRenamed("low", "__low")
+    trie = near.join(by_fp.withColumnsRenamed({"fp": "a", "__low": "x"}), "a").join(by_fp.withColumnsRenamed({"fp": "b", "__low": "y"}), "b").select("x", "y")
+    same_print = rejoin(sets.select("fp", "low"), prints.withColumnRenamed("low", "y"), ["fp"]).select(F.col("low").alias("x"), "y")
+    members = sets.select("low", F.posexplode("bands").alias("k", "band"))
+    heads = members.groupBy("k", "band").agg(F.min("low").alias("y"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    drawn = rejoin(members, heads, ["k", "band"]).select(F.col("low").alias("x"), "y")
+    pairs = cut(trie.union(same_print).union(drawn).where("x != y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct())
+    roots = components(_verified(pairs, named, words, least)).withColumnRenamed("node", "low")
+    of_set = sets.select("whole", "low").join(roots, "low", "left").select("whole", F.coalesce("root", "low").alias("component_id"))
+    return rejoin(signed.select("key", "whole"), of_set, ["whole"]).select(F.col("key").alias(key), "component_id")
