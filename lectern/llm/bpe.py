@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 _M64 = (1 << 64) - 1
 
-#: Pre-tokens kept in the memo of a worker before it is emptied.
+#: Pre-tokens in a generation of a worker's memo; there are two.
 MEMO_LIMIT = 1 << 19
 #: Rows of one output batch; bounds the memory of a worker.
 OUT_ROWS = 256
@@ -165,14 +165,20 @@ def _disputed(ranks: dict[bytes, int]) -> dict[int, str]:
 
 
 class _Memo(dict):
+    """Ids of pre-tokens met lately: two generations, the older of which goes when the younger is full."""
+
     def __init__(self, encode):
-        self.encode = encode
+        self.encode, self.older = encode, {}
 
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= MEMO_LIMIT:
+            self.older = dict(self)
             self.clear()
-        ids = self.encode(piece.encode())
-        self[piece] = out = struct.pack(f"<{len(ids)}I", *ids)
+        out = self.older.get(piece)
+        if out is None:
+            ids = self.encode(piece.encode())
+            out = struct.pack(f"<{len(ids)}I", *ids)
+        self[piece] = out
         return out
 
 
