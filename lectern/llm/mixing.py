@@ -11,7 +11,8 @@ takes as many copies as its rate asks for and the error so far; within a class
 the documents with another copy are those first by a hash of their keys. Hot
 sources are split by class and by hash, and counted before they are shuffled.
 
-Defined results: a null text has size 0, and documents of size 0 take 0; a null
+Defined results: a null text has size 0, and documents of size 0 take 0
+and aren't repeated; a null
 source is a source, the last in order; repeated rows count and are taken row by
 row; null keys are hashed like any other; without any words all targets are 0;
 an empty table gives an empty table; other columns stay, whatever their names.
@@ -131,7 +132,7 @@ def assign(rows: DataFrame, key: str, source: str, size: str) -> DataFrame:
             F.col("__source_size").alias("source_size"),
             F.col("__target").alias("target"),
             F.col("__rate").alias("rate"),
-            (F.floor("__rate") + F.when(F.col("__place") <= F.col("__extra"), 1).otherwise(0)).cast("long").alias("copies"),
+            F.when(F.col(size) > 0, F.floor("__rate") + F.when(F.col("__place") <= F.col("__extra"), 1).otherwise(0)).otherwise(0).cast("long").alias("copies"),
         )
     )
 
