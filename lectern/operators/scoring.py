@@ -7,30 +7,61 @@ from itertools import permutations
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
-def cells(spans: DataFrame, step: int, keys: tuple[str, ...] = ("scenario",)) -> DataFrame:
-    """(keys, cell, spk) of spans (ord, spk, t0, t1): a cell has the label of the last span over it; no one's spans don't count."""
-    first, end = F.floor(F.col("t0") / step), F.floor(F.col("t1") / step)
-    rows = spans.where(F.col("spk").isNotNull() & (end > first)).withColumn("cell", F.explode(F.sequence(first, end - 1)))
-    return rows.groupBy(*keys, "cell").agg(F.max_by("spk", "ord").alias("spk"))
+#: Cells of a bin; spans and pieces meet within bins, so no span is compared with a whole talk.
+BIN = 3000
 
 
-def near_boundaries(reference: DataFrame, step: int, collar: int) -> DataFrame:
-    """Cells within `collar` cells of a boundary of the reference."""
-    edge = reference.select("scenario", F.explode(F.array("t0", "t1")).alias("t")).select("scenario", F.floor(F.col("t") / step).alias("i"))
-    return edge.withColumn("cell", F.explode(F.sequence(F.col("i") - collar, F.col("i") + collar))).select("scenario", "cell").distinct()
+def _binned(spans: DataFrame) -> DataFrame:
+    """Spans [a, b) of cells, once for each bin they touch."""
+    bins = F.sequence(F.floor(F.col("a") / BIN), F.floor((F.col("b") - 1) / BIN))
+    return spans.where("b > a").withColumn("bin", F.explode(bins))
+
+
+def pieces(spans: list[DataFrame]) -> DataFrame:
+    """(scenario, cell, end, bin): cells between neighbouring edges of any span; nothing changes within a piece."""
+    edges = None
+    for part in spans:
+        own = part.where("b > a").select("scenario", F.explode(F.array("a", "b")).alias("cell"))
+        edges = own if edges is None else edges.union(own)
+    ends = edges.groupBy("scenario").agg(F.floor(F.min("cell") / BIN).alias("lo"), F.floor(F.max("cell") / BIN).alias("hi"))
+    borders = ends.select("scenario", F.explode(F.transform(F.sequence("lo", "hi"), lambda i: i * BIN)).alias("cell"))
+    cuts = edges.union(borders).distinct()
+    end = F.lead("cell").over(Window.partitionBy("scenario").orderBy("cell"))
+    return cuts.withColumn("end", end).where("end is not null").withColumn("bin", F.floor(F.col("cell") / BIN))
+
+
+def _covering(parts: DataFrame, spans: DataFrame) -> DataFrame:
+    return parts.join(_binned(spans), ["scenario", "bin"]).where("a <= cell and end <= b")
+
+
+def _label(parts: DataFrame, spans: DataFrame, name: str) -> DataFrame:
+    """The label of the last span over a piece."""
+    return _covering(parts, spans).groupBy("scenario", "cell").agg(F.max_by("spk", "ord").alias(name))
 
 
 def grid(reference: DataFrame, hypothesis: DataFrame, step: int, collar: int) -> DataFrame:
-    """(scenario, cell, ref, hyp) of the cells that count and have either label."""
-    ref, hyp = cells(reference, step).withColumnRenamed("spk", "ref"), cells(hypothesis, step).withColumnRenamed("spk", "hyp")
-    both = ref.join(hyp, ["scenario", "cell"], "full")
-    return both.join(near_boundaries(reference, step, collar), ["scenario", "cell"], "left_anti")
+    """(scenario, cell, n, ref, hyp): runs of n cells from `cell` on that count and have either label.
+
+    spans: (scenario, ord, spk, t0, t1) in the unit of step; no one's spans
+    don't count. Cells within `collar` cells of a boundary of the reference
+    aren't scored. Rows grow with the spans, not with the time they take.
+    """
+    cell = lambda t: F.floor(F.col(t) / step)
+    in_cells = lambda spans: spans.where("spk is not null").select("scenario", "ord", "spk", cell("t0").alias("a"), cell("t1").alias("b"))
+    ref, hyp = in_cells(reference), in_cells(hypothesis)
+    edge = reference.select("scenario", F.explode(F.array(cell("t0"), cell("t1"))).alias("i"))
+    unscored = edge.select("scenario", (F.col("i") - collar).alias("a"), (F.col("i") + collar + 1).alias("b"))
+    parts = pieces([ref, hyp, unscored])
+    out = parts.join(_label(parts, ref, "ref"), ["scenario", "cell"], "left").join(_label(parts, hyp, "hyp"), ["scenario", "cell"], "left")
+    out = out.join(_covering(parts, unscored).select("scenario", "cell").distinct(), ["scenario", "cell"], "left_anti")
+    return out.where("ref is not null or hyp is not null").select("scenario", "cell", (F.col("end") - F.col("cell")).alias("n"), "ref", "hyp")
 
 
 def overlaps(counted: DataFrame) -> DataFrame:
-    return counted.where("ref is not null and hyp is not null").groupBy("scenario", "hyp", "ref").agg(F.count(F.lit(1)).alias("n"))
+    return counted.where("ref is not null and hyp is not null").groupBy("scenario", "hyp", "ref").agg(F.sum("n").alias("n"))
 
 
 def best_mapping(overlap: dict[tuple[str, str], int]) -> dict[str, str]:
@@ -94,9 +125,8 @@ def components(counted: DataFrame, mapped: DataFrame, confident: list[str] | Non
     ref, hyp = F.col("ref").isNotNull(), F.col("hyp").isNotNull()
     wrong = ref & hyp & ~F.col("mapped").eqNullSafe(F.col("ref"))
     named = F.lit(True) if confident is None else F.col("hyp").isin(*confident)
-    counts = rows.groupBy("scenario").agg(
-        F.count_if(ref).alias("total"), F.count_if(ref & ~hyp).alias("miss"), F.count_if(~ref & hyp).alias("false_alarm"), F.count_if(wrong).alias("confusion"), F.count_if(wrong & named).alias("wrong_name")
-    )
+    kinds = {"total": ref, "miss": ref & ~hyp, "false_alarm": ~ref & hyp, "confusion": wrong, "wrong_name": wrong & named}
+    counts = rows.groupBy("scenario").agg(*(F.sum(F.when(is_kind, F.col("n")).otherwise(0)).alias(kind) for kind, is_kind in kinds.items()))
     heard = F.col("total") > 0
     kept = [F.when(heard, F.col(c)).otherwise(0).alias(c) for c in ("miss", "false_alarm", "confusion", "wrong_name")]
     rate = F.when(heard, (F.col("miss") + F.col("false_alarm") + F.col("confusion")) / F.col("total")).otherwise(0.0)

@@ -633,9 +633,9 @@ def _grid(spark, sf):
 
 @query(f"WITH {T.GRID} SELECT scenario, count(*) AS cells, count(ref) AS ref_cells, count(hyp) AS hyp_cells, CAST(sum(cell) AS BIGINT) AS checksum FROM grid GROUP BY scenario")
 def der_grid(spark, sf):
-    return _grid(spark, sf).groupBy("scenario").agg(
-        F.count(F.lit(1)).alias("cells"), F.count("ref").alias("ref_cells"), F.count("hyp").alias("hyp_cells"), F.sum("cell").alias("checksum")
-    )
+    n, total = F.col("n"), lambda c: F.sum(F.when(F.col(c).isNotNull(), F.col("n")).otherwise(0))
+    checksum = F.sum(F.expr("n * (2 * cell + n - 1) div 2"))
+    return _grid(spark, sf).groupBy("scenario").agg(F.sum(n).alias("cells"), total("ref").alias("ref_cells"), total("hyp").alias("hyp_cells"), checksum.alias("checksum"))
 
 
 @query(f"WITH {T.GRID} SELECT scenario, hyp, ref, count(*) AS n FROM grid WHERE ref IS NOT NULL AND hyp IS NOT NULL GROUP BY scenario, hyp, ref")
