@@ -8,8 +8,9 @@ trained scores point at the offending sentences.
 A word's features are the word itself and its first letters, so that inflected
 forms share a stem. The vocabulary is counted in Spark over all words of the
 training sample and holds the features whose document frequencies in the two
-classes differ most. The likelihood of the noisy-or is then climbed on the
-sample's sparse sentences.
+classes differ most, by their likelihood ratio; equal texts count once, or the
+words of a text with many copies would fill it. The likelihood of the noisy-or
+is then climbed on the sample's sparse sentences, from half the log odds.
 
 Defined results: a null text is the empty text, whose one sentence is empty; an
 empty text has the score of that sentence; without labels of both kinds every
@@ -31,17 +32,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lectern.llm.common import cut
 from lectern.llm.quality import labelled_sample
 
 #: Labelled rows that the model is fitted on, at most; chosen by a hash of the key.
 SAMPLE_ROWS = 15_000
 #: Words of the vocabulary, at most, and the documents a word must be in.
 VOCABULARY, LEAST_DOCS = 400, 5
-#: A word enters if its log odds differ from none by so many standard errors.
-LEAST_Z = 5.0
+#: Likelihood ratio statistic from which a feature enters.
+LEAST_G = 25.0
 #: Lengths of the word beginnings that are features.
 STEMS = (5, 7)
-STEPS, RATE, RIDGE = 1500, 0.03, 2e-5
+#: Climb: steps, their length (a fifth of it in the last part), shrinkage, first bias.
+STEPS, RATE, RIDGE, BIAS = 600, 0.05, 1e-5, -5.0
 
 WORDS = re.compile(r"[^\W\d_]+")
 SENTENCES = re.compile(r"[^.!?\n]*(?:[.!?]+|\n|$)")
@@ -82,8 +85,8 @@ def _sigmoid(z):
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def vocabulary(sample: DataFrame, sizes: dict[int, int]) -> list[str]:
-    """Words of the sample (__text, __label) whose document frequency tells the classes apart, toxic side first."""
+def vocabulary(sample: DataFrame, sizes: dict[int, int]) -> list[tuple[str, float]]:
+    """Features of the sample (__text, __label) that are more frequent in toxic documents, and their log odds; the most telling first."""
 
     def run(batches):
         for batch in batches:
@@ -91,32 +94,39 @@ def vocabulary(sample: DataFrame, sizes: dict[int, int]) -> list[str]:
                 own = pa.array({*features({*WORDS.findall((text.as_py() or "").lower())})}, pa.string())
                 yield pa.RecordBatch.from_arrays([own, pa.array([label.as_py()] * len(own), pa.int32())], names=["word", "label"])
 
-    a, b = F.sum("label"), F.sum(1 - F.col("label"))
-    n1, n0 = F.lit(float(sizes.get(1, 0))), F.lit(float(sizes.get(0, 0)))
+    n1, n0 = float(sizes.get(1, 0)), float(sizes.get(0, 0))
+    a, b, every = F.col("a"), F.col("b"), n1 + n0
+    part = lambda seen, expected: F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
+    rest = every - a - b
+    ratio = 2 * (part(a, (a + b) * (n1 / every)) + part(b, (a + b) * (n0 / every)) + part(n1 - a, rest * (n1 / every)) + part(n0 - b, rest * (n0 / every)))
     odds = F.log((a + 0.5) / (n1 - a + 0.5)) - F.log((b + 0.5) / (n0 - b + 0.5))
-    error = F.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
     rows = (
         sample.select("__text", F.col("__label").cast("int"))
         .mapInArrow(run, "word string, label int")
         .groupBy("word")
-        .agg((a + b).alias("n"), (odds / error).alias("z"))
-        .where((F.col("n") >= LEAST_DOCS) & (F.col("z") >= LEAST_Z))
-        .orderBy(F.desc("z"), "word")
+        .agg(F.sum("label").cast("double").alias("a"), F.sum(1 - F.col("label")).cast("double").alias("b"))
+        .where((a + b >= LEAST_DOCS) & (a * n0 > b * n1))
+        .select("word", odds.alias("odds"), ratio.alias("g"))
+        .where(F.col("g") >= LEAST_G)
+        .orderBy(F.desc("g"), "word")
         .limit(VOCABULARY)
         .collect()
     )
-    return [r["word"] for r in rows]
+    return [(r["word"], r["odds"]) for r in rows]
 
 
 def fit(docs: DataFrame, labels: DataFrame, use: Column, key: str = "doc_id", text: str = "text", label: str = "toxic") -> BagModel:
     """Fit on the labelled documents that `use`, a condition on labels, lets through."""
     picked = labelled_sample(labels, key, label, use, SAMPLE_ROWS)
-    sample = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text")).join(F.broadcast(picked), "__key")
+    sample = docs.select(F.col(key).alias("__key"), F.coalesce(F.col(text), F.lit("")).alias("__text")).join(F.broadcast(picked), "__key")
+    # of equal texts the first key stays; the sample's texts are few enough to keep
+    first = sample.groupBy(F.xxhash64("__text").alias("__h"), "__label").agg(F.min(F.struct("__key", "__text")).alias("x"))
+    sample = cut(first.select("x.__key", "x.__text", "__label"))
     sizes = {r["__label"]: r["count"] for r in sample.groupBy("__label").count().collect()}
     if len(sizes) < 2:
         return BagModel(bias=0.0 if sizes.get(1) else -30.0)
-    words = vocabulary(sample, sizes)
-    number = {w: i for i, w in enumerate(words)}
+    known = vocabulary(sample, sizes)
+    number = {w: i for i, (w, _) in enumerate(known)}
 
     def run(batches):
         for batch in batches:
@@ -130,10 +140,10 @@ def fit(docs: DataFrame, labels: DataFrame, use: Column, key: str = "doc_id", te
 
     kind = sample.schema["__key"].dataType.simpleString()
     got = sample.select("__key", "__text", F.col("__label").cast("int")).mapInArrow(run, f"k {kind}, label int, bags array<array<int>>").orderBy("k").collect()
-    return _climb([r["bags"] for r in got], np.array([r["label"] for r in got], float), words)
+    return _climb([r["bags"] for r in got], np.array([r["label"] for r in got], float), known)
 
 
-def _climb(bags: list[list[list[int]]], y: np.ndarray, words: list[str]) -> BagModel:
+def _climb(bags: list[list[list[int]]], y: np.ndarray, known: list[tuple[str, float]]) -> BagModel:
     """Maximise the noisy-or likelihood by gradient steps of adapted size; equal sentences are counted together."""
     doc, sent, at, col = [], 0, [], []
     times = []
@@ -145,22 +155,22 @@ def _climb(bags: list[list[list[int]]], y: np.ndarray, words: list[str]) -> BagM
             col += items
             sent += 1
     doc_a, at_a, col_a, times_a = np.array(doc, int), np.array(at, int), np.array(col, int), np.array(times, float)
-    w, b = np.full(len(words), 1.0), float(np.log(max(y.mean() / 4, 1e-4)))
-    square_w, square_b = np.full(len(words), 1e-8), 1e-8
-    for _ in range(STEPS):
-        z = b + np.bincount(at_a, w[col_a], sent)
-        p = _sigmoid(z)
-        lone = _sigmoid(b)
+    theta = np.array([*(min(odds, 6.0) / 2 for _, odds in known), BIAS])
+    mean, square = np.zeros_like(theta), np.zeros_like(theta)
+    for k in range(1, STEPS + 1):
+        w, b = theta[:-1], theta[-1]
+        p, lone = _sigmoid(b + np.bincount(at_a, w[col_a], sent)), _sigmoid(b)
         # log of the chance that no sentence is toxic, and what a step in each logit does to it
         keep = np.log1p(-lone) + np.bincount(doc_a, times_a * np.log1p(-np.minimum(p, 1 - 1e-12)), len(y))
         toxic = -np.expm1(np.minimum(keep, -1e-12))
         pull = np.where(y > 0, (1 - toxic) / np.maximum(toxic, 1e-12), -1.0)
         step = pull[doc_a] * times_a * p
-        g_w = np.bincount(col_a, step[at_a], len(words)) / len(y) - RIDGE * w
-        g_b = (step.sum() + (pull * lone).sum()) / len(y)
-        square_w, square_b = 0.9 * square_w + 0.1 * g_w**2, 0.9 * square_b + 0.1 * g_b**2
-        w, b = w + RATE * g_w / np.sqrt(square_w), b + RATE * g_b / square_b**0.5
-    return BagModel(float(b), {word: float(x) for word, x in zip(words, w, strict=True)})
+        grad = np.append(np.bincount(col_a, step[at_a], len(known)), step.sum() + (pull * lone).sum()) / len(y)
+        grad[:-1] -= RIDGE * w
+        mean, square = 0.9 * mean + 0.1 * grad, 0.999 * square + 0.001 * grad**2
+        rate = RATE if k < 0.6 * STEPS else RATE / 5
+        theta = theta + rate * (mean / (1 - 0.9**k)) / (np.sqrt(square / (1 - 0.999**k)) + 1e-9)
+    return BagModel(float(theta[-1]), {word: float(x) for (word, _), x in zip(known, theta, strict=False)})
 
 
 def score(docs: DataFrame, model: BagModel, text: str = "text", out: str = "score") -> DataFrame:
