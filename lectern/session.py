@@ -7,6 +7,22 @@ import os
 from pyspark.sql import SparkSession
 
 
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
+
+def reachable(spark: SparkSession) -> SparkSession:
+    """Let Python workers import this package from where the driver has it.
+
+    Enough where workers see the driver's folders; elsewhere the package is to
+    be installed or passed by --py-files, as any other.
+    """
+    env = spark.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep) if p]
+    if ROOT not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
+    return spark
+
+
 def local_session(cores: int | str = 8, app: str = "lectern", **conf: str) -> SparkSession:
     """A local session with the settings the library is tuned for.
 
