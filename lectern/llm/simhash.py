@@ -246,6 +246,10 @@ def near_duplicates(docs: DataFrame, words: int, budget: int, key: str = "doc_id
 
 #: Sampled fingerprints of a document, and shingles in each sample.
 SAMPLES, SAMPLE_SIZE = 14, 3
+#: 64-bit words of a sketch, members of a block of a large group, and rows of a task that compares blocks.
+SKETCH_WORDS, BLOCK_ROWS, COMPARED_ROWS = 16, 1_000, 8_000
+#: Sketches compared with a whole block at once.
+STRIP = 64
 _SALTS = np.array([xxhash.xxh64_intdigest(b"sample", i) | 1 for i in range(SAMPLES)], np.uint64)
 
 
@@ -275,27 +279,42 @@ def sampled(h: np.ndarray) -> list[int]:
     return out
 
 
-def similarity(a: str | None, b: str | None, words: int) -> float:
-    """Jaccard similarity of the shingle sets; 1 for two empty ones."""
-    x, y = shingle_set(a, words), shingle_set(b, words)
+def sketch(h: np.ndarray) -> bytes:
+    """Parities of the numbers of shingles in each of 64 * SKETCH_WORDS bins.
+
+    Two sketches differ in no more bits than there are shingles in only one of the sets.
+    """
+    bins = np.bincount((h >> np.uint64(40)).astype(np.int64) % (64 * SKETCH_WORDS), minlength=64 * SKETCH_WORDS)
+    return np.packbits(bins & 1).tobytes()
+
+
+def _jaccard(x: np.ndarray, y: np.ndarray) -> float:
     both = len(np.intersect1d(x, y, assume_unique=True))
     return both / (len(x) + len(y) - both) if len(x) or len(y) else 1.0
 
 
+def similarity(a: str | None, b: str | None, words: int) -> float:
+    """Jaccard similarity of the shingle sets; 1 for two empty ones."""
+    return _jaccard(shingle_set(a, words), shingle_set(b, words))
+
+
 def _signed(docs: DataFrame, words: int) -> DataFrame:
-    """(key, whole, fp, bands): a hash of the shingle set, the fingerprint, the sampled fingerprints."""
+    """(key, whole, fp, bands, size, sketch): a hash of the shingle set, the fingerprint, the sampled ones, the set's size and sketch."""
 
     def run(batches):
         for batch in batches:
-            whole, full, bands = [], [], []
+            whole, full, bands, sizes, sketches = [], [], [], [], []
             for t in batch.column(1):
                 h = shingle_set(t.as_py(), words)
                 whole.append(int.from_bytes(xxhash.xxh64_digest(h.tobytes()), "big", signed=True))
                 full.append(fingerprint(t.as_py(), words))
                 bands.append(sampled(h))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(whole, pa.int64()), pa.array(full, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["key", "whole", "fp", "bands"])
+                sizes.append(len(h))
+                sketches.append(sketch(h))
+            found = [pa.array(whole, pa.int64()), pa.array(full, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *found], names=["key", "whole", "fp", "bands", "size", "sketch"])
 
-    return docs.mapInArrow(run, f"key {docs.schema['key'].dataType.simpleString()}, whole long, fp long, bands array<long>")
+    return docs.mapInArrow(run, f"key {docs.schema['key'].dataType.simpleString()}, whole long, fp long, bands array<long>, size long, sketch binary")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
@@ -313,27 +332,110 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> D
     return rows.select("a", "b", "ta", "tb").mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def similar_documents(docs: DataFrame, words: int = 5, least: float = 0.8, budget: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
+def _possible(rows: pd.DataFrame, least: float):
+    """(i, js): places of rows that one block pair has to compare, as their roots differ and size and sketch allow the similarity."""
+    order = rows.groupby(["k", "band", "p", "q"], sort=False).indices
+    size, side = rows["size"].to_numpy(), rows["side"].to_numpy()
+    p, q, root = rows["p"].to_numpy(), rows["q"].to_numpy(), pd.factorize(rows["root"])[0]
+    bits = np.frombuffer(b"".join(rows["sketch"]), np.uint64).reshape(-1, SKETCH_WORDS)
+    apart = (1 - least) / (1 + least)
+    for at in order.values():
+        inner = p[at[0]] == q[at[0]]
+        left, right = (at, at) if inner else (at[side[at] == 0], at[side[at] == 1])
+        for s in range(0, len(left), STRIP):
+            i = left[s : s + STRIP, None]
+            far = np.bitwise_count(bits[i] ^ bits[right]).sum(2, dtype=np.int64)
+            near = (root[i] != root[right]) & (far <= apart * (size[i] + size[right]) + 1e-6)
+            near &= np.minimum(size[i], size[right]) >= least * np.maximum(size[i], size[right]) - 1e-6
+            if inner:
+                near &= i < right
+            for r in np.flatnonzero(near.any(1)):
+                yield left[s + r], right[near[r]]
+
+
+def _compare_task(rows: pd.DataFrame, words: int, least: float) -> pd.DataFrame:
+    """Spanning forest, over the roots, of the similar pairs within all block pairs of a task."""
+    code, names = pd.factorize(rows["root"])
+    parent, texts, own = list(range(len(names))), rows["text"].to_numpy(), {}
+
+    def top(x):
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    def of(at):
+        if at not in own:
+            own[at] = shingle_set(texts[at], words)
+        return own[at]
+
+    a, b = [], []
+    for i, js in _possible(rows, least):
+        for j in js:
+            x, y = top(code[i]), top(code[j])
+            if x != y and _jaccard(of(i), of(j)) >= least:
+                parent[max(x, y)] = min(x, y)
+                a.append(names[code[i]])
+                b.append(names[code[j]])
+    return pd.DataFrame({"a": a, "b": b}, dtype=rows["root"].dtype)
+
+
+def _rest(sets: DataFrame, texts: DataFrame, words: int, least: float, block_rows: int) -> DataFrame:
+    """(a, b): roots of sets that share a group, are not linked so far and are similar enough.
+
+    sets: (low, root, size, sketch, bands). A group of two has been compared, and one of a single
+    root needs no more links. Of the others each block of members meets each
+    block, first by sketches; only what those leave open is compared as texts.
+    """
+    members = sets.select("low", "root", F.posexplode("bands").alias("k", "band"))
+    mixed = members.groupBy("k", "band").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("n > 2 and r0 < r1")
+    mixed = mixed.select("k", "band", F.ceil(F.col("n") / block_rows).cast("int").alias("blocks"))
+    placed = rejoin(members, mixed, ["k", "band"]).withColumn("own", F.pmod(F.xxhash64("low"), "blocks").cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pair = [F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), (F.col("own") > F.col("other")).cast("int").alias("side")]
+    placed = cut(placed.select("low", "root", "k", "band", *pair))
+    rows = placed.join(sets.select("low", "size", "sketch"), "low").select("low", "root", "k", "band", "p", "q", "side", "size", "sketch")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+
+    def dealt(df, n):
+        return df.groupBy(F.pmod(F.xxhash64("k", "band", "p", "q"), F.lit(max(1, -(-n // COMPARED_ROWS)))).alias("task"))
+
+    def flagged(rows):
+        hit = np.zeros(len(rows), bool)
+        for i, js in _possible(rows, least):
+            hit[i] = True
+            hit[js] = True
+        return rows[hit]
+
+    open_ = cut(dealt(rows, placed.count()).applyInPandas(flagged, kinds))
+    kind = rows.schema["root"].dataType.simpleString()
+    wanted = texts.join(open_.select(F.col("low").alias("key")).distinct(), "key", "left_semi").dropDuplicates(["key"]).withColumnRenamed("key", "low")
+    return dealt(open_.join(wanted, "low"), open_.count()).applyInPandas(lambda rows: _compare_task(rows, words, least), f"a {kind}, b {kind}")
+
+
+def similar_documents(docs: DataFrame, words: int = 5, least: float = 0.8, budget: int = 3, key: str = "doc_id", text: str = "text", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Per row with a key: key and the smallest key (component_id) it is linked to by similarities of `least` and more.
 
     Fingerprints that differ in few bits are found by the trie, but texts of
     this similarity mostly differ in more. So documents also have sampled
-    fingerprints, of which similar texts share some; each is compared with the
-    first document of its groups, and all links are checked on the whole texts.
-    Equal shingle sets count as one document throughout.
+    fingerprints, of which similar texts share some. The documents of a
+    group are first compared with its first one; then those of a group that
+    are not linked yet with each other. All links are checked on the whole
+    texts. Equal shingle sets count as one document throughout.
     """
     named = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"))
     signed = cut(_signed(named, words))
-    sets = cut(signed.groupBy("whole").agg(F.min("key").alias("low"), F.first("fp").alias("fp"), F.first("bands").alias("bands")))
+    groups = F.concat(F.first("bands"), F.array(F.first("fp")))
+    sets = cut(signed.groupBy("whole").agg(F.min("key").alias("low"), F.first("fp").alias("fp"), groups.alias("bands"), F.first("size").alias("size"), F.first("sketch").alias("sketch")))
     prints = sets.groupBy("fp").agg(F.min("low").alias("low"))
     near = links(prints.select("fp"), budget)
     by_fp = prints.withColumnRenamed("low", "__low")
     trie = near.join(by_fp.withColumnsRenamed({"fp": "a", "__low": "x"}), "a").join(by_fp.withColumnsRenamed({"fp": "b", "__low": "y"}), "b").select("x", "y")
-    same_print = rejoin(sets.select("fp", "low"), prints.withColumnRenamed("low", "y"), ["fp"]).select(F.col("low").alias("x"), "y")
     members = sets.select("low", F.posexplode("bands").alias("k", "band"))
     heads = members.groupBy("k", "band").agg(F.min("low").alias("y"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     drawn = rejoin(members, heads, ["k", "band"]).select(F.col("low").alias("x"), "y")
-    pairs = cut(trie.union(same_print).union(drawn).where("x != y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct())
+    pairs = cut(trie.union(drawn).where("x != y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct())
     roots = components(_verified(pairs, named, words, least)).withColumnRenamed("node", "low")
-    of_set = sets.select("whole", "low").join(roots, "low", "left").select("whole", F.coalesce("root", "low").alias("component_id"))
+    linked = cut(sets.join(roots, "low", "left").withColumn("root", F.coalesce("root", "low")))
+    further = components(_rest(linked, named, words, least, block_rows)).select(F.col("node").alias("root"), F.col("root").alias("least_root"))
+    of_set = linked.join(further, "root", "left").select("whole", F.coalesce("least_root", "root").alias("component_id"))
     return rejoin(signed.select("key", "whole"), of_set, ["whole"]).select(F.col("key").alias(key), "component_id")

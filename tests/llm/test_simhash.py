@@ -101,3 +101,32 @@ def test_sampled_fingerprints():
     h = np.sort(np.array([xxhash.xxh64_intdigest(bytes([i])) for i in range(50)], np.uint64))
     assert simhash.sampled(h) == simhash.sampled(h.copy()) and len(set(simhash.sampled(h))) > 5
     assert simhash.sampled(h[:0]) == [0] * simhash.SAMPLES
+
+
+def test_groups_whose_first_document_is_not_the_hub(spark):
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+
+    def variant(of):
+        new = list(of)
+        for at in range(10 + rng.randrange(5), 190, 50):
+            new[at] = f"n{rng.randrange(10**9)}"
+        return new
+
+    copies = [variant(base) for _ in range(150)]
+    docs = [(i, " ".join(c)) for i, c in enumerate(copies)] + [(1000, " ".join(base))]
+    assert all(simhash.similarity(t, docs[-1][1], 5) >= 0.8 for _, t in docs)
+    assert simhash.similarity(docs[0][1], docs[1][1], 5) < 0.8
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    for blocks in ({}, {"block_rows": 40}):
+        got = {r.doc_id: r.component_id for r in simhash.similar_documents(frame, **blocks).collect()}
+        assert got == dict.fromkeys([i for i, _ in docs], 0)
+
+
+def test_sketch_differs_in_no_more_than_the_sets():
+    rng = random.Random(12)
+    for _ in range(200):
+        x, y = ({rng.randrange(2**64) for _ in range(rng.randrange(300))} for _ in range(2))
+        y |= set(list(x)[: rng.randrange(300)])
+        a, b = (np.frombuffer(simhash.sketch(np.array(sorted(s), np.uint64)), np.uint64) for s in (x, y))
+        assert np.bitwise_count(a ^ b).sum() <= len(x ^ y)
