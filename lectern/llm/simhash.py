@@ -417,23 +417,23 @@ def similar_documents(docs: DataFrame, words: int = 5, least: float = 0.8, budge
 
     Fingerprints that differ in few bits are found by the trie, but texts of
     this similarity mostly differ in more. So documents also have sampled
-    fingerprints, of which similar texts share some. The documents of a
-    group are first compared with its first one; then those of a group that
-    are not linked yet with each other. All links are checked on the whole
-    texts. Equal shingle sets count as one document throughout.
+    fingerprints, of which similar texts share some. Groups are the documents
+    of one sampled fingerprint, and those of fingerprints that the trie
+    connects, whether or not the texts between them are similar. The documents
+    of a group are first compared with its first one; then those of a group
+    that are not linked yet with each other. All links are checked on the
+    whole texts. Equal shingle sets count as one document throughout.
     """
     named = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"))
     signed = cut(_signed(named, words))
-    groups = F.concat(F.first("bands"), F.array(F.first("fp")))
-    sets = cut(signed.groupBy("whole").agg(F.min("key").alias("low"), F.first("fp").alias("fp"), groups.alias("bands"), F.first("size").alias("size"), F.first("sketch").alias("sketch")))
-    prints = sets.groupBy("fp").agg(F.min("low").alias("low"))
-    near = links(prints.select("fp"), budget)
-    by_fp = prints.withColumnRenamed("low", "__low")
-    trie = near.join(by_fp.withColumnsRenamed({"fp": "a", "__low": "x"}), "a").join(by_fp.withColumnsRenamed({"fp": "b", "__low": "y"}), "b").select("x", "y")
+    sets = cut(signed.groupBy("whole").agg(F.min("key").alias("low"), *(F.first(c).alias(c) for c in ("fp", "bands", "size", "sketch"))))
+    families = components(links(sets.select("fp").distinct(), budget)).select(F.col("node").alias("fp"), F.col("root").alias("family"))
+    groups = F.concat("bands", F.array(F.coalesce("family", "fp")))
+    sets = cut(rejoin(sets, families, ["fp"], "left").select("whole", "low", "size", "sketch", groups.alias("bands")))
     members = sets.select("low", F.posexplode("bands").alias("k", "band"))
     heads = members.groupBy("k", "band").agg(F.min("low").alias("y"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    drawn = rejoin(members, heads, ["k", "band"]).select(F.col("low").alias("x"), "y")
-    pairs = cut(trie.union(drawn).where("x != y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct())
+    drawn = rejoin(members, heads, ["k", "band"]).select(F.col("low").alias("a"), F.col("y").alias("b"))
+    pairs = cut(drawn.where("a != b").distinct())
     roots = components(_verified(pairs, named, words, least)).withColumnRenamed("node", "low")
     linked = cut(sets.join(roots, "low", "left").withColumn("root", F.coalesce("root", "low")))
     further = components(_rest(linked, named, words, least, block_rows)).select(F.col("node").alias("root"), F.col("root").alias("least_root"))

@@ -130,3 +130,22 @@ def test_sketch_differs_in_no_more_than_the_sets():
         y |= set(list(x)[: rng.randrange(300)])
         a, b = (np.frombuffer(simhash.sketch(np.array(sorted(s), np.uint64)), np.uint64) for s in (x, y))
         assert np.bitwise_count(a ^ b).sum() <= len(x ^ y)
+
+
+def test_links_between_later_fingerprints_of_a_family(spark, monkeypatch):
+    """Of a chain of fingerprints only the later two have similar texts; no sample joins them."""
+    rng = random.Random(13)
+    first, second = ([f"w{rng.randrange(10**6)}" for _ in range(200)] for _ in range(2))
+    third = [*second[:-1], "other"]
+    docs = [(i, " ".join(words)) for i, words in enumerate((first, second, third))]
+    prints = {docs[0][1]: 0b000, docs[1][1]: 0b111, docs[2][1]: 0b011}
+    alone = {simhash.shingle_set(t, 5).tobytes(): 100 * i for i, t in docs}
+    frame = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+
+    def signed(found, words):
+        rows = [(i, i, prints[t], [alone[simhash.shingle_set(t, 5).tobytes()] + k for k in range(14)], len(h := simhash.shingle_set(t, 5)), simhash.sketch(h)) for i, t in docs]
+        return spark.createDataFrame(rows, "key long, whole long, fp long, bands array<long>, size long, sketch binary")
+
+    monkeypatch.setattr(simhash, "_signed", signed)
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(frame).collect()}
+    assert got == {0: 0, 1: 1, 2: 1}
