@@ -20,11 +20,15 @@ def cut(df: DataFrame) -> DataFrame:
     """Materialise df in the reliable checkpoint folder and drop its lineage.
 
     The folder is the one the session names in spark.checkpoint.dir. Only where
-    that is unset (tests on one machine) a temporary folder is chosen.
+    that is unset and the master is local (tests) a temporary folder is chosen.
+    Files of superseded checkpoints go with their data frames if the session
+    sets spark.cleaner.referenceTracking.cleanCheckpoints (see tidy).
     """
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="lectern-ckpt-"))
     return df.checkpoint(eager=True)
 
@@ -44,6 +48,14 @@ def tidy(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """name, with underscores before it until no column of `taken` has it, in any case."""
+    own = {c.lower() for c in taken}
+    while name.lower() in own:
+        name = "_" + name
+    return name
+
+
 def rejoin(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Join on keys and their hash.
 

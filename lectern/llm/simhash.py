@@ -16,9 +16,10 @@ A task does not emit all pairs it finds: it keeps a spanning forest of them.
 Exact copies are one leaf, whatever their number.
 
 Defined results: a null text is the empty text; texts without words share the
-fingerprint zero and are linked like any other; an empty table gives an empty
-table; repeated rows each have their row; a component of rows without an id has
-a null component id; columns beside key and text are not looked at.
+fingerprint zero and are linked like any other; texts of any length are hashed
+whole, CHUNK shingles at a time; an empty table gives an empty table; repeated
+rows each have their row; a component of rows without an id has a null
+component id; columns beside key and text are not looked at.
 """
 
 from __future__ import annotations
@@ -238,8 +239,8 @@ def near_duplicates(docs: DataFrame, words: int, budget: int, key: str = "doc_id
     roots = components(links(distinct.select("fp"), budget)).withColumnRenamed("node", "fp")
     nodes = cut(distinct.join(roots, "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root")))
     least = nodes.groupBy("root").agg(F.min("low").alias("component_id"))
-    of_fp = nodes.join(least, "root").select("fp", "component_id")
-    return fps.join(of_fp, "fp").select(key, "fp", "component_id")
+    of_fp = rejoin(nodes, least, ["root"]).select("fp", "component_id")
+    return rejoin(fps, of_fp, ["fp"]).select(key, "fp", "component_id")
 
 
 # -- by similarity --------------------------------------------------------------------------------

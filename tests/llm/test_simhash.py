@@ -3,8 +3,12 @@ import random
 import numpy as np
 import xxhash
 
+from pyspark.sql import functions as F
+
 from lectern.llm import simhash
+from lectern.llm.common import rejoin
 from lectern.llm.graph import components
+from lectern.llm.queries import QUERIES
 
 
 def brute(fps, budget):
@@ -54,6 +58,22 @@ def test_components_of_chains_and_hubs(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_a_hub_is_split(spark):
+    """A frequent key of a joined aggregate does not stay in one task."""
+    conf = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "100KB", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "50KB", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.1"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        rows = spark.range(400_000, numPartitions=8).selectExpr("if(id % 10 = 0, id, 7) as x", "hash(id) as y")
+        joined = rejoin(rows, rows.groupBy("x").agg(F.min("y").alias("m")), ["x"])
+        sizes = joined.select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
+        assert max(r["count"] for r in sizes) < 0.8 * rows.where("x = 7").count()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_fingerprint_by_hand():
     text = "A b C\td é"
     shingles = ["a b c", "b c d", "c d é"]
@@ -70,6 +90,18 @@ def test_near_duplicates(spark, odd_docs, no_docs):
     assert simhash.near_duplicates(no_docs, 3, 2).count() == 0
 
 
+def test_registered_query_against_brute_force(spark):
+    folder = "/root/testdata/sf0.001"
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    fps = {d: simhash.fingerprint(t, 3) for d, t in docs.items()}
+    root = brute(set(fps.values()), 2)
+    least = {}
+    for d, f in sorted(fps.items()):
+        least.setdefault(root[f], d)
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in QUERIES["op3_simhash"](spark, folder).collect()}
+    assert got == {d: (f"{f % 2**64:016x}", least[root[f]]) for d, f in fps.items()}
+
+
 def test_similar_documents_against_brute_force(spark):
     rng = random.Random(9)
     base = [[f"w{rng.randrange(500)}" for _ in range(rng.randint(30, 120))] for _ in range(25)]
