@@ -22,7 +22,8 @@ Defined results: the earliest place is that of the smallest key, null keys
 last; rows that agree in key and text are one document and fare alike; a null
 text has no lines and stays null; a text all of whose lines go becomes empty;
 an empty table gives an empty table; lines are compared as they are, of any
-length; other columns stay, whatever their names.
+length; other columns stay, whatever their names, but one that is named as the
+count of deleted lines is replaced by it.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lectern.llm.common import WORD, cut, numbered, ordered, rejoin, tidy
+from lectern.llm.common import WORD, cut, free_name, numbered, ordered, rejoin, tidy
 
 #: Words that a repeated run has at least.
 LEAST_WORDS = 50
@@ -131,13 +132,14 @@ def repeated_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", leas
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", least_words: int = LEAST_WORDS, removed: str | None = None) -> DataFrame:
     """docs without later copies of repeated runs; `removed` names a column for the number of deleted lines."""
-    kept = repeated_runs(docs, key, text, least_words).select(F.col("u1").alias("__u1"), F.col("u2").alias("__u2"), F.col("keep").alias("__keep"))
+    n1, n2, own_keep = (free_name(x, docs.columns) for x in ("__u1", "__u2", "__keep"))
+    kept = repeated_runs(docs, key, text, least_words).toDF(n1, n2, own_keep)
     u1, u2 = _identity(key, text)
-    rows = docs.withColumn("__u1", u1).withColumn("__u2", u2).join(kept, ["__u1", "__u2"], "left")
-    lines = F.split(text, "\n", -1)
-    rest = F.array_join(F.flatten(F.transform("__keep", lambda x: F.slice(lines, x["a"], x["n"]))), "\n")
+    rows = docs.withColumn(n1, u1).withColumn(n2, u2).join(kept, [n1, n2], "left")
+    lines, keep = F.split(text, "\n", -1), F.col(own_keep)
+    rest = F.array_join(F.flatten(F.transform(keep, lambda x: F.slice(lines, x["a"], x["n"]))), "\n")
     out = rows
     if removed:
-        left = F.aggregate("__keep", F.lit(0), lambda a, x: a + x["n"])
-        out = out.withColumn(removed, F.when(F.col("__keep").isNull(), 0).otherwise(F.size(lines) - left).cast("long"))
-    return out.withColumn(text, F.when(F.col("__keep").isNull(), F.col(text)).otherwise(rest)).select(*docs.columns, *([removed] if removed else []))
+        left = F.aggregate(keep, F.lit(0), lambda a, x: a + x["n"])
+        out = out.withColumn(removed, F.when(keep.isNull(), 0).otherwise(F.size(lines) - left).cast("long"))
+    return out.withColumn(text, F.when(keep.isNull(), F.col(text)).otherwise(rest)).select(*(c for c in docs.columns if c != removed), *([removed] if removed else []))

@@ -56,3 +56,10 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert {(r.doc_id, r.text) for r in rows} == before and len(rows) == odd_docs.count()
     assert rows[0].asDict().keys() == {"doc_id", "text", "source", "score", "key", "n"}
     assert lines.dedup(no_docs).count() == 0
+
+
+def test_columns_keep_their_names_and_values(spark):
+    line = "x " * 60
+    docs = spark.createDataFrame([(1, line, 5, 6, "k", 9), (2, line, 7, 8, "l", 9)], "doc_id long, text string, __u1 long, __U2 long, __keep string, n int")
+    rows = sorted(lines.dedup(docs, removed="n").collect())
+    assert [(r.doc_id, r.text, r["__u1"], r["__U2"], r["__keep"], r.n) for r in rows] == [(1, line, 5, 6, "k", 0), (2, "", 7, 8, "l", 1)]
