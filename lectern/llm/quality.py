@@ -8,8 +8,9 @@ so scoring needs no model object on the executors, only statistics of the text.
 Defined results: a null text is the empty text; an empty text has a score like
 any other; with no labelled rows, or labels of one kind only, every score is
 the prior (0.5 with no labels); null labels and labels of unknown documents are
-not used; repeated rows are scored row by row; columns beside key and text are
-not looked at.
+not used; texts are read whole, however long; repeated rows are scored row by
+row; an empty table gives an empty table; columns beside key and text are not
+looked at and stay, but one that is named as the score is replaced by it.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.llm.common import free_name
 from lectern.llm.textstats import NAMES, with_stats
 
 #: Labelled rows that the model is fitted on, at most; chosen by a hash of the key.
@@ -173,5 +175,7 @@ def fit(docs: DataFrame, labels: DataFrame, use: Column, key: str = "doc_id", te
 
 
 def score(docs: DataFrame, model: RuleModel, text: str = "text", out: str = "score") -> DataFrame:
-    """docs and the score of each text; all columns of docs stay."""
-    return with_stats(docs, text, "__stats").withColumn(out, model.score(F.col("__stats"))).drop("__stats")
+    """docs and the score of each text; all columns of docs stay, but one named `out` is replaced."""
+    stats = free_name("__stats", [*docs.columns, out])
+    rows = with_stats(docs, text, stats).select("*", model.score(F.col(stats)).alias(free_name("__score", docs.columns)))
+    return rows.select(*(c for c in docs.columns if c.lower() != out.lower()), F.col(rows.columns[-1]).alias(out))
