@@ -5,18 +5,20 @@ logistic in the features of its distinct words; a document is toxic if any
 sentence is (noisy-or), so document labels train the sentence scores, and the
 trained scores point at the offending sentences.
 
-A word's features are the word itself and its first letters, so that inflected
+A word's features are the word itself and its beginnings, so that inflected
 forms share a stem. The vocabulary is counted in Spark over all words of the
-training sample and holds the features whose document frequencies in the two
-classes differ most, by their likelihood ratio; equal texts count once, or the
-words of a text with many copies would fill it. The likelihood of the noisy-or
-is then climbed on the sample's sparse sentences, from half the log odds.
+training sample and holds every feature whose document frequencies in the two
+classes differ by more than chance, by their likelihood ratio; equal texts count
+once, or the words of a text with many copies would fill it. It grows with the
+sample and has no other bound. The likelihood of the noisy-or is then climbed on
+the sample's sparse sentences, from half the log odds.
 
 Defined results: a null text is the empty text, whose one sentence is empty; an
 empty text has the score of that sentence; without labels of both kinds every
 score is the prior (0 without labels); null labels are not used; repeated rows
-are scored row by row; texts are read whole, however long; columns beside key
-and text are not looked at.
+are scored row by row; texts are read whole, however long; an empty table gives
+an empty table; columns beside key and text are not looked at and stay, but
+those that are named as the results are replaced by them.
 """
 
 from __future__ import annotations
@@ -31,18 +33,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from lectern.llm.common import cut
 from lectern.llm.quality import labelled_sample
 
 #: Labelled rows that the model is fitted on, at most; chosen by a hash of the key.
 SAMPLE_ROWS = 15_000
-#: Words of the vocabulary, at most, and the documents a word must be in.
-VOCABULARY, LEAST_DOCS = 400, 5
-#: Likelihood ratio statistic from which a feature enters.
-LEAST_G = 25.0
+#: Features in the sentences of those rows, at most: in order of the hash, rows beyond it are left out of the fit.
+SAMPLE_MARKS = 5_000_000
+#: Documents of the sample a feature must be in, and its likelihood ratio statistic: below either it can't be told from chance.
+LEAST_DOCS, LEAST_G = 5, 25.0
+#: Log odds from which the climb starts, at most.
+MOST_ODDS = 6.0
 #: Lengths of the word beginnings that are features.
-STEMS = (5, 7)
+STEMS = (4, 5, 6, 7, 8)
 #: Climb: steps, their length (a fifth of it in the last part), shrinkage, first bias.
 STEPS, RATE, RIDGE, BIAS = 600, 0.05, 1e-5, -5.0
 
@@ -109,7 +114,6 @@ def vocabulary(sample: DataFrame, sizes: dict[int, int]) -> list[tuple[str, floa
         .select("word", odds.alias("odds"), ratio.alias("g"))
         .where(F.col("g") >= LEAST_G)
         .orderBy(F.desc("g"), "word")
-        .limit(VOCABULARY)
         .collect()
     )
     return [(r["word"], r["odds"]) for r in rows]
@@ -130,32 +134,37 @@ def fit(docs: DataFrame, labels: DataFrame, use: Column, key: str = "doc_id", te
 
     def run(batches):
         for batch in batches:
-            keys, marks, bags = [], [], []
-            for k, t, label in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                own = [sorted(number[f] for f in features({*WORDS.findall(m[0].lower())}) if f in number) for m in SENTENCES.finditer(t or "")]
-                keys.append(k)
-                marks.append(label)
-                bags.append([x for x in own if x])
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(marks, pa.int32()), pa.array(bags, pa.list_(pa.list_(pa.int32())))], names=["k", "label", "bags"])
+            bags, times = [], []
+            for t in batch.column(1):
+                own = (tuple(sorted(number[f] for f in features({*WORDS.findall(m[0].lower())}) if f in number)) for m in SENTENCES.finditer(t.as_py() or ""))
+                bag = sorted(Counter(x for x in own if x).items())  # equal sentences count together
+                bags.append([x for x, _ in bag])
+                times.append([n for _, n in bag])
+            found = [pa.array(bags, pa.list_(pa.list_(pa.int32()))), pa.array(times, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *found], names=["k", "label", "bags", "times"])
 
     kind = sample.schema["__key"].dataType.simpleString()
-    got = sample.select("__key", "__text", F.col("__label").cast("int")).mapInArrow(run, f"k {kind}, label int, bags array<array<int>>").orderBy("k").collect()
-    return _climb([r["bags"] for r in got], np.array([r["label"] for r in got], float), known)
+    rows = sample.select("__key", "__text", F.col("__label").cast("int")).mapInArrow(run, f"k {kind}, label int, bags array<array<int>>, times array<bigint>")
+    rows = cut(rows.withColumn("n", F.aggregate("bags", F.lit(1).cast("long"), lambda a, x: a + F.size(x))))
+    upto = F.sum("n").over(Window.orderBy(F.xxhash64("k"), "k"))  # one window, of SAMPLE_ROWS small rows at most
+    kept = rows.select("k", "n").select("k", "n", upto.alias("upto")).where(F.col("upto") - F.col("n") < SAMPLE_MARKS).select("k")
+    got = sorted(rows.join(F.broadcast(kept), "k", "left_semi").select("k", "label", "bags", "times").collect(), key=lambda r: r["k"])
+    return _climb([dict(zip(map(tuple, r["bags"]), r["times"], strict=True)) for r in got], np.array([r["label"] for r in got], float), known)
 
 
-def _climb(bags: list[list[list[int]]], y: np.ndarray, known: list[tuple[str, float]]) -> BagModel:
-    """Maximise the noisy-or likelihood by gradient steps of adapted size; equal sentences are counted together."""
+def _climb(bags: list[dict[tuple, int]], y: np.ndarray, known: list[tuple[str, float]]) -> BagModel:
+    """Maximise the noisy-or likelihood by gradient steps of adapted size; a bag has its sentences' features and how often each comes."""
     doc, sent, at, col = [], 0, [], []
     times = []
     for i, bag in enumerate(bags):
-        for items, count in sorted(Counter(map(tuple, bag)).items()):
+        for items, count in bag.items():
             doc.append(i)
             times.append(count)
             at += [sent] * len(items)
             col += items
             sent += 1
     doc_a, at_a, col_a, times_a = np.array(doc, int), np.array(at, int), np.array(col, int), np.array(times, float)
-    theta = np.array([*(min(odds, 6.0) / 2 for _, odds in known), BIAS])
+    theta = np.array([*(min(odds, MOST_ODDS) / 2 for _, odds in known), BIAS])
     mean, square = np.zeros_like(theta), np.zeros_like(theta)
     for k in range(1, STEPS + 1):
         w, b = theta[:-1], theta[-1]
@@ -176,7 +185,8 @@ def _climb(bags: list[list[list[int]]], y: np.ndarray, known: list[tuple[str, fl
 def score(docs: DataFrame, model: BagModel, text: str = "text", out: str = "score") -> DataFrame:
     """docs with the score of each text and its offending sentences (start, end, probability of 0.5 and more)."""
     spans = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("p", T.DoubleType())]))
-    schema = T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType()), T.StructField("offending", spans)])
+    stays = [i for i, c in enumerate(docs.columns) if c.lower() not in (out.lower(), "offending")]
+    schema = T.StructType([*(docs.schema.fields[i] for i in stays), T.StructField(out, T.DoubleType()), T.StructField("offending", spans)])
     at = docs.columns.index(text)
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())]))
 
@@ -187,6 +197,7 @@ def score(docs: DataFrame, model: BagModel, text: str = "text", out: str = "scor
                 sentences = model.sentences(t.as_py())
                 scores.append(model.noisy_or(sentences))
                 found.append([{"start": a, "end": b, "p": p} for a, b, p in sentences if p >= 0.5])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64()), pa.array(found, kind)], names=[*batch.schema.names, out, "offending"])
+            names = [*(batch.schema.names[i] for i in stays), out, "offending"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in stays), pa.array(scores, pa.float64()), pa.array(found, kind)], names=names)
 
     return docs.mapInArrow(run, schema)

@@ -30,6 +30,24 @@ def test_toxicity_on_held_out_rows(spark):
     assert sum(r.predicted for r in held if not r.toxic) <= 0.03 * len(held)
 
 
+def test_vocabulary_grows_with_the_sample(spark):
+    """A thousand telling words are a thousand features; what is as frequent in both classes is none."""
+    words = lambda i, n: [f"{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}{'xyz'[k // 676]}q" for k in range(i, 1000, n)]
+    docs = [(i, i % 2, " ".join([*(words(i // 2 % 10, 10) if i % 2 else []), "plain", "usual"])) for i in range(600)]
+    sample = spark.createDataFrame(docs, "__key long, __label int, __text string")
+    found = {w for w, _ in toxicity.vocabulary(sample, {0: 300, 1: 300})}
+    assert {w for k in range(10) for w in words(k, 10)} <= found and found.isdisjoint({"plain", "usual"})
+
+
+def test_marks_bound_the_fit_only(spark, monkeypatch):
+    docs = [(i, "calm words here. nasty stuff!" if i % 2 else "calm words here.") for i in range(100)]
+    docs = [(i, f"{t} t{i}") for i, t in docs]
+    df, known = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i in range(100)], "doc_id long, toxic int")
+    monkeypatch.setattr(toxicity, "SAMPLE_MARKS", 200)
+    rows = toxicity.score(df, toxicity.fit(df, known, F.lit(True))).collect()
+    assert len(rows) == 100 and all((r.score >= 0.5) == bool(r.doc_id % 2) for r in rows)
+
+
 def test_rules_in_spark_score_as_in_numpy(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(400, len(NAMES)))
@@ -72,12 +90,15 @@ def test_offending_sentences_are_located(spark):
 
 def test_odd_rows(spark, odd_docs, no_docs):
     some = spark.createDataFrame([(i, i % 2, i % 2) for i in range(9)] + [(0, None, None), (None, 1, 1), (77, 1, 1)], "doc_id long, quality int, toxic int")
+    clashing = odd_docs.withColumns({"offending": F.lit("x"), "__stats": F.lit("own"), "__score": F.lit(7.0)})
     for mod, label, empty in ((quality, "quality", quality.RuleModel(0.0, ())), (toxicity, "toxic", None)):
         for labels in (some, some.where("false"), some.where(f"{label} = 1")):
             model = mod.fit(odd_docs, labels, crc_mod("doc_id", 3) != 1, label=label)
-            rows = mod.score(odd_docs.drop("score"), model).collect()
+            found = mod.score(clashing, model)
+            rows = found.collect()
             assert len(rows) == odd_docs.count() and all(0 <= r.score <= 1 for r in rows)
+            assert sorted(found.columns) == sorted({*clashing.columns, *found.columns}) and {r["__stats"] for r in rows} == {"own"}
         assert mod.fit(no_docs, some, F.lit(True), label=label) is not None
-        assert mod.score(no_docs.drop("score"), model).count() == 0
+        assert mod.score(no_docs, model).count() == 0
     assert quality.fit(odd_docs, some.where("false"), F.lit(True)) == quality.RuleModel(0.0, ())
     assert all(np.isfinite(stats(t)).all() for t in (None, "", " ", "\x00é" * 9))
