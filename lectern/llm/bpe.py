@@ -3,13 +3,13 @@
 Two tiers per pre-token. A minimal perfect hash over the vocabulary answers
 pre-tokens that are tokens themselves; everything else is merged with a heap of
 adjacent pairs over a linked list of byte spans, so a pre-token of n bytes costs
-O(n log n) however long it is. A bounded memo in each Python worker keeps the
-answers for pre-tokens that come again.
+O(n log n) however long it is. A memo in each Python worker, bounded in bytes,
+keeps the answers for short pre-tokens that come again.
 
 Defined results: a null text counts as the empty text (no tokens, empty bytes);
 an empty table gives an empty table; repeated rows and repeated ids are encoded
-row by row; texts of any length are encoded whole; other columns of the input
-are not looked at, whatever their names.
+row by row, keys of any type; texts of any length are encoded whole; other
+columns of the input are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,7 +19,6 @@ import heapq
 import re
 import struct
 from functools import lru_cache
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +30,9 @@ from pyspark.sql import functions as F
 
 _M64 = (1 << 64) - 1
 
-#: Pre-tokens in a generation of a worker's memo; there are two.
-MEMO_LIMIT = 1 << 19
+#: Pre-tokens in a generation of a worker's memo, of which there are two, and characters of one that is kept:
+#: with 4 bytes a character, the same again for the ids and some 200 of Python's own, 2 x 400,000 x 250 B in the mean.
+MEMO_LIMIT, MEMO_BYTES, MEMO_CHARS = 400_000, 32 << 20, 64
 #: Rows of one output batch; bounds the memory of a worker.
 OUT_ROWS = 256
 
@@ -168,16 +168,20 @@ class _Memo(dict):
     """Ids of pre-tokens met lately: two generations, the older of which goes when the younger is full."""
 
     def __init__(self, encode):
-        self.encode, self.older = encode, {}
+        self.encode, self.older, self.bytes = encode, {}, 0
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= MEMO_LIMIT:
-            self.older = dict(self)
-            self.clear()
         out = self.older.get(piece)
         if out is None:
             ids = self.encode(piece.encode())
             out = struct.pack(f"<{len(ids)}I", *ids)
+            if len(piece) > MEMO_CHARS:
+                return out
+        if len(self) >= MEMO_LIMIT or self.bytes >= MEMO_BYTES:
+            self.older = dict(self)
+            self.clear()
+            self.bytes = 0
+        self.bytes += len(piece) + len(out)
         self[piece] = out
         return out
 
@@ -196,16 +200,14 @@ def encode(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text:
 
     def run(batches):
         own = codec(path, pattern)
-        schema = pa.schema([("key", key_type), ("ids", pa.binary()), ("decoded", pa.binary())])
         for batch in batches:
-            pairs = zip(batch.column(0), batch.column(1), strict=True)
-            while part := list(islice(pairs, OUT_ROWS)):
-                ids = [own.encode(t.as_py()) for _, t in part]
-                cols = [pa.array([k.as_py() for k, _ in part], key_type), pa.array(ids, pa.binary()), pa.array(list(map(own.decode, ids)), pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, schema=schema)
+            for at in range(0, batch.num_rows, OUT_ROWS):
+                part = batch.slice(at, OUT_ROWS)
+                ids = [own.encode(t.as_py()) for t in part.column(1)]
+                cols = [part.column(0), pa.array(ids, pa.binary()), pa.array(list(map(own.decode, ids)), pa.binary())]
+                yield pa.RecordBatch.from_arrays(cols, names=["key", "ids", "decoded"])
 
     kind = rows.schema["key"].dataType.simpleString()
-    key_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
     return rows.mapInArrow(run, f"key {kind}, ids binary, decoded binary").withColumnRenamed("key", key)
 
 

@@ -7,6 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from lectern.llm import bpe
+from lectern.llm.queries import QUERIES
 
 PATH = P.path("byte_bpe_multi_50k.tiktoken")
 CODEC = bpe.codec(PATH, P.PATTERN)
@@ -51,6 +52,33 @@ def test_memo_generations(monkeypatch):
     assert len(codec.memo) <= 4
 
 
+def test_memo_is_bounded_in_bytes(monkeypatch):
+    monkeypatch.setattr(bpe, "MEMO_BYTES", 100)
+    codec = bpe.Codec(CODEC.ranks, P.PATTERN)
+    for text in ("qqqqzzzz xxxxwwww jjjjkkkk " * 3, "long" * 40, " ".join(f"zq{i}" for i in range(90))):
+        assert np.frombuffer(codec.encode(text), "<u4").tolist() == TRUE.encode_ordinary(text)
+        assert codec.memo.bytes <= 100 + 5 * bpe.MEMO_CHARS and max(map(len, codec.memo)) <= bpe.MEMO_CHARS
+
+
+def test_keys_of_any_type(spark):
+    for kind in ("smallint", "decimal(9,2)", "binary", "string", "array<int>", "struct<a:int,b:string>"):
+        value = {"array<int>": "array(1)", "struct<a:int,b:string>": "named_struct('a', 1, 'b', 'x')"}.get(kind, f"cast('1' as {kind})")
+        df = spark.range(2).selectExpr(f"if(id = 0, {value}, null) as doc_id", "'ab cd' as text")
+        out = bpe.encode(df, PATH, P.PATTERN)
+        assert out.schema["doc_id"].dataType.simpleString() == df.schema["doc_id"].dataType.simpleString() and out.count() == 2
+
+
+def test_registered_query_against_the_library(spark):
+    folder = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    rows = QUERIES["op6_byte_bpe"](spark, folder).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(texts)
+    for r in rows:
+        ids = np.array(TRUE.encode_ordinary(texts[r.doc_id]), "<u4")
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(ids.tobytes()).hexdigest())
+        assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
+
+
 def test_odd_rows(odd_docs, no_docs):
     rows = bpe.digests(bpe.encode(odd_docs, PATH, P.PATTERN)).collect()
     assert len(rows) == odd_docs.count()
