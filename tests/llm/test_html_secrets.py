@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import random
 import re
 import string
@@ -7,6 +8,7 @@ import public_tokenizers as P
 import pytest
 
 from lectern.llm import html, secrets
+from lectern.llm.queries import QUERIES
 
 PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{}</style><script>var x="</p>";</script></head><body>
 <header>Top</header><nav><ul><li><a href=/>Home</a></ul></nav><div class="cookie-notice">We use</div>
@@ -85,13 +87,49 @@ def test_known_shapes():
 
 def test_random_strings_and_exclusions():
     rng = random.Random(3)
+    found = lambda r: bool(secrets.random_spans(f"a {r} b", [], ENCODER))
     for alphabet in (string.ascii_letters + string.digits, string.ascii_letters, string.ascii_uppercase + string.digits):
-        runs = ["".join(rng.choice(alphabet) for _ in range(32)) for _ in range(100)]
-        assert sum(bool(secrets.random_spans(f"a {r} b", [], ENCODER)) for r in runs) >= 97
-    plain = ["d41d8cd98f00b204e9800998ecf8427e", "123e4567-e89b-12d3-a456-426614174000", "4111-1111-1111-1111-2222", "some_long_identifier_name_2020", "internationalization", "path/to/some/document/of/2021"]
+        for size in (16, 20, 32):
+            assert sum(found("".join(rng.choice(alphabet) for _ in range(size))) for _ in range(100)) >= 97
+    for alphabet, mark in itertools.product((string.ascii_letters + string.digits, string.ascii_lowercase), ".-"):
+        assert sum(found(mark.join("".join(rng.choice(alphabet) for _ in range(12)) for _ in range(3))) for _ in range(100)) >= 97
+    assert not found("".join(rng.choice(string.ascii_letters) for _ in range(15)))
+    plain = ["192.168.100.200", "www.example.com/images/header.png", "com.example.project.module.ClassName", "MAX_BUFFER_SIZE_LIMIT", "d41d8cd98f00b204e9800998ecf8427e", "123e4567-e89b-12d3-a456-426614174000", "4111-1111-1111-1111-2222", "some_long_identifier_name_2020", "internationalization", "path/to/some/document/of/2021"]
     assert not any(secrets.random_spans(f"a {r} b", [], ENCODER) for r in plain)
     key = "x9Kq2LmZt7Vb4NcR8pWyE3uH"
-    assert secrets.random_spans(key, [("assign", 0, 5)], ENCODER) == []
+    assert secrets.random_spans(key, [("assign", 0, 5)], ENCODER) == [("random", 5, 24)]
+    assert secrets.random_spans(key, [("assign", 0, 9)], ENCODER) == []
+    assert secrets.random_spans(key, [("assign", 6, 7), ("hex", 8, 10)], ENCODER) == []
+
+
+def test_random_spans_of_texts_with_many_known_shapes():
+    """All parts of runs outside the known shapes, against a walk over every character."""
+    rng = random.Random(8)
+    part = lambda: "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(rng.randint(10, 40)))
+    for _ in range(40):
+        text = " ".join(rng.choice([f'token = "{part()}"', part(), f"{part()}deadbeefdeadbeef01{part()}", "word.", f"{part()}.{part()}"]) for _ in range(30))
+        base = secrets.base_spans(text)
+        free = "".join(" " if any(a <= i < b for _, a, b in base) else c for i, c in enumerate(text))
+        want = []
+        for m in re.finditer(r"[A-Za-z0-9+/_=-]+(?:\.[A-Za-z0-9+/_=-]+)*", free):
+            n = len(ENCODER.encode_ordinary(m[0]))
+            whole = re.search(r"[A-Za-z0-9+/_=.-]*$", text[: m.start()])[0] + re.match(r"[A-Za-z0-9+/_=.-]*", text[m.start() :])[0]
+            if len(m[0]) >= 16 and len(whole) >= 16 and not secrets.is_known(m[0], ENCODER) and len(m[0]) < n * (2.0 if len(m[0]) >= 20 else 1.75):
+                want.append(("random", m.start(), m.end()))
+        assert secrets.random_spans(text, base, ENCODER) == want
+
+
+def test_registered_query_against_the_stated_shapes(spark):
+    folder = "/root/testdata/sf0.01"
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    rows = QUERIES["op4_secrets"](spark, folder).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(docs)
+    for r in rows:
+        spans = literal(docs[r.doc_id])
+        assert [sum(k == kind for k, _, _ in spans) for kind in secrets.BASE_KINDS] == [r.n_assign, r.n_access, r.n_hex]
+        base = ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(spans, key=lambda s: (s[1], secrets.KINDS.index(s[0]))))
+        assert r.base_sha256 == hashlib.sha256(base.encode()).hexdigest()
+        assert [s for s in r.spans.split(",") if not s.startswith("random")] == base.split(",")
 
 
 def test_report(spark, odd_docs, no_docs):
