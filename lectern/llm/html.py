@@ -2,15 +2,25 @@
 
 Pages of one host repeat what is not their article. Every block element's
 subtree is hashed, the hashes are counted per host over distinct pages, and
-subtrees that recur across many pages of their host are deleted. What is left
-loses the elements that never hold the article (navigation, forms, notices,
-reader comments and so on, by element, role, class or id), and of the rest the
-article, else the main element, else the body is written out block by block.
+subtrees that recur across many pages of their host are deleted, before any
+other choice is made. What is left loses the elements that never hold the
+article (navigation, forms, notices, reader comments and so on, by element,
+role, class or id), and of the rest the article, else the main element, else
+the body is written out block by block.
+
+How often is often: a block of a few words may come again by chance, so it is a
+template only if most pages of the host have it; a longer one needs a smaller
+share, and a larger one within an article or main element than outside.
+
+The templates are broadcast while their size is below a bound. Beyond it each
+page meets only its own subtrees' templates, in joins whose keys are subtrees
+and pages, never hosts.
 
 Defined results: null html is the empty page and gives the empty text; a null
 or odd url belongs to the host ''; pages of any length are parsed whole, broken
 markup included; an empty table gives an empty table; repeated pages count once
-for the templates and are extracted row by row; other columns are not looked at.
+for the templates and are extracted row by row; other columns are not looked
+at, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,14 +33,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import cut
+from lectern.llm.common import cut, rejoin
 
-#: A subtree is a template if it is on so many distinct pages of its host at least,
-LEAST_PAGES = 8
-#: and on this share of them; inside the article the second share holds.
-SHARE, ARTICLE_SHARE = 0.5, 0.8
-#: (host, hash) rows up to which the templates are broadcast: 200,000 x 40 B, 8 MB.
-BROADCAST_ROWS = 200_000
+#: A subtree is a template from (distinct pages of its host, share of them, words) on, one of:
+OUTSIDE = ((3, 0.8, 0), (8, 0.1, 3))
+#: and inside an article or main element, one of:
+INSIDE = ((8, 0.8, 0), (30, 0.3, 5))
+#: Subtrees of an output batch; bounds the memory of a worker.
+OUT_ROWS = 8192
+#: Bytes of templates up to which they are broadcast, and bytes of one: its hash, its place in a set, its share of the host's name.
+BROADCAST_BYTES, TEMPLATE_BYTES = 32 << 20, 160
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -67,7 +79,7 @@ _NAMES = frozenset(
 _KEPT = frozenset("html body main article".split())
 _TAG = re.compile(r"""<(?:!--(.*?)(?:-->|--!>|$)|[!?][^>]*(?:>|$)|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|$))""", re.S)
 _ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
-_SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
+_SPLIT = re.compile(r"[^A-Za-z0-9]+|(?<=[a-z])(?=[A-Z])")
 _SPACE = re.compile(r"[ \t\n\r\f\v\xa0\s]+")
 _HOST = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)")
 
@@ -94,7 +106,7 @@ def _never(name: str, source: str) -> bool:
         return True
     if "display:none" in a.get("style", "").replace(" ", "").lower():
         return True
-    words = {w.lower() for w in re.split(r"[^A-Za-z0-9]+|(?<=[a-z])(?=[A-Z])", a.get("class", "") + " " + a.get("id", ""))}
+    words = {w.lower() for w in _SPLIT.split(a.get("class", "") + " " + a.get("id", ""))}
     return not words.isdisjoint(_NAMES)
 
 
@@ -152,10 +164,10 @@ def _close(stack: list[Node], names: tuple, bounds: tuple) -> None:
         del stack[found:]
 
 
-def hashes(root: Node) -> dict[int, tuple[int, bool]]:
-    """By id of each block element: the hash of its subtree, and if it is in an article."""
-    out: dict[int, tuple[int, bool]] = {}
-    done: dict[int, str] = {}
+def hashes(root: Node) -> dict[int, tuple[int, bool, int]]:
+    """By id of each block element: the hash of its subtree, if it is in an article, and its words."""
+    out: dict[int, tuple[int, bool, int]] = {}
+    done: dict[int, tuple[str, int]] = {}
     work = [(root, False, False)]
     while work:  # no recursion: markup may be nested deeply
         node, inside, ready = work.pop()
@@ -164,13 +176,19 @@ def hashes(root: Node) -> dict[int, tuple[int, bool]]:
             work.append((node, inside, True))
             work += [(x, inside_own, False) for x in node.items if isinstance(x, Node)]
             continue
-        parts = [node.name]
+        parts, words = [node.name], 0
         for x in node.items:
-            parts.append(done.pop(id(x)) if isinstance(x, Node) else " ".join(x.split()))
+            if isinstance(x, Node):
+                part, n = done.pop(id(x))
+            else:
+                own = x.split()
+                part, n = " ".join(own), len(own)
+            parts.append(part)
+            words += n
         h = xxhash.xxh64_intdigest("\x00".join(parts))
-        done[id(node)] = f"\x01{h:x}"
+        done[id(node)] = f"\x01{h:x}", words
         if node.name in _BLOCK:
-            out[id(node)] = (h - (1 << 64) if h >= 1 << 63 else h, inside)
+            out[id(node)] = (h - (1 << 64) if h >= 1 << 63 else h, inside, words)
     return out
 
 
@@ -221,7 +239,7 @@ def _all(root: Node, name: str, gone: set[int]) -> list[Node]:
 def main_text(source: str | None, templates: frozenset[tuple[int, bool]] | set = frozenset()) -> str:
     """Blocks of the article, joined by line feeds."""
     root = parse(source or "")
-    gone = {k for k, v in hashes(root).items() if v in templates} if templates else set()
+    gone = {k for k, v in hashes(root).items() if v[:2] in templates} if templates else set()
     for name in ("article", "main"):
         blocks = [b for top in _all(root, name, gone) for b in _blocks(top, gone)]
         if blocks:
@@ -234,50 +252,83 @@ def host(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
-def templates(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """Recurring subtrees: host, hash, inside (an article). Pages of the same content count once."""
+def _subtrees(pages: DataFrame, url: str, html: str) -> DataFrame:
+    """(host, hash, inside, words, page, p1, p2) of the subtrees of each page, each once; hash 0 stands for the page.
+
+    page is the hash of the parsed page, p1 and p2 name the source.
+    """
+
+    types = (pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+
+    def flushed(rows):
+        cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
+        rows.clear()
+        return pa.RecordBatch.from_arrays(cols, names=["host", "hash", "inside", "words", "page", "p1", "p2"])
 
     def run(batches):
+        rows: list[tuple] = []
         for batch in batches:
-            cols: tuple[list, ...] = ([], [], [], [])
-            for u, source in zip(batch.column(0), batch.column(1), strict=True):
-                root, own = parse(source.as_py() or ""), host(u.as_py())
-                found = hashes(root)
+            for u, source, p1, p2 in zip(*batch.columns, strict=True):
+                root, same = parse(source.as_py() or ""), (p1.as_py(), p2.as_py())
+                found, own = hashes(root), host(u.as_py())
                 page = found.pop(id(root))[0]
-                for h, inside in {(0, False), *found.values()}:
-                    for col, v in zip(cols, (own, h, inside, page), strict=True):
-                        col.append(v)
-            types = (pa.string(), pa.int64(), pa.bool_(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["host", "hash", "inside", "page"])
-
-    counts = (
-        pages.select(url, html)
-        .mapInArrow(run, "host string, hash long, inside boolean, page long")
-        .groupBy("host", "hash", "inside")
-        .agg(F.count_distinct("page").alias("n"))
-        .where(F.col("n") >= LEAST_PAGES)
-    )
-    counts = cut(counts)
+                rows += [(own, *x, page, *same) for x in {(0, False, 0), *found.values()}]
+                if len(rows) >= OUT_ROWS:  # a page's own subtrees and so many at most
+                    yield flushed(rows)
+        if rows:
+            yield flushed(rows)
+
+    kinds = "host string, hash long, inside boolean, words long, page long, p1 long, p2 long"
+    return pages.select(url, html, *_source(html)).mapInArrow(run, kinds)
+
+
+def _source(html: str):
+    """128 bits that name the source of a page."""
+    own = F.coalesce(F.col(html), F.lit(""))
+    return F.xxhash64(own).alias("p1"), F.xxhash64(F.lit(1), own).alias("p2")
+
+
+def templates(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+    """Recurring subtrees: host, hash, inside (an article). Pages of the same content count once."""
+    seen = _subtrees(pages, url, html).select("host", "hash", "inside", "words", "page")
+    least = min(n for n, _, _ in OUTSIDE + INSIDE)
+    counts = cut(seen.groupBy("host", "hash", "inside", "words").agg(F.count_distinct("page").alias("n")).where(F.col("n") >= least))
     every = counts.where("hash = 0").select("host", F.col("n").alias("pages"))
-    share = F.when(F.col("inside"), F.lit(ARTICLE_SHARE)).otherwise(F.lit(SHARE))
-    return counts.where("hash != 0").join(every, "host").where(F.col("n") >= share * F.col("pages")).select("host", "hash", "inside")
+
+    def often(rules):
+        n, share, words = F.col("n"), F.col("n") / F.col("pages"), F.col("words")
+        found = F.lit(False)
+        for least_n, least_share, least_words in rules:
+            found = found | ((n >= least_n) & (share >= least_share) & (words >= least_words))
+        return found
+
+    rows = rejoin(counts.where("hash != 0"), every, ["host"])
+    return rows.where(F.when(F.col("inside"), often(INSIDE)).otherwise(often(OUTSIDE))).select("host", "hash", "inside").distinct()
 
 
-def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", broadcast_bytes: int | None = None) -> DataFrame:
     """Per row: key, url and its main text."""
+    bound = BROADCAST_BYTES if broadcast_bytes is None else broadcast_bytes
     recurring = cut(templates(pages, url, html))
-    small = recurring.count() <= BROADCAST_ROWS
-    by_host = recurring.groupBy(F.col("host").alias("__host")).agg(F.collect_set(F.struct("hash", "inside")).alias("__gone"))
-    own_host = F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), _HOST.pattern, 1))
-    rows = pages.select(F.col(key).alias("__key"), F.col(url).alias("__url"), F.col(html).alias("__html"), own_host.alias("__host"))
-    rows = rows.join(F.broadcast(by_host) if small else by_host, "__host", "left").select("__key", "__url", "__html", "__gone")
+    rows = pages.select(F.col(key).alias("k"), F.col(url).alias("u"), F.col(html).alias("h"))
+    kinds = [rows.schema[c].dataType.simpleString() for c in ("k", "u")]
+    if recurring.count() * TEMPLATE_BYTES <= bound:
+        by_host: dict[str, set] = {}
+        for r in recurring.collect():
+            by_host.setdefault(r["host"], set()).add((r["hash"], r["inside"]))
+        shared = pages.sparkSession.sparkContext.broadcast(by_host)
+        gone_of = lambda u, _: shared.value.get(host(u.as_py()), ())
+    else:
+        own = rejoin(_subtrees(pages, url, html), recurring, ["host", "hash", "inside"])
+        gone = own.groupBy("host", "p1", "p2").agg(F.collect_set(F.struct("hash", "inside")).alias("gone"))
+        own_host = F.lower(F.regexp_extract(F.coalesce(F.col("u"), F.lit("")), _HOST.pattern, 1)).alias("host")
+        rows = rejoin(rows.select("*", own_host, *_source("h")), gone, ["host", "p1", "p2"], "left").select("k", "u", "h", "gone")
+        gone_of = lambda _, gone: {(g["hash"], g["inside"]) for g in gone.as_py() or ()}
 
     def run(batches):
         for batch in batches:
-            texts = []
-            for source, gone in zip(batch.column(2), batch.column(3), strict=True):
-                texts.append(main_text(source.as_py(), {(g["hash"], g["inside"]) for g in gone.as_py() or ()}))
+            last = batch.column(batch.num_columns - 1)  # the templates of the page, where they were joined
+            texts = [main_text(source.as_py(), gone_of(u, g)) for u, source, g in zip(batch.column(1), batch.column(2), last, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["k", "u", "t"])
 
-    kinds = [rows.schema[c].dataType.simpleString() for c in ("__key", "__url")]
     return rows.mapInArrow(run, f"k {kinds[0]}, u {kinds[1]}, t string").toDF(key, url, "text")

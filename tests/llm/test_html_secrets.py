@@ -3,6 +3,7 @@ import itertools
 import random
 import re
 import string
+from html.parser import HTMLParser
 
 import public_tokenizers as P
 import pytest
@@ -61,6 +62,78 @@ def test_templates_go_and_articles_stay(spark):
     assert {i: got[i] for i in want} == want
     assert got[90] == "" and got[91] == "x" and "All of a.example" in got[55]
     assert html.extract(df.where("false")).count() == 0
+    joined = html.extract(df, broadcast_bytes=0)
+    assert sorted(map(tuple, joined.collect()), key=str) == sorted(map(tuple, rows), key=str)
+    assert html.extract(df.where("false"), broadcast_bytes=0).count() == 0
+
+
+def _boxed(rng, n):
+    """Pages of one host with recurring boxes that neither element, role, class nor id gives away, and their texts."""
+    say = lambda k: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(k))
+    box, aside, inner, pages, want = say(9), say(7), say(8), [], {}
+    for i in range(n):
+        own = [say(20), say(15)]
+        body = f"<p>{own[0]}</p>" + (f"<div><p>{inner}</p></div>" if i % 2 else "") + f"<p>{own[1]}</p><p>ok</p>"
+        body = f"<article>{body}</article>" if i % 3 else f"<div>{body}</div>"
+        pages.append((i, "http://big.example/", f"<body>{f'<div>{box}</div>' if i % 5 < 2 else ''}{body}<div><span>{aside}</span></div></body>"))
+        want[i] = "\n".join([*own, "ok"])
+    return pages, want
+
+
+@pytest.mark.parametrize("bytes_", [None, 0])
+def test_recurring_boxes_inside_and_without_an_article(spark, bytes_):
+    pages, want = _boxed(random.Random(6), 120)
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").selectExpr("*", "'x' as k", "1 as host", "2 as gone", "3 as p1", "4 as text")
+    got = {r.page_id: r.text for r in html.extract(df, broadcast_bytes=bytes_).collect()}
+    # the box on two pages of five, the one on all and the one within go; `ok` is too short to tell
+    assert got == want
+    without = {i: html.main_text(source) for i, _, source in pages}
+    assert sum(without[i] != got[i] for i in want) > 60
+
+
+def test_few_words_stay_unless_most_pages_have_them(spark):
+    pages = [(i, "http://t.example/", f"<body><table><tr><td>{'yes' if i % 3 else 'no'}<td>number {i}</table></body>") for i in range(60)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in html.extract(df).collect()} == {i: f"{'yes' if i % 3 else 'no'}\nnumber {i}" for i, _, _ in pages}
+
+
+class Plain(HTMLParser):
+    """The article by another parser: enough for the pages of the tables, which are well formed there."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.blocks, self.inside, self.skip = [[]], 0, 0
+
+    def handle_starttag(self, tag, attrs):
+        self.inside += tag == "article"
+        self.skip += tag in ("script", "style", "form", "aside", "nav")
+        if tag == "br":
+            self.blocks[-1].append(" ")
+        elif tag not in ("b", "i", "a", "em", "span", "strong"):
+            self.blocks.append([])
+
+    def handle_endtag(self, tag):
+        self.inside -= tag == "article"
+        self.skip -= tag in ("script", "style", "form", "aside", "nav")
+        if tag not in ("b", "i", "a", "em", "span", "strong"):
+            self.blocks.append([])
+
+    def handle_data(self, data):
+        if self.inside and not self.skip:
+            self.blocks[-1].append(data)
+
+
+def test_registered_query_against_another_parser(spark):
+    folder = "/root/testdata/sf0.01"
+    pages = spark.read.parquet(f"{folder}/pages.parquet").collect()
+    rows = QUERIES["op1_main_text"](spark, folder).collect()
+    assert len(rows) == len(pages) and all(r.n_chars == len(r.text) for r in rows)
+    got = {(r.page_id, r.url): r.text for r in rows}
+    for p in pages:
+        plain = Plain()
+        plain.feed(p.html or "")
+        plain.close()
+        assert got[p.page_id, p.url] == "\n".join(t for b in plain.blocks if (t := " ".join("".join(b).split())))
 
 
 # -- secrets --------------------------------------------------------------------------------------
