@@ -86,6 +86,72 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    # Targets by the level at which sources fill up; multipliers by halving; copies class by class.
+    "op2_mixing": r"""
+        WITH RECURSIVE d AS (
+            SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, md5(coalesce(text, '')) AS mark FROM documents
+        ), s AS (
+            SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS i FROM d GROUP BY source
+        ), r AS (
+            SELECT *, CAST(i % 3 + 1 AS DOUBLE) AS weight, 3.0::DOUBLE * source_size AS bound, CAST(sum(source_size) OVER () AS DOUBLE) AS total FROM s
+        ), o AS (
+            SELECT *, bound / weight AS full_at,
+                   (total - coalesce(sum(bound) OVER (ORDER BY bound / weight, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+                   / sum(weight) OVER (ORDER BY bound / weight, i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM r
+        ), goal AS (
+            -- the level at which the sources that are not full share what the full ones leave
+            SELECT source, source_size, least(bound, weight * coalesce((SELECT level FROM o WHERE level <= full_at ORDER BY full_at, i LIMIT 1), 0)) AS target FROM o
+        ), h AS (
+            SELECT source, CAST(size AS DOUBLE) AS size, count(*) AS n FROM d WHERE size > 0 GROUP BY ALL
+        ), halved AS (
+            SELECT source, target, least(0, ln(target / source_size)) AS lo, CAST(ln(3) AS DOUBLE) AS hi, 0 AS k FROM goal WHERE source_size > 0
+            UNION ALL
+            SELECT source, target, CASE WHEN taken < target THEN mid ELSE lo END, CASE WHEN taken < target THEN hi ELSE mid END, k + 1
+            FROM (
+                SELECT b.source, any_value(target) AS target, any_value(lo) AS lo, any_value(hi) AS hi, any_value(k) AS k, any_value((lo + hi) / 2) AS mid,
+                       sum(n * size * least(3, exp(least((lo + hi) / 2 * size, 2)))) AS taken
+                FROM halved b JOIN h ON h.source IS NOT DISTINCT FROM b.source WHERE k < 90 GROUP BY b.source
+            )
+        ), tilt AS (
+            SELECT source, CASE WHEN target >= 3 * source_size THEN ln(3) ELSE m END AS m, source_size, target
+            FROM goal LEFT JOIN (SELECT source AS s2, lo AS m FROM halved WHERE k = 90) ON s2 IS NOT DISTINCT FROM source
+        ), rated AS (
+            SELECT doc_id, d.source, size, source_size, target, CASE WHEN size = 0 THEN 0.0 WHEN m * size >= ln(3) THEN 3.0 ELSE round(exp(m * size), 9) END AS rate,
+                   md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|' || size || '|' || mark) AS hash
+            FROM d JOIN tilt t ON t.source IS NOT DISTINCT FROM d.source
+        ), dealt AS (
+            SELECT *, CAST(floor(rate) AS INT) AS whole, rate - floor(rate) AS part, CASE WHEN rate > floor(rate) THEN CAST(floor(log2(size) * 4) AS INT) ELSE -1 END AS class,
+                   CAST('0x' || hash[1:8] AS BIGINT) % (SELECT greatest(1, ceil(count(*) / 4000.0)) FROM d)::BIGINT AS bucket
+            FROM rated
+        ), classes AS (
+            SELECT source, class, whole, count(*) AS n, sum(size) AS w, CAST(sum(CAST(part * size AS DECIMAL(38, 10))) AS DOUBLE) AS want,
+                   row_number() OVER (PARTITION BY source ORDER BY class DESC, whole DESC) AS i
+            FROM dealt WHERE class >= 0 GROUP BY source, class, whole
+        ), folded AS (
+            SELECT source, class, whole, i, least(greatest(round(want * n / w), 0), n) AS extra, want - least(greatest(round(want * n / w), 0), n) * w / n AS carry FROM classes WHERE i = 1
+            UNION ALL
+            SELECT c.source, c.class, c.whole, c.i, least(greatest(round((want + carry) * n / w), 0), n), want + carry - least(greatest(round((want + carry) * n / w), 0), n) * w / n
+            FROM folded f JOIN classes c ON c.source IS NOT DISTINCT FROM f.source AND c.i = f.i + 1
+        ), wide AS (
+            SELECT ceil(sqrt(greatest(1, ceil(count(*) / 4000.0))))::BIGINT AS wide FROM d
+        ), cells AS (
+            SELECT source, class, whole, bucket, bucket // wide AS block, count(*) AS n FROM dealt, wide WHERE class >= 0 GROUP BY ALL
+        ), blocks AS (
+            SELECT b.*, CAST(extra AS BIGINT) AS extra, sum(n) OVER (g ORDER BY block) AS upto, sum(n) OVER (g) AS every
+            FROM (SELECT source, class, whole, block, sum(n)::BIGINT AS n FROM cells GROUP BY ALL) b
+            JOIN folded f ON f.source IS NOT DISTINCT FROM b.source AND f.class = b.class AND f.whole = b.whole
+            WINDOW g AS (PARTITION BY b.source, b.class, b.whole)
+        ), shares AS (
+            SELECT c.*, extra * b.upto // b.every - extra * (b.upto - b.n) // b.every AS own, sum(c.n) OVER (g ORDER BY bucket) AS upto, sum(c.n) OVER (g) AS every
+            FROM cells c JOIN blocks b ON c.source IS NOT DISTINCT FROM b.source AND c.class = b.class AND c.whole = b.whole AND c.block = b.block
+            WINDOW g AS (PARTITION BY c.source, c.class, c.whole, c.block)
+        ), placed AS (
+            SELECT d.*, coalesce(own * upto // every - own * (upto - n) // every, 0) AS extra,
+                   row_number() OVER (PARTITION BY d.source, d.class, d.whole, d.bucket ORDER BY hash, doc_id, size) AS place
+            FROM dealt d LEFT JOIN shares s ON s.source IS NOT DISTINCT FROM d.source AND s.class = d.class AND s.whole = d.whole AND s.bucket = d.bucket
+        )
+        SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST((whole + CASE WHEN place <= extra THEN 1 ELSE 0 END) * size AS BIGINT) AS taken FROM placed
+    """,
     # A run of 50 words that repeats is made of shortest windows of 50 words, forward and backward, that repeat.
     "op7_line_dedup": r"""
         WITH d AS (
