@@ -29,14 +29,14 @@ def usable(vectors: DataFrame, key: str, vector: str, zero_too: bool = True) ->
     return rows.where(v.isNotNull() & ok).withColumn("dim", F.size("v"))
 
 
-def search(rows: DataFrame, is_query: Column, k: int, best: Callable, least_first: bool, score: str) -> DataFrame:
+def search(rows: DataFrame, is_query: Column, k: int, best: Callable, least_first: bool, score: str, shard_rows: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score of the k best of each query among the other rows of its length.
 
     best(query_ids, queries, ids, vectors) yields (query_id, ids, scores) with
     the k best of a block of either; ties go to the smaller id.
     """
     total, wanted = rows.select(F.count(F.lit(1)), F.count_if(is_query)).first()
-    shards, blocks = max(1, math.ceil(total / SHARD_ROWS)), max(1, math.ceil(wanted / BLOCK_QUERIES))
+    shards, blocks = max(1, math.ceil(total / (shard_rows or SHARD_ROWS))), max(1, math.ceil(wanted / BLOCK_QUERIES))
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     shard, block = F.pmod(F.xxhash64("id", F.lit("shard")), F.lit(shards)).cast("int"), F.pmod(F.xxhash64("id", F.lit("block")), F.lit(blocks)).cast("int")
     data = rows.select("id", "v", "dim", shard.alias("shard"), each(blocks).alias("block"))

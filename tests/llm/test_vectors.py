@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lectern.llm import blocks, mih, topk
+from lectern.llm.queries import QUERIES
 
 SCHEMA = "vec_id long, embedding array<float>, score double, id string"
 
@@ -42,7 +43,7 @@ def test_topk_is_exact(spark, monkeypatch, shard):
 
 
 def test_nearest_are_found(spark, monkeypatch):
-    monkeypatch.setattr(blocks, "SHARD_ROWS", 64)
+    monkeypatch.setattr(mih, "SHARD_ROWS", 64)
     rows = odd_rows()
     got = mih.search(table(spark, rows), F.col("id") % 50 == 0, 10).collect()
     own = usable(rows, False)
@@ -63,9 +64,48 @@ def test_probing_finds_every_code_within_the_radius():
     codes = np.concatenate([base ^ (np.uint16(1) << rng.integers(0, 16, size=base.shape, dtype=np.uint16)) for _ in range(40)])
     index = mih.Index(codes)
     for radius in (0, 3, 4, 9, 20, 64):
-        rows, far = index.within(base[0], radius)
         true = np.bitwise_count(codes ^ base[0]).sum(1)
-        assert rows.tolist() == np.flatnonzero(true <= radius).tolist() and far.tolist() == true[rows].tolist()
+        assert index.within(base[0], radius).tolist() == np.flatnonzero(true <= radius).tolist()
+    assert sum(x + 1 for x in mih.radii(13, 4)) == 14 and mih.radii(2, 4) == [0, 0, 0, -1]
+
+
+def test_registered_query_against_brute_force(spark):
+    folder = "/root/testdata/sf0.1"
+    own = {r.vec_id: np.asarray(r.embedding, float) for r in spark.read.parquet(f"{folder}/embeddings.parquet").collect()}
+    ids, x = np.array(sorted(own)), np.stack([own[i] for i in sorted(own)])
+    got = {}
+    for r in QUERIES["op8_multi_index"](spark, folder).collect():
+        got.setdefault(r.query_id, []).append(r)
+    hits = total = 0
+    for q in ids[ids % 100 == 0].tolist():
+        far = np.sqrt(((x - own[q]) ** 2).sum(1))
+        near = [int(i) for i in ids[np.lexsort((ids, far))] if i != q][:10]
+        mine = sorted(got[q], key=lambda r: r.rank)
+        assert [r.rank for r in mine] == list(range(1, 11)) and all(r.score == far[np.searchsorted(ids, r.vec_id)] for r in mine)
+        hits, total = hits + len({r.vec_id for r in mine} & set(near)), total + 10
+    assert len(got) == (ids % 100 == 0).sum() and hits >= 0.9 * total
+
+
+def test_probes_of_clustered_vectors_touch_few_rows():
+    rng = np.random.default_rng(5)
+    x = (rng.normal(size=(200, 32)).repeat(20, 0) + 0.2 * rng.normal(size=(4000, 32))).round(6)
+    codes = mih.fit(x, 10)
+    own = codes.encode(x)
+    index = mih.Index(own)
+    shares, hits = [], 0
+    for i in range(0, 4000, 40):
+        shares.append(len(index.probe(own[i], codes.radius)) / len(x))
+        far = ((x - x[i]) ** 2).sum(1)
+        hits += np.isin(np.argsort(far)[1:11], index.within(own[i], codes.radius)).sum()
+    assert np.mean(shares) < 0.2 and hits >= 0.9 * 1000
+
+
+def test_huge_components(spark):
+    rows = [(0, [1e300, -1e300]), (1, [1e300, 1.0]), (2, [1.0, 1.0]), (50, [1.7e308, 1.7e308]), (3, [2.0**40, 2.0**40])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(r.query_id, r.vec_id): r.score for r in topk.search(df, F.col("id") % 50 == 0, 5).collect()}
+    assert got[0, 1] == got[50, 1] == 2**63 - 1 and got[0, 2] == 0 and got[0, 3] == 0 and len(got) == 8
+    assert mih.search(df, F.col("id") % 50 == 0, 3).count() == 6
 
 
 def test_empty_tables(spark):
