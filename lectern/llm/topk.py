@@ -7,8 +7,9 @@ below; more segments bound tighter. Each block is filtered coarse to fine
 against the k-th best score known so far, and only survivors get exact scores.
 
 Defined results: vectors that are null, empty or hold null or non-finite
-components take no part; a query is compared with rows of its own length and
-not with rows of its own id; repeated rows count once; ties go to the smaller
+components take no part; 256 x beyond the largest double counts as that, and a
+score beyond a long as the outermost long; a query is compared with rows of its
+own length and not with rows of its own id; repeated rows count once; ties go to the smaller
 id; with fewer than k candidates all are returned; an empty table gives an
 empty table; columns beside key and vector are not looked at.
 """
@@ -35,12 +36,14 @@ def best_products(k: int):
     """The search of one block, for blocks.search."""
 
     def best(query_ids, queries, ids, vectors):
-        q, q_ids = blocks.collapse(query_ids, np.floor(256 * queries), len(query_ids))
-        x, x_ids = blocks.collapse(ids, np.floor(256 * vectors), k + 1)
-        levels = [s for s in SEGMENTS if s < x.shape[1]]
+        q, q_ids = blocks.collapse(query_ids, _scaled(queries), len(query_ids))
+        x, x_ids = blocks.collapse(ids, _scaled(vectors), k + 1)
+        with np.errstate(over="ignore"):
+            largest = np.abs(q).max() * np.abs(x).max() * x.shape[1]
+        levels = [s for s in SEGMENTS if s < x.shape[1]] if largest < 2**63 else []
         sums = [_summary(x, s) for s in levels]
-        exact = lambda a, b: _exact(a, b)
-        slack = 1e-9 * (1 + np.abs(q).max() * np.abs(x).max() * x.shape[1])
+        exact = lambda a, b: _exact(a, b, largest)
+        slack = 1e-9 * (1 + largest)
         few = min(k + 1, len(x))
         for at in range(0, len(q), STEP):
             part = q[at : at + STEP]
@@ -68,11 +71,19 @@ def best_products(k: int):
     return best
 
 
-def _exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Integer products; by floating point where that is exact."""
-    if a.size and b.size and np.abs(a).max() * np.abs(b).max() * a.shape[1] < 2**53:
+def _scaled(x: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return np.nan_to_num(np.floor(256 * x))
+
+
+def _exact(a: np.ndarray, b: np.ndarray, largest: float) -> np.ndarray:
+    """Integer products, none above `largest`; by floating point where that is exact."""
+    if largest < 2**53:
         return (a @ b.T).astype(np.int64)
-    return a.astype(np.int64) @ b.astype(np.int64).T
+    if largest < 2**63:
+        return a.astype(np.int64) @ b.astype(np.int64).T
+    whole = np.vectorize(int, otypes=[object])
+    return np.clip(whole(a) @ whole(b).T, -(2**63), 2**63 - 1).astype(np.int64) if a.size and b.size else np.zeros((len(a), len(b)), np.int64)
 
 
 def _ranked(own, near, score, ids, k):
