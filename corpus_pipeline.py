@@ -5,7 +5,12 @@ of repeated line runs, and documents nothing is left of; copies keeps one
 document of each near-duplicate group; mix takes documents as often as the
 target weights ask; tokens encodes and decodes what was taken.
 
-Rows without a doc_id pass the copies stage, as no group can name them.
+Defined results, beside those of the operators: rows without a doc_id pass the
+copies stage, as no group can name them; rows of one doc_id and different texts
+are documents of their own there, rows of one doc_id and text are one, of which
+the first by its other columns stays; of a group the smallest doc_id stays, and
+of its texts the first by a hash. Null and empty texts are one group there and
+have no words for the mix. Empty tables pass every stage; texts are read whole.
 """
 
 from __future__ import annotations
@@ -13,9 +18,10 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lectern.llm import bpe, lines, mixing, quality, simhash
-from lectern.llm.common import crc_mod, table
+from lectern.llm.common import crc_mod, free_name, table
 from lectern.llm.queries import VOCABULARY
 from lectern.session import reachable
 
@@ -23,21 +29,29 @@ from lectern.session import reachable
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     reachable(spark)
     model = quality.fit(docs, table(spark, sf_dir, "labels"), crc_mod("doc_id", 3) != 1)
-    return quality.score(docs, model, out="__score").where("__score >= 0.5").select(*docs.columns)
+    score = free_name("__score", docs.columns)
+    return quality.score(docs, model, out=score).where(F.col(score) >= 0.5).select(*docs.columns)
 
 
 def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    rest = lines.dedup(docs, removed="__removed")
-    n_chars = F.when(F.col("__removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
-    return rest.where("text is null or __removed = 0 or text != ''").withColumn("n_chars", n_chars).select(*docs.columns)
+    name = free_name("__removed", docs.columns)
+    rest, removed = lines.dedup(docs, removed=name), F.col(name)
+    n_chars = F.when(removed > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
+    return rest.where(F.col("text").isNull() | (removed == 0) | (F.col("text") != "")).withColumn("n_chars", n_chars).select(*docs.columns)
 
 
 def copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     reachable(spark)
-    found = simhash.similar_documents(docs, words=5, least=0.8)
-    first = found.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    name, place = free_name("__name", docs.columns), free_name("__place", docs.columns)
+    # a name for id and text that sorts like the id
+    shifted = F.lpad((F.col("doc_id").cast("decimal(20,0)") + F.lit(str(2**63)).cast("decimal(20,0)")).cast("string"), 20, "0")
+    named = docs.where("doc_id is not null").withColumn(name, F.concat_ws("-", shifted, F.lower(F.hex(F.xxhash64("text", "doc_id")))))
+    found = simhash.similar_documents(named, words=5, least=0.8, key=name)
+    first = found.where(F.col(name) == F.col("component_id")).select(name).distinct()
+    others = [F.col(f.name) for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    own = F.row_number().over(Window.partitionBy(name).orderBy(*others))
+    kept = named.join(first, name, "left_semi").withColumn(place, own).where(F.col(place) == 1)
+    return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
