@@ -1,8 +1,11 @@
 """All queries of the subpackage on small tables, and the pipeline stage by stage."""
 
+import random
+
 import public_tokenizers as P
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lectern.llm import bpe, simhash
@@ -50,6 +53,14 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
     assert sorted((r.doc_id, r.n_tokens) for r in tokens.collect()) == sorted((d, counts[d]) for d in ids(mixed))
 
 
+def test_copies_of_repeated_ids(spark):
+    say = lambda seed: " ".join(f"w{random.Random(seed).randrange(10**6) + i}" for i in range(60))
+    rows = [(1, say(1), "en", "b", 5), (1, say(2), "en", "a", 5), (1, say(1), "en", "a", 5), (2, say(2), "en", "a", 5), (-3, say(1) + " x", "en", "c", 6), (None, say(1), "en", "a", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int")
+    got = corpus_pipeline.copies_stage(spark, docs.withColumn("__name", F.lit(0)), FOLDER).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.text) for r in got) == sorted([(False, -3, rows[4][1]), (False, 1, say(2)), (True, 0, say(1))])
+
+
 def test_pipeline_takes_odd_rows(spark, odd_docs):
     docs = odd_docs.select("doc_id", "text", "source").selectExpr("doc_id", "text", "'en' as lang", "source", "cast(length(text) as long) as n_chars")
     for docs_ in (docs, docs.where("false")):
