@@ -26,6 +26,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -60,20 +61,30 @@ def features(words: set[str]) -> list[str]:
     return [*words, *("^" + w[:k] for k in STEMS for w in words if len(w) >= k)]
 
 
+def roots_of(known: Iterable[str]) -> frozenset[str]:
+    """The first letters of these features: a word that begins otherwise has none of them."""
+    return frozenset(f.removeprefix("^")[: STEMS[0]] for f in known)
+
+
+def rooted(words: set[str], roots: frozenset[str]) -> set[str]:
+    return {w for w in words if w[: STEMS[0]] in roots}
+
+
 @dataclass(frozen=True)
 class BagModel:
     """A sentence's logit is bias + the weights of the features of its distinct words."""
 
     bias: float = -30.0
     weights: dict[str, float] = field(default_factory=dict)
+    roots: frozenset[str] = frozenset()  # of the features, see roots_of
 
     def sentences(self, text: str | None) -> list[tuple[int, int, float]]:
         """(start, end, probability) of each sentence with a feature of the vocabulary."""
         found, text = [], text or ""
-        if self.weights.keys().isdisjoint(features({*WORDS.findall(text.lower())})):
+        if not rooted({*WORDS.findall(text.lower())}, self.roots):
             return found
         for m in SENTENCES.finditer(text):
-            known = [self.weights[f] for f in features({*WORDS.findall(m[0].lower())}) if f in self.weights]
+            known = [self.weights[f] for f in features(rooted({*WORDS.findall(m[0].lower())}, self.roots)) if f in self.weights]
             if known:
                 found.append((m.start(), m.end(), float(_sigmoid(self.bias + math.fsum(known)))))
         return found
@@ -131,12 +142,14 @@ def fit(docs: DataFrame, labels: DataFrame, use: Column, key: str = "doc_id", te
         return BagModel(bias=0.0 if sizes.get(1) else -30.0)
     known = vocabulary(sample, sizes)
     number = {w: i for i, (w, _) in enumerate(known)}
+    roots = roots_of(number)
 
     def run(batches):
         for batch in batches:
             bags, times = [], []
             for t in batch.column(1):
-                own = (tuple(sorted(number[f] for f in features({*WORDS.findall(m[0].lower())}) if f in number)) for m in SENTENCES.finditer(t.as_py() or ""))
+                parts = (features(rooted({*WORDS.findall(m[0].lower())}, roots)) for m in SENTENCES.finditer(t.as_py() or ""))
+                own = (tuple(sorted(number[f] for f in part if f in number)) for part in parts)
                 bag = sorted(Counter(x for x in own if x).items())  # equal sentences count together
                 bags.append([x for x, _ in bag])
                 times.append([n for _, n in bag])
@@ -179,7 +192,8 @@ def _climb(bags: list[dict[tuple, int]], y: np.ndarray, known: list[tuple[str, f
         mean, square = 0.9 * mean + 0.1 * grad, 0.999 * square + 0.001 * grad**2
         rate = RATE if k < 0.6 * STEPS else RATE / 5
         theta = theta + rate * (mean / (1 - 0.9**k)) / (np.sqrt(square / (1 - 0.999**k)) + 1e-9)
-    return BagModel(float(theta[-1]), {word: float(x) for (word, _), x in zip(known, theta, strict=False)})
+    weights = {word: float(x) for (word, _), x in zip(known, theta, strict=False)}
+    return BagModel(float(theta[-1]), weights, roots_of(weights))
 
 
 def score(docs: DataFrame, model: BagModel, text: str = "text", out: str = "score") -> DataFrame:
