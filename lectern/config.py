@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass, fields
+from dataclasses import dataclass, field, fields
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 @dataclass(frozen=True)
@@ -19,6 +21,9 @@ class Knobs:
     max_words: int = 18
     min_words: int = 3
     clause_words: int = 12
+    # recogniser buffer
+    chunk: float = 0.8
+    max_buffer: float = 24.0
     # recogniser doubts
     no_speech: float = 0.65
     marginal_no_speech: float = 0.35
@@ -53,9 +58,20 @@ class Knobs:
     window: float = 1.5
     hop: float = 0.75
     min_voiced: float = 0.6
+    voiced_range_db: float = 35.0
+    voiced_floor_db: float = -55.0
     # scoring
     collar: float = 0.25
     tolerance: float = 0.02
+    # choices: language of the talk, source of sound, who labels speakers, and what they know
+    language: str = ""
+    asr_source: str = "dominant"
+    diarize: str = "embed"
+    look_back: bool = True
+    encoder: str = "spectral"
+    vocabulary: tuple = ()
+    phrases: tuple = ()
+    channels: dict = field(default_factory=dict)
 
     @property
     def frame(self) -> float:
@@ -67,14 +83,45 @@ class Knobs:
 
 
 def load(source: str) -> Knobs:
-    """Knobs from JSON, or from lines of `key: value`; unknown keys are ignored, missing ones keep their default."""
+    """Knobs from JSON, or from lines of `key: value`; unknown keys are ignored, missing ones keep their default.
+
+    In lines, lists and maps are written as in JSON; a list also as `- item`
+    lines under its key, a map as indented `key: value` lines.
+    """
     try:
         given = json.loads(source)
     except ValueError:
-        pairs = (line.split("#")[0].partition(":") for line in source.splitlines())
-        given = {k.strip(): v.strip() for k, sep, v in pairs if sep and v.strip()}
-    kinds = {f.name: type(f.default) for f in fields(Knobs)}
-    return Knobs(**{k: kinds[k](v) for k, v in given.items() if k in kinds})
+        given = _lines(source)
+    start = Knobs()
+    return Knobs(**{f.name: _as(getattr(start, f.name), given[f.name]) for f in fields(Knobs) if given.get(f.name) is not None})
+
+
+def _lines(source: str) -> dict:
+    given: dict = {}
+    key = ""
+    for line in (x.split("#")[0].rstrip() for x in source.splitlines()):
+        inner, text = line[:1].isspace() or line.startswith("- "), line.strip()
+        if inner and text.startswith("- ") and key:
+            given[key] = [*(given.get(key) or []), _bare(text[2:])]
+        elif inner and ":" in text and key:
+            k, _, v = text.partition(":")
+            given[key] = {**(given.get(key) or {}), _bare(k): _bare(v)}
+        elif ":" in text:
+            key, _, v = (x.strip() for x in text.partition(":"))
+            given[key] = json.loads(v) if v[:1] in "[{" and v else _bare(v) or None
+    return given
+
+
+def _bare(text: str) -> str:
+    text = text.strip()
+    return text[1:-1] if len(text) > 1 and text[0] == text[-1] and text[0] in "\"'" else text
+
+
+def _as(default, value):
+    """value in the type of the default."""
+    if isinstance(default, bool):
+        return value if isinstance(value, bool) else str(value).lower() in ("true", "yes", "on", "1")
+    return type(default)(value)
 
 
 #: Language codes of translations.
@@ -83,6 +130,11 @@ LANGS = {
     "pt": "Português", "tr": "Türkçe", "zh": "中文", "ja": "日本語", "ar": "العربية", "uk": "Українська", "pl": "Polski",
 }
 
+def languages(spark: SparkSession) -> DataFrame:
+    """(lang, name) of the languages a viewer may choose."""
+    return spark.createDataFrame([*LANGS.items()], "lang string, name string")
+
+
 #: Phrases that recognisers invent on silence (case-insensitive regular expressions).
 BOILERPLATE = (
     r"субтитр(ы|ов)\s+(сделал|создавал|подготовил|редактор)",

@@ -32,27 +32,31 @@ def build_encoder(name: str) -> Callable[[Column], Column]:
     return encode
 
 
-#: Analysis length, bands and their edges, cepstral coefficients.
+#: Analysis length, bands and their edges, cepstral coefficients, sample rate.
 FFT, BANDS, LOW_HZ, HIGH_HZ, COEFFICIENTS, RATE = 1024, 32, 250.0, 7000.0, 20, 16_000
 
 
 def spectral_encoder() -> Callable[[np.ndarray], np.ndarray | None]:
-    """Shape of the long-term spectrum: log band energies, their cosine transform without the level, at length 1."""
+    """Shape of the long-term spectrum: log band energies, their cosine transform without the level, at length 1.
+
+    Whole stretches of FFT samples, side by side, give the mean spectrum; bands
+    that hold no bin are left out; coefficient i is weighted by i.
+    """
     edges = np.geomspace(LOW_HZ, HIGH_HZ, BANDS + 1)
     hz = np.fft.rfftfreq(FFT, 1 / RATE)
-    band = [np.flatnonzero((hz >= a) & (hz < b)) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-    band = [b for b in band if len(b)]
+    within = (hz >= edges[:-1, None]) & (hz < edges[1:, None])
+    within = within[within.any(1)].astype(float)
     window = np.hanning(FFT)
-    place = (np.arange(len(band)) + 0.5) * np.pi / len(band)
-    basis = np.cos(np.outer(np.arange(1, COEFFICIENTS + 1), place))
-    lift = 1 + 0.5 * COEFFICIENTS * np.sin(np.pi * np.arange(1, COEFFICIENTS + 1) / COEFFICIENTS)
+    place = (np.arange(len(within)) + 0.5) * np.pi / len(within)
+    order = np.arange(1, COEFFICIENTS + 1)
+    basis = np.cos(np.outer(order, place)) * order[:, None]
 
     def encode(pcm: np.ndarray) -> np.ndarray | None:
-        if len(pcm) < FFT:
+        whole = len(pcm) // FFT
+        if not whole:
             return None
-        parts = np.lib.stride_tricks.sliding_window_view(pcm, FFT)[:: FFT // 2]
-        mean = np.abs(np.fft.rfft(parts * window, axis=1)).mean(0)
-        v = (basis @ np.log(np.array([mean[b].mean() for b in band]) + 1e-8)) * lift
+        mean = np.abs(np.fft.rfft(pcm[: whole * FFT].reshape(whole, FFT) * window, axis=1)).mean(0)
+        v = basis @ np.log(within @ mean + 1e-8)
         norm = np.linalg.norm(v)
         return v / norm if norm > 1e-9 else None
 

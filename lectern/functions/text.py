@@ -40,15 +40,17 @@ def ends_sentence(text: Column) -> Column:
 
 
 def is_degenerate(text: Column) -> Column:
-    """Six tokens or more, of two kinds at most or with a pair four times in a row."""
+    """Six tokens or more, of two kinds at most or with a pair four times in a row.
 
-    def repeats(t):
-        pair = lambda i: F.slice(t, i, 2)
-        starts = F.sequence(F.lit(1), F.greatest(F.size(t) - 7, F.lit(1)))
-        four = F.exists(starts, lambda i: (F.size(t) >= i + 7) & (pair(i) == pair(i + 2)) & (pair(i) == pair(i + 4)) & (pair(i) == pair(i + 6)))
-        return (F.size(t) >= 6) & ((F.size(F.array_distinct(t)) <= 2) | four)
+    The text is cleaned once as a whole, and the pair is found by one pattern.
+    """
+    clean = F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), rf"[^\p{{L}}\p{{N}}_\s]", ""), r"\s+", " "))
 
-    return F.exists(F.array(norm_tokens(text)), repeats)  # bound in a lambda, the tokens are made once
+    def repeats(c):
+        few = F.exists(F.array(F.split(c, " ")), lambda t: (F.size(t) >= 6) & (F.size(F.array_distinct(t)) <= 2))
+        return c.rlike(r"(?:^| )(\S+ \S+)(?: \1){3}(?: |$)") | few
+
+    return F.exists(F.array(clean), repeats)  # bound in a lambda, the clean text is made once
 
 
 def verdict(text: Column, no_speech: Column, logprob: Column, compression: Column, knobs: Knobs = Knobs(), phrases=BOILERPLATE) -> Column:

@@ -12,10 +12,15 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
+def bound(value: Column, f) -> Column:
+    """f(value), with the value computed once however often f uses it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def unit(v: Column) -> Column:
     """v at length 1; null where it has none."""
-    norm = F.sqrt(dot(v, v))
-    return F.when(norm > 1e-9, F.transform(v, lambda x: x / norm))
+    scaled = lambda x, norm: F.when(norm > 1e-9, F.transform(x, lambda c: c / norm))
+    return bound(v, lambda x: bound(F.sqrt(dot(x, x)), lambda norm: scaled(x, norm)))
 
 
 def mean_vector(dim: int, v: str = "v", weight: Column | None = None) -> Column:
@@ -33,6 +38,16 @@ def confidence(best: Column, second: Column, knobs: Knobs = Knobs()) -> Column:
     return sigmoid((best - knobs.assign) + (best - second - knobs.margin_ref), knobs.conf_temp)
 
 
+def lag_ms(decode: Column, chunk: Column | float) -> Column:
+    """How far captions are behind, from the seconds a chunk took to decode and its length."""
+    return F.round((decode + chunk) * 1000.0)
+
+
+def latency(now: Column, emitted_at: Column) -> Column:
+    """Seconds from the emission of a message to its showing; clocks that disagree give no negative ones."""
+    return F.greatest(now - emitted_at, F.lit(0.0))
+
+
 def new_confidence(best: Column, knobs: Knobs = Knobs()) -> Column:
     """Of a cluster that has just begun."""
     return F.least(F.lit(knobs.new_conf_cap), sigmoid(F.lit(knobs.assign) - best - knobs.margin_ref, knobs.conf_temp))

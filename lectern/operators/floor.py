@@ -40,12 +40,12 @@ def leaders(snr: DataFrame, knobs: Knobs = Knobs()) -> DataFrame:
     return ranked.groupBy("talk", "frame").agg(F.max_by("ch", -F.col("place")).alias("leader"), F.array_sort(F.collect_list(near)).alias("near"))
 
 
-def bleed(pairs: DataFrame, knobs: Knobs = Knobs()) -> DataFrame:
-    """pairs (talk, frame, a, b: levels of two channels) with their correlation over the last frames, and `bleed`.
+def bleed(pairs: DataFrame, knobs: Knobs = Knobs(), keys: tuple[str, ...] = ("talk",)) -> DataFrame:
+    """pairs (keys, frame, a, b: levels of two channels) with their correlation over the last frames, and `bleed`.
 
     Too few frames or a flat level count as bleed.
     """
-    recent = Window.partitionBy("talk").orderBy("frame").rowsBetween(1 - knobs.corr_frames, 0)
+    recent = Window.partitionBy(*keys).orderBy("frame").rowsBetween(1 - knobs.corr_frames, 0)
     mean = lambda c: F.avg(c).over(recent)
     a, b = F.col("a"), F.col("b")
     rows = pairs.select("*", F.count(a).over(recent).alias("__n"), mean(a).alias("__a"), mean(b).alias("__b"), mean(a * a).alias("__aa"), mean(b * b).alias("__bb"), mean(a * b).alias("__ab"))
@@ -56,6 +56,32 @@ def bleed(pairs: DataFrame, knobs: Knobs = Knobs()) -> DataFrame:
     return rows.withColumn("corr", corr).withColumn("bleed", F.coalesce(F.col("corr") >= knobs.bleed_corr, F.lit(True))).drop("__n", "__a", "__b", "__aa", "__bb", "__ab")
 
 
+def channel_bleed(frames: DataFrame, knobs: Knobs = Knobs()) -> DataFrame:
+    """(talk, x, y, frame, bleed) for each two channels x < y of a talk; frames: (talk, ch, frame, level_db)."""
+    own = frames.select("talk", "frame", F.col("ch").alias("x"), F.col("level_db").alias("a"))
+    other = frames.select("talk", "frame", F.col("ch").alias("y"), F.col("level_db").alias("b"))
+    return bleed(own.join(other, ["talk", "frame"]).where("x < y"), knobs, ("talk", "x", "y")).select("talk", "x", "y", "frame", "bleed")
+
+
+def rivals(frames: DataFrame, knobs: Knobs = Knobs()) -> DataFrame:
+    """Per (talk, frame): the leader, its snr, the second channel, and the overlap: others within the margin that are no bleed of it.
+
+    frames: (talk, ch, frame, level_db, snr). Frames without an active channel have no row.
+    """
+    active = frames.where(F.col("snr") >= knobs.open_snr).select("talk", "frame", "ch", "snr")
+    by = Window.partitionBy("talk", "frame")
+    order = by.orderBy(F.desc("snr"), "ch")
+    first = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ranked = active.withColumns({"place": F.row_number().over(order), "leader": F.first("ch").over(first), "best": F.first("snr").over(first)})
+    pair = ranked.withColumns({"x": F.least("ch", "leader"), "y": F.greatest("ch", "leader")})
+    met = pair.join(channel_bleed(frames, knobs), ["talk", "x", "y", "frame"], "left")
+    near = (F.col("place") > 1) & (F.col("best") - F.col("snr") < knobs.margin_db) & ~F.coalesce("bleed", F.lit(True))
+    found = F.array_sort(F.collect_list(F.when(near, F.struct("place", "ch"))))
+    return met.groupBy("talk", "frame").agg(
+        F.first("leader").alias("leader"), F.first("best").alias("snr"), F.max(F.when(F.col("place") == 2, F.col("ch"))).alias("second"), F.transform(found, lambda x: x["ch"]).alias("overlap")
+    )
+
+
 def turn_step(knobs: Knobs):
     """Floor ownership. State: [frames seen, owner, candidate, frames of the candidate, frames left to the owner]."""
     attack, hold, warmup = knobs.frames(knobs.attack), knobs.frames(knobs.hold), knobs.frames(knobs.warmup)
@@ -95,6 +121,14 @@ def turns(frames: DataFrame, knobs: Knobs = Knobs()) -> DataFrame:
     return fold(own, ["talk"], ["frame"], schema, turn_start, turn_step(knobs)).withColumn("owner", F.col("owner").cast("long"))
 
 
+def events(frames: DataFrame, knobs: Knobs = Knobs()) -> DataFrame:
+    """(talk, frame, owner, overlap, reason, snr, second) where the floor changes; frames: (talk, ch, frame, level_db, snr)."""
+    lead = rivals(frames, knobs)
+    every = frames.select("talk", "frame").distinct().join(lead.select("talk", "frame", "leader"), ["talk", "frame"], "left")
+    told = turns(every, knobs).join(lead.drop("leader"), ["talk", "frame"], "left")
+    return told.select("talk", "frame", "owner", F.coalesce("overlap", F.array().cast("array<bigint>")).alias("overlap"), "reason", F.round("snr", 1).alias("snr"), "second")
+
+
 def routed(frames: DataFrame, knobs: Knobs = Knobs(), mix: bool = False) -> DataFrame:
     """`input` of the recogniser at (frame, owner): 'mix' in warm-up or by choice, else the owner's channel, or null."""
     if mix:
@@ -108,3 +142,15 @@ def status(snr: DataFrame, dead: DataFrame) -> DataFrame:
     last = snr.groupBy("talk", "ch").agg(F.max_by(F.struct("snr", "noise_db"), "frame").alias("x"))
     rows = last.join(dead.select("talk", "ch", F.lit(True).alias("dead")), ["talk", "ch"], "left")
     return rows.select("talk", "ch", F.round("x.snr", 1).alias("snr"), F.round("x.noise_db", 1).alias("noise_db"), F.coalesce("dead", F.lit(False)).alias("dead"))
+
+
+def floor_status(lead: DataFrame, told: DataFrame, knobs: Knobs = Knobs()) -> DataFrame:
+    """Per talk: the owner now and the overlap, which is that of the last frame with a leader unless the floor was released since.
+
+    lead: (talk, frame, overlap) of rivals(); told: (talk, frame, owner) of events().
+    """
+    warm = lead.where(F.col("frame") + 1 >= knobs.frames(knobs.warmup)).select("talk", "frame", "overlap")
+    released = told.where("owner is null").select("talk", "frame", F.array().cast(lead.schema["overlap"].dataType).alias("overlap"))
+    overlap = warm.unionByName(released).groupBy("talk").agg(F.max_by("overlap", "frame").alias("overlap"))
+    owner = told.groupBy("talk").agg(F.max_by(F.struct("owner"), "frame")["owner"].alias("owner"))
+    return overlap.join(owner, "talk", "left").select("talk", "owner", "overlap")

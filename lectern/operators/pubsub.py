@@ -43,6 +43,17 @@ def fan_out(messages: DataFrame, source_lang: str) -> DataFrame:
     return messages.withColumn("topic", F.explode(topics))
 
 
+def delivered(messages: DataFrame, switches: DataFrame) -> DataFrame:
+    """(talk, viewer, seq, lang) of the messages a viewer gets: those in the language the viewer chose last before them.
+
+    messages: (talk, seq, lang); switches: (talk, viewer, seq, lang).
+    """
+    order = Window.partitionBy("talk", "viewer").orderBy("seq")
+    held = switches.select("talk", "viewer", "lang", F.col("seq").alias("__from"), F.lead("seq").over(order).alias("__to"))
+    rows = messages.select("talk", "seq", "lang").join(held, ["talk", "lang"])
+    return rows.where("seq > __from and (__to is null or seq < __to)").select("talk", "viewer", "seq", "lang")
+
+
 def merged_health(reports: DataFrame) -> DataFrame:
     """The last value of each key of a talk."""
     return reports.groupBy("talk", "key").agg(F.max_by("value", "seq").alias("value"), F.max("seq").alias("seq"))

@@ -169,6 +169,35 @@ def online_labels(vectors: DataFrame, knobs: Knobs = Knobs(), enrolled: dict | N
     return fold(vectors.select("talk", "sid", "v"), ["talk"], ["sid"], schema, lambda: Registry.empty(enrolled), assign_step(knobs))
 
 
+def merges(vectors: DataFrame, knobs: Knobs = Knobs(), enrolled: dict | None = None) -> DataFrame:
+    """(talk, sid, old, new): after segment `sid` the voice `old` turned out to be `new`; a chain comes as its last link."""
+    inner = assign_step(knobs)
+
+    def step(state, row):
+        before = state["alias"]
+        state, _ = inner(state, row)
+        return state, [(int(row.sid), old, new) for old, new in state["alias"].items() if before.get(old) != new]
+
+    kind = vectors.schema["talk"].dataType.simpleString()
+    return fold(vectors.select("talk", "sid", "v"), ["talk"], ["sid"], f"talk {kind}, sid long, old string, new string", lambda: Registry.empty(enrolled), step)
+
+
+def late_labels(online: DataFrame, merged: DataFrame, refined: DataFrame) -> DataFrame:
+    """Labels in the order they become known: (talk, sid, seq, spk, spk_conf, src), src being online, merge or refine.
+
+    A merge relabels every earlier segment of the old voice and keeps its
+    confidence; what the look back says comes last, in order of the segments.
+    """
+    kept = online.where("spk is not null")
+    first = kept.select("talk", "sid", (F.col("sid") * 2).alias("seq"), "spk", F.col("conf").alias("spk_conf"), F.lit("online").alias("src"))
+    own = merged.select("talk", F.col("sid").alias("__at"), F.col("old").alias("raw"), "new")
+    joined = kept.select("talk", "sid", "raw", "conf").join(own, ["talk", "raw"]).where("sid <= __at")
+    again = joined.select("talk", "sid", (F.col("__at") * 2 + 1).alias("seq"), F.col("new").alias("spk"), F.col("conf").alias("spk_conf"), F.lit("merge").alias("src"))
+    end = F.max("sid").over(Window.partitionBy("talk"))
+    last = refined.select("talk", "sid", ((end + 1) * 2 + F.col("sid")).alias("seq"), "spk", F.col("conf").alias("spk_conf"), F.lit("refine").alias("src"))
+    return first.unionByName(again).unionByName(last)
+
+
 def realias(labels: DataFrame, aliases: DataFrame) -> DataFrame:
     """Labels with merged voices (talk, old, new) under the name that stayed."""
     own = aliases.select("talk", F.col("old").alias("spk"), F.col("new").alias("__new"))
@@ -178,7 +207,8 @@ def realias(labels: DataFrame, aliases: DataFrame) -> DataFrame:
 def differing(online: DataFrame, refined: DataFrame) -> DataFrame:
     """Segments whose refined label isn't the online one."""
     own = refined.select("talk", "sid", F.col("spk").alias("now"), "conf")
-    return online.select("talk", "sid", F.col("spk").alias("was")).join(own, ["talk", "sid"]).where(~F.col("was").eqNullSafe(F.col("now")))
+    both = online.select("talk", "sid", F.col("spk").alias("was")).join(own, ["talk", "sid"])
+    return both.where(~F.col("was").eqNullSafe(F.col("now"))).orderBy("talk", "sid")
 
 
 # -- in retrospect --------------------------------------------------------------------------------

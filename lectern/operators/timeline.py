@@ -44,22 +44,21 @@ def speech_runs(gated: DataFrame, tolerance: int) -> DataFrame:
 def to_absolute(points: DataFrame, runs: DataFrame, speech: str, out: str) -> DataFrame:
     """points with the absolute time of a time on the speech clock.
 
-    As-of join: each run holds from its begin to the next one's, the first from
-    ever, and the last one for ever.
+    As-of by a window over points and runs together: each run holds from its
+    begin to the next one's, the first from ever, and the last one for ever.
     """
-    order = Window.partitionBy("talk").orderBy("run")
-    own = runs.select(
-        "talk",
-        F.col("s0").alias("__s"),
-        F.col("a0").alias("__a"),
-        F.lead("s0").over(order).alias("__next"),
-        (F.row_number().over(order) == 1).alias("__first"),
-    )
-    t = F.col(speech)
-    holds = (F.col("talk") == F.col("__talk")) & (F.col("__first") | (t >= F.col("__s"))) & (F.col("__next").isNull() | (t < F.col("__next")))
-    joined = points.join(own.withColumnRenamed("talk", "__talk"), holds, "left")
-    absolute = F.when(F.col("__talk").isNull(), t).otherwise(F.col("__a") + F.greatest(t - F.col("__s"), F.lit(0)))
-    return joined.withColumn(out, absolute).drop("__talk", "__s", "__a", "__next", "__first")
+    kinds = {f.name: f.dataType for f in points.schema}
+    none = F.lit(None)
+    begun = runs.select("talk", F.col("s0").cast(kinds[speech]).alias("__t"), F.lit(0).alias("__kind"), F.struct("s0", "a0").alias("__run"), none.cast(points.select(F.struct("*").alias("p")).schema["p"].dataType).alias("__p"))
+    asked = points.select("talk", F.col(speech).alias("__t"), F.lit(1).alias("__kind"), none.cast(begun.schema["__run"].dataType).alias("__run"), F.struct("*").alias("__p"))
+    talk = Window.partitionBy("talk")
+    order = talk.orderBy("__t", "__kind")
+    last = F.last("__run", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    first = F.min("__run").over(talk)
+    rows = begun.unionByName(asked).withColumn("__at", F.coalesce(last, first)).where("__kind = 1")
+    t = F.col("__t")
+    absolute = F.when(F.col("__at").isNull(), t).otherwise(F.col("__at.a0") + F.greatest(t - F.col("__at.s0"), F.lit(0)))
+    return rows.select(*(F.col(f"__p.{c}").alias(c) for c in points.columns if c != out), absolute.alias(out))
 
 
 def silence_dropped(runs: DataFrame) -> DataFrame:

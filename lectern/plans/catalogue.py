@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lectern import config
 from lectern.config import Knobs
 from lectern.functions import text as X
 from lectern.functions import vectors as V
 from lectern.operators import floor, pubsub, revlog, scoring, speakers, timeline, words
+from lectern.session import materialised
 from lectern.sources import tables as T
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,7 +42,7 @@ def _current(spark, sf):
     return revlog.current_segments(T.messages(spark, sf))
 
 
-@query(f"WITH {T.CURRENT} SELECT talk, sid, rev, final, stable, lang, text, spk FROM cur")
+@query(f"WITH {T.CURRENT} SELECT talk, sid, rev, final, stable, lang, text, spk, spk_conf, conf, t0, t1, emitted_at FROM cur")
 def current_segments(spark, sf):
     return _current(spark, sf)
 
@@ -53,7 +55,7 @@ def stale_messages(spark, sf):
 @query(f"""WITH {T.MSG}, u AS (
     SELECT talk, seq, CASE WHEN seq % 5 = 0 THEN text END AS title, CASE WHEN seq % 7 = 0 THEN lang END AS src_lang, CASE WHEN seq % 11 = 0 THEN 'ended' WHEN seq % 4 = 0 THEN 'live' END AS state FROM msg
 ) SELECT talk, min(seq) AS started, arg_max(title, seq) FILTER (WHERE title IS NOT NULL) AS title, arg_max(src_lang, seq) FILTER (WHERE src_lang IS NOT NULL) AS src_lang,
-         arg_max(state, seq) FILTER (WHERE state IS NOT NULL) AS state FROM u GROUP BY talk""")
+         coalesce(arg_max(state, seq) FILTER (WHERE state IS NOT NULL), 'live') AS state FROM u GROUP BY talk""")
 def talk_upsert(spark, sf):
     return revlog.upsert_talks(_updates(spark, sf), ["title", "src_lang", "state"])
 
@@ -64,10 +66,13 @@ def _updates(spark, sf):
     )
 
 
-@query(f"""WITH {T.MSG}, u AS (SELECT talk, seq, CASE WHEN seq % 5 = 0 THEN text END AS title FROM msg)
-SELECT talk, min(seq) AS started, arg_max(title, seq) FILTER (WHERE title IS NOT NULL) AS title FROM u GROUP BY talk ORDER BY started DESC""")
+@query(f"""WITH {T.MSG}, u AS (
+    SELECT talk, seq, CASE WHEN seq % 5 = 0 THEN text END AS title, CASE WHEN seq % 7 = 0 THEN lang END AS src_lang, CASE WHEN seq % 11 = 0 AND talk % 3 = 0 THEN 'ended' END AS state FROM msg
+) SELECT talk, min(seq) AS started, arg_max(title, seq) FILTER (WHERE title IS NOT NULL) AS title, arg_max(src_lang, seq) FILTER (WHERE src_lang IS NOT NULL) AS src_lang,
+         coalesce(arg_max(state, seq) FILTER (WHERE state IS NOT NULL), 'live') AS state FROM u GROUP BY talk ORDER BY started DESC""")
 def talk_list(spark, sf):
-    return revlog.upsert_talks(_updates(spark, sf), ["title"]).orderBy(F.desc("started"))
+    updates = _updates(spark, sf).withColumn("state", F.when((F.col("seq") % 11 == 0) & (F.col("talk") % 3 == 0), "ended"))
+    return revlog.upsert_talks(updates, ["title", "src_lang", "state"]).orderBy(F.desc("started"))
 
 
 @query(f"WITH {T.MSG}, u AS (SELECT talk, seq, CASE WHEN seq % 5 = 0 THEN text END AS title FROM msg WHERE talk = 7) SELECT talk, min(seq) AS started, arg_max(title, seq) FILTER (WHERE title IS NOT NULL) AS title FROM u GROUP BY talk")
@@ -75,15 +80,20 @@ def one_talk(spark, sf):
     return revlog.upsert_talks(_updates(spark, sf).where("talk = 7"), ["title"])
 
 
-@query(f"""WITH {T.CURRENT}, {T.TR} SELECT cur.talk, cur.sid, cur.rev, cur.spk, coalesce(tr.text, cur.text) AS text, tr.text IS NULL AS untranslated
+@query(f"""WITH {T.CURRENT}, {T.TR} SELECT cur.talk, cur.sid, cur.rev, cur.spk, cur.t0, cur.t1, coalesce(tr.text, cur.text) AS text, tr.text IS NULL AS untranslated
 FROM cur LEFT JOIN tr ON tr.talk = cur.talk AND tr.sid = cur.sid AND tr.lang = 'de' WHERE final""")
 def translated_transcript(spark, sf):
     return revlog.translated(_current(spark, sf), T.translations(spark, sf), "de")
 
 
-@query(f"WITH {T.CURRENT} SELECT talk, sid, rev, text FROM cur WHERE final AND sid > 10 ORDER BY talk, sid")
+@query(f"WITH {T.CURRENT} SELECT talk, sid, rev, final, stable, lang, text, spk, spk_conf, conf, t0, t1, emitted_at FROM cur WHERE final AND sid > 10 ORDER BY talk, sid")
 def transcript_since(spark, sf):
-    return revlog.transcript(_current(spark, sf), since=10).select("talk", "sid", "rev", "text").orderBy("talk", "sid")
+    return revlog.transcript(_current(spark, sf), since=10).orderBy("talk", "sid")
+
+
+@query(f"WITH {T.CURRENT}, {T.TR} SELECT cur.talk, cur.sid, coalesce(tr.text, cur.text) AS text FROM cur LEFT JOIN tr ON tr.talk = cur.talk AND tr.sid = cur.sid AND tr.lang = 'fr' WHERE final AND cur.sid > 25")
+def translated_since(spark, sf):
+    return revlog.translated(_current(spark, sf), T.translations(spark, sf), "fr", since=25).select("talk", "sid", "text")
 
 
 @query(f"""WITH {T.CURRENT}, {T.TR}, want AS (SELECT talk, sid, rev, lang FROM (SELECT talk, sid, rev, lang AS own, unnest(['en', 'de', 'fr']) AS lang FROM cur WHERE final) WHERE lang <> own)
@@ -164,40 +174,107 @@ def topic_fanout(spark, sf):
     return pubsub.fan_out(T.messages(spark, sf).where("t = 'seg'"), "en").select("talk", "seq", "topic")
 
 
+@query(f"""WITH {T.MSG}, sw AS (SELECT talk, sid % 4 AS viewer, seq, lang FROM msg WHERE t = 'health'), h AS (SELECT *, lead(seq) OVER (PARTITION BY talk, viewer ORDER BY seq) AS upto FROM sw)
+SELECT m.talk, h.viewer, m.seq, m.lang FROM msg m JOIN h ON h.talk = m.talk AND h.lang = m.lang AND m.seq > h.seq AND (h.upto IS NULL OR m.seq < h.upto) WHERE m.t = 'seg'""")
+def viewer_feed(spark, sf):
+    """Health messages stand for viewers who choose another language."""
+    rows = T.messages(spark, sf)
+    switches = rows.where("t = 'health'").selectExpr("talk", "sid % 4 as viewer", "seq", "lang")
+    return pubsub.delivered(rows.where("t = 'seg'"), switches)
+
+
+@query(f"WITH {T.MSG}, l AS (SELECT talk, greatest(seq + value % 3 - emitted_at, 0) AS s, round((value % 5 / 4 + CAST(0.8 AS DOUBLE)) * 1000) AS lag FROM msg) SELECT talk, max(s) AS worst, sum(s) AS total, max(lag) AS lag_ms FROM l GROUP BY talk")
+def latency(spark, sf):
+    rows = T.messages(spark, sf)
+    seen = V.latency((F.col("seq") + F.col("value") % 3).cast("double"), F.col("emitted_at"))
+    lag = V.lag_ms(F.col("value") % 5 / 4, KNOBS.chunk)
+    return rows.groupBy("talk").agg(F.max(seen).alias("worst"), F.sum(seen).alias("total"), F.max(lag).alias("lag_ms"))
+
+
+@query("SELECT lang, name FROM (VALUES ('en', 'English'), ('ru', 'Русский'), ('sr', 'Srpski'), ('de', 'Deutsch'), ('fr', 'Français'), ('es', 'Español'), ('it', 'Italiano'), ('pt', 'Português'), ('tr', 'Türkçe'), ('zh', '中文'), ('ja', '日本語'), ('ar', 'العربية'), ('uk', 'Українська'), ('pl', 'Polski')) t(lang, name)")
+def languages(spark, sf):
+    return config.languages(spark)
+
+
 @query(f"WITH {T.MSG} SELECT talk, lang AS key, arg_max(value, seq) AS value, max(seq) AS seq FROM msg WHERE t = 'health' GROUP BY talk, lang")
 def health_latest(spark, sf):
     return pubsub.merged_health(T.messages(spark, sf).where("t = 'health'").withColumnRenamed("lang", "key"))
 
 
-@query(f"""WITH {T.CURRENT}, {T.TR}, e AS (SELECT DISTINCT talk, sid, 'edited ' || sid AS text FROM msg WHERE t = 'health' AND value % 3 = 0)
-SELECT cur.talk, cur.sid, cur.rev + CASE WHEN e.text IS NULL THEN 0 ELSE 1 END AS rev, coalesce(e.text, cur.text) AS text, cur.final FROM cur LEFT JOIN e ON e.talk = cur.talk AND e.sid = cur.sid""")
+#: The log with edits, one segment's messages after the other.
+EDITED = f"""{T.MSG}, {T.LOGGED}, o AS MATERIALIZED (
+    SELECT *, row_number() OVER (PARTITION BY talk, sid ORDER BY seq) AS k FROM logged WHERE t IN ('seg', 'spk', 'edit')
+), st AS (
+    SELECT talk, sid, k, seq, t, t = 'seg' AS ok, CASE WHEN t = 'seg' THEN rev END AS cur, CASE WHEN t = 'seg' THEN text END AS text, CASE WHEN t = 'seg' THEN spk END AS spk,
+           CASE WHEN t = 'seg' THEN spk_conf END AS spk_conf, CASE WHEN t = 'seg' THEN {{'final': final, 'stable': stable, 'lang': lang, 'conf': conf, 't0': t0, 't1': t1, 'emitted_at': emitted_at}} END AS said FROM o WHERE k = 1
+    UNION ALL
+    SELECT talk, sid, k, seq, t, ok, CASE WHEN NOT ok THEN cur WHEN t = 'edit' THEN cur + 1 ELSE rev END, CASE WHEN ok AND t <> 'spk' THEN text ELSE old_text END,
+           CASE WHEN ok AND t <> 'edit' THEN spk ELSE old_spk END, CASE WHEN ok AND t <> 'edit' THEN spk_conf ELSE old_conf END, CASE WHEN ok AND t = 'seg' THEN said ELSE old_said END
+    FROM (
+        SELECT o.talk, o.sid, o.k, o.seq, o.t, o.rev, o.text, o.spk, o.spk_conf, s.cur, s.text AS old_text, s.spk AS old_spk, s.spk_conf AS old_conf, s.said AS old_said,
+               {{'final': o.final, 'stable': o.stable, 'lang': o.lang, 'conf': o.conf, 't0': o.t0, 't1': o.t1, 'emitted_at': o.emitted_at}} AS said,
+               CASE o.t WHEN 'seg' THEN s.cur IS NULL OR o.rev > s.cur WHEN 'spk' THEN s.cur IS NOT NULL AND o.rev > s.cur ELSE s.cur IS NOT NULL END AS ok
+        FROM st s JOIN o ON o.talk = s.talk AND o.sid = s.sid AND o.k = s.k + 1
+    )
+)"""
+
+
+@query(f"""WITH RECURSIVE {EDITED}, l AS (SELECT *, row_number() OVER (PARTITION BY talk, sid ORDER BY k DESC) AS r FROM st WHERE cur IS NOT NULL)
+SELECT talk, sid, cur AS rev, text, spk, spk_conf, said.final AS final, said.stable AS stable, said.lang AS lang, said.conf AS conf, said.t0 AS t0, said.t1 AS t1, said.emitted_at AS emitted_at FROM l WHERE r = 1""")
 def edited_segments(spark, sf):
-    return revlog.edit(_current(spark, sf), T.translations(spark, sf), _edits(spark, sf))[0].select("talk", "sid", "rev", "text", "final")
+    return revlog.current_segments(T.logged(spark, sf))
 
 
-def _edits(spark, sf):
-    return T.messages(spark, sf).where("t = 'health' and value % 3 = 0").selectExpr("talk", "sid", "'edited ' || cast(sid as string) as text").distinct()
+@query(f"""WITH RECURSIVE {EDITED} SELECT 'seg' AS t, talk, sid, seq, cur AS rev, true AS final, true AS stable, said.lang AS lang, spk, text, CAST(length(text) AS BIGINT) AS stable_len, said.t0 AS t0, said.t1 AS t1
+FROM st WHERE ok AND t = 'edit'""")
+def edit_messages(spark, sf):
+    return revlog.edit_messages(T.logged(spark, sf))
 
 
-@query(f"""WITH {T.MSG}, {T.TR}, e AS (SELECT DISTINCT talk, sid FROM msg WHERE t = 'health' AND value % 3 = 0)
-SELECT tr.talk, tr.sid, tr.lang, tr.rev FROM tr ANTI JOIN e ON e.talk = tr.talk AND e.sid = tr.sid""")
+@query(f"""WITH RECURSIVE {EDITED}, e AS (SELECT talk, sid, max(seq) AS at FROM st WHERE ok AND t = 'edit' GROUP BY talk, sid)
+SELECT m.talk, m.sid, m.lang, arg_max(m.rev, m.seq) AS rev, arg_max(m.text, m.seq) AS text FROM msg m LEFT JOIN e ON e.talk = m.talk AND e.sid = m.sid WHERE m.t = 'tr' AND (e.at IS NULL OR m.seq > e.at) GROUP BY ALL""")
 def translations_after_edits(spark, sf):
-    return revlog.edit(_current(spark, sf), T.translations(spark, sf), _edits(spark, sf))[1].select("talk", "sid", "lang", "rev")
+    return revlog.translations_kept(T.logged(spark, sf))
 
 
-@query(f"""WITH {T.MSG}, l AS (SELECT *, lag(spk) OVER (PARTITION BY talk, sid ORDER BY seq) AS was, row_number() OVER (PARTITION BY talk, sid ORDER BY seq) AS k FROM msg WHERE t = 'spk')
-SELECT talk, sid, seq, was, spk FROM l WHERE k > 1 AND was IS DISTINCT FROM spk""")
+#: Late labels of sent segments.
+LATE = """late AS (
+    SELECT m.talk, m.sid, m.seq, m.spk, round(m.spk_conf, 2) AS spk_conf, list_extract(['online', 'merge', 'refine'], m.seq % 3 + 1) AS src, c.rev AS had,
+           CASE WHEN row_number() OVER w = 1 THEN c.spk ELSE lag(m.spk) OVER w END AS was
+    FROM msg m JOIN cur c ON c.talk = m.talk AND c.sid = m.sid AND c.final AND c.sid % 5 <> 0 WHERE m.t = 'spk' WINDOW w AS (PARTITION BY m.talk, m.sid ORDER BY m.seq)
+), changed AS (
+    SELECT talk, sid, seq, had + row_number() OVER (PARTITION BY talk, sid ORDER BY seq) AS rev, was, spk, spk_conf, src FROM late WHERE was IS DISTINCT FROM spk
+)"""
+
+
+def _late(spark, sf):
+    """Every fifth segment counts as not sent."""
+    sent = _current(spark, sf).where("final and sid % 5 != 0").select("talk", "sid", "rev", "spk")
+    labels = T.messages(spark, sf).where("t = 'spk'").withColumn("src", F.element_at(F.array(F.lit("online"), F.lit("merge"), F.lit("refine")), (F.col("seq") % 3 + 1).cast("int")))
+    return sent, labels.select("talk", "sid", "seq", "spk", "spk_conf", "src")
+
+
+@query(f"WITH {T.CURRENT}, {LATE} SELECT talk, sid, seq, rev, was, spk, spk_conf, src FROM changed")
 def speaker_revisions(spark, sf):
-    return revlog.relabelled(T.messages(spark, sf).where("t = 'spk'")).select("talk", "sid", "seq", "was", "spk")
+    return revlog.relabelled(*_late(spark, sf))
 
 
-@query(f"""WITH {T.CURRENT}, {T.TR} SELECT cur.talk, count(tr.text) FILTER (WHERE tr.rev >= cur.rev) AS hits, count(*) FILTER (WHERE tr.text IS NULL OR tr.rev < cur.rev) AS calls,
-CAST(coalesce(sum(length(cur.text)) FILTER (WHERE tr.text IS NULL OR tr.rev < cur.rev), 0) AS BIGINT) AS chars
-FROM cur LEFT JOIN tr ON tr.talk = cur.talk AND tr.sid = cur.sid AND tr.lang = 'fr' WHERE final GROUP BY cur.talk""")
+@query(f"""WITH {T.CURRENT}, {LATE} SELECT c.talk, c.sid, coalesce(max(l.rev), c.rev) AS rev, coalesce(arg_max(l.spk, l.seq), c.spk) AS spk
+FROM cur c LEFT JOIN changed l ON l.talk = c.talk AND l.sid = c.sid WHERE c.final AND c.sid % 5 <> 0 GROUP BY c.talk, c.sid, c.rev, c.spk""")
+def relabelled_segments(spark, sf):
+    sent, labels = _late(spark, sf)
+    return revlog.last_labels(sent, revlog.relabelled(sent, labels))
+
+
+@query(f"""WITH {T.CURRENT}, {T.TR}, a AS (SELECT cur.talk, cur.text, coalesce(tr.rev >= cur.rev, false) AS hit, cur.sid % 11 = 0 AS failed
+    FROM cur LEFT JOIN tr ON tr.talk = cur.talk AND tr.sid = cur.sid AND tr.lang = 'fr' WHERE final)
+SELECT talk, count(*) FILTER (WHERE hit) AS hits, count(*) FILTER (WHERE NOT hit AND NOT failed) AS calls, CAST(coalesce(sum(length(text)) FILTER (WHERE NOT hit AND NOT failed), 0) AS BIGINT) AS chars,
+       count(*) FILTER (WHERE NOT hit AND failed) AS errors FROM a GROUP BY talk""")
 def translation_counters(spark, sf):
+    """The engine is down for every eleventh segment."""
     tr = T.translations(spark, sf).where("lang = 'fr'").select("talk", "sid", F.col("rev").alias("have"))
     rows = _current(spark, sf).where("final").join(tr, ["talk", "sid"], "left").withColumn("hit", F.coalesce(F.col("have") >= F.col("rev"), F.lit(False)))
-    return rows.groupBy("talk").agg(F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("calls"), F.sum(F.when(~F.col("hit"), F.char_length("text")).otherwise(0)).alias("chars"))
+    return revlog.translation_counters(rows.withColumn("failed", F.col("sid") % 11 == 0))
 
 
 @query(f"""WITH {T.MSG}, d AS (SELECT talk, sid, rev, t, min(seq) AS seq, count(*) AS times FROM msg GROUP BY talk, sid, rev, t) SELECT talk, sid, rev, t, seq, times FROM d""")
@@ -241,15 +318,17 @@ def dead_channels(spark, sf):
     return timeline.dead_since(T.frames(spark, sf), ["talk", "ch"], F.col("level_db") < -60, 12)
 
 
-@query(f"""WITH {T.FRAME}, p AS (SELECT x.talk, x.frame, x.level_db AS a, y.level_db AS b FROM frame x JOIN frame y ON y.talk = x.talk AND y.frame = x.frame AND y.ch = 1 WHERE x.ch = 0),
-w AS (SELECT talk, frame, count(*) OVER r AS n, avg(a) OVER r AS ma, avg(b) OVER r AS mb, avg(a * a) OVER r AS maa, avg(b * b) OVER r AS mbb, avg(a * b) OVER r AS mab FROM p
-      WINDOW r AS (PARTITION BY talk ORDER BY frame ROWS BETWEEN 23 PRECEDING AND CURRENT ROW)),
-c AS (SELECT talk, frame, n, greatest(maa - ma * ma, 0) AS va, greatest(mbb - mb * mb, 0) AS vb, mab - ma * mb AS cov FROM w)
-SELECT talk, frame, CASE WHEN n < 8 OR sqrt(va) < 1e-6 OR sqrt(vb) < 1e-6 THEN true ELSE cov / sqrt(va * vb) >= 0.6 END AS bleed FROM c""")
+#: Every two channels of a talk.
+BLEED = """p AS (SELECT a.talk, a.ch AS x, b.ch AS y, a.frame, a.level_db AS a, b.level_db AS b FROM frame a JOIN frame b ON b.talk = a.talk AND b.frame = a.frame AND b.ch > a.ch),
+w AS (SELECT talk, x, y, frame, count(*) OVER r AS n, avg(a) OVER r AS ma, avg(b) OVER r AS mb, avg(a * a) OVER r AS maa, avg(b * b) OVER r AS mbb, avg(a * b) OVER r AS mab FROM p
+      WINDOW r AS (PARTITION BY talk, x, y ORDER BY frame ROWS BETWEEN 23 PRECEDING AND CURRENT ROW)),
+c AS (SELECT talk, x, y, frame, n, greatest(maa - ma * ma, 0) AS va, greatest(mbb - mb * mb, 0) AS vb, mab - ma * mb AS cov FROM w),
+bleed AS (SELECT talk, x, y, frame, CASE WHEN n < 8 OR sqrt(va) < 1e-6 OR sqrt(vb) < 1e-6 THEN true ELSE cov / sqrt(va * vb) >= 0.6 END AS bleed FROM c)"""
+
+
+@query(f"WITH {T.FRAME}, {BLEED} SELECT talk, x, y, frame, bleed FROM bleed")
 def bleed_corr(spark, sf):
-    rows = T.frames(spark, sf)
-    pick = lambda ch, name: rows.where(F.col("ch") == ch).select("talk", "frame", F.col("level_db").alias(name))
-    return floor.bleed(pick(0, "a").join(pick(1, "b"), ["talk", "frame"])).select("talk", "frame", "bleed")
+    return floor.channel_bleed(T.frames(spark, sf))
 
 
 def _snr(spark, sf):
@@ -257,18 +336,57 @@ def _snr(spark, sf):
     return T.frames(spark, sf).withColumn("snr", F.col("level_db") + 85).withColumn("noise_db", F.lit(-85.0))
 
 
-@query(f"""WITH {T.FRAME}, s AS (SELECT talk, ch, frame, level_db + 85 AS snr FROM frame WHERE level_db + 85 >= 8),
-r AS (SELECT *, row_number() OVER (PARTITION BY talk, frame ORDER BY snr DESC, ch) AS k, max(snr) OVER (PARTITION BY talk, frame) AS best FROM s)
-SELECT talk, frame, max(ch) FILTER (WHERE k = 1) AS leader, coalesce(array_to_string(list_sort(list(ch) FILTER (WHERE k > 1 AND best - snr < 6)), ','), '') AS near FROM r GROUP BY talk, frame""")
+#: Leaders and overlaps of a table `s` (talk, ch, frame, snr); `bleed` as above.
+LEAD = """act AS (SELECT *, row_number() OVER (PARTITION BY talk, frame ORDER BY snr DESC, ch) AS k FROM s WHERE snr >= 8),
+lead AS (
+    SELECT o.talk, o.frame, l.ch AS leader, l.snr, max(o.ch) FILTER (WHERE o.k = 2) AS second,
+           coalesce(list(o.ch ORDER BY o.k) FILTER (WHERE o.k > 1 AND l.snr - o.snr < 6 AND NOT coalesce(bleed, true)), []) AS overlap
+    FROM act o JOIN act l ON l.talk = o.talk AND l.frame = o.frame AND l.k = 1
+    LEFT JOIN bleed b ON b.talk = o.talk AND b.frame = o.frame AND b.x = least(o.ch, l.ch) AND b.y = greatest(o.ch, l.ch) GROUP BY o.talk, o.frame, l.ch, l.snr
+)"""
+
+
+@query(f"WITH {T.FRAME}, {BLEED}, s AS (SELECT talk, ch, frame, level_db + 85 AS snr FROM frame), {LEAD} SELECT talk, frame, leader, snr, second, array_to_string(overlap, ',') AS near FROM lead")
 def floor_rank_overlap(spark, sf):
-    return floor.leaders(_snr(spark, sf)).select("talk", "frame", "leader", F.array_join(F.col("near").cast("array<string>"), ",").alias("near"))
+    return floor.rivals(_snr(spark, sf)).select("talk", "frame", "leader", "snr", "second", F.array_join(F.col("overlap").cast("array<string>"), ",").alias("near"))
 
 
-@query()
+NOISE_SNR = "s AS MATERIALIZED (SELECT talk, ch, frame, level_db - noise_db AS snr FROM n)"
+#: Who has the floor, frame by frame.
+TURNS = """every AS MATERIALIZED (SELECT f.talk, f.frame, l.leader FROM (SELECT DISTINCT talk, frame FROM frame) f LEFT JOIN lead l ON l.talk = f.talk AND l.frame = f.frame),
+ordered AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY talk ORDER BY frame) AS k FROM every),
+t AS (
+    SELECT talk, CAST(0 AS BIGINT) AS k, CAST(-1 AS BIGINT) AS frame, CAST(NULL AS BIGINT) AS owner, CAST(NULL AS BIGINT) AS cand, 0 AS n, 0 AS lft, '' AS told FROM (SELECT DISTINCT talk FROM frame)
+    UNION ALL
+    SELECT talk, k, frame, CASE WHEN taken THEN leader WHEN freed THEN NULL ELSE owner END, CASE WHEN taken OR freed OR kept THEN NULL WHEN leader IS NOT NULL AND warm THEN leader ELSE cand END,
+           CASE WHEN taken OR freed OR kept THEN 0 ELSE m END, CASE WHEN NOT warm THEN lft WHEN leader IS NOT NULL THEN 21 WHEN freed THEN 0 WHEN owner IS NOT NULL THEN lft - 1 ELSE lft END,
+           CASE WHEN taken THEN 'taken' WHEN freed THEN 'released' ELSE '' END
+    FROM (
+        SELECT *, warm AND leader IS NOT NULL AND leader IS DISTINCT FROM owner AND m >= 4 AS taken, warm AND leader IS NULL AND owner IS NOT NULL AND lft <= 1 AS freed, warm AND leader IS NOT NULL AND leader IS NOT DISTINCT FROM owner AS kept
+        FROM (SELECT t.talk, o.k, o.frame, o.leader, t.owner, t.cand, t.lft, o.k >= 31 AS warm, CASE WHEN o.k < 31 OR o.leader IS NULL THEN t.n WHEN o.leader IS NOT DISTINCT FROM t.cand THEN t.n + 1 ELSE 1 END AS m
+              FROM t JOIN ordered o ON o.talk = t.talk AND o.k = t.k + 1)
+    )
+), told AS (SELECT t.talk, t.frame, t.owner, t.told AS reason FROM t WHERE told <> '')"""
+
+
+def _noisy(spark, sf):
+    return floor.noise_floor(T.frames(spark, sf), ["talk", "ch"])
+
+
+@query(f"""WITH RECURSIVE {_FRAME}, {NOISE}, {BLEED}, {NOISE_SNR}, {LEAD}, {TURNS}
+SELECT t.talk, t.frame, t.owner, t.reason, coalesce(array_to_string(l.overlap, ','), '') AS overlap, round(l.snr, 1) AS snr, l.second FROM told t LEFT JOIN lead l ON l.talk = t.talk AND l.frame = t.frame""")
 def floor_events(spark, sf):
-    lead = floor.leaders(_snr(spark, sf)).select("talk", "frame", "leader")
-    every = T.frames(spark, sf).select("talk", "frame").distinct()
-    return floor.turns(every.join(lead, ["talk", "frame"], "left"))
+    told = floor.events(_noisy(spark, sf))
+    return told.withColumn("overlap", F.array_join(F.col("overlap").cast("array<string>"), ","))
+
+
+@query(f"""WITH RECURSIVE {_FRAME}, {NOISE}, {BLEED}, {NOISE_SNR}, {LEAD}, {TURNS},
+o AS (SELECT talk, frame, array_to_string(overlap, ',') AS overlap FROM lead WHERE frame >= 30 UNION ALL SELECT talk, frame, '' FROM told WHERE owner IS NULL)
+SELECT o.talk, arg_max(o.overlap, o.frame) AS overlap, (SELECT arg_max(struct_pack(owner := x.owner), x.frame).owner FROM told x WHERE x.talk = o.talk) AS owner FROM o GROUP BY o.talk""")
+def floor_now(spark, sf):
+    noisy = _noisy(spark, sf)
+    now = floor.floor_status(floor.rivals(noisy), floor.events(noisy))
+    return now.withColumn("overlap", F.array_join(F.col("overlap").cast("array<string>"), ","))
 
 
 @query(f"""WITH {T.FRAME}, s AS (SELECT talk, ch, level_db + 85 AS snr, frame FROM frame), q AS (SELECT *, row_number() OVER (PARTITION BY talk, ch ORDER BY frame) AS k, snr < 8 AS quiet FROM s),
@@ -295,10 +413,10 @@ def speech_runs(spark, sf):
 
 
 def _points(spark, sf):
-    return T.messages(spark, sf).selectExpr("talk % 10 as talk", "seq", "seq % 9000 - 40 as t")
+    return T.messages(spark, sf).selectExpr("talk % 10 * 3 + seq % 3 as talk", "seq", "seq % 9000 - 40 as t")
 
 
-@query(f"""WITH {T.RUNS}, p AS (SELECT user_id % 20 % 10 AS talk, event_id AS seq, event_id % 9000 - 40 AS t FROM events), first AS (SELECT talk, min(a0) AS a0 FROM runs GROUP BY talk)
+@query(f"""WITH {T.RUNS}, p AS (SELECT user_id % 20 % 10 * 3 + event_id % 3 AS talk, event_id AS seq, event_id % 9000 - 40 AS t FROM events), first AS (SELECT talk, min(a0) AS a0 FROM runs GROUP BY talk)
 SELECT p.talk, p.seq, p.t, coalesce(r.a0 + p.t - r.s0, f.a0, p.t) AS t_abs FROM p ASOF LEFT JOIN runs r ON r.talk = p.talk AND p.t >= r.s0 LEFT JOIN first f ON f.talk = p.talk""")
 def speech_to_abs(spark, sf):
     return timeline.to_absolute(_points(spark, sf), timeline.speech_runs(T.gated(spark, sf), 5), "t", "t_abs").select("talk", "seq", "t", "t_abs")
@@ -309,7 +427,9 @@ def silence_dropped(spark, sf):
     return timeline.silence_dropped(timeline.speech_runs(T.gated(spark, sf), 5))
 
 
-@query(f"""WITH {T.FRAME}, f AS (SELECT talk, frame, level_db >= max(level_db) OVER (PARTITION BY talk) - 85 AS speech, max(frame) OVER (PARTITION BY talk) + 1 AS frames FROM frame WHERE ch = 0),
+@query(f"""WITH {T.FRAME}, f AS (
+    SELECT talk * 3 + ch AS talk, frame, level_db >= max(level_db) OVER (PARTITION BY talk, ch) - 85 AS speech, max(frame) OVER (PARTITION BY talk, ch) + 1 AS frames FROM frame
+),
 s AS (SELECT *, CASE WHEN coalesce(frame - lag(frame) OVER (PARTITION BY talk ORDER BY frame) - 1 >= 18, true) THEN 1 ELSE 0 END AS n FROM f WHERE speech),
 g AS (SELECT *, sum(n) OVER (PARTITION BY talk ORDER BY frame) AS run FROM s),
 r AS (SELECT talk, run, min(frame) AS i, max(frame) AS j, any_value(frames) AS frames FROM g GROUP BY talk, run),
@@ -318,7 +438,7 @@ c AS (SELECT talk, a, b, unnest(range(CAST(greatest(ceil((b - a) / 3500), 1) AS
 p AS (SELECT talk, a + k * 3500 AS t0, least(a + k * 3500 + 3500, b) AS t1 FROM c)
 SELECT talk, t0, t1 FROM p WHERE t1 - t0 = 3500 OR t1 - t0 > 150""")
 def pause_cut_segments(spark, sf):
-    rows = T.frames(spark, sf).where("ch = 0")
+    rows = T.frames(spark, sf).withColumn("talk", F.col("talk") * 3 + F.col("ch"))
     rows = rows.withColumn("speech", F.col("level_db") >= F.max("level_db").over(Window.partitionBy("talk")) - 85)
     return timeline.pause_cut(rows.select("talk", "frame", "speech"), 32, KNOBS.frames(KNOBS.pause_split), 3500, 150)
 
@@ -337,9 +457,10 @@ def tape_retained(spark, sf):
 # -- words, segments, texts -----------------------------------------------------------------------
 
 
-@query(f"WITH {T.WORD} SELECT talk, idx, coalesce(t0 - lag(t1) OVER (PARTITION BY talk ORDER BY idx), 0) AS pause FROM word")
+@query(f"WITH {T.WORD} SELECT talk, idx, CASE WHEN sid = lag(sid) OVER (PARTITION BY talk ORDER BY idx) THEN t0 - lag(t1) OVER (PARTITION BY talk ORDER BY idx) ELSE 0 END AS pause FROM word")
 def word_pauses(spark, sf):
-    return words.pauses(T.words(spark, sf)).select("talk", "idx", "pause")
+    """Each turn of a conversation is another speaker's."""
+    return words.pauses(T.words(spark, sf), speaker="sid").select("talk", "idx", "pause")
 
 
 @query(f"WITH {T.SEG} SELECT talk, arg_max(t1, sid) - arg_min(t0, sid) AS duration, CAST(sum(nw) AS BIGINT) AS words, count(*) AS segments FROM seg GROUP BY talk")
@@ -348,14 +469,16 @@ def segment_stats(spark, sf):
 
 
 @query(f"""WITH {T.SEG}, s AS (SELECT talk, spk, count(*) AS n, min(sid) AS f FROM seg WHERE spk IS NOT NULL GROUP BY talk, spk)
-SELECT talk, spk, n, CAST(sum(n) OVER (PARTITION BY talk) AS BIGINT) AS total, row_number() OVER (PARTITION BY talk ORDER BY n DESC, f) AS place FROM s""")
+SELECT talk, spk, n, CAST(sum(n) OVER (PARTITION BY talk) AS BIGINT) AS total, CAST(round_even(100 * n / sum(n) OVER (PARTITION BY talk), 0) AS BIGINT) AS percent, row_number() OVER (PARTITION BY talk ORDER BY n DESC, f) AS place FROM s""")
 def speaker_share(spark, sf):
     return words.speaker_share(T.segments(spark, sf))
 
 
-@query(f"WITH {T.WORD} SELECT talk, sid, CAST(sum(p) AS BIGINT) AS tenths, count(*) AS n FROM word GROUP BY talk, sid")
+@query(f"WITH {T.WORD} SELECT seg.talk, seg.sid, coalesce(round(avg(p / 10), 9), 0) AS conf FROM seg LEFT JOIN word ON word.talk = seg.talk AND word.sid = seg.sid GROUP BY seg.talk, seg.sid")
 def segment_confidence(spark, sf):
-    return T.words(spark, sf).groupBy("talk", "sid").agg(F.sum("p").alias("tenths"), F.count(F.lit(1)).alias("n"))
+    own = T.words(spark, sf).groupBy("talk", "sid").agg(F.collect_list(F.col("p") / 10).alias("probs"))
+    rows = T.segments(spark, sf).select("talk", "sid").join(own, ["talk", "sid"], "left")
+    return rows.select("talk", "sid", F.round(words.confidence(F.col("probs")), 9).alias("conf"))
 
 
 _WORD = T.WORD.replace("word AS", "word AS MATERIALIZED", 1)
@@ -382,21 +505,140 @@ def segmenter_close(spark, sf):
 
 
 def _hypotheses(spark, sf):
-    """Each poll hears three words more; every fourth poll spells its last word otherwise."""
-    own = T.words(spark, sf).groupBy("talk").agg(F.array_sort(F.collect_list(F.struct("idx", "text", "t0", "t1"))).alias("all"))
-    polls = own.withColumn("poll", F.explode(F.sequence(F.lit(1), F.least(F.lit(8), F.ceil(F.size("all") / 3)).cast("int"))))
+    """Utterances of 24 words; each poll hears three words more, and every fourth spells its last word otherwise."""
+    rank = F.row_number().over(Window.partitionBy("talk").orderBy("idx")) - 1
+    rows = T.words(spark, sf).withColumn("u", F.expr("talk * 100000") + F.floor(rank / 24))
+    own = rows.groupBy(F.col("u").alias("talk")).agg(F.array_sort(F.collect_list(F.struct("idx", "text", "t0", "t1"))).alias("all"))
+    polls = own.withColumn("poll", F.explode(F.sequence(F.lit(1), F.ceil(F.size("all") / 3).cast("int"))))
     heard = F.slice("all", 1, F.col("poll") * 3)
     word = lambda w, i: F.struct(
-        F.when((F.col("poll") % 4 == 0) & (i == F.size(heard) - 1), F.concat(w["text"], F.lit("x"))).otherwise(F.upper(w["text"])).alias("text"), w["t0"].cast("double").alias("t0"), w["t1"].cast("double").alias("t1")
+        F.when((F.col("poll") % 4 == 0) & (i == F.size(heard) - 1), F.concat(w["text"], F.lit("x"))).otherwise(F.concat(w["text"], F.lit("!"))).alias("text"), w["t0"].cast("double").alias("t0"), w["t1"].cast("double").alias("t1")
     )
     return polls.select("talk", F.col("poll").cast("long").alias("poll"), F.transform(heard, word).alias("words"))
 
 
-@query()
+_FORM = "regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}_]', '', 'g')"
+#: Words at the begin of two lists that have the same form.
+_SAME = f"coalesce(list_position(list_transform(range(1, least(len(a), len(b)) + 1), lambda i: {_FORM.format('a[i].text')} = {_FORM.format('b[i].text')}), false) - 1, least(len(a), len(b)))"
+
+
+@query(f"""WITH RECURSIVE {T.WORD}, u AS (SELECT talk * 100000 + (row_number() OVER (PARTITION BY talk ORDER BY idx) - 1) // 24 AS talk, idx, text, t0, t1 FROM word),
+l AS (SELECT talk, list({{'text': text, 't0': t0, 't1': t1}} ORDER BY idx) AS every FROM u GROUP BY talk),
+h AS MATERIALIZED (
+    SELECT talk, poll, list_transform(every[:poll * 3], lambda w, i: {{'text': CASE WHEN poll % 4 = 0 AND i = least(poll * 3, len(every)) THEN w.text || 'x' ELSE w.text || '!' END, 't0': CAST(w.t0 AS DOUBLE), 't1': CAST(w.t1 AS DOUBLE)}}) AS ws
+    FROM (SELECT *, unnest(range(1, CAST(ceil(len(every) / 3) AS BIGINT) + 1)) AS poll FROM l)
+), p AS (
+    SELECT talk, poll, ws AS kept, ws[:0] AS new FROM h WHERE poll = 1
+    UNION ALL
+    SELECT talk, poll, b[n + 1:], b[:n] FROM (SELECT *, {_SAME} AS n FROM (SELECT h.talk, h.poll, p.kept AS a, h.ws AS b FROM p JOIN h ON h.talk = p.talk AND h.poll = p.poll + 1))
+)
+SELECT talk, poll, generate_subscripts(new, 1) - 1 AS pos, unnest(new).text AS text, unnest(new).t0 AS t0, unnest(new).t1 AS t1 FROM p""")
 def local_agreement(spark, sf):
     return words.committed(_hypotheses(spark, sf), KNOBS.agreement_n)
 
 
+def _spelled(row, audio, _prompt, _origin):
+    """A recogniser that knows the words in its buffer; in every fourth chunk it hears the last one otherwise."""
+    return [*audio[:-1], [audio[-1][0] + "x", *audio[-1][1:]]] if audio and row.seq % 8 == 0 else audio
+
+
+def _chunks(spark, sf):
+    """Chunks of 800 ms with the words that end in them; every 25th is followed by a flush, every 40th by a reset."""
+    rows = T.words(spark, sf).withColumn("c", F.expr("t1 div 800"))
+    word = F.struct("text", F.col("t0").cast("double").alias("t0"), F.col("t1").cast("double").alias("t1"), (F.col("p") / 10).alias("p"))
+    heard = rows.groupBy("talk", "c").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", word.alias("w")))), lambda x: x["w"]).alias("audio"))
+    every = rows.groupBy("talk").agg(F.max("c").alias("n")).withColumn("c", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n")))).drop("n")
+    feed = every.join(heard, ["talk", "c"], "left").select("talk", (F.col("c") * 2).alias("seq"), F.lit("feed").alias("what"), F.lit(12800).cast("long").alias("samples"), "audio", F.lit(0.0).alias("at"))
+    stop = F.when(F.col("c") % 40 == 39, "reset").when(F.col("c") % 25 == 24, "flush")
+    halt = every.withColumn("what", stop).where("what is not null").select(
+        "talk", (F.col("c") * 2 + 1).alias("seq"), "what", F.lit(0).cast("long").alias("samples"), F.lit(None).cast(feed.schema["audio"].dataType).alias("audio"), ((F.col("c") + 1) * 800).cast("double").alias("at")
+    )
+    return feed.unionByName(halt)
+
+
+@query(f"""WITH RECURSIVE {T.WORD}, wc AS (SELECT *, t1 // 800 AS c FROM word), n AS (SELECT talk, max(c) AS n FROM wc GROUP BY talk),
+ch AS (SELECT talk, unnest(range(0, n + 1)) AS c FROM n),
+heard AS (SELECT talk, c, list({{'text': text, 't0': t0, 't1': t1}} ORDER BY idx) AS audio FROM wc GROUP BY talk, c),
+ev AS MATERIALIZED (
+    SELECT *, row_number() OVER (PARTITION BY talk ORDER BY seq) AS k FROM (
+        SELECT ch.talk, ch.c * 2 AS seq, 'feed' AS what, coalesce(h.audio, []) AS audio, ch.c AS c FROM ch LEFT JOIN heard h ON h.talk = ch.talk AND h.c = ch.c
+        UNION ALL SELECT talk, c * 2 + 1, CASE WHEN c % 40 = 39 THEN 'reset' ELSE 'flush' END, [], c FROM ch WHERE c % 40 = 39 OR c % 25 = 24)
+), st AS (
+    SELECT talk, CAST(0 AS BIGINT) AS k, CAST(-1 AS BIGINT) AS seq, '' AS what, CAST(0 AS BIGINT) AS origin, CAST(0 AS BIGINT) AS buf, CAST(NULL AS STRUCT(text VARCHAR, t0 BIGINT, t1 BIGINT)[]) AS kept,
+           CAST([] AS STRUCT(text VARCHAR, t0 BIGINT, t1 BIGINT)[]) AS tail, CAST([] AS STRUCT(text VARCHAR, t0 BIGINT, t1 BIGINT)[]) AS audio, CAST([] AS STRUCT(text VARCHAR, t0 BIGINT, t1 BIGINT)[]) AS new FROM n
+    UNION ALL
+    SELECT talk, k, seq, what, CASE what WHEN 'reset' THEN (c + 1) * 800 WHEN 'flush' THEN origin ELSE origin + gone END, CASE what WHEN 'reset' THEN 0 WHEN 'flush' THEN buf ELSE greatest(buf - 16 * gone, 0) END,
+           CASE WHEN what = 'feed' THEN b[m + 1:] END, CASE WHEN what = 'feed' THEN list_filter(b, lambda w: NOT list_contains(list_transform(new, lambda x: {_FORM.format('x.text')}), {_FORM.format('w.text')}))[-12:] ELSE [] END,
+           CASE what WHEN 'reset' THEN [] WHEN 'flush' THEN held ELSE list_filter(held, lambda w: w.t1 > origin + gone) END, CASE WHEN what = 'feed' THEN new ELSE tail END
+    FROM (
+        SELECT *, CASE WHEN m > 0 THEN greatest(b[m].t1 - origin, 0) ELSE 0 END AS gone, b[:m] AS new FROM (
+            SELECT *, CASE WHEN what = 'feed' AND a IS NOT NULL THEN {_SAME} ELSE 0 END AS m FROM (
+                SELECT s.talk, e.k, e.seq, e.what, e.c, s.origin, CASE WHEN e.what = 'feed' THEN s.buf + 12800 ELSE s.buf END AS buf, s.kept AS a, s.tail, list_concat(s.audio, e.audio) AS held,
+                       CASE WHEN e.seq % 8 = 0 THEN list_transform(list_concat(s.audio, e.audio), lambda w, i: {{'text': CASE WHEN i = len(s.audio) + len(e.audio) THEN w.text || 'x' ELSE w.text END, 't0': w.t0, 't1': w.t1}}) ELSE list_concat(s.audio, e.audio) END AS b
+                FROM st s JOIN ev e ON e.talk = s.talk AND e.k = s.k + 1
+            )
+        )
+    )
+)
+SELECT talk, seq, CASE what WHEN 'feed' THEN 'poll' ELSE what END AS what, array_to_string(list_transform(new, lambda w: w.text), ' ') AS stable, CASE WHEN what = 'feed' THEN array_to_string(list_transform(tail, lambda w: w.text), ' ') ELSE '' END AS partial,
+       CAST(origin AS DOUBLE) AS origin, buf FROM st WHERE k > 0""")
+def poll_buffer(spark, sf):
+    found = words.polled(_chunks(spark, sf), _spelled, KNOBS, unit=1000.0)
+    said = lambda c: F.array_join(F.transform(c, lambda w: w["text"]), " ").alias(c)
+    return found.select("talk", "seq", "what", said("stable"), said("partial"), "origin", "buf")
+
+
+def _live_events(spark, sf):
+    """Each word is committed by itself; before every fifth it is shown as a guess, a new speaker has the floor after every 20th, and the clock ticks after every seventh."""
+    k = F.row_number().over(Window.partitionBy("talk").orderBy("idx")).cast("long")
+    rows = T.words(spark, sf).withColumn("k", k)
+    word = F.array(F.struct("text", F.col("t0").cast("double").alias("t0"), F.col("t1").cast("double").alias("t1"), (F.col("p") / 10).alias("p")))
+    none = F.array().cast("array<struct<text:string,t0:double,t1:double,p:double>>")
+    row = lambda at, what, ws, name: F.struct((F.col("k") * 4 + at).alias("seq"), F.lit(what).alias("what"), ws.alias("words"), name.cast("string").alias("name"), (F.col("t1") + at).cast("double").alias("now"))
+    all_ = F.array(
+        F.when(F.col("k") % 5 == 0, row(0, "partial", word, F.lit(None))), row(1, "stable", word, F.lit(None)), F.when(F.col("k") % 7 == 0, row(2, "tick", none, F.lit(None))),
+        F.when(F.col("k") % 20 == 0, row(3, "floor", none, F.when(F.col("k") % 60 != 0, F.concat(F.lit("ch"), (F.col("k") % 3).cast("string"))))),
+    )
+    return rows.select("talk", F.explode(F.filter(all_, lambda x: x.isNotNull())).alias("e")).select("talk", "e.*")
+
+
+@query(rf"""WITH RECURSIVE {_WORD}, w AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY talk ORDER BY idx) AS k, regexp_matches(text, '[.!?…]+[»"'')\]]*$') AS stops, ends_with(text, ',') AS comma FROM word),
+ev AS MATERIALIZED (
+    SELECT *, row_number() OVER (PARTITION BY talk ORDER BY seq) AS i FROM (
+        SELECT *, k * 4 + phase AS seq, t1 + phase AS now, CASE WHEN phase = 3 AND k % 60 <> 0 THEN 'ch' || k % 3 END AS name FROM (
+            SELECT *, unnest(list_filter([CASE WHEN k % 5 = 0 THEN 0 END, 1, CASE WHEN k % 7 = 0 THEN 2 END, CASE WHEN k % 20 = 0 THEN 3 END], lambda x: x IS NOT NULL)) AS phase FROM w))
+), st AS (
+    SELECT talk, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS seq, CAST(0 AS BIGINT) AS sid, false AS isopen, CAST(0 AS BIGINT) AS rev, CAST([] AS STRUCT(text VARCHAR, t0 BIGINT, t1 BIGINT, p BIGINT)[]) AS ws, CAST(NULL AS VARCHAR) AS spk, CAST(0 AS BIGINT) AS opened,
+           CAST(NULL AS BIGINT) AS last, CAST(NULL AS VARCHAR) AS next, CAST([] AS STRUCT(t VARCHAR, sid BIGINT, rev BIGINT, final BOOLEAN, stable BOOLEAN, spk VARCHAR, ws STRUCT(text VARCHAR, t0 BIGINT, t1 BIGINT, p BIGINT)[], tail VARCHAR)[]) AS out FROM (SELECT DISTINCT talk FROM w)
+    UNION ALL
+    SELECT talk, i, seq, sid2, CASE phase WHEN 1 THEN NOT done WHEN 0 THEN true WHEN 2 THEN isopen AND NOT ticked ELSE false END,
+           CASE phase WHEN 0 THEN rev2 + 1 WHEN 1 THEN rev2 + 1 ELSE rev2 END, CASE phase WHEN 0 THEN ws2 WHEN 1 THEN CASE WHEN done THEN [] ELSE ws3 END WHEN 2 THEN CASE WHEN ticked THEN [] ELSE ws END ELSE [] END,
+           spk2, opened2, CASE phase WHEN 1 THEN t1 WHEN 3 THEN NULL ELSE last END, CASE phase WHEN 3 THEN name ELSE next END,
+           list_concat(
+               CASE WHEN phase = 1 AND paused THEN [{{'t': 'seg', 'sid': sid, 'rev': rev + 1, 'final': true, 'stable': true, 'spk': spk, 'ws': ws, 'tail': ''}}] ELSE [] END,
+               CASE WHEN phase = 0 THEN [{{'t': 'seg', 'sid': sid2, 'rev': rev2 + 1, 'final': false, 'stable': false, 'spk': spk2, 'ws': ws2, 'tail': text}}]
+                    WHEN phase = 1 THEN [{{'t': 'seg', 'sid': sid2, 'rev': rev2 + 1, 'final': done, 'stable': true, 'spk': spk2, 'ws': ws3, 'tail': ''}}]
+                    WHEN phase = 2 AND ticked THEN [{{'t': 'seg', 'sid': sid, 'rev': rev + 1, 'final': true, 'stable': true, 'spk': spk, 'ws': ws, 'tail': ''}}]
+                    WHEN phase = 3 AND isopen AND len(ws) > 0 THEN [{{'t': 'seg', 'sid': sid, 'rev': rev + 1, 'final': false, 'stable': true, 'spk': spk, 'ws': ws, 'tail': ''}}, {{'t': 'seg', 'sid': sid, 'rev': rev + 2, 'final': true, 'stable': true, 'spk': spk, 'ws': ws, 'tail': ''}}] ELSE [] END,
+               CASE WHEN phase = 3 THEN [{{'t': 'floor', 'sid': NULL, 'rev': NULL, 'final': NULL, 'stable': NULL, 'spk': name, 'ws': NULL, 'tail': NULL}}] ELSE [] END)
+    FROM (
+        SELECT *, phase = 1 AND (stops AND len(ws3) >= 3 OR len(ws3) >= 18 OR t1 - ws3[1].t0 >= 3500 OR comma AND len(ws3) >= 12) AS done FROM (
+            SELECT *, phase < 2 AND (NOT isopen OR paused) AS fresh, CASE WHEN phase < 2 AND (NOT isopen OR paused) THEN sid + 1 ELSE sid END AS sid2, CASE WHEN phase < 2 AND (NOT isopen OR paused) THEN 0 ELSE rev END AS rev2,
+                   CASE WHEN phase < 2 AND (NOT isopen OR paused) THEN next ELSE spk END AS spk2, CASE WHEN phase < 2 AND (NOT isopen OR paused) THEN now ELSE opened END AS opened2, CASE WHEN phase < 2 AND (NOT isopen OR paused) THEN [] ELSE ws END AS ws2,
+                   list_append(CASE WHEN phase < 2 AND (NOT isopen OR paused) THEN [] ELSE ws END, {{'text': text, 't0': t0, 't1': t1, 'p': p}}) AS ws3 FROM (
+                SELECT s.*  EXCLUDE (i, seq, out), e.i, e.seq, e.phase, e.text, e.t0, e.t1, e.p, e.stops, e.comma, e.now, e.name, e.phase = 1 AND s.isopen AND len(s.ws) > 0 AND coalesce(e.t0 - s.last >= 600, false) AS paused,
+                       e.phase = 2 AND s.isopen AND len(s.ws) > 0 AND e.now - s.opened >= 3500 AS ticked FROM st s JOIN ev e ON e.talk = s.talk AND e.i = s.i + 1
+            )
+        )
+    )
+), o AS (SELECT talk, seq, unnest(out) AS x FROM st)
+SELECT talk, seq, x.t AS t, x.sid AS sid, x.rev AS rev, x.final AS final, x.stable AS stable, x.spk AS spk, CASE WHEN x.t = 'seg' THEN CAST(CASE WHEN x.spk IS NULL THEN 0 ELSE 1 END AS DOUBLE) END AS spk_conf,
+       CASE WHEN x.t = 'seg' THEN regexp_replace(array_to_string(list_transform(x.ws, lambda w: w.text), ' '), '\s+([,.!?;:…])', '\1', 'g') END AS text, x.tail AS tail,
+       CASE WHEN x.t = 'seg' THEN coalesce(round(list_avg(list_transform(x.ws, lambda w: w.p / 10)), 9), 0) END AS conf, CASE WHEN x.t = 'seg' THEN coalesce(CAST(x.ws[1].t0 AS DOUBLE), 0) END AS t0, CASE WHEN x.t = 'seg' THEN coalesce(CAST(x.ws[-1].t1 AS DOUBLE), 0) END AS t1 FROM o""")
+def live_segments(spark, sf):
+    return words.live_segments(_live_events(spark, sf), KNOBS, unit=1000.0).withColumn("conf", F.round("conf", 9))
+
+
 @query(r"""WITH x AS (SELECT turn, conv_id, list_filter(list_transform(regexp_split_to_array(text, '\s+'), lambda w: regexp_replace(lower(w), '[^\p{L}\p{N}_]', '', 'g')), lambda w: w <> '') AS ws FROM conversations)
 SELECT conv_id, turn, len(ws) AS n, array_to_string(ws, ' ') AS normed FROM x""")
 def norm_tokens(spark, sf):
@@ -499,14 +741,34 @@ def glossary_mask(spark, sf):
     return rows.select("conv_id", "turn", "p.masked", X.restore(F.col("p.masked"), F.col("p.found"), targets).alias("restored"), F.size("p.found").cast("long").alias("n"))
 
 
-@query(rf"""WITH {T.WORD}, s AS (SELECT talk, sid, regexp_replace(trim(regexp_replace(string_agg(text, ' ' ORDER BY idx), '\s+', ' ', 'g')), '\s+([,.!?;:…])', '\1', 'g') AS text, max(text) FILTER (WHERE p = 1) AS tail FROM word WHERE sid % 4 <> 0 GROUP BY talk, sid)
-SELECT talk, sid, text || coalesce(' ' || tail, '') AS text, length(text) AS stable_len, CASE WHEN talk % 2 = 0 THEN 'en' ELSE 'auto' END AS lang FROM s WHERE text <> ''""")
+@query(rf"""WITH {T.WORD}, {T.RUNS}, s AS (
+    SELECT talk, sid, regexp_replace(trim(regexp_replace(string_agg(text, ' ' ORDER BY idx), '\s+', ' ', 'g')), '\s+([,.!?;:…])', '\1', 'g') AS text, max(text) FILTER (WHERE p = 1) AS tail,
+           avg(p / 10) AS conf, min(t0) AS s0, max(t1) AS s1 FROM word GROUP BY talk, sid
+), clock AS (
+    SELECT *, talk % 30 AS tape FROM s
+), first AS (
+    SELECT talk, min(a0) AS a0 FROM runs GROUP BY talk
+)
+SELECT c.talk, c.sid, c.text || coalesce(' ' || c.tail, '') AS text, length(c.text) AS stable_len, CASE WHEN c.talk % 2 = 0 THEN 'en' ELSE 'auto' END AS lang, round(c.conf, 3) AS conf,
+       's' || c.sid % 3 AS spk, round(c.sid % 16 / 16, 2) AS spk_conf, round(coalesce(x.a0 + c.s0 - x.s0, f.a0, c.s0) / 1000, 2) AS t0, round(coalesce(y.a0 + c.s1 - y.s0, f.a0, c.s1) / 1000, 2) AS t1
+FROM clock c ASOF LEFT JOIN runs x ON x.talk = c.tape AND c.s0 >= x.s0 ASOF LEFT JOIN runs y ON y.talk = c.tape AND c.s1 >= y.s0 LEFT JOIN first f ON f.talk = c.tape
+WHERE c.text <> '' AND c.sid % 7 <> 3""")
 def emit_segments(spark, sf):
-    own = T.words(spark, sf).where("sid % 4 != 0").groupBy("talk", "sid").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "text"))), lambda w: w["text"]), " ").alias("text"), F.max(F.when(F.col("p") == 1, F.col("text"))).alias("tail")
+    """Muted while the fourth of every seven segments is sent; speech times of a conversation run on the clock of one of the thirty channels."""
+    own = T.words(spark, sf).groupBy("talk", "sid").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "text"))), lambda w: w["text"]), " ").alias("text"),
+        F.max(F.when(F.col("p") == 1, F.col("text"))).alias("tail"),
+        words.confidence(F.collect_list(F.col("p") / 10)).alias("conf"),
+        F.min("t0").alias("t0"),
+        F.max("t1").alias("t1"),
     )
-    own = own.withColumn("lang", F.when(F.col("talk") % 2 == 0, "en")).withColumn("conf", F.lit(0.5))
-    return words.emitted(own).drop("conf")
+    own = own.withColumns({
+        "lang": F.when(F.col("talk") % 2 == 0, "en"), "muted": F.col("sid") % 7 == 3, "spk": F.concat(F.lit("s"), (F.col("sid") % 3).cast("string")), "spk_conf": F.col("sid") % 16 / 16,
+        "conv": F.col("talk"), "talk": F.col("talk") % 30,
+    })
+    runs = timeline.speech_runs(T.gated(spark, sf), 5)
+    timed = timeline.to_absolute(timeline.to_absolute(own, runs, "t0", "t0"), runs, "t1", "t1").withColumn("talk", F.col("conv"))
+    return words.emitted(timed.withColumns({"t0": F.col("t0") / 1000, "t1": F.col("t1") / 1000}))
 
 
 # -- voices ---------------------------------------------------------------------------------------
@@ -517,10 +779,21 @@ def cosine_pairs(spark, sf):
     return speakers.pair_cosines(T.vectors(spark, sf), ["talk"], LOOSE).select("talk", "a", "b")
 
 
-@query(f"""WITH {T.VEC}, c AS (SELECT id AS a, v FROM vec WHERE id < 40) SELECT x.a, y.a AS b FROM c x JOIN c y ON x.a < y.a WHERE list_inner_product(x.v, y.v) >= 0.25""")
+#: The enrolled voices of a talk: the mean of each label.
+ENROLLED = """sums AS (SELECT talk, label, i, sum(v[i]) AS x FROM (SELECT *, unnest(range(1, 65)) AS i FROM vec) GROUP BY talk, label, i),
+lens AS (SELECT talk, label, sqrt(sum(x * x)) AS n FROM sums GROUP BY talk, label),
+mid AS MATERIALIZED (SELECT s.talk, s.label, list(s.x / l.n ORDER BY i) AS v FROM sums s JOIN lens l ON l.talk = s.talk AND l.label = s.label GROUP BY s.talk, s.label)"""
+
+
+def _enrolled(spark, sf):
+    return speakers.centroids(T.vectors(spark, sf), ["talk", "label"], DIM)
+
+
+@query(f"WITH {T.VEC}, {ENROLLED} SELECT a.talk, a.label AS a, b.label AS b, round(list_inner_product(a.v, b.v), 6) AS cos FROM mid a JOIN mid b ON b.talk = a.talk AND a.label < b.label")
 def separability(spark, sf):
-    enrolled = T.vectors(spark, sf).where("id < 40").withColumn("all", F.lit(0))
-    return speakers.pair_cosines(enrolled, ["all"], 0.25).select("a", "b")
+    """How alike the enrolled voices of a talk are."""
+    found = speakers.pair_cosines(_enrolled(spark, sf).select("talk", F.col("label").alias("id"), F.col("c").alias("v")), ["talk"])
+    return found.select("talk", "a", "b", F.round("cos", 6).alias("cos"))
 
 
 @query(f"""WITH {T.VEC}, p AS (SELECT a.label = b.label AS same, list_inner_product(a.v, b.v) AS c FROM vec a JOIN vec b ON b.talk = a.talk AND a.id < b.id)
@@ -535,29 +808,28 @@ def similarity_range(spark, sf):
 
 
 def _centres(spark, sf):
-    """The vectors below 80 are the centroids of their talk, in order of id."""
-    rows = T.vectors(spark, sf).where("id < 80")
-    return rows.select("talk", F.concat(F.lit("c"), F.col("id").cast("string")).alias("spk"), F.col("id").alias("place"), F.col("v").alias("c"))
+    """The enrolled voices, in order of their labels."""
+    return _enrolled(spark, sf).select("talk", F.concat(F.lit("c"), F.col("label").cast("string")).alias("spk"), F.col("label").alias("place"), "c")
 
 
-TOP2 = """top2 AS (
+TOP2 = ENROLLED + """, top2 AS (
     SELECT talk, id, max(spk) FILTER (WHERE k = 1) AS best, max(sim) AS best_sim, coalesce(max(sim) FILTER (WHERE k = 2), -1) AS second_sim FROM (
-        SELECT x.talk, x.id, 'c' || c.id AS spk, list_inner_product(x.v, c.v) AS sim, row_number() OVER (PARTITION BY x.talk, x.id ORDER BY list_inner_product(x.v, c.v) DESC, c.id) AS k
-        FROM vec x JOIN vec c ON c.talk = x.talk AND c.id < 80 WHERE x.id >= 80
+        SELECT x.talk, x.id, 'c' || c.label AS spk, list_inner_product(x.v, c.v) AS sim, row_number() OVER (PARTITION BY x.talk, x.id ORDER BY list_inner_product(x.v, c.v) DESC, c.label) AS k
+        FROM vec x JOIN mid c ON c.talk = x.talk
     ) WHERE k <= 2 GROUP BY talk, id
 )"""
 
 
 @query(f"WITH {T.VEC}, {TOP2} SELECT talk, id, best, round(best_sim, 6) AS best_sim, round(second_sim, 6) AS second_sim FROM top2")
 def top2_centroid(spark, sf):
-    found = speakers.two_best(T.vectors(spark, sf).where("id >= 80"), _centres(spark, sf))
+    found = speakers.two_best(T.vectors(spark, sf), _centres(spark, sf))
     return found.select("talk", "id", "best", F.round("best_sim", 6).alias("best_sim"), F.round("second_sim", 6).alias("second_sim"))
 
 
 @query(f"""WITH {T.VEC}, {TOP2} SELECT id, round(1 / (1 + exp(-((best_sim - 0.68) + (best_sim - second_sim - 0.08)) / 0.06)), 9) AS conf, round(least(0.6, 1 / (1 + exp(-(0.68 - best_sim - 0.08) / 0.06))), 6) AS fresh,
 1 / (1 + exp(-((best_sim - 0.68) + (best_sim - second_sim - 0.08)) / 0.06)) < 0.45 AS vetoed FROM top2""")
 def confidence(spark, sf):
-    found = speakers.two_best(T.vectors(spark, sf).where("id >= 80"), _centres(spark, sf))
+    found = speakers.two_best(T.vectors(spark, sf), _centres(spark, sf))
     conf = V.confidence(F.col("best_sim"), F.col("second_sim"))
     return found.select("id", F.round(conf, 9).alias("conf"), F.round(V.new_confidence(F.col("best_sim")), 6).alias("fresh"), (conf < KNOBS.min_conf).alias("vetoed"))
 
@@ -599,22 +871,35 @@ def voiced_chunks(spark, sf):
 _LOOSE = Knobs(assign=LOOSE, merge=0.35, refine=1 - LOOSE)
 
 
+def _roster(spark, sf):
+    """Three voices known beforehand: the means of three labels."""
+    found = speakers.centroids(T.vectors(spark, sf).where("label < 3"), ["label"], DIM)
+    return {f"V{r['label']}": r["c"] for r in found.orderBy("label").collect()}
+
+
 @query()
 def online_clusters(spark, sf):
     rows = T.vectors(spark, sf).select("talk", F.col("id").alias("sid"), "v")
-    return speakers.online_labels(rows, _LOOSE)
+    return speakers.online_labels(rows, _LOOSE, _roster(spark, sf))
+
+
+@query()
+def merged_voices(spark, sf):
+    rows = T.vectors(spark, sf).select("talk", F.col("id").alias("sid"), "v")
+    return speakers.merges(rows, Knobs(assign=0.45, merge=0.3))
 
 
 @query()
 def refined_labels(spark, sf):
     rows = T.vectors(spark, sf).select("talk", F.col("id").alias("sid"), "v", (F.col("id") % 5 + 1).cast("double").alias("weight"))
-    return speakers.refined_labels(rows, _LOOSE)
+    return speakers.refined_labels(rows, _LOOSE, _roster(spark, sf))
 
 
 @query()
 def label_fixes(spark, sf):
     rows = T.vectors(spark, sf).select("talk", F.col("id").alias("sid"), "v", F.lit(1.0).alias("weight"))
-    return speakers.differing(speakers.online_labels(rows.drop("weight"), _LOOSE), speakers.refined_labels(rows, _LOOSE))
+    known = _roster(spark, sf)
+    return speakers.differing(speakers.online_labels(rows.drop("weight"), _LOOSE, known), speakers.refined_labels(rows, _LOOSE, known))
 
 
 @query(f"""WITH {T.MSG}, s AS (SELECT talk, sid, seq, spk FROM msg WHERE t = 'spk') SELECT talk, sid, seq, CASE spk WHEN 's3' THEN 's1' WHEN 's4' THEN 's1' ELSE spk END AS spk FROM s""")
@@ -628,7 +913,7 @@ def merged_history(spark, sf):
 
 
 def _grid(spark, sf):
-    return scoring.grid(*T.spans(spark, sf), 10, int(KNOBS.collar * 100))
+    return materialised(scoring.grid(*T.spans(spark, sf), 10, int(KNOBS.collar * 100)))
 
 
 @query(f"WITH {T.GRID} SELECT scenario, count(*) AS cells, count(ref) AS ref_cells, count(hyp) AS hyp_cells, CAST(sum(cell) AS BIGINT) AS checksum FROM grid GROUP BY scenario")
@@ -687,6 +972,6 @@ def der_speakers(spark, sf):
 
 @query(f"""WITH {T.GRID}, {BEST}, {DER} SELECT scenario, 'online' AS kind, CASE WHEN scenario % 3 = 0 THEN 'new' WHEN der > (scenario % 5) * 0.05 + 0.02 THEN 'worse' ELSE 'ok' END AS state FROM scored""")
 def baseline_regressions(spark, sf):
-    now = _scores(spark, sf).select("scenario", F.lit("online").alias("kind"), "der")
+    now = materialised(_scores(spark, sf).select("scenario", F.lit("online").alias("kind"), "der"))
     base = now.where("scenario % 3 != 0").select("scenario", "kind", ((F.col("scenario") % 5) * 0.05).alias("der"))
     return scoring.regressions(now, base, KNOBS.tolerance).select("scenario", "kind", "state")

@@ -97,6 +97,14 @@ def evaluate(reference: DataFrame, labels: dict[str, DataFrame], baseline: DataF
     return scoring.regressions(out, baseline, knobs.tolerance)
 
 
+def exit_code(compared: DataFrame, known: list[str], asked: str | None = None) -> int:
+    """As a command would end: 2 for a scenario nobody knows, 1 if any is worse than its baseline, else 0."""
+    if asked is not None and asked not in known:
+        return 2
+    rows = compared if asked is None else compared.where(F.col("scenario") == asked)
+    return int(not rows.where("state = 'worse'").isEmpty())
+
+
 def new_baseline(scores: DataFrame, tolerance: float) -> dict:
     """The scores as a baseline document; scenarios are few."""
     found: dict = {}

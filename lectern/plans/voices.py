@@ -14,14 +14,13 @@ from pyspark.sql.window import Window
 from lectern.config import Knobs
 from lectern.functions.encoders import spectral_encoder
 from lectern.functions.vectors import level_db
-from lectern.operators import scoring, speakers, timeline
+from lectern.operators import revlog, scoring, speakers, timeline
 from lectern.operators.folds import fold
+from lectern.plans import talks
 
 Encoder = Callable[[np.ndarray], np.ndarray | None]
 WINDOWS = "array<struct<t0:double,t1:double,v:array<double>>>"
 
-#: A frame counts as voiced within this range below the loudest of its window, and above the floor.
-VOICED_RANGE_DB, VOICED_FLOOR_DB = 35.0, -60.0
 #: Speech of a recording lies within this range below its loudest frame.
 SPEECH_RANGE_DB = 40.0
 
@@ -44,7 +43,7 @@ def windowed(pcm: np.ndarray, t0: float, encoder: Encoder, knobs: Knobs) -> list
         whole = part[: len(part) // knobs.frame_samples * knobs.frame_samples].reshape(-1, knobs.frame_samples)
         if len(whole):
             db = 20 * np.log10(np.sqrt((whole**2).mean(1) + 1e-12))
-            part = whole[(db >= db.max() - VOICED_RANGE_DB) & (db >= VOICED_FLOOR_DB)].ravel()
+            part = whole[(db >= db.max() - knobs.voiced_range_db) & (db >= knobs.voiced_floor_db)].ravel()
         if len(part) < knobs.min_voiced * knobs.sample_rate:
             continue
         v = encoder(part)
@@ -146,6 +145,30 @@ def final_labels(online: DataFrame, enrolled: dict[str, list[float]] | None = No
     return online.select("talk", "sid", F.col("spk").alias("was")).join(refined.select("talk", "sid", "spk"), ["talk", "sid"], "left").select("talk", "sid", F.coalesce("spk", "was").alias("spk"))
 
 
+def finished(sent: DataFrame, segments: DataFrame, titles: DataFrame, online: DataFrame, merged: DataFrame, refined: DataFrame | None, model=None) -> dict[str, DataFrame]:
+    """What the end of a talk brings, in this order: late labels, the labelled segments, the talk's state, its summary.
+
+    All segments are there before the look back begins, as the stream has ended.
+    refined is None where there is none to be.
+    """
+    none = online.select("talk", "sid", "spk", "conf").where("false")
+    changes = revlog.relabelled(sent, speakers.late_labels(online, merged, none if refined is None else refined))
+    labelled = revlog.last_labels(segments, changes)
+    return {
+        "changes": changes,
+        "segments": labelled,
+        "talks": sent.select("talk").distinct().withColumn("state", F.lit("ended")),
+        "summaries": talks.summaries(labelled, titles, model),
+    }
+
+
+def labelled_by(windows: DataFrame, knobs: Knobs = Knobs(), enrolled: dict[str, list[float]] | None = None) -> DataFrame:
+    """Online labels by the strategy of knobs.diarize: `embed` listens; by any other no segment is labelled."""
+    if knobs.diarize == "embed":
+        return attributed(windows, enrolled, knobs)
+    return attributed(windows.where("false"), enrolled, knobs)
+
+
 def error_rates(reference: DataFrame, spans: DataFrame, labels: DataFrame, knobs: Knobs = Knobs()) -> DataFrame:
     """Error rates of labels (talk, sid, spk) on spans (talk, sid, t0, t1) against a reference (scenario, ord, spk, t0, t1)."""
     hyp = spans.join(labels.select("talk", "sid", "spk"), ["talk", "sid"]).select(F.col("talk").alias("scenario"), F.col("sid").alias("ord"), "spk", "t0", "t1")

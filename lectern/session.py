@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import SparkSession
+import tempfile
 
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
@@ -23,6 +24,17 @@ def reachable(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def materialised(df: DataFrame) -> DataFrame:
+    """df written to the session's checkpoint folder, for what is used several times; a local master may do without a named one."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="lectern-ckpt-"))
+    return df.checkpoint(eager=True)
+
+
 def local_session(cores: int | str = 8, app: str = "lectern", **conf: str) -> SparkSession:
     """A local session with the settings the library is tuned for.
 

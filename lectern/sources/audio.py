@@ -1,4 +1,4 @@
-"""WAV files as frames and as whole signals; synthetic scenes for tests and evaluation."""
+"""WAV files as frames and as whole signals."""
 
 from __future__ import annotations
 
@@ -64,20 +64,3 @@ def signals(recordings: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([name.as_py()], pa.string()), pa.array([mono], pa.list_(pa.float32()))], names=["name", "pcm"])
 
     return recordings.select("name", "content").mapInArrow(run, "name string, pcm array<float>")
-
-
-def voice(pitch: float, envelope_db: list[float], seconds: float, rate: int = 16_000, gain_db: float = 0.0, seed: int = 0) -> np.ndarray:
-    """A synthetic voice: harmonics of a wavering pitch under a spectral envelope from 120 to 7000 Hz."""
-    rng = np.random.default_rng(seed)
-    t = np.arange(int(seconds * rate)) / rate
-    phase = 2 * np.pi * np.cumsum(pitch * (1 + 0.02 * np.sin(2 * np.pi * 4.5 * t + rng.uniform(0, 6)))) / rate
-    points = np.geomspace(120, 7000, len(envelope_db))
-    out = np.zeros_like(t)
-    for k in range(1, int(7000 / pitch) + 1):
-        db = np.interp(np.log(k * pitch), np.log(points), envelope_db)
-        out += 10 ** (db / 20) * np.sin(k * phase + rng.uniform(0, 6))
-    return (out / np.abs(out).max() * 0.3 * 10 ** (gain_db / 20)).astype(np.float32)
-
-
-def noise(seconds: float, db: float, rate: int = 16_000, seed: int = 0) -> np.ndarray:
-    return (np.random.default_rng(seed).normal(size=int(seconds * rate)) * 10 ** (db / 20)).astype(np.float32)

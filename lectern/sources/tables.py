@@ -27,14 +27,30 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         "element_at(array('en', 'ru', 'de', 'fr'), cast(event_id % 4 as int) + 1) as lang",
         "'s' || cast(event_id div 4 % 5 as string) as spk",
         "cast(floor(value) as bigint) as value",
+        "event_id % 8 / 8 as spk_conf",
+        "event_id % 16 / 16 as conf",
+        "event_id * 2 / 4 as t0",
+        "event_id * 2 / 4 + 1.5d as t1",
+        "event_id + 0.25d as emitted_at",
     )
 
 
+def logged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log with edits: some health messages edit the text of their segment instead."""
+    edit = (F.col("t") == "health") & (F.col("value") % 3 == 0)
+    return messages(spark, sf_dir).withColumns({"text": F.when(edit, F.concat(F.lit("edited "), F.col("seq").cast("string"))).otherwise(F.col("text")), "t": F.when(edit, "edit").otherwise(F.col("t"))})
+
+
+LOGGED = """logged AS (
+    SELECT * EXCLUDE (t, text), CASE WHEN t = 'health' AND value % 3 = 0 THEN 'edit' ELSE t END AS t, CASE WHEN t = 'health' AND value % 3 = 0 THEN 'edited ' || seq ELSE text END AS text FROM msg
+)"""
+
 MSG = """msg AS (
     SELECT user_id % 20 AS talk, event_id AS seq, event_id % 37 AS sid, CAST(floor(value) AS BIGINT) % 6 + 1 AS rev,
            CASE event_type WHEN 'view' THEN 'seg' WHEN 'click' THEN 'seg' WHEN 'purchase' THEN 'spk' WHEN 'signup' THEN 'tr' ELSE 'health' END AS t,
            event_type || props AS text, event_id % 3 <> 0 AS final, event_id % 2 = 0 AS stable,
-           list_extract(['en', 'ru', 'de', 'fr'], event_id % 4 + 1) AS lang, 's' || (event_id // 4 % 5) AS spk, CAST(floor(value) AS BIGINT) AS value
+           list_extract(['en', 'ru', 'de', 'fr'], event_id % 4 + 1) AS lang, 's' || (event_id // 4 % 5) AS spk, CAST(floor(value) AS BIGINT) AS value,
+           event_id % 8 / 8 AS spk_conf, event_id % 16 / 16 AS conf, event_id * 2 / 4 AS t0, event_id * 2 / 4 + CAST(1.5 AS DOUBLE) AS t1, event_id + CAST(0.25 AS DOUBLE) AS emitted_at
     FROM events
 )"""
 
@@ -52,7 +68,9 @@ CURRENT = (
     JUDGED
     + """, cur AS (
     SELECT talk, sid, max(rev) AS rev, arg_max(final, seq) FILTER (WHERE t = 'seg') AS final, arg_max(stable, seq) FILTER (WHERE t = 'seg') AS stable,
-           arg_max(lang, seq) FILTER (WHERE t = 'seg') AS lang, arg_max(text, seq) FILTER (WHERE t = 'seg') AS text, arg_max(spk, seq) AS spk
+           arg_max(lang, seq) FILTER (WHERE t = 'seg') AS lang, arg_max(text, seq) FILTER (WHERE t = 'seg') AS text, arg_max(spk, seq) AS spk, arg_max(spk_conf, seq) AS spk_conf,
+           arg_max(conf, seq) FILTER (WHERE t = 'seg') AS conf, arg_max(t0, seq) FILTER (WHERE t = 'seg') AS t0, arg_max(t1, seq) FILTER (WHERE t = 'seg') AS t1,
+           arg_max(emitted_at, seq) FILTER (WHERE t = 'seg') AS emitted_at
     FROM judged WHERE accepted GROUP BY talk, sid
 )"""
 )
@@ -140,14 +158,14 @@ GATE_DB = -75.0
 
 
 def gated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(talk, t, dur) in ms of the frames of channel 0 that pass the gate."""
-    return frames(spark, sf_dir).where((F.col("ch") == 0) & (F.col("level_db") > GATE_DB)).selectExpr("talk", "frame * 32 as t", "cast(32 as bigint) as dur")
+    """(talk, t, dur) in ms of the frames that pass the gate; each channel counts as a talk, by talk * 3 + ch."""
+    return frames(spark, sf_dir).where(F.col("level_db") > GATE_DB).selectExpr("talk * 3 + ch as talk", "frame * 32 as t", "cast(32 as bigint) as dur")
 
 
 RUNS = (
     FRAME
     + """, gated AS (
-    SELECT talk, frame * 32 AS t, 32 AS dur FROM frame WHERE ch = 0 AND level_db > -75
+    SELECT talk * 3 + ch AS talk, frame * 32 AS t, 32 AS dur FROM frame WHERE level_db > -75
 ), fresh AS (
     SELECT *, CASE WHEN coalesce(abs(t - lag(t + dur) OVER (PARTITION BY talk ORDER BY t)) > 5, true) THEN 1 ELSE 0 END AS f FROM gated
 ), numbered AS (

@@ -12,6 +12,7 @@ from lectern.functions import text as X
 from lectern.functions import vectors as V
 from lectern.operators import floor, pubsub, revlog, scoring, speakers, timeline, words
 from lectern.operators.folds import run_fold
+from lectern.plans import talks
 
 K = Knobs()
 
@@ -262,3 +263,32 @@ def test_regression_gate(spark, der, state):
     base = spark.createDataFrame([("s", "online", 0.1)], "scenario string, kind string, der double")
     got = {r.scenario: r.state for r in scoring.regressions(now, base, K.tolerance).collect()}
     assert got == {"s": state, "n": "new"}
+
+
+def test_settings_from_lines_and_json():
+    lines = "chunk: 0.5  # seconds\nlook_back: false\nvocabulary:\n  - 'Spark'\n  - Catalyst\nchannels:\n  \"0\": Ann\n  1: Bob\nphrases: [\"a b\", \"c\"]\nunknown: 3\n"
+    got = load(lines)
+    assert (got.chunk, got.look_back, got.vocabulary, got.channels, got.phrases) == (0.5, False, ("Spark", "Catalyst"), {"0": "Ann", "1": "Bob"}, ("a b", "c"))
+    assert load('{"vocabulary": ["x"], "diarize": "off", "max_words": 9}') == Knobs(vocabulary=("x",), diarize="off", max_words=9)
+
+
+def test_a_full_buffer_keeps_its_newer_half():
+    """Hypotheses that never agree fill the buffer; then half of it and the hypotheses go."""
+    knobs = Knobs()
+    step, s, seen = words.poll_step(knobs, lambda row, audio, prompt, origin: [[f"w{row.seq}", origin, origin + 1, 1.0]]), words.poll_start(), []
+    for seq in range(31):
+        s, out = step(s, SimpleNamespace(seq=seq, what="feed", samples=12_800, audio=None, at=0))
+        seen.append(out[0][4:])
+    assert seen[29] == (0, 30 * 12_800) and seen[30] == (31 * 0.8 - 12.0, 12 * 16_000) and s["kept"] == []
+    s, out = step(s, SimpleNamespace(seq=99, what="flush", samples=0, audio=None, at=0))
+    assert [w[0] for w in out[0][2]] == ["w30"] and s["partial"] == []
+
+
+def test_a_short_buffer_is_not_recognised():
+    step = words.poll_step(Knobs(chunk=0.1), lambda *_: pytest.fail("too early"))
+    assert step(words.poll_start(), SimpleNamespace(seq=0, what="feed", samples=6_000, audio=None, at=0))[1] == []
+
+
+def test_exit_codes(spark):
+    rows = spark.createDataFrame([("a", "online", "ok"), ("b", "online", "worse")], "scenario string, kind string, state string")
+    assert [talks.exit_code(rows, ["a", "b"], x) for x in (None, "a", "b", "z")] == [1, 0, 1, 2]

@@ -1,86 +1,77 @@
-"""Scenes of synthetic voices through cutting, attribution and scoring."""
+"""Windows, strategies and the end of a talk; whole scenes are in test_scenes."""
 
 import numpy as np
 import pytest
 
 from lectern.config import Knobs
 from lectern.functions.encoders import spectral_encoder
+from lectern.operators import revlog, speakers
 from lectern.plans import voices
-from lectern.sources import audio
+from lectern.sources import scenes
 
 K = Knobs()
-CAST = {
-    "ann": (205.0, [0, -2, -6, -14, -5, -8, -22, -16, -30, -28]),
-    "bob": (110.0, [-4, 0, -10, -3, -16, -20, -12, -28, -24, -40]),
-    "cyd": (150.0, [-10, -6, 0, -8, -2, -18, -26, -10, -38, -20]),
-}
-SCENES = {
-    "panel": [("ann", 4.0), (None, 0.9), ("bob", 3.0), (None, 0.9), ("cyd", 3.5), (None, 0.9), ("ann", 2.0), (None, 0.9), ("bob", 2.5)],
-    "short": [("ann", 3.0), (None, 0.9), ("bob", 0.9), (None, 0.9), ("ann", 2.5), (None, 0.9), ("bob", 1.0), (None, 0.9), ("ann", 2.0)],
-}
-
-
-def scene(plan, seed):
-    parts, turns, at = [], [], 0.0
-    for i, (who, seconds) in enumerate(plan):
-        parts.append(audio.noise(seconds, -70, seed=seed + i) + (audio.voice(*CAST[who], seconds, seed=seed + i) if who else 0))
-        if who:
-            turns.append((i, who, round(at * 1000), round((at + seconds) * 1000)))
-        at += seconds
-    return np.concatenate(parts).astype(np.float32), turns
-
-
-@pytest.fixture(scope="module")
-def hall(spark, tmp_path_factory):
-    folder, people = tmp_path_factory.mktemp("scenes"), tmp_path_factory.mktemp("people")
-    turns = []
-    for n, (name, plan) in enumerate(SCENES.items()):
-        pcm, own = scene(plan, 10 * n)
-        (folder / f"{name}.wav").write_bytes(audio.encode(pcm[:, None]))
-        turns += [(name, *t) for t in own]
-    for n, (name, v) in enumerate(CAST.items()):
-        (people / f"{name}.wav").write_bytes(audio.encode(audio.voice(*v, 8.0, seed=1234 + n)[:, None]))
-    (people / "silent.wav").write_bytes(audio.encode(np.zeros((16_000, 1))))
-    files, known = audio.files(spark, str(folder)), audio.files(spark, str(people))
-    spans = voices.cut(audio.frames(files))
-    reference = spark.createDataFrame(turns, "scenario string, ord int, spk string, t0 long, t1 long")
-    return files, known, spans, reference
-
-
-def test_enrolled_scenes_score_well(hall):
-    files, known, spans, reference = hall
-    enrolled = voices.enrol(audio.signals(known))
-    assert list(enrolled) == ["ann", "bob", "cyd"]
-    online = voices.attributed(voices.segment_windows(audio.signals(files), spans), enrolled)
-    for labels in (online, voices.final_labels(online, enrolled, 0.2)):
-        got = {r.scenario: r for r in voices.error_rates(reference, spans, labels).collect()}
-        assert set(got) == set(SCENES) and all(r.der < 0.1 for r in got.values()), got
-    named = {r.raw for r in online.collect()}
-    assert named <= {"ann", "bob", "cyd", None}
-
-
-def test_without_enrolment_the_look_back_does_not_harm(hall):
-    files, _, spans, reference = hall
-    online = voices.attributed(voices.segment_windows(audio.signals(files), spans))
-    rates = [{r.scenario: r.der for r in voices.error_rates(reference, spans, labels).collect()} for labels in (online, voices.final_labels(online, None, 0.2))]
-    assert all(rates[1][s] <= rates[0][s] + K.tolerance for s in SCENES)
-
-
-def test_change_within_a_segment():
-    encoder = spectral_encoder()
-    pcm = np.concatenate([audio.voice(*CAST["ann"], 2.5, seed=1), audio.voice(*CAST["bob"], 2.5, seed=2)]).astype(float)
-    wins = [{"t0": a, "t1": b, "v": v} for a, b, v in voices.windowed(pcm, 0.0, encoder, K)]
-    ann = np.array(wins[0]["v"])
-    labels = ["ann" if np.array(w["v"]) @ ann > 0.8 else "bob" for w in wins]
-    assert abs(voices._change(wins, labels, K) - 2.5) <= 0.4
-    assert voices._change(wins, ["x"] * len(wins), K) is None
 
 
 def test_silence_is_kept_out_of_windows():
     encoder = spectral_encoder()
-    speech = audio.voice(*CAST["ann"], 1.0, seed=3).astype(float)
+    speech = scenes.voice(scenes.CAST["Мария"], 1.0, np.random.default_rng(3)).astype(float)
     padded = np.concatenate([np.zeros(16_000), speech, np.zeros(16_000)])
     knobs = Knobs(window=3.0, hop=3.0)
     (_, _, v), (_, _, clean) = *voices.windowed(padded, 0.0, encoder, knobs), *voices.windowed(speech, 0.0, encoder, knobs)
     assert np.dot(v, clean) >= 0.95
     assert voices.windowed(np.zeros(16_000), 0.0, encoder, K) == []
+
+
+def test_level_does_not_matter_to_the_encoder():
+    encoder, rng = spectral_encoder(), np.random.default_rng(1)
+    pcm = scenes.voice(scenes.CAST["Иван"], 2.0, rng).astype(float)
+    assert encoder(pcm) @ encoder(pcm * 10 ** (-18 / 20)) >= 0.999
+    assert encoder(pcm[:1023]) is None
+
+
+@pytest.fixture()
+def vectors(spark):
+    """Two voices; the first is heard as two until enough is known of it."""
+    a, b = np.array([1.0, 0.0, 0.0]), np.array([0.0, 0.0, 1.0])
+    turned = lambda deg: [float(np.cos(np.radians(deg))), float(np.sin(np.radians(deg))), 0.0]
+    rows = [turned(0), turned(50), b.tolist(), *[turned(40 - i) for i in range(3)], *[turned(20 + i) for i in range(6)], a.tolist()]
+    return spark.createDataFrame([("x", i + 1, v, 1.0) for i, v in enumerate(rows)], "talk string, sid long, v array<double>, weight double")
+
+
+MERGING = Knobs(merge=0.8, merge_every=10)
+
+
+def test_merges_come_out_and_mend_the_past(spark, vectors):
+    merged = speakers.merges(vectors, MERGING).collect()
+    assert [(r.sid, r.old in ("S1", "S2"), r.new in ("S1", "S2")) for r in merged] == [(10, True, True)]
+    online = speakers.online_labels(vectors, MERGING).cache()
+    late = speakers.late_labels(online, speakers.merges(vectors, MERGING), online.select("talk", "sid", "spk", "conf").where("false"))
+    sent = spark.createDataFrame([("x", i + 1, 3, None) for i in range(13)], "talk string, sid long, rev long, spk string")
+    changes = revlog.relabelled(sent, late)
+    last = {r.sid: r for r in revlog.last_labels(sent, changes).collect()}
+    gone = merged[0].old
+    assert gone not in {r.spk for r in last.values()}
+    again = [r for r in changes.collect() if r.src == "merge"]
+    assert again and all(r.was == gone and r.spk == merged[0].new and r.rev == last[r.sid].rev for r in again)
+
+
+def test_the_end_of_a_talk(spark, vectors):
+    online = speakers.online_labels(vectors, MERGING).cache()
+    refined = speakers.refined_labels(vectors, MERGING, limit=0.4)
+    sent = spark.createDataFrame([("x", i + 1, 3, None) for i in range(12)], "talk string, sid long, rev long, spk string")
+    segments = sent.selectExpr("*", "'some words that were said' as text", "sid * 1000 as t0", "sid * 1000 + 900 as t1")
+    titles = spark.createDataFrame([("x", "Talk")], "talk string, title string")
+    out = voices.finished(sent, segments, titles, online, speakers.merges(vectors, MERGING), refined)
+    labels = {r.sid: r.spk for r in out["segments"].collect()}
+    want = {r.sid: r.spk for r in refined.collect()}
+    assert labels == {sid: want[sid] for sid in range(1, 13)}
+    assert [tuple(r) for r in out["talks"].collect()] == [("x", "ended")]
+    assert "R1" in out["summaries"].first().summary
+    without = voices.finished(sent, segments, titles, online, speakers.merges(vectors, MERGING), None)
+    assert {r.src for r in without["changes"].collect()} == {"online", "merge"}
+
+
+def test_without_a_listener_nothing_is_labelled(spark):
+    wins = spark.createDataFrame([("x", 1, [(0.0, 1.5, [1.0, 0.0])])], f"talk string, sid long, wins {voices.WINDOWS}")
+    assert voices.labelled_by(wins, Knobs(diarize="off")).count() == 0
+    assert voices.labelled_by(wins).first().raw == "S1"
