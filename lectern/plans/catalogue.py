@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -877,10 +878,43 @@ def _roster(spark, sf):
     return {f"V{r['label']}": r["c"] for r in found.orderBy("label").collect()}
 
 
-@query()
+#: Voices in the order they came: name, vector, segments, and if they are enrolled.
+_VOICES = "STRUCT(name VARCHAR, v DOUBLE[], n BIGINT, fixed BOOLEAN)[]"
+
+
+#: The voices known beforehand.
+ROSTER = """rs AS (SELECT label, i, sum(v[i]) AS x FROM (SELECT *, unnest(range(1, 65)) AS i FROM vec WHERE label < 3) GROUP BY label, i),
+rl AS (SELECT label, sqrt(sum(x * x)) AS n FROM rs GROUP BY label), ro AS (SELECT label, list(x / n ORDER BY i) AS v FROM rs JOIN rl USING (label) GROUP BY label)"""
+ONLINE = f"""o AS MATERIALIZED (SELECT talk, id, v, row_number() OVER (PARTITION BY talk ORDER BY id) AS k FROM vec),
+st AS (
+    SELECT talk, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS sid, CAST((SELECT list({{'name': 'V' || label, 'v': v, 'n': 1, 'fixed': true}} ORDER BY label) FROM ro) AS {_VOICES}) AS voices, CAST(0 AS BIGINT) AS named,
+           CAST(NULL AS VARCHAR) AS raw, CAST(0 AS DOUBLE) AS conf FROM (SELECT DISTINCT talk FROM vec)
+    UNION ALL
+    SELECT talk, k, id, CASE WHEN known THEN list_transform(voices, lambda r, i: CASE WHEN i = pos AND NOT r.fixed THEN {{'name': r.name, 'v': learnt, 'n': r.n + 1, 'fixed': false}} ELSE r END)
+                             WHEN len(voices) >= 8 THEN voices ELSE list_append(voices, {{'name': 'S' || (named + 1), 'v': x, 'n': 1, 'fixed': false}}) END,
+           CASE WHEN known OR len(voices) >= 8 THEN named ELSE named + 1 END, CASE WHEN known OR len(voices) >= 8 THEN voices[pos].name ELSE 'S' || (named + 1) END,
+           CASE WHEN known OR len(voices) >= 8 THEN 1 / (1 + exp(-((best - 0.3) + (best - second - 0.08)) / 0.06)) ELSE least(0.6, 1 / (1 + exp(-(0.3 - best - 0.08) / 0.06))) END
+    FROM (
+        SELECT *, list_transform(moved, lambda c: c / sqrt(list_inner_product(moved, moved))) AS learnt FROM (
+            SELECT *, best >= 0.3 AS known, list_transform(voices[pos].v, lambda c, i: (1 - share) * c + share * x[i]) AS moved FROM (
+                SELECT *, 1 / CAST(least(voices[pos].n + 1, 20) AS DOUBLE) AS share FROM (
+                    SELECT *, list_position(sims, best) AS pos, coalesce(list_max(list_concat(sims[:list_position(sims, best) - 1], sims[list_position(sims, best) + 1:])), -1) AS second FROM (
+                        SELECT *, list_max(sims) AS best FROM (
+                            SELECT s.talk, o.k, o.id, o.v AS x, s.voices, s.named, list_transform(s.voices, lambda r: list_inner_product(r.v, o.v)) AS sims FROM st s JOIN o ON o.talk = s.talk AND o.k = s.k + 1
+                        )
+                    )
+                )
+            )
+        )
+    )
+)"""
+
+
+@query(f"""WITH RECURSIVE {T.VEC}, {ROSTER}, {ONLINE} SELECT talk, sid, raw, CASE WHEN conf >= 0.45 THEN raw END AS spk, round(conf, 3) AS conf FROM st WHERE k > 0""")
 def online_clusters(spark, sf):
+    """Without merges, which are a query of their own."""
     rows = T.vectors(spark, sf).select("talk", F.col("id").alias("sid"), "v")
-    return speakers.online_labels(rows, _LOOSE, _roster(spark, sf))
+    return speakers.online_labels(rows, replace(_LOOSE, merge_every=10**9), _roster(spark, sf))
 
 
 @query()
@@ -889,17 +923,52 @@ def merged_voices(spark, sf):
     return speakers.merges(rows, Knobs(assign=0.45, merge=0.3))
 
 
-@query()
+def _refined_sql(weight: str) -> str:
+    """Average linkage pair by pair, names by tagged members, then greedily, then by number."""
+    return f"""e AS (SELECT talk, id, v, CAST({weight} AS DOUBLE) AS w, row_number() OVER (PARTITION BY talk ORDER BY id) AS p FROM vec),
+tg AS (SELECT e.talk, e.p, any_value(e.w) AS w, CASE WHEN max(list_inner_product(e.v, ro.v)) >= 0.3 THEN arg_max(ro.label, list_inner_product(e.v, ro.v)) ELSE -1 END AS tag FROM e, ro GROUP BY e.talk, e.p),
+pr AS MATERIALIZED (SELECT a.talk, a.p AS a, b.p AS b, a.w * b.w AS ww, 1 - list_inner_product(a.v, b.v) AS d FROM e a JOIN e b ON b.talk = a.talk AND b.p > a.p),
+wl AS MATERIALIZED (SELECT talk, list(tag ORDER BY p) AS tags, list(p ORDER BY p) AS home FROM tg GROUP BY talk),
+cl AS (
+    SELECT talk, 0 AS k, home, tags FROM wl
+    UNION ALL
+    SELECT talk, k + 1, list_transform(home, lambda h: CASE WHEN h = j THEN i ELSE h END), tags FROM (
+        SELECT *, row_number() OVER (PARTITION BY talk ORDER BY far, i, j) AS r FROM (
+            SELECT c.talk, any_value(c.k) AS k, any_value(c.home) AS home, any_value(c.tags) AS tags, least(c.home[pr.a], c.home[pr.b]) AS i, greatest(c.home[pr.a], c.home[pr.b]) AS j, sum(pr.ww * pr.d) / sum(pr.ww) AS far,
+                   max(CASE WHEN c.home[pr.a] < c.home[pr.b] THEN c.tags[pr.a] ELSE c.tags[pr.b] END) AS ti, max(CASE WHEN c.home[pr.a] < c.home[pr.b] THEN c.tags[pr.b] ELSE c.tags[pr.a] END) AS tj
+            FROM cl c JOIN pr ON pr.talk = c.talk WHERE c.home[pr.a] <> c.home[pr.b] GROUP BY c.talk, least(c.home[pr.a], c.home[pr.b]), greatest(c.home[pr.a], c.home[pr.b])
+        ) WHERE NOT (ti >= 0 AND tj >= 0 AND ti <> tj)
+    ) WHERE r = 1 AND far <= 0.7
+), fin AS (SELECT talk, unnest(home) AS home, unnest(tags) AS tag, generate_subscripts(home, 1) AS p FROM (SELECT talk, arg_max(home, k) AS home, any_value(tags) AS tags FROM cl GROUP BY talk)),
+num AS (SELECT talk, p, tag, dense_rank() OVER (PARTITION BY talk ORDER BY home) - 1 AS c FROM fin),
+cs AS (SELECT n.talk, n.c, i, sum(e.v[i] * e.w) AS x FROM num n JOIN e ON e.talk = n.talk AND e.p = n.p, range(1, 65) t(i) GROUP BY n.talk, n.c, i),
+mid AS MATERIALIZED (SELECT talk, c, list(x / len ORDER BY i) AS v FROM (SELECT *, sqrt(sum(x * x) OVER (PARTITION BY talk, c)) AS len FROM cs) GROUP BY talk, c),
+ct AS (SELECT talk, c, max(tag) AS tag FROM num GROUP BY talk, c),
+off AS MATERIALIZED (SELECT m.talk, m.c, ro.label, row_number() OVER (PARTITION BY m.talk ORDER BY list_inner_product(m.v, ro.v) DESC, m.c, ro.label) AS n FROM mid m JOIN ct ON ct.talk = m.talk AND ct.c = m.c AND ct.tag < 0, ro WHERE list_inner_product(m.v, ro.v) >= 0.3),
+gr AS (
+    SELECT talk, CAST(0 AS BIGINT) AS n, CAST([] AS STRUCT(c BIGINT, label BIGINT)[]) AS got, CAST(coalesce(list(tag) FILTER (WHERE tag >= 0), []) AS BIGINT[]) AS used FROM ct GROUP BY talk
+    UNION ALL
+    SELECT talk, n, CASE WHEN ok THEN list_append(got, {{'c': c, 'label': label}}) ELSE got END, CASE WHEN ok THEN list_append(used, label) ELSE used END
+    FROM (SELECT g.talk, o.n, o.c, o.label, g.got, g.used, NOT list_contains(g.used, o.label) AND NOT list_contains(list_transform(g.got, lambda x: x.c), o.c) AS ok FROM gr g JOIN off o ON o.talk = g.talk AND o.n = g.n + 1)
+), gn AS (SELECT talk, unnest(got) AS x FROM (SELECT talk, arg_max(got, n) AS got FROM gr GROUP BY talk)),
+refined AS (
+    SELECT e.talk, e.id AS sid, CASE WHEN ct.tag >= 0 THEN 'V' || ct.tag WHEN gn.x IS NOT NULL THEN 'V' || gn.x.label ELSE 'R' || (n.c + 1) END AS spk, round(greatest(least(list_inner_product(e.v, m.v), 1), 0), 3) AS conf
+    FROM e JOIN num n ON n.talk = e.talk AND n.p = e.p JOIN ct ON ct.talk = n.talk AND ct.c = n.c JOIN mid m ON m.talk = n.talk AND m.c = n.c LEFT JOIN gn ON gn.talk = n.talk AND gn.x.c = n.c
+)"""
+
+
+@query(f"WITH RECURSIVE {T.VEC}, {ROSTER}, {_refined_sql('id % 5 + 1')} SELECT talk, sid, spk, conf FROM refined")
 def refined_labels(spark, sf):
     rows = T.vectors(spark, sf).select("talk", F.col("id").alias("sid"), "v", (F.col("id") % 5 + 1).cast("double").alias("weight"))
     return speakers.refined_labels(rows, _LOOSE, _roster(spark, sf))
 
 
-@query()
+@query(f"""WITH RECURSIVE {T.VEC}, {ROSTER}, {ONLINE}, {_refined_sql('1')}, onl AS (SELECT talk, sid, CASE WHEN conf >= 0.45 THEN raw END AS was FROM st WHERE k > 0)
+SELECT onl.talk, onl.sid, onl.was, refined.spk AS now, refined.conf FROM onl JOIN refined ON refined.talk = onl.talk AND refined.sid = onl.sid WHERE onl.was IS DISTINCT FROM refined.spk ORDER BY onl.talk, onl.sid""")
 def label_fixes(spark, sf):
     rows = T.vectors(spark, sf).select("talk", F.col("id").alias("sid"), "v", F.lit(1.0).alias("weight"))
     known = _roster(spark, sf)
-    return speakers.differing(speakers.online_labels(rows.drop("weight"), _LOOSE, known), speakers.refined_labels(rows, _LOOSE, known))
+    return speakers.differing(speakers.online_labels(rows.drop("weight"), replace(_LOOSE, merge_every=10**9), known), speakers.refined_labels(rows, _LOOSE, known))
 
 
 @query(f"""WITH {T.MSG}, s AS (SELECT talk, sid, seq, spk FROM msg WHERE t = 'spk') SELECT talk, sid, seq, CASE spk WHEN 's3' THEN 's1' WHEN 's4' THEN 's1' ELSE spk END AS spk FROM s""")
