@@ -245,8 +245,9 @@ def near_duplicates(docs: DataFrame, words: int, budget: int, key: str = "doc_id
 
 # -- by similarity --------------------------------------------------------------------------------
 
-#: Sampled fingerprints of a document, and shingles in each sample.
-SAMPLES, SAMPLE_SIZE = 14, 3
+#: Sampled fingerprints of a document, and shingles in each sample: of two sets of a Jaccard similarity j one sample agrees
+#: with a chance of j ** 3, so of those at the threshold (j = 2 / 3 where sizes are equal) all differ with one of 0.0002.
+SAMPLES, SAMPLE_SIZE = 24, 3
 #: 64-bit words of a sketch, members of a block of a large group, and rows of a task that compares blocks.
 SKETCH_WORDS, BLOCK_ROWS, COMPARED_ROWS = 16, 1_000, 8_000
 #: Sketches compared with a whole block at once.
@@ -289,23 +290,24 @@ def sketch(h: np.ndarray) -> bytes:
     return np.packbits(bins & 1).tobytes()
 
 
-def _jaccard(x: np.ndarray, y: np.ndarray) -> float:
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    return both / (len(x) + len(y) - both) if len(x) or len(y) else 1.0
+def _cosine(x: np.ndarray, y: np.ndarray) -> float:
+    if not len(x) or not len(y):
+        return float(len(x) == len(y))
+    return len(np.intersect1d(x, y, assume_unique=True)) / (len(x) * len(y)) ** 0.5
 
 
 def similarity(a: str | None, b: str | None, words: int) -> float:
-    """Jaccard similarity of the shingle sets; 1 for two empty ones."""
-    return _jaccard(shingle_set(a, words), shingle_set(b, words))
+    """Cosine of the shingle sets, which is what SimHash estimates; 1 for two empty ones. It is never below their Jaccard similarity."""
+    return _cosine(shingle_set(a, words), shingle_set(b, words))
 
 
 def _signed(docs: DataFrame, words: int) -> DataFrame:
-    """(key, whole, fp, bands, size, sketch): a hash of the shingle set, the fingerprint, the sampled ones, the set's size and sketch."""
+    """(key, h, whole, fp, bands, size, sketch): a hash of the shingle set, the fingerprint, the sampled ones, the set's size and sketch."""
 
     def run(batches):
         for batch in batches:
             whole, full, bands, sizes, sketches = [], [], [], [], []
-            for t in batch.column(1):
+            for t in batch.column(2):
                 h = shingle_set(t.as_py(), words)
                 whole.append(int.from_bytes(xxhash.xxh64_digest(h.tobytes()), "big", signed=True))
                 full.append(fingerprint(t.as_py(), words))
@@ -313,24 +315,30 @@ def _signed(docs: DataFrame, words: int) -> DataFrame:
                 sizes.append(len(h))
                 sketches.append(sketch(h))
             found = [pa.array(whole, pa.int64()), pa.array(full, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sizes, pa.int64()), pa.array(sketches, pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *found], names=["key", "whole", "fp", "bands", "size", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *found], names=["key", "h", "whole", "fp", "bands", "size", "sketch"])
 
-    return docs.mapInArrow(run, f"key {docs.schema['key'].dataType.simpleString()}, whole long, fp long, bands array<long>, size long, sketch binary")
+    kind = docs.schema["key"].dataType.simpleString()
+    return docs.select("key", "h", "text").mapInArrow(run, f"key {kind}, h long, whole long, fp long, bands array<long>, size long, sketch binary")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
-    """Those pairs (a, b) of keys whose texts are similar enough, exactly."""
-    needed = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
-    own = cut(texts.join(needed, "key", "left_semi").dropDuplicates(["key"]))
-    rows = pairs.join(own.select(F.col("key").alias("a"), F.col("text").alias("ta")), "a").join(own.select(F.col("key").alias("b"), F.col("text").alias("tb")), "b")
+def _texts(sets: DataFrame, wanted: DataFrame, texts: DataFrame) -> DataFrame:
+    """(whole, text): one text for each wanted set, that of its first document."""
+    own = sets.join(wanted, "whole", "left_semi").select("whole", F.col("low.key").alias("key"), F.col("low.h").alias("h"))
+    return texts.join(own, ["key", "h"]).dropDuplicates(["whole"]).select("whole", "text")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
+    """Those pairs (a, b) of sets whose texts are similar enough, exactly."""
+    wanted = pairs.select(F.col("a").alias("whole")).union(pairs.select("b")).distinct()
+    own = cut(_texts(sets, wanted, texts))
+    rows = pairs.join(own.select(F.col("whole").alias("a"), F.col("text").alias("ta")), "a").join(own.select(F.col("whole").alias("b"), F.col("text").alias("tb")), "b")
 
     def run(batches):
         for batch in batches:
-            keep = [similarity(x.as_py(), y.as_py(), words) >= least for x, y in zip(batch.column(2), batch.column(3), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], names=["a", "b"])
+            keep = pa.array([similarity(x.as_py(), y.as_py(), words) >= least for x, y in zip(batch.column(2), batch.column(3), strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
-    kind = pairs.schema["a"].dataType.simpleString()
-    return rows.select("a", "b", "ta", "tb").mapInArrow(run, f"a {kind}, b {kind}")
+    return rows.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
 def _possible(rows: pd.DataFrame, least: float):
@@ -339,15 +347,16 @@ def _possible(rows: pd.DataFrame, least: float):
     size, side = rows["size"].to_numpy(), rows["side"].to_numpy()
     p, q, root = rows["p"].to_numpy(), rows["q"].to_numpy(), pd.factorize(rows["root"])[0]
     bits = np.frombuffer(b"".join(rows["sketch"]), np.uint64).reshape(-1, SKETCH_WORDS)
-    apart = (1 - least) / (1 + least)
     for at in order.values():
         inner = p[at[0]] == q[at[0]]
         left, right = (at, at) if inner else (at[side[at] == 0], at[side[at] == 1])
         for s in range(0, len(left), STRIP):
             i = left[s : s + STRIP, None]
             far = np.bitwise_count(bits[i] ^ bits[right]).sum(2, dtype=np.int64)
-            near = (root[i] != root[right]) & (far <= apart * (size[i] + size[right]) + 1e-6)
-            near &= np.minimum(size[i], size[right]) >= least * np.maximum(size[i], size[right]) - 1e-6
+            # sets share least * sqrt(product) of their shingles, so they differ in what is left of both, and a sketch in no more
+            most = size[i] + size[right] - 2 * least * np.sqrt(size[i] * size[right].astype(float))
+            near = (root[i] != root[right]) & (far <= most + 1e-6)
+            near &= np.minimum(size[i], size[right]) >= least**2 * np.maximum(size[i], size[right]) - 1e-6
             if inner:
                 near &= i < right
             for r in np.flatnonzero(near.any(1)):
@@ -373,28 +382,29 @@ def _compare_task(rows: pd.DataFrame, words: int, least: float) -> pd.DataFrame:
     for i, js in _possible(rows, least):
         for j in js:
             x, y = top(code[i]), top(code[j])
-            if x != y and _jaccard(of(i), of(j)) >= least:
+            if x != y and _cosine(of(i), of(j)) >= least:
                 parent[max(x, y)] = min(x, y)
                 a.append(names[code[i]])
                 b.append(names[code[j]])
     return pd.DataFrame({"a": a, "b": b}, dtype=rows["root"].dtype)
 
 
-def _rest(sets: DataFrame, texts: DataFrame, words: int, least: float, block_rows: int) -> DataFrame:
+def _rest(grouped: DataFrame, roots: DataFrame, sets: DataFrame, texts: DataFrame, words: int, least: float, block_rows: int) -> DataFrame:
     """(a, b): roots of sets that share a group, are not linked so far and are similar enough.
 
-    sets: (low, root, size, sketch, bands). A group of two has been compared, and one of a single
+    grouped: (whole, k, band, n), the members of groups of several; roots: (whole, root) of the
+    linked ones. A group of two has been compared, and one of a single
     root needs no more links. Of the others each block of members meets each
     block, first by sketches; only what those leave open is compared as texts.
     """
-    members = sets.select("low", "root", F.posexplode("bands").alias("k", "band"))
-    mixed = members.groupBy("k", "band").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("n > 2 and r0 < r1")
+    members = rejoin(grouped.where("n > 2"), roots, ["whole"], "left").withColumn("root", F.coalesce("root", "whole")).select("whole", "root", "k", "band")
+    mixed = members.groupBy("k", "band").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1")
     mixed = mixed.select("k", "band", F.ceil(F.col("n") / block_rows).cast("int").alias("blocks"))
-    placed = rejoin(members, mixed, ["k", "band"]).withColumn("own", F.pmod(F.xxhash64("low"), "blocks").cast("int"))
+    placed = rejoin(members, mixed, ["k", "band"]).withColumn("own", F.pmod(F.xxhash64("whole"), "blocks").cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pair = [F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), (F.col("own") > F.col("other")).cast("int").alias("side")]
-    placed = cut(placed.select("low", "root", "k", "band", *pair))
-    rows = placed.join(sets.select("low", "size", "sketch"), "low").select("low", "root", "k", "band", "p", "q", "side", "size", "sketch")
+    placed = cut(placed.select("whole", "root", "k", "band", *pair))
+    rows = placed.join(sets.select("whole", "size", "sketch"), "whole").select("whole", "root", "k", "band", "p", "q", "side", "size", "sketch")
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
 
     def dealt(df, n):
@@ -408,13 +418,15 @@ def _rest(sets: DataFrame, texts: DataFrame, words: int, least: float, block_row
         return rows[hit]
 
     open_ = cut(dealt(rows, placed.count()).applyInPandas(flagged, kinds))
-    kind = rows.schema["root"].dataType.simpleString()
-    wanted = texts.join(open_.select(F.col("low").alias("key")).distinct(), "key", "left_semi").dropDuplicates(["key"]).withColumnRenamed("key", "low")
-    return dealt(open_.join(wanted, "low"), open_.count()).applyInPandas(lambda rows: _compare_task(rows, words, least), f"a {kind}, b {kind}")
+    wanted = _texts(sets, open_.select("whole").distinct(), texts)
+    return dealt(open_.join(wanted, "whole"), open_.count()).applyInPandas(lambda rows: _compare_task(rows, words, least), "a long, b long")
 
 
 def similar_documents(docs: DataFrame, words: int = 5, least: float = 0.8, budget: int = 3, key: str = "doc_id", text: str = "text", block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Per row with a key: key and the smallest key (component_id) it is linked to by similarities of `least` and more.
+    """Per row with a key: key, text_hash, the smallest key (component_id) it is linked to by similarities of `least` and more, and that row's text_hash (component_hash).
+
+    Rows of one key and different texts are documents of their own; of those
+    of the smallest key the first by its hash is the component's.
 
     Fingerprints that differ in few bits are found by the trie, but texts of
     this similarity mostly differ in more. So documents also have sampled
@@ -423,20 +435,24 @@ def similar_documents(docs: DataFrame, words: int = 5, least: float = 0.8, budge
     connects, whether or not the texts between them are similar. The documents
     of a group are first compared with its first one; then those of a group
     that are not linked yet with each other. All links are checked on the
-    whole texts. Equal shingle sets count as one document throughout.
+    whole texts. Equal shingle sets count as one document throughout, and go by
+    their hash.
     """
-    named = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"))
+    named = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
     signed = cut(_signed(named, words))
-    sets = cut(signed.groupBy("whole").agg(F.min("key").alias("low"), *(F.first(c).alias(c) for c in ("fp", "bands", "size", "sketch"))))
+    sets = cut(signed.groupBy("whole").agg(F.min(F.struct("key", "h")).alias("low"), *(F.first(c).alias(c) for c in ("fp", "bands", "size", "sketch"))))
     families = components(links(sets.select("fp").distinct(), budget)).select(F.col("node").alias("fp"), F.col("root").alias("family"))
     groups = F.concat("bands", F.array(F.coalesce("family", "fp")))
     sets = cut(rejoin(sets, families, ["fp"], "left").select("whole", "low", "size", "sketch", groups.alias("bands")))
-    members = sets.select("low", F.posexplode("bands").alias("k", "band"))
-    heads = members.groupBy("k", "band").agg(F.min("low").alias("y"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    drawn = rejoin(members, heads, ["k", "band"]).select(F.col("low").alias("a"), F.col("y").alias("b"))
-    pairs = cut(drawn.where("a != b").distinct())
-    roots = components(_verified(pairs, named, words, least)).withColumnRenamed("node", "low")
-    linked = cut(sets.join(roots, "low", "left").withColumn("root", F.coalesce("root", "low")))
-    further = components(_rest(linked, named, words, least, block_rows)).select(F.col("node").alias("root"), F.col("root").alias("least_root"))
-    of_set = linked.join(further, "root", "left").select("whole", F.coalesce("least_root", "root").alias("component_id"))
-    return rejoin(signed.select("key", "whole"), of_set, ["whole"]).select(F.col("key").alias(key), "component_id")
+    members = sets.select("whole", F.posexplode("bands").alias("k", "band"))
+    heads = members.groupBy("k", "band").agg(F.min("whole").alias("y"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    grouped = cut(rejoin(members, heads, ["k", "band"]))
+    pairs = cut(grouped.where("whole != y").select(F.col("whole").alias("a"), F.col("y").alias("b")).distinct())
+    roots = components(_verified(pairs, sets, named, words, least)).withColumnRenamed("node", "whole")
+    further = components(_rest(grouped, roots, sets, named, words, least, block_rows)).select(F.col("node").alias("root"), F.col("root").alias("last"))
+    linked = sets.select("whole", "low").join(roots, "whole", "left").withColumn("root", F.coalesce("root", "whole"))
+    linked = cut(rejoin(linked, further, ["root"], "left").select("whole", "low", F.coalesce("last", "root").alias("root")))
+    least_of = linked.groupBy("root").agg(F.min("low").alias("first"))
+    of_set = rejoin(linked, least_of, ["root"]).select("whole", "first")
+    found = rejoin(signed.select("key", "h", "whole"), of_set, ["whole"])
+    return found.select(F.col("key").alias(key), F.col("h").alias("text_hash"), F.col("first.key").alias("component_id"), F.col("first.h").alias("component_hash"))

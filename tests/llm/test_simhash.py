@@ -141,7 +141,7 @@ def test_groups_whose_first_document_is_not_the_hub(spark):
 
     def variant(of):
         new = list(of)
-        for at in range(10 + rng.randrange(5), 190, 50):
+        for at in range(5 + rng.randrange(14), 190, 28):
             new[at] = f"n{rng.randrange(10**9)}"
         return new
 
@@ -175,8 +175,9 @@ def test_links_between_later_fingerprints_of_a_family(spark, monkeypatch):
     frame = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
 
     def signed(found, words):
-        rows = [(i, i, prints[t], [alone[simhash.shingle_set(t, 5).tobytes()] + k for k in range(14)], len(h := simhash.shingle_set(t, 5)), simhash.sketch(h)) for i, t in docs]
-        return spark.createDataFrame(rows, "key long, whole long, fp long, bands array<long>, size long, sketch binary")
+        marks = {r.key: r.h for r in found.collect()}
+        rows = [(i, marks[i], i, prints[t], [alone[simhash.shingle_set(t, 5).tobytes()] + k for k in range(simhash.SAMPLES)], len(h := simhash.shingle_set(t, 5)), simhash.sketch(h)) for i, t in docs]
+        return spark.createDataFrame(rows, "key long, h long, whole long, fp long, bands array<long>, size long, sketch binary")
 
     monkeypatch.setattr(simhash, "_signed", signed)
     got = {r.doc_id: r.component_id for r in simhash.similar_documents(frame).collect()}
