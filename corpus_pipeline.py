@@ -42,15 +42,13 @@ def lines_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     reachable(spark)
-    name, place = free_name("__name", docs.columns), free_name("__place", docs.columns)
-    # a name for id and text that sorts like the id
-    shifted = F.lpad((F.col("doc_id").cast("decimal(20,0)") + F.lit(str(2**63)).cast("decimal(20,0)")).cast("string"), 20, "0")
-    named = docs.where("doc_id is not null").withColumn(name, F.concat_ws("-", shifted, F.lower(F.hex(F.xxhash64("text", "doc_id")))))
-    found = simhash.similar_documents(named, words=5, least=0.8, key=name)
-    first = found.where(F.col(name) == F.col("component_id")).select(name).distinct()
+    mark, place = free_name("__mark", docs.columns), free_name("__place", docs.columns)
+    found = simhash.similar_documents(docs, words=5, least=0.8)
+    first = found.where("doc_id = component_id and text_hash = component_hash").select("doc_id", F.col("text_hash").alias(mark)).distinct()
     others = [F.col(f.name) for f in docs.schema if "map<" not in f.dataType.simpleString()]
-    own = F.row_number().over(Window.partitionBy(name).orderBy(*others))
-    kept = named.join(first, name, "left_semi").withColumn(place, own).where(F.col(place) == 1)
+    own = F.row_number().over(Window.partitionBy("doc_id", mark).orderBy(*others))
+    named = docs.where("doc_id is not null").withColumn(mark, F.xxhash64("text"))
+    kept = named.join(first, ["doc_id", mark], "left_semi").withColumn(place, own).where(F.col(place) == 1)
     return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
