@@ -54,6 +54,19 @@ def delivered(messages: DataFrame, switches: DataFrame) -> DataFrame:
     return rows.where("seq > __from and (__to is null or seq < __to)").select("talk", "viewer", "seq", "lang")
 
 
+def bounded(deliveries: DataFrame, drains: DataFrame, room: int = 500) -> DataFrame:
+    """(talk, viewer, seq, dropped): a viewer's queue holds `room` messages, and what comes while it is full is dropped.
+
+    deliveries: (talk, viewer, seq); drains: (talk, viewer, seq), at which a
+    viewer reads all that waits.
+    """
+    rows = deliveries.select("talk", "viewer", "seq", F.lit(0).alias("__read")).unionByName(drains.select("talk", "viewer", "seq", F.lit(1).alias("__read")))
+    upto = Window.partitionBy("talk", "viewer").orderBy("seq", F.desc("__read"))
+    turn = rows.withColumn("__turn", F.sum("__read").over(upto)).where("__read = 0")
+    place = F.row_number().over(Window.partitionBy("talk", "viewer", "__turn").orderBy("seq"))
+    return turn.select("talk", "viewer", "seq", (place > room).alias("dropped"))
+
+
 def merged_health(reports: DataFrame) -> DataFrame:
     """The last value of each key of a talk."""
     return reports.groupBy("talk", "key").agg(F.max_by("value", "seq").alias("value"), F.max("seq").alias("seq"))

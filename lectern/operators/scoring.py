@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import permutations
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -101,13 +99,6 @@ def best_mapping(overlap: dict[tuple[str, str], int]) -> dict[str, str]:
     return {hyps[match[j] - 1]: refs[j - 1] for j in range(1, len(refs) + 1) if match[j] and overlap.get((hyps[match[j] - 1], refs[j - 1]), 0)}
 
 
-def brute_mapping(overlap: dict[tuple[str, str], int]) -> int:
-    """Largest overlap over all mappings, for tests."""
-    hyps, refs = sorted({h for h, _ in overlap}), sorted({r for _, r in overlap})
-    slots = [*refs, *[None] * len(hyps)]
-    return max(sum(overlap.get((h, r), 0) for h, r in zip(hyps, p, strict=False)) for p in permutations(slots, len(hyps)))
-
-
 def mapping(overlap: DataFrame) -> DataFrame:
     """(scenario, hyp, mapped) by the best mapping of each scenario; a scenario's labels are few."""
 

@@ -184,6 +184,15 @@ def viewer_feed(spark, sf):
     return pubsub.delivered(rows.where("t = 'seg'"), switches)
 
 
+@query(f"""WITH {T.MSG}, d AS (SELECT talk, lang AS viewer, seq FROM msg WHERE t = 'seg'), r AS (SELECT talk, lang AS viewer, seq FROM msg WHERE t = 'tr'),
+n AS (SELECT d.*, (SELECT count(*) FROM r WHERE r.talk = d.talk AND r.viewer = d.viewer AND r.seq < d.seq) AS turn FROM d)
+SELECT talk, viewer, seq, row_number() OVER (PARTITION BY talk, viewer, turn ORDER BY seq) > 3 AS dropped FROM n""")
+def bounded_queues(spark, sf):
+    """A viewer for each language, who reads when a translation comes."""
+    rows = T.messages(spark, sf).withColumn("viewer", F.col("lang"))
+    return pubsub.bounded(rows.where("t = 'seg'"), rows.where("t = 'tr'"), 3)
+
+
 @query(f"WITH {T.MSG}, l AS (SELECT talk, greatest(seq + value % 3 - emitted_at, 0) AS s, round((value % 5 / 4 + CAST(0.8 AS DOUBLE)) * 1000) AS lag FROM msg) SELECT talk, max(s) AS worst, sum(s) AS total, max(lag) AS lag_ms FROM l GROUP BY talk")
 def latency(spark, sf):
     rows = T.messages(spark, sf)

@@ -12,7 +12,7 @@ from lectern.config import Knobs
 from lectern.functions.encoders import build_encoder, spectral_encoder
 from lectern.operators import revlog, words
 from lectern.plans import talks
-from lectern.sources import audio, messages, scenes
+from lectern.sources import audio, live, messages, scenes
 from lectern.streaming import state
 
 
@@ -32,6 +32,23 @@ def test_wav_frames_and_signals(spark, tmp_path):
     assert mono.name == "hall" and np.allclose(mono.pcm, (left + right) / 2, atol=1e-4)
 
 
+def test_a_growing_recording_is_a_stream(spark, tmp_path):
+    raw, pcm = tmp_path / "hall.raw", (np.arange(2 * 512 * 10, dtype="<i2") * 3).reshape(-1, 2)
+    raw.write_bytes(pcm[: 512 * 4 + 100].tobytes())  # four frames and a part of one
+    spark.dataSource.register(live.PcmTail)
+    stream = lambda: spark.readStream.format("pcm_tail").option("path", str(raw)).option("channels", "2").option("most", "3").load()
+    seen = []
+    for _ in range(2):
+        q = stream().writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).start()
+        q.processAllAvailable()
+        q.stop()
+        rows = spark.read.parquet(str(tmp_path / "out")).orderBy("frame", "ch").collect()
+        seen.append([(r.frame, r.ch) for r in rows])
+        raw.write_bytes(pcm.tobytes())
+    assert seen == [[(i, c) for i in range(n) for c in (0, 1)] for n in (4, 10)]
+    assert all(np.allclose(r.pcm, pcm[r.frame * 512 : (r.frame + 1) * 512, r.ch] / 32768) and r.t_abs == r.frame * 512 / 16_000 for r in rows)
+
+
 def test_spectral_encoder_tells_voices_apart(spark):
     own = spectral_encoder()
     vec = {n: [own(say(n, 1.5, s).astype(float)) for s in (1, 2)] for n in ("Иван", "Ольга")}
