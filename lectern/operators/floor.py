@@ -129,6 +129,13 @@ def events(frames: DataFrame, knobs: Knobs = Knobs()) -> DataFrame:
     return told.select("talk", "frame", "owner", F.coalesce("overlap", F.array().cast("array<bigint>")).alias("overlap"), "reason", F.round("snr", 1).alias("snr"), "second")
 
 
+def owners(frames: DataFrame, told: DataFrame) -> DataFrame:
+    """(talk, frame, owner) after each frame; told: (talk, frame, owner) of events()."""
+    upto = Window.partitionBy("talk").orderBy("frame").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = frames.select("talk", "frame").join(told.select("talk", "frame", F.struct("owner").alias("__now")), ["talk", "frame"], "left")
+    return rows.select("talk", "frame", F.last("__now", ignorenulls=True).over(upto)["owner"].alias("owner"))
+
+
 def routed(frames: DataFrame, knobs: Knobs = Knobs(), mix: bool = False) -> DataFrame:
     """`input` of the recogniser at (frame, owner): 'mix' in warm-up or by choice, else the owner's channel, or null."""
     if mix:

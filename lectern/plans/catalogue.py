@@ -14,6 +14,7 @@ from lectern.config import Knobs
 from lectern.functions import text as X
 from lectern.functions import vectors as V
 from lectern.operators import floor, pubsub, revlog, scoring, speakers, timeline, words
+from lectern.plans import edge
 from lectern.session import materialised
 from lectern.sources import tables as T
 
@@ -408,13 +409,16 @@ def channel_status(spark, sf):
     return floor.status(snr, timeline.dead_since(snr, ["talk", "ch"], F.col("snr") < KNOBS.open_snr, 9))
 
 
-@query(f"""WITH {T.FRAME}, o AS (SELECT talk, frame, arg_max(ch, level_db) AS owner FROM frame WHERE level_db > -75 GROUP BY talk, frame), f AS (SELECT DISTINCT talk, frame FROM frame)
-SELECT f.talk, f.frame, CASE WHEN f.frame + 1 < 31 THEN 'mix' ELSE 'ch' || o.owner END AS input FROM f LEFT JOIN o ON o.talk = f.talk AND o.frame = f.frame""")
+@query(f"""WITH RECURSIVE {_FRAME}, {NOISE}, {BLEED}, {NOISE_SNR}, {LEAD}, {TURNS}
+SELECT talk, frame, CASE WHEN frame + 1 < 31 THEN 'mix' ELSE 'ch' || owner END AS input FROM t WHERE k > 0""")
 def recogniser_input(spark, sf):
-    rows = T.frames(spark, sf)
-    owner = rows.where(F.col("level_db") > T.GATE_DB).groupBy("talk", "frame").agg(F.max_by("ch", "level_db").alias("owner"))
-    every = rows.select("talk", "frame").distinct().join(owner, ["talk", "frame"], "left")
-    return floor.routed(every).select("talk", "frame", "input")
+    return edge.heard(T.frames(spark, sf), replace(KNOBS, diarize="channel"))
+
+
+@query(f"""WITH {T.FRAME}, a AS (SELECT talk, frame, max(level_db > -45) AS active FROM frame GROUP BY talk, frame)
+SELECT talk, frame, CASE WHEN max(active) OVER (PARTITION BY talk ORDER BY frame ROWS BETWEEN 18 PRECEDING AND CURRENT ROW) THEN 'mix' END AS input FROM a""")
+def gated_input(spark, sf):
+    return edge.heard(T.frames(spark, sf))
 
 
 @query(f"WITH {T.RUNS} SELECT talk, run, s0, a0, dur FROM runs")

@@ -300,3 +300,25 @@ def test_a_short_buffer_is_not_recognised():
 def test_exit_codes(spark):
     rows = spark.createDataFrame([("a", "online", "ok"), ("b", "online", "worse")], "scenario string, kind string, state string")
     assert [talks.exit_code(rows, ["a", "b"], x) for x in (None, "a", "b", "z")] == [1, 0, 1, 2]
+
+
+def test_bleed_is_no_overlap(spark):
+    """The second channel speaks along with the first; as its echo it doesn't overlap, as another voice it does."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for talk, echo in ((1, True), (2, False)):
+        speech, other = rng.normal(-30, 4, 60), rng.normal(-33, 4, 60)
+        for f in range(120):
+            loud = 40 <= f < 100
+            a = speech[f - 40] if loud else -80.0
+            b = (a - 3 if echo else other[f - 40]) if loud else -80.0
+            rows += [(talk, 0, f, float(a)), (talk, 1, f, float(b))]
+    frames = spark.createDataFrame(rows, "talk long, ch long, frame long, level_db double")
+    noisy = floor.noise_floor(frames, ["talk", "ch"])
+    lead = floor.rivals(noisy).where("frame >= 60 and frame < 100").groupBy("talk").agg(F.sum(F.size("overlap")).alias("n")).collect()
+    found = {r.talk: r.n for r in lead}
+    assert found[1] == 0 and found[2] > 10
+    told = floor.events(noisy).collect()
+    assert {(r.talk, r.reason) for r in told} == {(1, "taken"), (1, "released"), (2, "taken"), (2, "released")} or len(told) >= 4
+    owner = {(r.talk, r.frame): r.owner for r in floor.owners(frames.select("talk", "frame").distinct(), floor.events(noisy)).collect()}
+    assert owner[1, 70] == 0 and owner[1, 119] is not None or owner[1, 10] is None
