@@ -319,6 +319,6 @@ def test_bleed_is_no_overlap(spark):
     found = {r.talk: r.n for r in lead}
     assert found[1] == 0 and found[2] > 10
     told = floor.events(noisy).collect()
-    assert {(r.talk, r.reason) for r in told} == {(1, "taken"), (1, "released"), (2, "taken"), (2, "released")} or len(told) >= 4
+    assert {(1, "taken"), (2, "taken")} <= {(r.talk, r.reason) for r in told}
     owner = {(r.talk, r.frame): r.owner for r in floor.owners(frames.select("talk", "frame").distinct(), floor.events(noisy)).collect()}
-    assert owner[1, 70] == 0 and owner[1, 119] is not None or owner[1, 10] is None
+    assert owner[1, 70] == 0 and owner[1, 10] is None
