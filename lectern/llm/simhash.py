@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import cut, rejoin
+from lectern.llm.common import cut, rejoin, tidy
 from lectern.llm.graph import components
 
 SEED = 42
@@ -343,7 +343,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, words: int, l
 
 def _possible(rows: pd.DataFrame, least: float):
     """(i, js): places of rows that one block pair has to compare, as their roots differ and size and sketch allow the similarity."""
-    order = rows.groupby(["k", "band", "p", "q"], sort=False).indices
+    order = rows.groupby(["g", "class", "p", "q"], sort=False).indices
     size, side = rows["size"].to_numpy(), rows["side"].to_numpy()
     p, q, root = rows["p"].to_numpy(), rows["q"].to_numpy(), pd.factorize(rows["root"])[0]
     bits = np.frombuffer(b"".join(rows["sketch"]), np.uint64).reshape(-1, SKETCH_WORDS)
@@ -394,21 +394,27 @@ def _rest(grouped: DataFrame, roots: DataFrame, sets: DataFrame, texts: DataFram
 
     grouped: (whole, k, band, n), the members of groups of several; roots: (whole, root) of the
     linked ones. A group of two has been compared, and one of a single
-    root needs no more links. Of the others each block of members meets each
-    block, first by sketches; only what those leave open is compared as texts.
+    root needs no more links. Similar sets meet in many groups, so those with the
+    same members count once, and large ones of the same least root and like size
+    are joined. Of what is left each block of members meets each block, first by
+    sketches; only what those leave open is compared as texts.
     """
     members = rejoin(grouped.where("n > 2"), roots, ["whole"], "left").withColumn("root", F.coalesce("root", "whole")).select("whole", "root", "k", "band")
-    mixed = members.groupBy("k", "band").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 < r1")
-    mixed = mixed.select("k", "band", F.ceil(F.col("n") / block_rows).cast("int").alias("blocks"))
-    placed = rejoin(members, mixed, ["k", "band"]).withColumn("own", F.pmod(F.xxhash64("whole"), "blocks").cast("int"))
+    own = F.bit_xor(F.xxhash64("whole")).alias("own"), F.min("whole").alias("w0"), F.max("whole").alias("w1")
+    mixed = members.groupBy("k", "band").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("r0"), F.max("root").alias("r1"), *own).where("r0 < r1")
+    large = F.ceil(F.log2(F.col("n") / block_rows)).cast("int")
+    mixed = mixed.select("k", "band", F.greatest(large, F.lit(0)).alias("class"), F.when(large > 0, F.col("r0")).otherwise(F.xxhash64("n", "own", "w0", "w1")).alias("g"))
+    joint = cut(rejoin(members, mixed, ["k", "band"]).select("g", "class", "whole", "root").distinct())
+    blocks = joint.groupBy("g", "class").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("blocks"))
+    placed = rejoin(joint, blocks, ["g", "class"]).withColumn("own", F.pmod(F.xxhash64("whole"), "blocks").cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pair = [F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), (F.col("own") > F.col("other")).cast("int").alias("side")]
-    placed = cut(placed.select("whole", "root", "k", "band", *pair))
-    rows = placed.join(sets.select("whole", "size", "sketch"), "whole").select("whole", "root", "k", "band", "p", "q", "side", "size", "sketch")
+    placed = cut(placed.select("whole", "root", "g", "class", *pair))
+    rows = placed.join(sets.select("whole", "size", "sketch"), "whole").select("whole", "root", "g", "class", "p", "q", "side", "size", "sketch")
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
 
     def dealt(df, n):
-        return df.groupBy(F.pmod(F.xxhash64("k", "band", "p", "q"), F.lit(max(1, -(-n // COMPARED_ROWS)))).alias("task"))
+        return df.groupBy(F.pmod(F.xxhash64("g", "class", "p", "q"), F.lit(max(1, -(-n // COMPARED_ROWS)))).alias("task"))
 
     def flagged(rows):
         hit = np.zeros(len(rows), bool)
@@ -418,6 +424,7 @@ def _rest(grouped: DataFrame, roots: DataFrame, sets: DataFrame, texts: DataFram
         return rows[hit]
 
     open_ = cut(dealt(rows, placed.count()).applyInPandas(flagged, kinds))
+    tidy(sets.sparkSession)
     wanted = _texts(sets, open_.select("whole").distinct(), texts)
     return dealt(open_.join(wanted, "whole"), open_.count()).applyInPandas(lambda rows: _compare_task(rows, words, least), "a long, b long")
 
@@ -447,6 +454,7 @@ def similar_documents(docs: DataFrame, words: int = 5, least: float = 0.8, budge
     members = sets.select("whole", F.posexplode("bands").alias("k", "band"))
     heads = members.groupBy("k", "band").agg(F.min("whole").alias("y"), F.count(F.lit(1)).alias("n")).where("n > 1")
     grouped = cut(rejoin(members, heads, ["k", "band"]))
+    tidy(docs.sparkSession)
     pairs = cut(grouped.where("whole != y").select(F.col("whole").alias("a"), F.col("y").alias("b")).distinct())
     roots = components(_verified(pairs, sets, named, words, least)).withColumnRenamed("node", "whole")
     further = components(_rest(grouped, roots, sets, named, words, least, block_rows)).select(F.col("node").alias("root"), F.col("root").alias("last"))
