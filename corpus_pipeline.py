@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lectern.llm import bpe, lines, mixing, quality, simhash
-from lectern.llm.common import crc_mod, free_name, table
+from lectern.llm.common import crc_mod, cut, free_name, table
 from lectern.llm.queries import VOCABULARY
 from lectern.session import reachable
 
@@ -74,7 +74,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents; each stage's rows are materialised, as later ones read them several times."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
