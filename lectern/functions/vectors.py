@@ -39,7 +39,7 @@ def confidence(best: Column, second: Column, knobs: Knobs = Knobs()) -> Column:
 
 
 def lag_ms(decode: Column, chunk: Column | float) -> Column:
-    """How far captions are behind, from the seconds a chunk took to decode and its length."""
+    """How far the shown text is behind, from the seconds a chunk took to decode and its length."""
     return F.round((decode + chunk) * 1000.0)
 
 
