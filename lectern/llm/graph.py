@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import cut, rejoin
+from lectern.llm.common import cut, rejoin, tidy
+
+#: Edges from which joins are dealt anew, so that Spark may split a hub; fewer fit a task whatever their keys.
+SPLIT_EDGES = 1_000_000
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -14,8 +17,8 @@ def components(edges: DataFrame) -> DataFrame:
     edges: (a, b) of one type. Large-star and small-star steps alternate until
     nothing changes; each hooks nodes to the least neighbour, so the number of
     rounds grows with the logarithm of a component's length. A hub's edges are
-    aggregated before they are shuffled, and meet the result in a join that
-    deals them anew (rejoin), so that Spark splits a hub.
+    aggregated before they are shuffled, and from SPLIT_EDGES on meet the result
+    in a join that deals them anew (rejoin), so that Spark splits a hub.
     """
     now = cut(edges.where("a != b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct())
     last = None
@@ -24,12 +27,14 @@ def components(edges: DataFrame) -> DataFrame:
         if state == last or not state[0]:
             break
         last = state
+        meet = rejoin if state[0] > SPLIT_EDGES else DataFrame.join
         both = now.select(F.col("v").alias("x"), F.col("u").alias("y")).union(now.select("u", "v"))
         least = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
-        large = rejoin(both, least, ["x"]).where("y > x").select(F.col("y").alias("v"), F.col("m").alias("u")).distinct()
+        large = meet(both, least, ["x"]).where("y > x").select(F.col("y").alias("v"), F.col("m").alias("u")).distinct()
         small_least = large.groupBy("v").agg(F.min("u").alias("m"))
-        small = rejoin(large, small_least, ["v"])
+        small = meet(large, small_least, ["v"])
         hooked = small.where("u != m").select(F.col("u").alias("v"), F.col("m").alias("u"))
         now = cut(hooked.union(small_least.select("v", F.col("m").alias("u"))).where("v != u").distinct())
+        tidy(now.sparkSession)
     roots = now.select(F.col("u").alias("node")).distinct().join(now.select(F.col("v").alias("node")), "node", "left_anti")
     return now.select(F.col("v").alias("node"), F.col("u").alias("root")).union(roots.select("node", F.col("node").alias("root")))
