@@ -327,6 +327,23 @@ def _texts(sets: DataFrame, wanted: DataFrame, texts: DataFrame) -> DataFrame:
     return texts.join(own, ["key", "h"]).dropDuplicates(["whole"]).select("whole", "text")
 
 
+def _plausible(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Those pairs (a, b) whose sizes and sketches allow the similarity, before any text is moved."""
+    own = lambda x: sets.select(F.col("whole").alias(x), F.col("size").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
+    rows = pairs.join(own("a"), "a").join(own("b"), "b").select("a", "b", "na", "nb", "sa", "sb")
+
+    def run(batches):
+        for batch in batches:
+            na, nb = (batch.column(i).to_numpy().astype(float) for i in (2, 3))
+            sa, sb = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(-1, SKETCH_WORDS) for i in (4, 5))
+            far = np.bitwise_count(sa ^ sb).sum(1, dtype=np.int64)
+            near = (far <= na + nb - 2 * least * np.sqrt(na * nb) + 1e-6) & (np.minimum(na, nb) >= least**2 * np.maximum(na, nb) - 1e-6)
+            keep = pa.array(near)
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
+
+    return rows.mapInArrow(run, "a long, b long")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
     """Those pairs (a, b) of sets whose texts are similar enough, exactly."""
     wanted = pairs.select(F.col("a").alias("whole")).union(pairs.select("b")).distinct()
@@ -455,7 +472,8 @@ def similar_documents(docs: DataFrame, words: int = 5, least: float = 0.8, budge
     heads = members.groupBy("k", "band").agg(F.min("whole").alias("y"), F.count(F.lit(1)).alias("n")).where("n > 1")
     grouped = cut(rejoin(members, heads, ["k", "band"]))
     tidy(docs.sparkSession)
-    pairs = cut(grouped.where("whole != y").select(F.col("whole").alias("a"), F.col("y").alias("b")).distinct())
+    pairs = grouped.where("whole != y").select(F.col("whole").alias("a"), F.col("y").alias("b")).distinct()
+    pairs = cut(_plausible(pairs, sets, least))
     roots = components(_verified(pairs, sets, named, words, least)).withColumnRenamed("node", "whole")
     further = components(_rest(grouped, roots, sets, named, words, least, block_rows)).select(F.col("node").alias("root"), F.col("root").alias("last"))
     linked = sets.select("whole", "low").join(roots, "whole", "left").withColumn("root", F.coalesce("root", "whole"))
