@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import bpe, html, lines, mih, mixing, quality, secrets, simhash, topk, toxicity
+from lectern.llm import bpe, dialogue, html, lines, mih, mixing, quality, rules, secrets, simhash, topk, toxicity, whiten
 from lectern.llm.common import crc_mod, table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -72,6 +72,20 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = rules.judge(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    return found.select("doc_id", *rules.MEASURES, "base_failed", "kept")
+
+
+def op13_dialogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return dialogue.report(turns, dialogue.repair(dialogue.damage(turns)))
+
+
 QUERIES = {
     "op1_main_text": op1_main_text,
     "op2_mixing": op2_mixing,
@@ -83,6 +97,9 @@ QUERIES = {
     "op8_multi_index": op8_multi_index,
     "op9_quality": op9_quality,
     "op10_toxicity": op10_toxicity,
+    "op11_whitening": op11_whitening,
+    "op12_rules": op12_rules,
+    "op13_dialogue": op13_dialogue,
 }
 
 ORACLES: dict[str, str] = {
@@ -193,4 +210,96 @@ ORACLES: dict[str, str] = {
         )
         SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
     """,
+    # Sketches are counts of rates by their leading bits, so that they and all that follows have exact values here too.
+    "op12_rules": r"""
+        WITH t AS (
+            SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS text FROM documents
+        ), w AS (
+            SELECT rid, doc_id, lang, source, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws, len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols,
+                   list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM t
+        ), g AS (
+            SELECT rid, i, array_to_string(ws[i:i + 4], ' ') AS gram FROM (SELECT rid, ws, unnest(range(1, len(ws) - 3)) AS i FROM w)
+        ), twice AS (
+            SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, gram) AS c FROM g) WHERE c > 1
+        ), covered AS (
+            SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest(range(i, i + 5)) AS p FROM twice) GROUP BY rid
+        ), m AS (
+            SELECT w.rid, doc_id, lang, source, len(ws) AS n_words, coalesce(len(array_to_string(ws, '')), 0) AS word_chars, n_symbols, len(ls) AS n_lines,
+                   len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words FROM w LEFT JOIN covered c ON c.rid = w.rid
+        ), r AS (
+            SELECT rid, doc_id, lang, source, rule, size, CASE WHEN size > 0 THEN 10000 * top // size END AS v
+            FROM (SELECT m.*, unnest([{'rule': 'word_length', 'top': word_chars, 'size': n_words}, {'rule': 'symbols', 'top': n_symbols, 'size': n_words},
+                                      {'rule': 'repeats', 'top': n_repeat_words, 'size': n_words}, {'rule': 'dup_lines', 'top': n_dup_lines, 'size': n_lines}], recursive := true) FROM m)
+        ), b AS (
+            SELECT *, (v >> CAST(greatest(0, len(bin(v)) - 7) AS BIGINT)) << CAST(greatest(0, len(bin(v)) - 7) AS BIGINT) AS bucket FROM r WHERE v IS NOT NULL
+        ), q AS (
+            SELECT 2 AS level, lang, source, rule, bucket, count(*) AS n FROM b GROUP BY ALL
+            UNION ALL SELECT 1, lang, NULL, rule, bucket, count(*) FROM b GROUP BY ALL
+            UNION ALL SELECT 0, NULL, NULL, rule, bucket, count(*) FROM b GROUP BY ALL
+        ), u AS (
+            SELECT *, sum(n) OVER (PARTITION BY level, lang, source, rule ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY level, lang, source, rule) AS docs FROM q
+        ), k AS (
+            SELECT level, lang, source, rule, max(docs) AS docs, min(bucket) FILTER (WHERE 4 * upto >= docs) AS low, min(bucket) FILTER (WHERE 4 * upto >= 3 * docs) AS high FROM u GROUP BY ALL
+        ), f AS (
+            SELECT a.lang, a.source, a.rule, CASE WHEN a.docs >= 100 THEN a.low WHEN l.docs >= 100 THEN l.low ELSE e.low END AS low,
+                   CASE WHEN a.docs >= 100 THEN a.high WHEN l.docs >= 100 THEN l.high ELSE e.high END AS high
+            FROM k a JOIN k l ON l.level = 1 AND l.rule = a.rule AND l.lang IS NOT DISTINCT FROM a.lang JOIN k e ON e.level = 0 AND e.rule = a.rule WHERE a.level = 2
+        ), x AS (
+            SELECT rid, r.rule, size, v - (high + 3 * (high - low)) AS above, CASE WHEN r.rule = 'word_length' THEN low - 3 * (high - low) - v ELSE 0 END AS below,
+                   CASE r.rule WHEN 'word_length' THEN 100000 WHEN 'symbols' THEN 10000 WHEN 'repeats' THEN 40000 ELSE 15000 END AS noise
+            FROM r JOIN f ON f.rule = r.rule AND f.lang IS NOT DISTINCT FROM r.lang AND f.source IS NOT DISTINCT FROM r.source WHERE v IS NOT NULL
+        ), bad AS (
+            SELECT DISTINCT rid FROM x WHERE (above > 0 AND above * above * size > noise * noise) OR (below > 0 AND below * below * size > noise * noise)
+        )
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+               NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND bad.rid IS NULL AS kept
+        FROM m LEFT JOIN bad ON bad.rid = m.rid
+    """,
+    # Backwards over the turns with the cheapest repair, its audit and its text for each role before the turn.
+    "op13_dialogue": r"""
+        WITH RECURSIVE named AS (
+            SELECT dense_rank() OVER (ORDER BY conv_id NULLS FIRST) AS g, conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                   coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name FROM conversations
+        ), bits AS (
+            SELECT *, list_transform(range(8 * len(name)), lambda i: CAST((ascii(name[i // 8 + 1]) >> CAST(i % 8 AS INT)) & 1 AS BIGINT)) AS bits FROM named
+        ), kinds AS (
+            SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, bits), lambda c, b: xor(c >> 1, CASE WHEN (c & 1) <> b THEN 3988292384::BIGINT ELSE 0::BIGINT END)), 4294967295::BIGINT) % 20 AS kind FROM bits
+        ), hurt AS (
+            SELECT g, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+                   unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS copy FROM kinds WHERE kind <> 0
+        ), o AS (
+            SELECT *, row_number() OVER (PARTITION BY g ORDER BY turn NULLS FIRST, role, text, copy) AS i, left(role, 1) AS c FROM hurt
+        ), p AS (
+            SELECT *, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank, row_number() OVER (PARTITION BY g, role, text ORDER BY i) > 1 AS again,
+                   NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') AS open, lag(c) OVER (PARTITION BY g ORDER BY i) AS before FROM o
+        ), n AS (
+            SELECT *, blank OR again AS forced, CASE WHEN open THEN 5 ELSE 0 END AS extra FROM p
+        ), f AS (
+            SELECT g, CAST(max(i) + 1 AS BIGINT) AS i, {'c': 0::BIGINT, 'a': '', 'x': []::VARCHAR[]} AS f0, {'c': 10::BIGINT, 'a': 'II', 'x': ['user:', 'assistant:']} AS fs,
+                   {'c': 5::BIGINT, 'a': 'I', 'x': ['assistant:']} AS fu, {'c': 0::BIGINT, 'a': '', 'x': []::VARCHAR[]} AS fa FROM n GROUP BY g
+            UNION ALL
+            SELECT g, i, list_min([d0, s, u, ia]), list_min([ds, u, ia]), list_min([du, a, iu]), list_min([da, u, ia])
+            FROM (
+                SELECT *, CASE WHEN u IS NOT NULL THEN {'c': u.c + 5, 'a': 'I' || u.a, 'x': list_prepend('assistant:', u.x)} END AS iu,
+                       CASE WHEN a IS NOT NULL THEN {'c': a.c + 5, 'a': 'I' || a.a, 'x': list_prepend('user:', a.x)} END AS ia
+                FROM (
+                    SELECT f.g, CAST(n.i AS BIGINT) AS i,
+                           {'c': f0.c + 2, 'a': 'D' || f0.a, 'x': f0.x} AS d0, {'c': fs.c + 2, 'a': 'D' || fs.a, 'x': fs.x} AS ds,
+                           {'c': fu.c + 2, 'a': 'D' || fu.a, 'x': fu.x} AS du, {'c': fa.c + 2, 'a': 'D' || fa.a, 'x': fa.x} AS da,
+                           CASE WHEN NOT forced AND c = 's' THEN {'c': fs.c + extra, 'a': 'K' || fs.a, 'x': list_prepend(role || ':' || text, fs.x)} END AS s,
+                           CASE WHEN NOT forced AND c = 'u' THEN {'c': fu.c + extra, 'a': 'K' || fu.a, 'x': list_prepend(role || ':' || text, fu.x)}
+                                WHEN NOT forced THEN {'c': fu.c + extra + 1, 'a': 'R' || fu.a, 'x': list_prepend('user:' || text, fu.x)} END AS u,
+                           CASE WHEN NOT forced AND c = 'a' THEN {'c': fa.c + extra, 'a': 'K' || fa.a, 'x': list_prepend(role || ':' || text, fa.x)}
+                                WHEN NOT forced THEN {'c': fa.c + extra + 1, 'a': 'R' || fa.a, 'x': list_prepend('assistant:' || text, fa.x)} END AS a
+                    FROM f JOIN n ON n.g = f.g AND n.i = f.i - 1
+                )
+            )
+        ), counts AS (
+            SELECT g, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE blank) AS blank, count(*) FILTER (WHERE NOT blank AND again) AS duplicate,
+                   count(*) FILTER (WHERE NOT forced AND open) AS truncated, count(*) FILTER (WHERE i > 1 AND before || c NOT IN ('su', 'ua', 'au')) AS illegal FROM n GROUP BY g
+        )
+        SELECT k.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+               coalesce(f0.c, 0) AS cost, coalesce(f0.a, '') AS audit, sha256(coalesce(array_to_string(f0.x, chr(10)), '')) AS repaired_sha256
+        FROM (SELECT DISTINCT g, conv_id FROM named) k LEFT JOIN counts ON counts.g = k.g LEFT JOIN f ON f.g = k.g AND f.i = 1
+    """,
 }
