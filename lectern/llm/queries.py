@@ -246,7 +246,7 @@ ORACLES: dict[str, str] = {
             FROM k a JOIN k l ON l.level = 1 AND l.rule = a.rule AND l.lang IS NOT DISTINCT FROM a.lang JOIN k e ON e.level = 0 AND e.rule = a.rule WHERE a.level = 2
         ), x AS (
             SELECT rid, r.rule, size, v - (high + 3 * (high - low)) AS above, CASE WHEN r.rule = 'word_length' THEN low - 3 * (high - low) - v ELSE 0 END AS below,
-                   CASE r.rule WHEN 'word_length' THEN 100000 WHEN 'symbols' THEN 10000 WHEN 'repeats' THEN 40000 ELSE 15000 END AS noise
+                   CASE r.rule WHEN 'word_length' THEN 100000 WHEN 'symbols' THEN 10000 WHEN 'repeats' THEN 40000 ELSE 15000 END::BIGINT AS noise
             FROM r JOIN f ON f.rule = r.rule AND f.lang IS NOT DISTINCT FROM r.lang AND f.source IS NOT DISTINCT FROM r.source WHERE v IS NOT NULL
         ), bad AS (
             SELECT DISTINCT rid FROM x WHERE (above > 0 AND above * above * size > noise * noise) OR (below > 0 AND below * below * size > noise * noise)

@@ -41,6 +41,9 @@ def cheapest(turns):
                         out += put(1 + extra, "R", [f"{name}:{text}"], i + 1, name[0], 0)
         return min(out, default=(1e9, "", ()))
 
+    for i in range(len(turns), -1, -1):  # from the end, so that no call goes deep
+        for state in follow:
+            rest(i, state, 0)
     return *rest(0, "", 0), faults
 
 
