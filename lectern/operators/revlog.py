@@ -138,6 +138,27 @@ def pending(sent: DataFrame, acks: DataFrame, room: int) -> DataFrame:
     return rows.where(F.col("__n") <= room).select("talk", "seq", "dropped")
 
 
+def transmissions(events: DataFrame, room: int) -> DataFrame:
+    """(talk, at, no, body, resent, dropped): what a store-and-forward link sends, and when.
+
+    events: (talk, at, what, body, ack), what being send, ack (of all messages
+    up to that number), up or down. Messages are numbered from 1; the last
+    `room` that aren't acknowledged are kept, and sent again when the link comes
+    up. All that is a running highest or count, so no fold is needed.
+    """
+    upto = Window.partitionBy("talk").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    is_ = lambda *k: F.col("what").isin(*k)
+    rows = events.withColumns({"no": F.count(F.when(is_("send"), 1)).over(upto), "acked": F.coalesce(F.max(F.when(is_("ack"), F.col("ack"))).over(upto), F.lit(0))})
+    rows = rows.withColumn("up", F.coalesce(F.last(F.when(is_("up", "down"), is_("up")), ignorenulls=True).over(upto), F.lit(False)))
+    rows = rows.withColumn("dropped", F.count(F.when(is_("send") & (F.col("acked") <= F.col("no") - 1 - room), 1)).over(upto))
+    sent = rows.where(is_("send"))
+    first = sent.where("up").select("talk", "at", "no", "body", F.lit(False).alias("resent"), "dropped")
+    low = F.greatest("acked", F.col("no") - room) + 1
+    again = rows.where(is_("up")).where(low <= F.col("no")).select("talk", "at", F.explode(F.sequence(low, F.col("no"))).alias("no"), "dropped")
+    again = again.join(sent.select("talk", "no", "body"), ["talk", "no"]).select("talk", "at", "no", "body", F.lit(True).alias("resent"), "dropped")
+    return first.unionByName(again)
+
+
 def relabelled(sent: DataFrame, labels: DataFrame) -> DataFrame:
     """`spk` messages of late labels (talk, sid, seq, spk, spk_conf, src) for sent segments (talk, sid, rev, spk).
 

@@ -153,6 +153,27 @@ def pending_unacked(spark, sf):
     return revlog.pending(rows.select("talk", "seq"), rows.where("seq % 9 = 0").selectExpr("talk", "seq - 400 as ack"), 15)
 
 
+@query(f"""WITH {T.MSG}, e AS (
+    SELECT talk, seq AS p, sid, CASE WHEN t = 'seg' THEN 'send' WHEN t = 'tr' THEN 'ack' WHEN sid % 3 = 0 THEN 'down' ELSE 'up' END AS what,
+           count(*) FILTER (WHERE t = 'seg') OVER (PARTITION BY talk ORDER BY seq) AS no, value FROM msg WHERE t IN ('seg', 'tr', 'health')
+), r AS (
+    SELECT *, coalesce(max(CASE WHEN what = 'ack' THEN greatest(no - value % 4, 0) END) OVER w, 0) AS acked,
+           coalesce(last_value(CASE WHEN what IN ('up', 'down') THEN what = 'up' END IGNORE NULLS) OVER w, false) AS up FROM e WINDOW w AS (PARTITION BY talk ORDER BY p)
+), d AS (
+    SELECT *, count(*) FILTER (WHERE what = 'send' AND acked <= no - 6) OVER (PARTITION BY talk ORDER BY p) AS dropped FROM r
+)
+SELECT talk, p AS "at", no, sid AS body, false AS resent, dropped FROM d WHERE what = 'send' AND up
+UNION ALL
+SELECT u.talk, u.p, s.no, s.sid, true, u.dropped FROM d u JOIN d s ON s.talk = u.talk AND s.what = 'send' AND s.no BETWEEN greatest(u.acked, u.no - 5) + 1 AND u.no WHERE u.what = 'up'""")
+def uplink_sent(spark, sf):
+    """Segments go over a link that health messages switch; translations acknowledge, some late. The outbox holds five."""
+    rows = T.messages(spark, sf).where("t in ('seg', 'tr', 'health')")
+    what = F.when(F.col("t") == "seg", "send").when(F.col("t") == "tr", "ack").when(F.col("sid") % 3 == 0, "down").otherwise("up")
+    told = F.count(F.when(F.col("t") == "seg", 1)).over(Window.partitionBy("talk").orderBy("seq"))
+    events = rows.select("talk", F.col("seq").alias("at"), what.alias("what"), F.col("sid").alias("body"), F.greatest(told - F.col("value") % 4, F.lit(0)).alias("ack"))
+    return revlog.transmissions(events, 5)
+
+
 @query(f"WITH {T.MSG}, {T.COUNTED} SELECT talk, lang, arg_max(n, seq) AS n FROM counted GROUP BY talk, lang HAVING arg_max(n, seq) > 0")
 def listeners(spark, sf):
     return pubsub.listeners(T.subscriptions(spark, sf))

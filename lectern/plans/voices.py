@@ -61,6 +61,28 @@ def segment_windows(signals: DataFrame, spans: DataFrame, factory: Callable[[],
     per_ms = knobs.sample_rate // 1000
     first, n = (F.col("t0") * per_ms + 1).cast("int"), ((F.col("t1") - F.col("t0")) * per_ms).cast("int")
     rows = signals.withColumnRenamed("name", "talk").join(spans, "talk").select("talk", "sid", (F.col("t0") / 1000).cast("double").alias("t0"), F.slice("pcm", first, n).alias("pcm"))
+    return _windowed_rows(rows, factory, knobs)
+
+
+def windows_of_frames(frames: DataFrame, spans: DataFrame, factory: Callable[[], Encoder] = spectral_encoder, knobs: Knobs = Knobs()) -> DataFrame:
+    """(talk, sid, wins) of spans (talk, sid, t0, t1 in ms) over frames (talk, frame, pcm) of one channel.
+
+    A span meets only its own frames, which come together in one row; no task
+    holds a recording.
+    """
+    per_ms, size = knobs.sample_rate // 1000, knobs.frame_samples
+    first = F.expr(f"t0 * {per_ms} div {size}")
+    wide = spans.select("talk", "sid", "t0", "t1", F.explode(F.sequence(first, F.expr(f"greatest(t0 * {per_ms}, t1 * {per_ms} - 1) div {size}"))).alias("frame"))
+    met = wide.join(frames.select("talk", F.col("frame").cast("long").alias("frame"), "pcm"), ["talk", "frame"])
+    pieces = met.groupBy("talk", "sid").agg(F.first("t0").alias("t0"), F.first("t1").alias("t1"), F.sort_array(F.collect_list(F.struct("frame", "pcm"))).alias("own"))
+    whole = F.flatten(F.transform("own", lambda x: x["pcm"]))
+    at = (F.col("t0") * per_ms - F.col("own")[0]["frame"] * size + 1).cast("int")
+    rows = pieces.select("talk", "sid", (F.col("t0") / 1000).cast("double").alias("t0"), F.slice(whole, at, ((F.col("t1") - F.col("t0")) * per_ms).cast("int")).alias("pcm"))
+    return _windowed_rows(rows, factory, knobs)
+
+
+def _windowed_rows(rows: DataFrame, factory: Callable[[], Encoder], knobs: Knobs) -> DataFrame:
+    """(talk, sid, wins) of rows (talk, sid, t0 in s, pcm)."""
     kind = pa.list_(pa.struct([("t0", pa.float64()), ("t1", pa.float64()), ("v", pa.list_(pa.float64()))]))
 
     def run(batches):

@@ -1,4 +1,4 @@
-"""WAV files as frames and as whole signals."""
+"""WAV files, each one value: frames, and whole signals of short ones. Long recordings are read in parts by `recordings`."""
 
 from __future__ import annotations
 
@@ -10,8 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-FRAME_SAMPLES = 512
-
+from lectern.sources.pcm import FRAME_SAMPLES
 
 def decode(content: bytes) -> tuple[np.ndarray, int]:
     """(samples x channels in [-1, 1), rate) of 16-bit PCM."""
@@ -48,7 +47,7 @@ def frames(recordings: DataFrame) -> DataFrame:
                 for ch in range(samples.shape[1]):
                     pcm = samples[: n * FRAME_SAMPLES, ch].reshape(n, FRAME_SAMPLES)
                     at = np.arange(n)
-                    cols = [pa.array([name.as_py()] * n, pa.string()), pa.array([ch] * n, pa.int32()), pa.array(at, pa.int64()), pa.array(at * (FRAME_SAMPLES / rate)), pa.array(list(pcm), pa.list_(pa.float32()))]
+                    cols = [pa.array([name.as_py()] * n, pa.string()), pa.array([ch] * n, pa.int32()), pa.array(at, pa.int64()), pa.array(at * FRAME_SAMPLES / rate), pa.array(list(pcm), pa.list_(pa.float32()))]
                     yield pa.RecordBatch.from_arrays(cols, names=names)
 
     return recordings.select("name", "content").mapInArrow(run, "talk string, ch int, frame long, t_abs double, pcm array<float>")

@@ -1,25 +1,37 @@
-"""A live source: sound that a recorder appends to a file, as a stream of frames.
+"""A live source: sound that recorders append to files, as a stream of frames.
 
     spark.dataSource.register(live.PcmTail)
-    spark.readStream.format("pcm_tail").option("path", "hall.raw").option("channels", 2).load()
+    spark.readStream.format("pcm_tail").option("path", "halls/").option("channels", 2).load()
 
-The file is raw 16-bit little-endian PCM, channels interleaved. It only grows,
-so offsets are frame numbers and a batch that runs again reads the same frames.
-Where capture runs ahead of the query nothing is dropped: a batch takes `most`
-frames at most and leaves the rest for the next one.
+Each *.raw file (or the one at the path) is raw 16-bit little-endian PCM of a
+talk, channels interleaved. Files only grow, so an offset is a frame number for
+each talk, and a batch that runs again reads the same frames. Tasks read their
+own ranges of `split` frames; the driver only looks at the files' sizes.
+
+Where capture runs ahead of the query nothing is dropped: a batch takes at most
+`most` frames of a talk beyond the last one, and leaves the rest. Only the first
+batch after a start takes all that has come: the offset it starts from isn't
+told before. Its ranges bound what a task holds, however long the query was down.
 """
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator
+from dataclasses import dataclass
+
+from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
-import numpy as np
-from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
+from lectern.sources import pcm
 
-from lectern.sources.audio import FRAME_SAMPLES
+SPLIT_FRAMES, MOST_FRAMES = 1_000, 3_000
 
-SCHEMA = "talk string, ch int, frame long, t_abs double, pcm array<float>"
+
+@dataclass
+class Range(InputPartition):
+    talk: str
+    path: str
+    first: int
+    last: int
 
 
 class PcmTail(DataSource):
@@ -28,36 +40,44 @@ class PcmTail(DataSource):
         return "pcm_tail"
 
     def schema(self) -> str:
-        return SCHEMA
+        return pcm.FRAMES
 
-    def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:
+    def streamReader(self, schema) -> DataSourceStreamReader:
         o = self.options
-        return _Tail(o["path"], o.get("talk") or os.path.splitext(os.path.basename(o["path"]))[0], int(o.get("channels", 1)), int(o.get("rate", 16_000)), int(o.get("most", 3_000)))
+        sound = pcm.Sound(int(o.get("channels", 1)), int(o.get("rate", 16_000)), 0, 0)
+        return _Tail(o["path"], o.get("talk"), sound, int(o.get("most", MOST_FRAMES)), int(o.get("split", SPLIT_FRAMES)))
+
 
+class _Tail(DataSourceStreamReader):
+    def __init__(self, path: str, talk: str | None, sound: pcm.Sound, most: int, split: int):
+        self.path, self.talk, self.sound, self.most, self.split = path, talk, sound, most, split
+        self.admitted: dict[str, int] | None = None
 
-class _Tail(SimpleDataSourceStreamReader):
-    def __init__(self, path: str, talk: str, channels: int, rate: int, most: int):
-        self.path, self.talk, self.channels, self.rate, self.most = path, talk, channels, rate, most
+    def _there(self) -> dict[str, tuple[str, int]]:
+        """By talk: its file and the whole frames in it."""
+        return {self.talk or pcm.stem(path): (path, size // self.sound.frame_bytes) for path, size in pcm.listed(self.path, ".raw")}
 
     def initialOffset(self) -> dict:
-        return {"frame": 0}
-
-    def read(self, start: dict) -> tuple[Iterator, dict]:
-        """What has come since, up to `most` whole frames."""
-        size = os.path.getsize(self.path) if os.path.exists(self.path) else 0
-        there = size // (2 * self.channels * FRAME_SAMPLES)
-        end = {"frame": max(start["frame"], min(there, start["frame"] + self.most))}
-        return self.readBetweenOffsets(start, end), end
-
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator:
-        a, b = start["frame"], end["frame"]
-        if b <= a:
-            return iter(())
-        per = self.channels * FRAME_SAMPLES
-        raw = np.fromfile(self.path, "<i2", (b - a) * per, offset=2 * a * per).astype(np.float32) / 32768
-        blocks = enumerate(raw.reshape(b - a, FRAME_SAMPLES, self.channels), a)
-        # a list, as Spark copies what a simple reader gives
-        return iter([(self.talk, ch, i, i * FRAME_SAMPLES / self.rate, block[:, ch].tolist()) for i, block in blocks for ch in range(self.channels)])
+        return {}
+
+    def latestOffset(self) -> dict:
+        there = {talk: n for talk, (_, n) in self._there().items()}
+        if self.admitted is None:
+            self.admitted = there
+        else:
+            grown = {talk: min(n, self.admitted.get(talk, 0) + self.most) for talk, n in there.items()}
+            self.admitted |= {talk: max(n, self.admitted.get(talk, 0)) for talk, n in grown.items()}
+        return dict(self.admitted)
+
+    def partitions(self, start: dict, end: dict) -> list[Range]:
+        paths = {talk: path for talk, (path, _) in self._there().items()}
+        spans = [(talk, start.get(talk, 0), last) for talk, last in sorted(end.items())]
+        return [Range(talk, paths[talk], a, min(a + self.split, last)) for talk, first, last in spans for a in range(first, last, self.split)]
+
+    def read(self, partition: Range) -> Iterator:
+        system, _ = pcm.located(self.path)
+        with system.open_input_file(partition.path) as f:
+            yield from pcm.read_frames(f, self.sound, partition.talk, partition.first, partition.last)
 
     def commit(self, end: dict) -> None:
         pass

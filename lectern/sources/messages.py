@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from lectern.schema import MESSAGE, SEG_DEFAULTS
 
 
-def parsed(lines: DataFrame, column: str = "value") -> DataFrame:
-    """Message rows of JSON lines; lines that are no JSON and messages without talk or type go."""
-    rows = lines.select(F.from_json(F.col(column).cast("string"), MESSAGE).alias("m")).select("m.*")
+def parsed(lines: DataFrame, column: str = "value", *others: str) -> DataFrame:
+    """Message rows of JSON lines, with other columns of the lines; lines that are no JSON and messages without talk or type go."""
+    rows = lines.select(F.from_json(F.col(column).cast("string"), MESSAGE).alias("m"), *others).select("m.*", *others)
     filled = {c: F.coalesce(F.col(c), F.lit(v)) for c, v in SEG_DEFAULTS.items()}
     return rows.where("talk is not null and t is not null").withColumns(filled)
 

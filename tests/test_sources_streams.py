@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from lectern.config import Knobs
 from lectern.functions.encoders import build_encoder, spectral_encoder
 from lectern.operators import revlog, words
-from lectern.plans import talks
-from lectern.sources import audio, live, messages, scenes
+from lectern.plans import talks, voices
+from lectern.sources import audio, live, messages, recordings, scenes
 from lectern.streaming import state
 
 
@@ -32,21 +32,67 @@ def test_wav_frames_and_signals(spark, tmp_path):
     assert mono.name == "hall" and np.allclose(mono.pcm, (left + right) / 2, atol=1e-4)
 
 
-def test_a_growing_recording_is_a_stream(spark, tmp_path):
-    raw, pcm = tmp_path / "hall.raw", (np.arange(2 * 512 * 10, dtype="<i2") * 3).reshape(-1, 2)
-    raw.write_bytes(pcm[: 512 * 4 + 100].tobytes())  # four frames and a part of one
+def test_long_recordings_are_read_in_parts(spark, tmp_path):
+    """Whatever the cuts, the frames are those of whole files; a file fills several tasks, small ones share one."""
+    for name, seconds, channels in (("long", 4.0, 2), ("short", 0.3, 1), ("tiny", 0.01, 3)):
+        sound = np.stack([say("Иван", seconds, c) for c in range(channels)], 1)
+        (tmp_path / f"{name}.wav").write_bytes(audio.encode(sound))
+    odd = (tmp_path / "long.wav").read_bytes()
+    (tmp_path / "Chunk.WAV").write_bytes(odd[:4] + (len(odd) + 4).to_bytes(4, "little") + odd[8:36] + b"LIST\x03\0\0\0abc\0" + odd[36:])  # a chunk before the samples
+    (tmp_path / "cut.wav").write_bytes(odd[:40] + b"\xff\xff\xff\xff" + odd[44 : 44 + 2048 * 7 + 99])  # a recorder that was cut off
+    (tmp_path / "notes.txt").write_text("x")
+    rows = lambda df: sorted((r.talk, r.ch, r.frame, r.t_abs, tuple(r.pcm)) for r in df.collect())
+    want = rows(audio.frames(audio.files(spark, str(tmp_path)).where("name != 'cut'")))
+    cut = [("cut", ch, f) for ch in (0, 1) for f in range(7)]
+    for split in (7_777, 50_000, 1 << 20):
+        got = recordings.frames(spark, str(tmp_path), split)
+        assert rows(got.where("talk != 'cut'")) == want
+        assert sorted((r.talk, r.ch, r.frame) for r in got.where("talk = 'cut'").collect()) == cut
+        if split < 1 << 20:
+            assert got.where("talk = 'long'").select(F.spark_partition_id()).distinct().count() > 4
+    assert recordings.frames(spark, "file://" + str(tmp_path)).rdd.getNumPartitions() == 1
+    mono = recordings.frames(spark, str(tmp_path / "long.wav"), 3_000, mono=True).orderBy("frame").collect()
+    signal = audio.signals(audio.files(spark, str(tmp_path / "long.wav"))).first().pcm
+    assert np.allclose(np.concatenate([r.pcm for r in mono]), signal[: len(mono) * 512], atol=1e-6) and {r.ch for r in mono} == {0}
+
+
+def test_segments_meet_only_their_frames(spark, tmp_path):
+    (tmp_path / "a.wav").write_bytes(audio.encode(np.concatenate([say("Иван", 2.2), say("Ольга", 3.1)])[:, None]))
+    (tmp_path / "b.wav").write_bytes(audio.encode(say("Пётр", 2.0)[:, None]))
+    spans = spark.createDataFrame([("a", 1, 0, 1700), ("a", 2, 1701, 5001), ("a", 3, 64, 64), ("b", 1, 333, 1999), ("c", 1, 0, 900)], "talk string, sid long, t0 long, t1 long")
+    whole = voices.segment_windows(audio.signals(audio.files(spark, str(tmp_path))), spans).where("size(wins) > 0")
+    parts = voices.windows_of_frames(recordings.frames(spark, str(tmp_path), 10_000, mono=True), spans).where("size(wins) > 0")
+    key = lambda df: {(r.talk, r.sid): r.wins for r in df.collect()}
+    a, b = key(whole), key(parts)
+    assert a.keys() == b.keys() and len(a) == 3
+    assert all([(w.t0, w.t1) for w in a[k]] == [(w.t0, w.t1) for w in b[k]] and np.allclose([w.v for w in a[k]], [w.v for w in b[k]]) for k in a)
+
+
+def test_growing_recordings_are_a_stream(spark, tmp_path):
+    """Two halls, restarts, a file that comes later, a part of a frame: no frame comes twice or is lost."""
+    folder, rng = tmp_path / "halls", np.random.default_rng(1)
+    folder.mkdir()
+    sound = {name: rng.integers(-(2**15), 2**15, (n * 512, 2)).astype("<i2") for name, n in (("a", 23), ("b", 9), ("c", 5))}
     spark.dataSource.register(live.PcmTail)
-    stream = lambda: spark.readStream.format("pcm_tail").option("path", str(raw)).option("channels", "2").option("most", "3").load()
-    seen = []
-    for _ in range(2):
-        q = stream().writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).start()
+    stream = lambda: spark.readStream.format("pcm_tail").option("path", str(folder)).option("channels", "2").option("most", "4").option("split", "3").load()
+    sizes = [{"a": 4 * 512 + 100, "b": 512}, {"a": 15 * 512 + 1, "b": 512}, {"a": 23 * 512, "b": 9 * 512 - 1, "c": 5 * 512}, {"a": 23 * 512, "b": 9 * 512, "c": 5 * 512}]
+    batches = []
+    for step, own in enumerate(sizes):
+        for name, n in own.items():
+            (folder / f"{name}.raw").write_bytes(sound[name][:n].tobytes())
+        if step in (0, 2):  # the query starts anew here
+            q = stream().writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).start()
         q.processAllAvailable()
-        q.stop()
-        rows = spark.read.parquet(str(tmp_path / "out")).orderBy("frame", "ch").collect()
-        seen.append([(r.frame, r.ch) for r in rows])
-        raw.write_bytes(pcm.tobytes())
-    assert seen == [[(i, c) for i in range(n) for c in (0, 1)] for n in (4, 10)]
-    assert all(np.allclose(r.pcm, pcm[r.frame * 512 : (r.frame + 1) * 512, r.ch] / 32768) and r.t_abs == r.frame * 512 / 16_000 for r in rows)
+        batches += [p["numInputRows"] for p in q.recentProgress if p["numInputRows"]]
+        rows = spark.read.parquet(str(tmp_path / "out")).orderBy("talk", "frame", "ch").collect()
+        assert [(r.talk, r.frame, r.ch) for r in rows] == [(name, i, c) for name in sorted(own) for i in range(own[name] // 512) for c in (0, 1)]
+        if step in (1, 3):
+            q.stop()
+    assert max(batches) > 16 and all(np.allclose(r.pcm, sound[r.talk][r.frame * 512 : (r.frame + 1) * 512, r.ch] / 32768) and r.t_abs == r.frame * 512 / 16_000 for r in rows)
+    reader = live._Tail(str(folder), None, live.pcm.Sound(2, 16_000, 0, 0), 4, 3)
+    assert [(r.talk, r.first, r.last) for r in reader.partitions({"a": 2}, {"a": 9, "c": 1})] == [("a", 2, 5), ("a", 5, 8), ("a", 8, 9), ("c", 0, 1)]
+    reader.admitted = {"a": 2, "b": 9}
+    assert reader.latestOffset() == {"a": 6, "b": 9, "c": 4}
 
 
 def test_spectral_encoder_tells_voices_apart(spark):
