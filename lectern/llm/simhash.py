@@ -249,7 +249,9 @@ def near_duplicates(docs: DataFrame, words: int, budget: int, key: str = "doc_id
 #: with a chance of j ** 3, so of those at the threshold (j = 2 / 3 where sizes are equal) all differ with one of 0.0002.
 SAMPLES, SAMPLE_SIZE = 24, 3
 #: 64-bit words of a sketch, members of a block of a large group, and rows of a task that compares blocks.
-SKETCH_WORDS, BLOCK_ROWS, COMPARED_ROWS = 16, 1_000, 8_000
+SKETCH_WORDS, BLOCK_ROWS, COMPARED_ROWS = 16, 16_000, 32_000
+#: Members that are compared with one copy of their head's text.
+HEAD_ROWS = 2_000
 #: Sketches compared with a whole block at once.
 STRIP = 64
 _SALTS = np.array([xxhash.xxh64_intdigest(b"sample", i) | 1 for i in range(SAMPLES)], np.uint64)
@@ -345,17 +347,32 @@ def _plausible(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, words: int, least: float) -> DataFrame:
-    """Those pairs (a, b) of sets whose texts are similar enough, exactly."""
-    wanted = pairs.select(F.col("a").alias("whole")).union(pairs.select("b")).distinct()
+    """Those pairs (a, b) of sets whose texts are similar enough, exactly; b is the head of many.
+
+    A member's text moves to its head, and a head's text once for HEAD_ROWS of
+    its members, ahead of them; tasks stream through both.
+    """
+    blocks = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / HEAD_ROWS).cast("int").alias("n"))
+    placed = rejoin(pairs, blocks, ["b"]).select("a", "b", F.pmod(F.xxhash64("a"), "n").cast("int").alias("block"))
+    wanted = pairs.select(F.col("a").alias("whole")).union(blocks.select("b")).distinct()
     own = cut(_texts(sets, wanted, texts))
-    rows = pairs.join(own.select(F.col("whole").alias("a"), F.col("text").alias("ta")), "a").join(own.select(F.col("whole").alias("b"), F.col("text").alias("tb")), "b")
+    members = placed.join(own.withColumnRenamed("whole", "a"), "a").select("b", "block", "a", "text")
+    heads = blocks.select("b", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("block")).join(own.withColumnRenamed("whole", "b"), "b")
+    rows = members.unionByName(heads.select("b", "block", F.lit(None).cast("long").alias("a"), "text"))
 
     def run(batches):
+        head, at = None, None
         for batch in batches:
-            keep = pa.array([similarity(x.as_py(), y.as_py(), words) >= least for x, y in zip(batch.column(2), batch.column(3), strict=True)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
+            a, b = [], []
+            for y, block, x, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if x is None:
+                    head, at = shingle_set(text, words), (y, block)
+                elif at == (y, block) and _cosine(shingle_set(text, words), head) >= least:
+                    a.append(x)
+                    b.append(y)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return rows.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    return rows.repartition("b", "block").sortWithinPartitions("b", "block", F.col("a").asc_nulls_first()).mapInArrow(run, "a long, b long")
 
 
 def _possible(rows: pd.DataFrame, least: float):
@@ -422,12 +439,12 @@ def _rest(grouped: DataFrame, roots: DataFrame, sets: DataFrame, texts: DataFram
     large = F.ceil(F.log2(F.col("n") / block_rows)).cast("int")
     mixed = mixed.select("k", "band", F.greatest(large, F.lit(0)).alias("class"), F.when(large > 0, F.col("r0")).otherwise(F.xxhash64("n", "own", "w0", "w1")).alias("g"))
     joint = cut(rejoin(members, mixed, ["k", "band"]).select("g", "class", "whole", "root").distinct())
-    blocks = joint.groupBy("g", "class").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("blocks"))
-    placed = rejoin(joint, blocks, ["g", "class"]).withColumn("own", F.pmod(F.xxhash64("whole"), "blocks").cast("int"))
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    blocks = cut(joint.groupBy("g", "class").agg(F.count(F.lit(1)).alias("n"), F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("blocks")))
+    total = blocks.agg(F.sum(F.col("n") * F.col("blocks"))).first()[0] or 0
+    placed = rejoin(joint, blocks.drop("n"), ["g", "class"]).withColumn("own", F.pmod(F.xxhash64("whole"), "blocks").cast("int"))
+    placed = placed.join(sets.select("whole", "size", "sketch"), "whole").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pair = [F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), (F.col("own") > F.col("other")).cast("int").alias("side")]
-    placed = cut(placed.select("whole", "root", "g", "class", *pair))
-    rows = placed.join(sets.select("whole", "size", "sketch"), "whole").select("whole", "root", "g", "class", "p", "q", "side", "size", "sketch")
+    rows = placed.select("whole", "root", "g", "class", *pair, "size", "sketch")
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
 
     def dealt(df, n):
@@ -440,7 +457,7 @@ def _rest(grouped: DataFrame, roots: DataFrame, sets: DataFrame, texts: DataFram
             hit[js] = True
         return rows[hit]
 
-    open_ = cut(dealt(rows, placed.count()).applyInPandas(flagged, kinds))
+    open_ = cut(dealt(rows, total).applyInPandas(flagged, kinds))
     tidy(sets.sparkSession)
     wanted = _texts(sets, open_.select("whole").distinct(), texts)
     return dealt(open_.join(wanted, "whole"), open_.count()).applyInPandas(lambda rows: _compare_task(rows, words, least), "a long, b long")
@@ -456,9 +473,10 @@ def similar_documents(docs: DataFrame, words: int = 5, least: float = 0.8, budge
     this similarity mostly differ in more. So documents also have sampled
     fingerprints, of which similar texts share some. Groups are the documents
     of one sampled fingerprint, and those of fingerprints that the trie
-    connects, whether or not the texts between them are similar. The documents
-    of a group are first compared with its first one; then those of a group
-    that are not linked yet with each other. All links are checked on the
+    connects, whether or not the texts between them are similar. Each document
+    is first compared with one head, the first document of the most of its
+    groups, then with the heads of those groups it isn't linked to yet; at last
+    those of a group that are still not linked with each other. All links are checked on the
     whole texts. Equal shingle sets count as one document throughout, and go by
     their hash.
     """
@@ -472,9 +490,20 @@ def similar_documents(docs: DataFrame, words: int = 5, least: float = 0.8, budge
     heads = members.groupBy("k", "band").agg(F.min("whole").alias("y"), F.count(F.lit(1)).alias("n")).where("n > 1")
     grouped = cut(rejoin(members, heads, ["k", "band"]))
     tidy(docs.sparkSession)
-    pairs = grouped.where("whole != y").select(F.col("whole").alias("a"), F.col("y").alias("b")).distinct()
-    pairs = cut(_plausible(pairs, sets, least))
-    roots = components(_verified(pairs, sets, named, words, least)).withColumnRenamed("node", "whole")
+    pairs = grouped.where("whole != y").groupBy(F.col("whole").alias("a"), F.col("y").alias("b")).agg(F.count(F.lit(1)).alias("shared"))
+    pairs = cut(_plausible(pairs, sets, least).join(pairs, ["a", "b"]))
+    # most documents are linked by the head they share the most groups with; only what that leaves apart goes on
+    best = pairs.groupBy("a").agg(F.max_by("b", F.struct("shared", "b")).alias("b"))
+    found = cut(_verified(best, sets, named, words, least))
+    roots = components(found).withColumnRenamed("node", "whole")
+    tidy(docs.sparkSession)
+    of = lambda x: roots.select(F.col("whole").alias(x), F.col("root").alias(f"r{x}"))
+    apart = pairs.join(best, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left")
+    apart = cut(apart.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b"))
+    more = cut(_verified(apart, sets, named, words, least))
+    if not more.isEmpty():
+        roots = components(found.unionByName(more)).withColumnRenamed("node", "whole")
+    tidy(docs.sparkSession)
     further = components(_rest(grouped, roots, sets, named, words, least, block_rows)).select(F.col("node").alias("root"), F.col("root").alias("last"))
     linked = sets.select("whole", "low").join(roots, "whole", "left").withColumn("root", F.coalesce("root", "whole"))
     linked = cut(rejoin(linked, further, ["root"], "left").select("whole", "low", F.coalesce("last", "root").alias("root")))
