@@ -77,6 +77,7 @@ _NAMES = frozenset(
     "related recommended recommendations widget toolbar skip search hidden discussion".split()
 )
 _KEPT = frozenset("html body main article".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _TAG = re.compile(r"""<(?:!--(.*?)(?:-->|--!>|$)|[!?][^>]*(?:>|$)|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|$))""", re.S)
 _ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _SPLIT = re.compile(r"[^A-Za-z0-9]+|(?<=[a-z])(?=[A-Z])")
@@ -85,18 +86,24 @@ _HOST = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)")
 
 
 class Node:
-    __slots__ = ("name", "items", "drop")
+    __slots__ = ("name", "items", "drop", "inside")
 
-    def __init__(self, name: str, drop: bool = False):
-        self.name, self.items, self.drop = name, [], drop
+    def __init__(self, name: str, drop: bool = False, inside: bool = False):
+        self.name, self.items, self.drop, self.inside = name, [], drop, inside  # inside: an article or main element
 
 
 def _attributes(source: str) -> dict[str, str]:
     return {m[1].lower(): _html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(source)}
 
 
-def _never(name: str, source: str) -> bool:
-    """By element, role, class, id or hiddenness."""
+def _never(name: str, source: str, inside: bool) -> bool:
+    """By element, role, class, id or hiddenness.
+
+    Within an article or main element, and of a paragraph anywhere, a class or
+    id tells only if all its words do (`ad-1`, `cookie-notice`, but not
+    `related-work`); elsewhere one word is enough. A heading's never tells.
+    What has other names is left to recurrence.
+    """
     if name in _NEVER:
         return True
     if not source or name in _KEPT:
@@ -106,8 +113,11 @@ def _never(name: str, source: str) -> bool:
         return True
     if "display:none" in a.get("style", "").replace(" ", "").lower():
         return True
-    words = {w.lower() for w in _SPLIT.split(a.get("class", "") + " " + a.get("id", ""))}
-    return not words.isdisjoint(_NAMES)
+    if name in _HEADINGS:
+        return False
+    told = ([w for w in _SPLIT.split(n.lower() if n.isupper() else n) if w and not w.isdigit()] for n in [*a.get("class", "").split(), a.get("id", "")])
+    enough = all if inside or name == "p" else any
+    return any(words and enough(w.lower() in _NAMES for w in words) for words in told)
 
 
 def parse(source: str) -> Node:
@@ -142,7 +152,8 @@ def parse(source: str) -> Node:
             _close(stack, ("p",), ("button", "td", "th", "table", "caption", "object"))
         if name in _ENDS:
             _close(stack, *_ENDS[name])
-        node = Node(name, _never(name, m[4]))
+        inside = stack[-1].inside or stack[-1].name in ("article", "main")
+        node = Node(name, _never(name, m[4], inside), inside)
         stack[-1].items.append(node)
         if name in _RAW:
             end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(source, at)

@@ -35,6 +35,12 @@ PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{}</style><script>v
         ("<table><tr><td>1<td>2<tr><td>3</table>", "1\n2\n3"),
         ("<span hidden>h</span><i>k</i><p style='display: none'>z", "k"),
         ("<div>" * 5000 + "deep", "deep"),
+        (
+            '<article><h1>T</h1><h2 class="section-header">A</h2><p class="related-work">B</p><p id="search-results">D</p><p class="promotion-rules">E</p><h3 class="header">H</h3><p>C</p></article>',
+            "T\nA\nB\nD\nE\nH\nC",
+        ),
+        ('<main><div class="ad-2">x</div><div class="CookieNotice">y</div><section id="comments">z</section><div class="wide shareButtons share">s</div><p>t</main>', "t"),
+        ('<div class="post"><p class="menu-design">one</p><p class="notice">no</p><div class="related-links">no</div><h2 id="banner">two</h2></div>', "one\ntwo"),
     ],
 )
 def test_main_text(source, text):
@@ -91,6 +97,18 @@ def test_recurring_boxes_inside_and_without_an_article(spark, bytes_):
     assert sum(without[i] != got[i] for i in want) > 60
 
 
+def test_templates_decide_in_the_registered_query(spark, tmp_path, monkeypatch):
+    """Pages without telling names: only recurrence takes the boxes away, and without templates they would stay."""
+    pages, want = _boxed(random.Random(8), 120)
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    read = lambda: {r.page_id: r.text for r in QUERIES["op1_main_text"](spark, str(tmp_path)).collect()}
+    assert read() == want
+    monkeypatch.setattr(html, "OUTSIDE", ((10**9, 2, 0),))
+    monkeypatch.setattr(html, "INSIDE", ((10**9, 2, 0),))
+    plain = read()
+    assert sum(plain[i] != want[i] for i in want) > 60
+
+
 def test_few_words_stay_unless_most_pages_have_them(spark):
     pages = [(i, "http://t.example/", f"<body><table><tr><td>{'yes' if i % 3 else 'no'}<td>number {i}</table></body>") for i in range(60)]
     df = spark.createDataFrame(pages, "page_id long, url string, html string")
