@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 _M64 = (1 << 64) - 1
 
 #: Pre-tokens in a generation of a worker's memo, of which there are two, and characters of one that is kept:
-#: with 4 bytes a character, the same again for the ids and some 200 of Python's own, 2 x 400,000 x 250 B in the mean.
-MEMO_LIMIT, MEMO_BYTES, MEMO_CHARS = 400_000, 32 << 20, 64
+#: with 4 bytes a character, the same again for the ids and some 200 of Python's own, 2 x 150,000 x 250 B in the mean.
+MEMO_LIMIT, MEMO_BYTES, MEMO_CHARS = 150_000, 12 << 20, 64
 #: Rows of one output batch; bounds the memory of a worker.
 OUT_ROWS = 256
 

@@ -364,10 +364,11 @@ def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, words: int, l
         head, at = None, None
         for batch in batches:
             a, b = [], []
-            for y, block, x, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for *own, text in zip(*batch.columns, strict=True):  # texts one by one: a batch of them is large
+                y, block, x = (c.as_py() for c in own)
                 if x is None:
-                    head, at = shingle_set(text, words), (y, block)
-                elif at == (y, block) and _cosine(shingle_set(text, words), head) >= least:
+                    head, at = shingle_set(text.as_py(), words), (y, block)
+                elif at == (y, block) and _cosine(shingle_set(text.as_py(), words), head) >= least:
                     a.append(x)
                     b.append(y)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])

@@ -78,7 +78,7 @@ def with_stats(df: DataFrame, text: str, column: str) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            found = pa.array([stats(t) for t in batch.column(at).to_pylist()], pa.list_(pa.float64()))
+            found = pa.array([stats(t.as_py()) for t in batch.column(at)], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*batch.schema.names, column])
 
     return df.mapInArrow(run, schema)
