@@ -75,3 +75,56 @@ def test_without_a_listener_nothing_is_labelled(spark):
     wins = spark.createDataFrame([("x", 1, [(0.0, 1.5, [1.0, 0.0])])], f"talk string, sid long, wins {voices.WINDOWS}")
     assert voices.labelled_by(wins, Knobs(diarize="off")).count() == 0
     assert voices.labelled_by(wins).first().raw == "S1"
+
+
+def plain_linkage(v, weight, limit, tag):
+    """The least distance of all pairs, looked up anew for each join."""
+    groups = {i: [i] for i in range(len(v))}
+    size, tags = dict(enumerate(weight)), dict(enumerate(tag))
+    far = {(i, j): 1.0 - float(v[i] @ v[j]) for i in groups for j in groups if i < j}
+    while True:
+        open_ = [(d, i, j) for (i, j), d in far.items() if tags[i] < 0 or tags[j] < 0 or tags[i] == tags[j]]
+        d, i, j = min(open_, default=(np.inf, 0, 0))
+        if not d <= limit:
+            break
+        for k in groups:
+            if k not in (i, j):
+                a, b = ((min(x, k), max(x, k)) for x in (i, j))
+                one, two = (far[p] if tags[x] < 0 or tags[k] < 0 or tags[x] == tags[k] else np.inf for x, p in ((i, a), (j, b)))
+                far[a] = (size[i] * one + size[j] * two) / (size[i] + size[j])
+        far = {p: d for p, d in far.items() if j not in p}
+        groups[i] += groups.pop(j)
+        size[i] += size[j]
+        tags[i] = max(tags[i], tags[j])
+    out = np.zeros(len(v), int)
+    for number, i in enumerate(sorted(groups)):
+        out[groups[i]] = number
+    return out
+
+
+def test_linkage_joins_the_nearest_pair_each_time():
+    """Weights, tags that may not meet, and many equal distances."""
+    rng = np.random.default_rng(5)
+    for round_ in range(60):
+        n = int(rng.integers(0, 26))
+        v = rng.integers(-1, 2, (n, 3)).astype(float) if round_ % 2 else rng.normal(size=(n, 3))
+        v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
+        weight, tag = rng.integers(1, 4, n).astype(float), rng.integers(-1, 3, n) if round_ % 3 else np.full(n, -1)
+        for limit in (0.1, 0.5, 2.0):
+            got = speakers.average_linkage(v, weight, limit, tag)
+            assert got.tolist() == plain_linkage(v, weight, limit, tag).tolist(), (round_, limit)
+
+
+def test_linkage_of_a_long_talk():
+    """Twice the segments take about four times as long, not eight."""
+    import time
+
+    def took(n):
+        v = np.random.default_rng(n).normal(size=(n, 16))
+        v /= np.linalg.norm(v, axis=1, keepdims=True)
+        began = time.process_time()
+        speakers.average_linkage(v, np.ones(n), 0.9)
+        return time.process_time() - began
+
+    took(200)
+    assert took(2_400) < 6.5 * max(took(1_200), 0.05)
