@@ -274,3 +274,55 @@ def test_summaries(spark):
         raise OSError
 
     assert "## Key terms" in talks.summaries(segs, titles, broken).where("talk = 'x'").first().summary
+
+
+def test_summaries_are_a_tree_of_bounded_calls(spark, tmp_path):
+    """Many chunks, one segment longer than a chunk, one talk whose model fails: no prompt is too long, and only that talk falls back."""
+    rows = [("x", i, "ann", f"part {i} of a long talk about transformer models and so on", i * 1000, i * 1000 + 900) for i in range(1, 200)]
+    rows += [("y", 1, None, "z " * 900, 0, 900), ("y", 2, None, "broken engine here now today friends", 1000, 1900), ("w", 1, None, "short words here for the one chunk", 0, 900)]
+    segs = spark.createDataFrame(rows, "talk string, sid long, spk string, text string, t0 long, t1 long")
+    titles = spark.createDataFrame([("x", "Talk"), ("y", "Other"), ("w", None), ("none", "Empty")], "talk string, title string")
+    seen = tmp_path / "prompts"
+    seen.mkdir()
+
+    def model(prompt, tokens):
+        import uuid
+
+        (seen / uuid.uuid4().hex).write_text(f"{tokens} {len(prompt)} {prompt[:20]}")
+        if "broken" in prompt:
+            raise OSError("engine")
+        return f"<{prompt.count('part ') + prompt.count('<')}>" + "n" * (5_000 if tokens == 600 else 10)
+
+    got = {r.talk: r.summary for r in talks.summaries(segs, titles, model, most=300).collect()}
+    prompts = [p.read_text().split(" ", 2) for p in seen.iterdir()]
+    assert max(int(n) for tokens, n, _ in prompts if tokens == "600") <= len(talks.PART) + talks.FAN_IN * (talks.NOTE_CHARS + 2)
+    assert len([1 for tokens, n, _ in prompts if tokens == "600" and int(n) <= len(talks.PART) + 300]) >= 40
+    assert any(int(n) > 1000 for tokens, n, _ in prompts if tokens == "600")  # notes of notes
+    assert "<" in got["x"] and "<" in got["w"] and "## Key terms" in got["y"] and "<" not in got["y"] and got["none"] == "The transcript is empty."
+
+
+def test_counters_of_a_stream_are_observed(spark, tmp_path):
+    from lectern.streaming import health
+
+    folder = tmp_path / "asked"
+    folder.mkdir()
+    rng, rows = random.Random(2), []
+    for p in range(3):
+        own = [{"talk": rng.choice("xy"), "text": "t" * rng.randrange(9), "hit": rng.random() < 0.4, "failed": rng.random() < 0.3} for _ in range(40)]
+        (folder / f"{p}.json").write_text("\n".join(map(json.dumps, own)))
+        rows += own
+    schema = "talk string, text string, hit boolean, failed boolean"
+    listener = health.Reports(str(tmp_path / "health"))
+    spark.streams.addListener(listener)
+    try:
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(folder))
+        run_once(health.translations(stream), "counted", tmp_path)
+        want = revlog.translation_counters(spark.read.schema(schema).json(str(folder))).agg(*(F.sum(c).alias(c) for c in ("hits", "calls", "chars", "errors"))).first().asDict()
+        for _ in range(60):  # listeners hear of a batch a little later
+            got = {r.key: r.total for r in health.totals(spark, str(tmp_path / "health")).where("name = 'translation'").collect()} if (tmp_path / "health").exists() else {}
+            if got == want:
+                break
+            time.sleep(0.5)
+        assert got == want
+    finally:
+        spark.streams.removeListener(listener)
