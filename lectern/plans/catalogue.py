@@ -951,10 +951,49 @@ def online_clusters(spark, sf):
     return speakers.online_labels(rows, replace(_LOOSE, merge_every=10**9), _roster(spark, sf))
 
 
-@query()
+#: A step hears a segment, or looks at one voice of a merge pass (todo), which comes after every tenth segment.
+MERGES = f"""o AS MATERIALIZED (SELECT talk, id, v, row_number() OVER (PARTITION BY talk ORDER BY id) AS k FROM vec),
+st AS (
+    SELECT talk, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS sid, CAST([] AS {_VOICES}) AS voices, CAST(0 AS BIGINT) AS named, CAST([] AS VARCHAR[]) AS todo,
+           CAST([] AS STRUCT(was VARCHAR, now VARCHAR)[]) AS alias, CAST(0 AS BIGINT) AS step FROM (SELECT DISTINCT talk FROM vec)
+    UNION ALL
+    SELECT talk, CASE WHEN hears THEN ok ELSE k END, CASE WHEN hears THEN id ELSE sid END,
+           CASE WHEN NOT hears AND stay IS NULL THEN voices
+                WHEN NOT hears THEN list_filter(list_transform(voices, lambda r, i: CASE WHEN i = stay THEN {{'name': r.name, 'v': list_transform(joint, lambda c: c / sqrt(list_inner_product(joint, joint))), 'n': r.n + voices[gone].n, 'fixed': false}} ELSE r END), lambda r, i: i <> gone)
+                WHEN known THEN list_transform(voices, lambda r, i: CASE WHEN i = pos THEN {{'name': r.name, 'v': list_transform(moved, lambda c: c / sqrt(list_inner_product(moved, moved))), 'n': r.n + 1, 'fixed': false}} ELSE r END)
+                WHEN len(voices) >= 8 THEN voices ELSE list_append(voices, {{'name': 'S' || (named + 1), 'v': x, 'n': 1, 'fixed': false}}) END,
+           CASE WHEN NOT hears OR known OR len(voices) >= 8 THEN named ELSE named + 1 END,
+           CASE WHEN NOT hears THEN todo[2:] WHEN ok % 10 <> 0 THEN [] WHEN known OR len(voices) >= 8 THEN list_transform(voices, lambda r: r.name) ELSE list_append(list_transform(voices, lambda r: r.name), 'S' || (named + 1)) END,
+           CASE WHEN hears OR stay IS NULL THEN alias
+                ELSE list_append(list_transform(alias, lambda a: {{'was': a.was, 'now': CASE WHEN a.now = voices[gone].name THEN voices[stay].name ELSE a.now END}}), {{'was': voices[gone].name, 'now': voices[stay].name}}) END,
+           step + 1
+    FROM (
+        SELECT *, list_transform(voices[stay].v, lambda c, i: c * voices[stay].n + voices[gone].v[i] * voices[gone].n) AS joint,
+               list_transform(voices[pos].v, lambda c, i: (1 - 1 / CAST(least(voices[pos].n + 1, 20) AS DOUBLE)) * c + 1 / CAST(least(voices[pos].n + 1, 20) AS DOUBLE) * x[i]) AS moved
+        FROM (
+            SELECT *, coalesce(list_max(sims) >= 0.3, false) AS known, list_position(sims, list_max(sims)) AS pos,
+                   CASE WHEN other > 0 THEN CASE WHEN voices[other].n >= voices[own].n THEN own ELSE other END END AS gone,
+                   CASE WHEN other > 0 THEN CASE WHEN voices[other].n >= voices[own].n THEN other ELSE own END END AS stay
+            FROM (
+                SELECT *, list_position(list_transform(voices, lambda r, i: own > 0 AND i <> own AND list_inner_product(r.v, voices[own].v) >= 0.12), true) AS other
+                FROM (
+                    SELECT s.*, o.k AS ok, o.id, o.v AS x, len(s.todo) = 0 AS hears, CASE WHEN o.k IS NOT NULL THEN list_transform(s.voices, lambda r: list_inner_product(r.v, o.v)) END AS sims,
+                           CASE WHEN len(s.todo) > 0 THEN list_position(list_transform(s.voices, lambda r: r.name), s.todo[1]) END AS own
+                    FROM st s LEFT JOIN o ON o.talk = s.talk AND o.k = s.k + 1 AND len(s.todo) = 0 WHERE len(s.todo) > 0 OR o.k IS NOT NULL
+                )
+            )
+        )
+    )
+), al AS (
+    SELECT talk, k, sid, unnest(alias).was AS was, unnest(alias).now AS now FROM (SELECT talk, k, any_value(sid) AS sid, arg_max(alias, step) AS alias FROM st GROUP BY talk, k)
+)"""
+
+
+@query(f"""WITH RECURSIVE {T.VEC}, {MERGES} SELECT a.talk, a.sid, a.was AS old, a.now AS new FROM al a LEFT JOIN al b ON b.talk = a.talk AND b.k = a.k - 1 AND b.was = a.was WHERE b.now IS DISTINCT FROM a.now""")
 def merged_voices(spark, sf):
+    """So many voices are alike here that each talk has merges, and chains of them."""
     rows = T.vectors(spark, sf).select("talk", F.col("id").alias("sid"), "v")
-    return speakers.merges(rows, Knobs(assign=0.45, merge=0.3))
+    return speakers.merges(rows, Knobs(assign=LOOSE, merge=0.12))
 
 
 def _refined_sql(weight: str) -> str:
