@@ -33,6 +33,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Narrow rows (numbers only) that one task takes where a table is packed.
+PACKED_ROWS = 25_000
+
+
+def packed(df: DataFrame, rows: int) -> DataFrame:
+    """df, of so many narrow rows, in no more tasks than they need: small tables of iterations otherwise keep the partitions of a large shuffle."""
+    return df.coalesce(max(1, -(-rows // PACKED_ROWS)))
+
+
 def crc_mod(column: str, modulus: int):
     """crc32 of the value written as text, modulo `modulus`."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(modulus)

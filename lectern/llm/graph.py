@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import cut, rejoin, tidy
+from lectern.llm.common import cut, packed, rejoin, tidy
 
 #: Edges from which joins are dealt anew, so that Spark may split a hub; fewer fit a task whatever their keys.
 SPLIT_EDGES = 1_000_000
@@ -17,9 +17,9 @@ def components(edges: DataFrame) -> DataFrame:
     edges: (a, b) of one type. Large-star and small-star steps alternate until
     nothing changes; each hooks nodes to the least neighbour, so the number of
     rounds grows with the logarithm of a component's length. Up to SPLIT_EDGES
-    a round is two shuffles; beyond it a hub's edges are aggregated before they
-    are shuffled and meet the result in a join that deals them anew (rejoin), so
-    that Spark splits a hub.
+    a round is two shuffles, and what it reads and leaves is packed by its rows;
+    beyond it a hub's edges are aggregated before they are shuffled and meet the
+    result in a join that deals them anew (rejoin), so that Spark splits a hub.
     """
     now = cut(edges.where("a != b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct())
     last = None
@@ -28,7 +28,7 @@ def components(edges: DataFrame) -> DataFrame:
         if state == last or not state[0]:
             break
         last = state
-        now = cut(_round_split(now) if state[0] > SPLIT_EDGES else _round(now))
+        now = cut(_round_split(now) if state[0] > SPLIT_EDGES else packed(_round(packed(now, state[0])), state[0]))
         tidy(now.sparkSession)
     roots = now.select(F.col("u").alias("node")).distinct().join(now.select(F.col("v").alias("node")), "node", "left_anti")
     return now.select(F.col("v").alias("node"), F.col("u").alias("root")).union(roots.select("node", F.col("node").alias("root")))

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lectern.llm.common import WORD, cut, numbered, rejoin
+from lectern.llm.common import WORD, cut, numbered, packed, rejoin
 
 #: Weights by place of the source, repeating.
 WEIGHTS = (1, 2, 3)
@@ -94,6 +94,8 @@ def rate(multiplier: Column, size: Column) -> Column:
 def balance(sizes: DataFrame, goals: DataFrame) -> tuple[DataFrame, int]:
     """(name, multiplier) of each source by Newton's method on the dual, and the steps it took.
 
+    A step reads a row for each size of a source and leaves a row for each source, packed by their numbers.
+
     sizes: (name, size, n), the numbers of documents of each size above 0;
     goals: (name, source_size, target), targets above 0 and at most MOST times
     the size. Where the target is that bound all rates are MOST.
@@ -103,14 +105,17 @@ def balance(sizes: DataFrame, goals: DataFrame) -> tuple[DataFrame, int]:
     full = F.col("target") >= MOST * F.col("source_size") * (1 - 1e-15)
     start = F.when(full, top).otherwise(F.lit(0.0))
     state = cut(goals.select("name", F.col("target").cast("double").alias("target"), start.alias("m"), low.alias("lo"), top.alias("hi"), full.alias("done")))
+    sources = state.count()
+    few = sources <= BROADCAST_SOURCES
+    state, sizes = packed(state, sources), packed(sizes, sizes.count())
     for step in range(1, STEPS + 1):
-        active = state.where("not done")
+        active = state.where("not done").select("name", "m")
         tilt = F.col("m") * F.col("size")
         inner = tilt < top
         taken = F.col("n") * F.col("size") * F.when(inner, F.exp(tilt)).otherwise(float(MOST))
         slope = F.when(inner, F.col("n") * F.col("size") * F.col("size") * F.exp(tilt)).otherwise(0.0)
         sums = (
-            sizes.join(_small(active.select("name", "m"), state), "name")
+            sizes.join(F.broadcast(active) if few else active, "name")
             .groupBy("name")
             .agg(F.sum(taken.cast(_EXACT)).cast("double").alias("taken"), F.sum(slope.cast(_EXACT)).cast("double").alias("slope"))
         )
@@ -118,21 +123,17 @@ def balance(sizes: DataFrame, goals: DataFrame) -> tuple[DataFrame, int]:
         lo = F.when(gradient < 0, F.col("m")).otherwise(F.col("lo"))
         hi = F.when(gradient > 0, F.col("m")).otherwise(F.col("hi"))
         newton = F.when(F.col("slope") > 0, F.col("m") - gradient / F.col("slope"))
+        # sources that are done have no sums, and stay as they are
         done = F.coalesce((F.abs(gradient) <= TOLERANCE * F.col("target")) | (F.col("hi") - F.col("lo") <= 1e-17), F.lit(True))
         moved = F.when((newton > F.col("lo")) & (newton < F.col("hi")), newton).otherwise((F.col("lo") + F.col("hi")) / 2)
-        stepped = active.drop("done").join(sums, "name", "left").withColumn("lo", lo).withColumn("hi", hi).withColumn("done", done)
+        stepped = state.join(F.broadcast(sums) if few else sums, "name", "left").withColumn("lo", lo).withColumn("hi", hi).withColumn("done", done)
         stepped = stepped.withColumn("m", F.when(F.col("done"), F.col("m")).otherwise(moved))
-        state = cut(stepped.select(*state.columns).unionByName(state.where("done")))
+        state = packed(cut(stepped.select(*state.columns)), sources)
         if state.where("not done").isEmpty():
             break
     return state.select("name", F.col("m").alias("multiplier")), step
 
 
-def _small(of_sources: DataFrame, counted: DataFrame) -> DataFrame:
-    """of_sources, broadcast if there are few sources in `counted`, which is materialised."""
-    return F.broadcast(of_sources) if counted.count() <= BROADCAST_SOURCES else of_sources
-
-
 def _shared(cells: DataFrame, group: list[str], part: str, n: str, extra: str, out: str) -> DataFrame:
     """cells with `out`, their parts of the group's `extra`, dealt in order of `part` by their numbers `n`."""
     upto = F.sum(n).over(Window.partitionBy(*group).orderBy(part))
