@@ -1,18 +1,21 @@
 """Line dedup: later copies of repeated line runs are deleted.
 
-The texts are one long sequence of line ids. Prefix doubling ranks the runs of
-1, 2, 4, ... lines at every place by sorting pairs of ranks of half the length;
-the ranks of a length order the suffixes by that many lines, and places of
-equal rank are an LCP interval of that suffix array. Intervals of one place are
-dropped on the way up: nothing longer repeats there.
-
-On the way down every place finds the longest run that begins there and also
-begins at an earlier place. It has reached some length so far, and with it the
-interval of that length, named by its earliest place; the next shorter ranks
-split the interval, and the place moves on if it isn't the earliest of its part.
-The bits of the longest run come out one by one, from the highest.
-
-A run is deleted if it has enough words; of overlapping runs all lines go.
+The texts are one long sequence of line ids. A run of lines goes if it has
+enough words and begins at an earlier place too. Each line of such a run lies in
+a least run within it: either one that begins at a place and ends with the line
+that brings enough words, or one that ends at a place and begins with the last
+line that does. (If the lines from the run's begin to this one have enough
+words, then the least run that ends here is within the run; if not, the least
+run that begins with it reaches this line.) A least run of the run repeats at an
+earlier place as the run does, and is such a run itself, so all lines of the
+repeated least runs are what goes.
+
+Prefix doubling names the runs of 1, 2, 4, ... lines at every place by the names
+of their halves, as 128-bit hashes, so that no level needs a global order; a run
+between two of these lengths is named by the two that cover it. Runs of equal
+name are an LCP interval of the suffix array, cut at their length; the earliest
+place of an interval stays. Lines that occur once are left out before: no
+repeated run reaches across them.
 
 All steps are DataFrame operations on numbers; texts are read twice, to number
 the lines and to write the rest. Hot lines and hot runs are aggregated before
@@ -32,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lectern.llm.common import WORD, cut, free_name, numbered, ordered, rejoin, tidy
+from lectern.llm.common import WORD, cut, free_name, numbered, rejoin
 
 #: Words that a repeated run has at least.
 LEAST_WORDS = 50
@@ -55,67 +58,73 @@ def _identity(key: str, text: str):
     return F.xxhash64(own, text).alias("u1"), F.xxhash64(F.lit(1), text, own).alias("u2")
 
 
-def _ranks(lines: DataFrame) -> list[DataFrame]:
-    """By k: (g, r, w) of the places where a run of 2^k lines begins that repeats: its rank and its words."""
+def _chains(lines: DataFrame, stride: int) -> DataFrame:
+    """(chain, g, h1, h2, lo, hi): stretches of lines that occur several times, with the words of a chain before and up to each line."""
     keys = ["h1", "h2"]
     several = lines.groupBy(*keys).agg(F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
-    now = cut(rejoin(lines, ordered(several, *keys), keys).select("g", F.col("n").alias("r"), "w"))
-    out, step = [], 1
-    while not now.isEmpty():
-        out.append(now)
-        ahead = now.select((F.col("g") - step).alias("g"), F.col("r").alias("r2"), F.col("w").alias("w2"))
-        pairs = cut(now.join(ahead.hint("merge"), "g").select("g", "r", "r2", (F.col("w") + F.col("w2")).alias("w")))
-        keys = ["r", "r2"]
-        several = pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
-        now = cut(rejoin(pairs, ordered(several, *keys), keys).select("g", F.col("n").alias("r"), "w"))
-        step *= 2
-        tidy(lines.sparkSession)
-    return out
-
-
-def _longest(ranks: list[DataFrame]) -> DataFrame | None:
-    """(g, size, first, words): at g the longest run that begins at an earlier place too, its lines and words."""
-    found = None
-    for k in range(len(ranks) - 1, -1, -1):
-        level = ranks[k]
-        # places that hold no run yet start from the interval of all places, which has no name
-        fresh = level if found is None else level.join(found.select("g").hint("merge"), "g", "left_anti")
-        fresh = fresh.select("g", F.lit(0).cast("long").alias("size"), F.lit(-1).cast("long").alias("first"), F.lit(0).cast("long").alias("words"), F.col("r"), F.col("w"))
-        at = level.select(F.col("g").alias("at"), "r", "w")
-        if found is None:
-            tested, heads = fresh, None
-        else:
-            tested = found.withColumn("at", F.col("g") + F.col("size")).join(at.hint("merge"), "at", "left").drop("at").unionByName(fresh)
-            heads = found.select("size", "first").distinct().withColumn("at", F.col("first") + F.col("size")).join(at.hint("merge"), "at").select("size", "first", "r", F.col("first").alias("g"))
-        tested = cut(tested)
-        keys = ["size", "first", "r"]
-        members = tested.where("r is not null").select(*keys, "g")
-        if heads is not None:
-            members = members.unionByName(heads)
-        parts = members.groupBy(*keys).agg(F.min("g").alias("head"))
-        on = F.col("head") < F.col("g")
-        found = cut(
-            rejoin(tested, parts, keys, "left")
-            .select(
-                "g",
-                F.when(on, F.col("size") + (1 << k)).otherwise(F.col("size")).alias("size"),
-                F.when(on, F.col("head")).otherwise(F.col("first")).alias("first"),
-                F.when(on, F.col("words") + F.col("w")).otherwise(F.col("words")).alias("words"),
-            )
-            .where("size > 0")
-        )
-        tidy(level.sparkSession)
-    return found
+    rows = rejoin(lines, several, keys).withColumn("doc", F.expr(f"g div {stride}"))
+    chain = F.col("g") - F.row_number().over(Window.partitionBy("doc").orderBy("g"))
+    hi = F.sum("w").over(Window.partitionBy("doc", "chain").orderBy("g"))
+    return rows.withColumn("chain", chain).withColumn("hi", hi).select("chain", "g", *keys, (F.col("hi") - F.col("w")).alias("lo"), "hi")
+
+
+def _least_runs(chains: DataFrame, least: int) -> DataFrame:
+    """(g, size): from and to each place the shortest run within its chain that has `least` words."""
+    row = lambda at, kind: chains.select("chain", "g", at.alias("at"), F.lit(kind).alias("kind"))
+    seen = F.last(F.when(F.col("kind") == 1, F.col("g")), ignorenulls=True)
+
+    def met(wanted, there, *order):
+        before = Window.partitionBy("chain").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return row(wanted, 0).unionByName(row(there, 1)).withColumn("other", seen.over(before)).where("kind = 0 and other is not null")
+
+    ends = met(F.col("lo") + least, F.col("hi"), F.desc("at"), F.desc("kind"), F.desc("g"))
+    begins = met(F.col("hi") - least, F.col("lo"), F.col("at"), F.desc("kind"), F.col("g"))
+    size = lambda a, b: F.greatest(b - a + 1, F.lit(1).cast("long")).alias("size")
+    g, other = F.col("g"), F.col("other")
+    return ends.select("g", size(g, other)).unionByName(begins.select(F.least(g, other).alias("g"), size(other, g))).distinct()
+
+
+def _names(chains: DataFrame, levels: int) -> DataFrame:
+    """(g, names): by k the name of the run of 2^k lines at each place; what reaches beyond the chain has a name that no run uses."""
+    order = Window.partitionBy("chain").orderBy("g")
+    rows = chains.select("chain", "g", F.col("h1").alias("x0"), F.col("h2").alias("y0"))
+    for k in range(1, levels):
+        x, y = F.col(f"x{k - 1}"), F.col(f"y{k - 1}")
+        x2, y2 = (F.lead(c, 1 << (k - 1)).over(order) for c in (x, y))
+        rows = rows.withColumns({f"x{k}": F.xxhash64(x, y, x2, y2), f"y{k}": F.xxhash64(y2, x2, F.lit(k), y, x)})
+    return rows.select("g", F.array(*(F.struct(F.col(f"x{k}").alias("x"), F.col(f"y{k}").alias("y")) for k in range(levels))).alias("names"))
+
+
+def _later(chains: DataFrame, least: int) -> DataFrame | None:
+    """(g, size): least runs that begin at an earlier place too; of no rows None."""
+    runs = cut(_least_runs(chains, least))
+    longest = runs.agg(F.max("size")).first()[0]
+    if longest is None:
+        return None
+    names = _names(chains, longest.bit_length())
+    k = (F.length(F.bin("size")) - 1).cast("int")
+    own = runs.join(names.hint("merge"), "g").withColumn("k", k).withColumn("a", F.get("names", F.col("k"))).drop("names")
+    tail = names.select(F.col("g").alias("end"), F.col("names").alias("tails"))
+    both = own.withColumn("end", F.col("g") + F.col("size") - F.expr("shiftleft(1L, k)")).join(tail.hint("merge"), "end")
+    b = F.get("tails", F.col("k"))
+    whole = both.withColumn("b", b).select(
+        "g", "size", F.xxhash64("size", "a.x", "a.y", "b.x", "b.y").alias("n1"), F.xxhash64("b.y", "b.x", "size", "a.y", "a.x").alias("n2")
+    )
+    keys = ["size", "n1", "n2"]
+    whole = cut(whole)
+    heads = whole.groupBy(*keys).agg(F.min("g").alias("head"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
+    return rejoin(whole, heads, keys).where("head < g").select("g", "size")
 
 
 def repeated_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
     """(u1, u2, keep): of each document that loses lines, what stays, as (from, lines) from 1."""
     places, stride = _places(docs, key, text)
     lines = places.select("doc", F.posexplode("lines").alias("pos", "line")).select((F.col("doc") * stride + F.col("pos")).alias("g"), "line.*")
-    runs = _longest(_ranks(lines))
+    chains = cut(_chains(lines, stride))
+    runs = _later(chains, least_words)
     if runs is None:
         return places.where("false").select("u1", "u2", F.array(F.struct(F.lit(1).alias("a"), F.lit(1).alias("n"))).alias("keep"))
-    own = runs.where(F.col("words") >= least_words).select(
+    own = runs.select(
         F.expr(f"g div {stride}").alias("doc"), (F.col("g") % stride).alias("a"), (F.col("g") % stride + F.col("size")).alias("b")
     )
     # merge the overlapping runs of a document, then take what lies between them

@@ -63,3 +63,17 @@ def test_columns_keep_their_names_and_values(spark):
     docs = spark.createDataFrame([(1, line, 5, 6, "k", 9), (2, line, 7, 8, "l", 9)], "doc_id long, text string, __u1 long, __U2 long, __keep string, n int")
     rows = sorted(lines.dedup(docs, removed="n").collect())
     assert [(r.doc_id, r.text, r["__u1"], r["__U2"], r["__keep"], r.n) for r in rows] == [(1, line, 5, 6, "k", 0), (2, "", 7, 8, "l", 1)]
+
+
+def test_jobs_do_not_grow_with_the_repeat(spark):
+    context = spark.sparkContext
+
+    def jobs(n):
+        text = "\n".join("" if i % 9 else f"line {i}" for i in range(n))
+        context.setJobGroup(f"repeat {n}", "")
+        got = run(spark, [(1, text), (2, f"own\n{text}\nend")], 4)
+        context.setLocalProperty("spark.jobGroup.id", None)
+        assert got == brute([(1, text), (2, f"own\n{text}\nend")], 4)
+        return len(context.statusTracker().getJobIdsForGroup(f"repeat {n}"))
+
+    assert jobs(100) <= jobs(30) + 2
