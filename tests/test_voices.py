@@ -128,3 +128,16 @@ def test_linkage_of_a_long_talk():
 
     took(200)
     assert took(2_400) < 6.5 * max(took(1_200), 0.05)
+
+
+def test_linkage_keeps_no_table_of_distances():
+    import tracemalloc
+
+    n = 4_000
+    v = np.random.default_rng(3).normal(size=(n, 16))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    tracemalloc.start()
+    speakers.average_linkage(v, np.ones(n), 0.1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < n * n * 8 / 2
