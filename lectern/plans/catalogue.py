@@ -834,11 +834,7 @@ def separability(spark, sf):
 @query(f"""WITH {T.VEC}, p AS (SELECT a.label = b.label AS same, list_inner_product(a.v, b.v) AS c FROM vec a JOIN vec b ON b.talk = a.talk AND a.id < b.id)
 SELECT same, round(min(c), 6) AS least, round(max(c), 6) AS most, count(*) AS pairs FROM p GROUP BY same""")
 def similarity_range(spark, sf):
-    rows = T.vectors(spark, sf)
-    pairs = speakers.pair_cosines(rows, ["talk"])
-    label = rows.select("id", "label")
-    both = pairs.join(label.withColumnsRenamed({"id": "a", "label": "la"}), "a").join(label.withColumnsRenamed({"id": "b", "label": "lb"}), "b")
-    found = speakers.similarity_range(both, F.col("la") == F.col("lb"))
+    found = speakers.cosine_range(T.vectors(spark, sf), ["talk"])
     return found.select("same", F.round("least", 6).alias("least"), F.round("most", 6).alias("most"), "pairs")
 
 

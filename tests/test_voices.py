@@ -141,3 +141,24 @@ def test_linkage_keeps_no_table_of_distances():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < n * n * 8 / 2
+
+
+def test_pairs_over_small_shards(spark):
+    rng = np.random.default_rng(8)
+    rows = [(t, i, int(rng.integers(0, 3)) if i % 7 else None, None if i == 5 else rng.normal(size=4).tolist()) for t in (0, 1) for i in range(t, 40, 2)]
+    df = spark.createDataFrame(rows, "talk long, id long, label long, v array<double>")
+    known = {(t, i): (la, v) for t, i, la, v in rows}
+    cos = {(t, a, b): None if known[t, a][1] is None or known[t, b][1] is None else float(np.dot(known[t, a][1], known[t, b][1])) for t, a in known for u, b in known if t == u and a < b}
+    got = {(r.talk, r.a, r.b): r.cos for r in speakers.pair_cosines(df, ["talk"], shard_rows=3).collect()}
+    assert got.keys() == cos.keys() and all((got[k] is None) == (c is None) and (c is None or abs(got[k] - c) < 1e-12) for k, c in cos.items())
+    near = {(r.talk, r.a, r.b) for r in speakers.pair_cosines(df, ["talk"], 0.3, shard_rows=3).collect()}
+    assert near == {k for k, c in cos.items() if c is not None and c >= 0.3}
+    ends = {r.same: (r.least, r.most, r.pairs) for r in speakers.cosine_range(df, ["talk"], shard_rows=3).collect()}
+    want = {}
+    for (t, a, b), c in cos.items():
+        la, lb = known[t, a][0], known[t, b][0]
+        want.setdefault(None if la is None or lb is None else la == lb, []).append(c)
+    assert ends.keys() == want.keys()
+    for same, cs in want.items():
+        some = [c for c in cs if c is not None]
+        assert ends[same][2] == len(cs) and abs(ends[same][0] - min(some)) < 1e-12 and abs(ends[same][1] - max(some)) < 1e-12
